@@ -23,7 +23,7 @@ PLANTED = [
     "const r = await fetch(base + '/Patient?name=' + n);",
     "const r2 = await fetch(base + '/Observation?code=1');\nconst e = '_elements=id';",
     "import axios from 'axios';\nconst scope = 'user/*.*'; const s2 = 'user/*.read';",
-    "const axios = require('axios');\nclient.get('/Group/1/$export'); client.get('/$export?_type=Patient');",
+    "const axios = require('axios');\nclient.get('/Group/1/$export');\nclient.get('/$export?_type=Patient');",
     "console.log('MSH|^~\\&|SENDER');",
     "const raw = 'PID|1||12345';",
     "console.error(hl7Message);",
@@ -100,6 +100,21 @@ SELECT user_id AS session, event_id, ts, event_type,
        k % 6 AS target, event_type = 'error' AS is_error, k
 FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM {events}) e"""
 
+# Transcript lines: a prompt, or a call and its result; some lines are noise,
+# broken or carry a result that no call asked for.
+RAW_FX = f"""
+SELECT session, seq * 4 + j AS pos,
+  CASE j WHEN 0 THEN CASE
+      WHEN is_prompt THEN concat('{{"type":"user","sessionId":"s', CAST(session AS STRING), '","timestamp":"2024-01-01T00:', CASE WHEN k % 60 < 10 THEN '0' ELSE '' END, CAST(k % 60 AS STRING), ':00Z","uuid":"u","message":{{"content":"please fix ', CAST(k AS STRING), '"}}}}')
+      ELSE concat('{{"type":"assistant","uuid":"a","message":{{"model":"m', CAST(session % 3 AS STRING), '","content":[{{"type":"tool_use","id":"t', CAST(k % 30 AS STRING), '","name":"', tool, '","input":{{', {_pick("CASE WHEN tool = 'Bash' THEN 0 WHEN tool = 'Read' AND k % 3 = 0 THEN 2 ELSE 1 END", ["concat('\"command\":\"cmd ', CAST(target AS STRING), '\"')", "concat('\"file_path\":\"src/f', CAST(target AS STRING), '.ts\"')", "concat('\"b\":', CAST(target AS STRING), ',\"a\":1')"], raw=True)}, '}}}}]}}}}')
+    END
+    WHEN 1 THEN concat('{{"type":"user","uuid":"r","message":{{"content":[{{"type":"tool_result","tool_use_id":"t', CAST(k % 30 AS STRING), '","is_error":', CASE WHEN is_error THEN 'true' ELSE 'false' END, ',"content":"out ', CAST(k AS STRING), '"}}]}}}}')
+    WHEN 2 THEN CASE WHEN k % 2 = 0 THEN '{{"type":"summary","x":1}}' ELSE '{{broken' END
+    ELSE '{{"type":"user","message":{{"content":[{{"type":"tool_result","tool_use_id":"zz","content":[{{"text":"lost"}}]}}]}}}}'
+  END AS line
+FROM (SELECT 0 AS j UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) n CROSS JOIN ({TRACE_FX}) t
+WHERE j = 0 OR (j = 1 AND NOT is_prompt) OR (j = 2 AND k % 17 = 0) OR (j = 3 AND k % 23 = 0)"""
+
 EDGES_FX = """
 SELECT repo, doc_id AS src, to_id AS dst, slot,
        concat('s', CAST((doc_id + slot) % 9 AS STRING)) AS symbol
@@ -111,7 +126,7 @@ FROM (
   FROM {documents} CROSS JOIN (SELECT count(*) AS n FROM {documents}) c2
 ) e"""
 
-FIXTURES = {"files_fx": FILES_FX, "findings_fx": FINDINGS_FX, "trace_fx": TRACE_FX, "edges_fx": EDGES_FX}
+FIXTURES = {"files_fx": FILES_FX, "findings_fx": FINDINGS_FX, "trace_fx": TRACE_FX, "raw_fx": RAW_FX, "edges_fx": EDGES_FX}
 TABLES = ("documents", "events", "pages", "labels", "conversations", "benchmark")
 
 

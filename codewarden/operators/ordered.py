@@ -7,8 +7,8 @@ a one-row-per-block summary across the borders.  The summary table is smaller
 than the data by the block size, so the second, per-group window is tiny even
 when one group holds most of the rows.
 
-``pos`` is an integer position that orders the rows of a group.  It need not be
-dense; a sparse position only makes blocks smaller.
+The first order column is an integer position (a line number, an index).  It
+need not be dense; a sparse position only makes blocks smaller.
 """
 
 from __future__ import annotations
@@ -23,11 +23,11 @@ def _block(pos: str, size: int) -> Column:
     return F.floor(F.col(pos) / size)
 
 
-def running_sum(df: DataFrame, keys: list[str], pos: str, value: Column, out: str,
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str,
                 size: int = BLOCK) -> DataFrame:
     """Add ``out`` = sum of ``value`` over all rows of the group up to this one."""
-    d = df.withColumn("_b", _block(pos, size)).withColumn("_v", value)
-    inside = Window.partitionBy(*keys, "_b").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    d = df.withColumn("_b", _block(order[0], size)).withColumn("_v", value)
+    inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     base = (d.groupBy(*keys, "_b").agg(F.sum("_v").alias("_t"))
             .withColumn("_base", F.coalesce(F.sum("_t").over(before), F.lit(0)))
@@ -38,21 +38,19 @@ def running_sum(df: DataFrame, keys: list[str], pos: str, value: Column, out: st
             .drop("_b", "_v", "_in", "_base"))
 
 
-def neighbour(df: DataFrame, keys: list[str], pos: str, value: Column, out: str,
+def neighbour(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str,
               forward: bool = False, size: int = BLOCK) -> DataFrame:
     """Add ``out`` = nearest earlier (or later) non-null ``value`` in the group."""
-    d = df.withColumn("_b", _block(pos, size)).withColumn("_v", value)
+    d = df.withColumn("_b", _block(order[0], size)).withColumn("_v", value)
     nearest = F.first if forward else F.last
-    if forward:
-        inside = Window.partitionBy(*keys, "_b").orderBy(pos).rowsBetween(1, Window.unboundedFollowing)
-        across = Window.partitionBy(*keys).orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
-        edge = F.min_by("_v", F.when(F.col("_v").isNotNull(), F.col(pos)))
-    else:
-        inside = Window.partitionBy(*keys, "_b").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-        across = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        edge = F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(pos)))
-    carry = (d.groupBy(*keys, "_b").agg(edge.alias("_edge"))
-             .withColumn("_carry", nearest("_edge", ignorenulls=True).over(across)).drop("_edge"))
+    span = (1, Window.unboundedFollowing) if forward else (Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(*span)
+    across = Window.partitionBy(*keys).orderBy("_b").rowsBetween(*span)
+    edge = (F.min_by if forward else F.max_by)("_v", F.struct(*order))
+    carry = (d.groupBy(*keys, "_b").agg(F.count("_v").alias("_c"))
+             .join(d.filter(F.col("_v").isNotNull()).groupBy(*keys, "_b").agg(edge.alias("_edge")),
+                   [*keys, "_b"], "left")
+             .withColumn("_carry", nearest("_edge", ignorenulls=True).over(across)).drop("_edge", "_c"))
     return (d.withColumn("_in", nearest("_v", ignorenulls=True).over(inside))
             .join(carry, [*keys, "_b"])
             .withColumn(out, F.coalesce("_in", "_carry"))

@@ -103,26 +103,6 @@ def one(*args) -> Column:
     return F.array(finding(*args))
 
 
-def newlines(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-
-
-def match_lines(content: Column, pattern: str) -> Column:
-    """1-based line of every match of ``pattern`` in a whole text.
-
-    Text between matches and the matches themselves alternate, so one pass
-    that adds up their newlines places every match.
-    """
-    found = F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(content, pattern), F.lit(1), F.size(found))
-    steps = F.zip_with(gaps, found, lambda g, m: F.struct(newlines(g).alias("g"), newlines(m).alias("m")))
-    folded = F.aggregate(
-        steps, F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda acc, x: F.struct((acc["at"] + x["g"] + x["m"]).alias("at"),
-                                F.array_append(acc["out"], acc["at"] + x["g"]).alias("out")))
-    return folded["out"]
-
-
 def any_literal(text: Column, literals: Iterable[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(x) for x in literals])
 

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.fixed import (BROAD_FIELDS, FHIR_RESOURCES, LOCAL_HOSTS, PHI_BUCKET_WORDS, PHI_MODELS,
                                PHI_ROUTE_WORDS, PHI_TABLES)
 from ..functions.jsregex import any_of, js, quote
-from .rules import (SCRIPT_PATH, Hit, RuleOptions, Scanner, finding, match_lines, newlines, not_test, one,
-                    one_of, phi_path)
+from ..functions.spans import match_lines
+from .rules import SCRIPT_PATH, Hit, RuleOptions, Scanner, finding, not_test, one, one_of, phi_path
 
 # ---------------------------------------------------------------- logs ----
 
