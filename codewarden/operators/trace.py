@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.jsregex import js
+from ..session import cut_lineage
 from ..sources.traces import USER_SUB, cut, parse_lines
 from .ordered import first_k, neighbour, running_sum
 
@@ -32,8 +33,13 @@ class Trace:
 
 
 def build(raw: DataFrame) -> Trace:
-    """Raw (session, pos, line) rows to events and calls with their results."""
-    lines = parse_lines(raw)
+    """Raw (session, pos, line) rows to events and calls with their results.
+
+    Three tables are materialised, each narrower than the one before: parsed
+    lines (results are already cut to 80 or 400 characters), events and calls.
+    Every statistic and detector reads these instead of parsing JSON again.
+    """
+    lines = cut_lineage(parse_lines(raw))
     calls = lines.filter("kind = 'assistant'").select(
         "session", "pos", F.posexplode("calls").alias("call_no", "c")).select(
         "session", "pos", "call_no", "c.id", "c.name", F.to_json("c.input").alias("input"))
@@ -47,12 +53,12 @@ def build(raw: DataFrame) -> Trace:
     lost = orphans.select("session", "pos", F.col("call_no").alias("sub"), F.lit("tool_use").alias("type"), "ts",
                           "uuid", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("thinking"))
     events = running_sum(main.unionByName(lost), ["session"], ["pos", "sub"], F.lit(1), "_n")
-    events = events.withColumn("idx", F.col("_n") - 1).drop("_n")
+    events = cut_lineage(events.withColumn("idx", F.col("_n") - 1).drop("_n"))
     own = matched.withColumn("sub", F.lit(USER_SUB)).unionByName(orphans.select(
         "session", "pos", F.col("call_no").alias("sub"), F.lit(0).alias("call_no"), "id", F.lit(ORPHAN).alias("name"),
         F.lit("{}").alias("input"), F.col("content").alias("result"), "is_error"))
     calls = own.join(events.select("session", "pos", "sub", "idx"), ["session", "pos", "sub"]).drop("sub")
-    return Trace(lines, events, with_keys(calls))
+    return Trace(lines, events, cut_lineage(with_keys(calls)))
 
 
 def match_results(calls: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -124,23 +130,24 @@ def tool_distribution(trace: Trace) -> DataFrame:
 
 # -- digest ------------------------------------------------------------------------
 
-def render_call() -> Column:
-    """One call as digest text; empty for scratch notes."""
+_FIELDS = ["content", "pattern", "query", "path", "description"]
+
+
+def _render() -> Column:
+    """One call as digest text; null for scratch notes."""
     low = F.lower("name")
-    s = lambda f: F.coalesce(_string(f), F.lit(""))
+    s = lambda f: F.coalesce(F.col(f), F.lit(""))
     status = F.when(F.col("is_error").isNull(), "").when(F.col("is_error"), " → ERR").otherwise(" → OK")
-    pattern = F.coalesce(_string("pattern"), _string("query"), F.lit(""))
-    return (F.when(low == "bash", F.concat(F.lit("Bash: "), cut(text.trim(s("command")), COMMAND_CHARS), status))
-            .when(low.isin("write", "edit", "replace"), F.concat(
-                "name", F.lit(" "), s("file_path"), F.lit(" ("),
-                F.format_number(F.length(s("content")) / 1024, "0.0"), F.lit("KB)")))
+    size = F.call_function("format_number", F.length(s("content")) / 1024, F.lit("0.0"))
+    return (F.when(low == "bash", F.concat(F.lit("Bash: "), cut(F.col("_command"), COMMAND_CHARS), status))
+            .when(low.isin("write", "edit", "replace"),
+                  F.concat("name", F.lit(" "), s("file_path"), F.lit(" ("), size, F.lit("KB)")))
             .when(low == "read", F.concat(F.lit("Read "), s("file_path")))
             .when(low.isin("grep", "glob"), F.concat(
-                "name", F.lit(' "'), pattern, F.lit('"'),
+                "name", F.lit(' "'), F.coalesce("pattern", "query", F.lit("")), F.lit('"'),
                 F.when(s("path") != "", F.concat(F.lit(" in "), s("path"))).otherwise("")))
             .when(low == "task", F.concat(F.lit("Subagent: "), F.left(s("description"), F.lit(100))))
-            .when(low == "todowrite", F.lit(""))
-            .otherwise(F.when(s("file_path") != "", F.concat("name", F.lit(" "), s("file_path"))).otherwise(F.col("name"))))
+            .when(low != "todowrite", F.concat_ws(" ", "name", F.nullif(F.col("file_path"), F.lit("")))))
 
 
 def rendered(trace: Trace) -> DataFrame:
@@ -148,12 +155,14 @@ def rendered(trace: Trace) -> DataFrame:
 
     Calls are gathered per event, that is per transcript line.
     """
-    calls = (trace.calls.filter(F.col("name") != ORPHAN).withColumn("_r", render_call()).filter("_r <> ''")
-             .groupBy("session", "idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("call_no", "_r"))), lambda x: x["_r"]).alias("_calls")))
+    fields = trace.calls.filter(F.col("name") != ORPHAN).withColumns(
+        {**{f: _string(f) for f in _FIELDS}, "_command": text.trim(F.coalesce("command", F.lit("")))})
+    calls = (fields.withColumn("_r", _render())
+             .groupBy("session", "idx").agg(F.array_sort(F.collect_list(F.struct("call_no", "_r"))).alias("_calls")))
     said = F.when(F.coalesce("text", F.lit("")) != "", F.concat(F.lit("ASSISTANT: "), "text"))
-    parts = F.array_compact(F.concat(F.array(said), F.coalesce("_calls", F.array().cast("array<string>"))))
+    did = F.coalesce(F.col("_calls._r"), F.array().cast("array<string>"))
     line = (F.when((F.col("type") == "user") & (F.coalesce("text", F.lit("")) != ""), F.concat(F.lit("USER: "), "text"))
-            .when((F.col("type") == "assistant") & (F.size(parts) > 0), F.array_join(parts, " | ")))
+            .when(F.col("type") == "assistant", F.nullif(F.concat_ws(" | ", said, did), F.lit(""))))
     return (trace.events.filter("type in ('user', 'assistant')").join(calls, ["session", "idx"], "left")
             .select("session", "idx", line.alias("line")).filter("line is not null"))
 
@@ -179,6 +188,7 @@ def collapse_runs(lines: DataFrame, over: int = COLLAPSE_OVER_TOKENS, minimum: i
     d = neighbour(d, ["session"], ["idx"], F.col("_quiet"), "_before")
     d = running_sum(d, ["session"], ["idx"],
                     F.when(F.col("_quiet") & F.coalesce("_before", F.lit(False)), 0).otherwise(1), "_run")
+    d = cut_lineage(d)
     tool = F.regexp_replace(F.split_part("line", F.lit(" "), F.lit(1)), "^([^:]*):", "$1")
     # Counts per (run, tool) first: a run of any length is a few rows after it.
     per_tool = (d.filter("_quiet").groupBy("session", "_run", tool.alias("_tool"))
@@ -214,7 +224,9 @@ def cut_middle_lines(lines: DataFrame, cap: int = CAP_TOKENS) -> DataFrame:
 
 
 def digest(trace: Trace) -> DataFrame:
-    return cut_middle_lines(collapse_runs(drop_repeats(rendered(trace))))
+    # Each step reads its input several times; materialise between the steps.
+    lines = cut_lineage(drop_repeats(cut_lineage(rendered(trace))))
+    return cut_middle_lines(cut_lineage(collapse_runs(lines)))
 
 
 # -- process findings ----------------------------------------------------------------
