@@ -105,10 +105,10 @@ FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM {eve
 RAW_FX = f"""
 SELECT session, seq * 4 + j AS pos,
   CASE j WHEN 0 THEN CASE
-      WHEN is_prompt THEN concat('{{"type":"user","sessionId":"s', CAST(session AS STRING), '","timestamp":"2024-01-01T00:', CASE WHEN k % 60 < 10 THEN '0' ELSE '' END, CAST(k % 60 AS STRING), ':00Z","uuid":"u","message":{{"content":"please fix ', CAST(k AS STRING), '"}}}}')
+      WHEN is_prompt THEN concat('{{"type":"user","sessionId":"s', CAST(session AS STRING), '","timestamp":"2024-01-01T00:', CASE WHEN k % 60 < 10 THEN '0' ELSE '' END, CAST(k % 60 AS STRING), ':00Z","uuid":"u","message":{{"content":"', CASE WHEN k % 2 = 0 THEN 'please fix ' ELSE 'go on ' END, CAST(k AS STRING), '"}}}}')
       ELSE concat('{{"type":"assistant","uuid":"a","message":{{"model":"m', CAST(session % 3 AS STRING), '","content":[{{"type":"tool_use","id":"t', CAST(k % 30 AS STRING), '","name":"', tool, '","input":{{', {_pick("CASE WHEN tool = 'Bash' THEN 0 WHEN tool = 'Read' AND k % 3 = 0 THEN 2 ELSE 1 END", ["concat('\"command\":\"cmd ', CAST(target AS STRING), '\"')", "concat('\"file_path\":\"src/f', CAST(target AS STRING), '.ts\"')", "concat('\"b\":', CAST(target AS STRING), ',\"a\":1')"], raw=True)}, '}}}}]}}}}')
     END
-    WHEN 1 THEN concat('{{"type":"user","uuid":"r","message":{{"content":[{{"type":"tool_result","tool_use_id":"t', CAST(k % 30 AS STRING), '","is_error":', CASE WHEN is_error THEN 'true' ELSE 'false' END, ',"content":"out ', CAST(k AS STRING), '"}}]}}}}')
+    WHEN 1 THEN concat('{{"type":"user","uuid":"r","message":{{"content":[{{"type":"tool_result","tool_use_id":"t', CAST((k + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END) % 30 AS STRING), '","is_error":', CASE WHEN is_error THEN 'true' ELSE 'false' END, ',"content":"out ', CAST(k AS STRING), '"}}]}}}}')
     WHEN 2 THEN CASE WHEN k % 2 = 0 THEN '{{"type":"summary","x":1}}' ELSE '{{broken' END
     ELSE '{{"type":"user","message":{{"content":[{{"type":"tool_result","tool_use_id":"zz","content":[{{"text":"lost"}}]}}]}}}}'
   END AS line

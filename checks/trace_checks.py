@@ -1,0 +1,159 @@
+"""Driver queries over session transcripts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from codewarden.operators import trace as tr
+from codewarden.sources import traces
+
+from .fixtures import spark_fixture, with_fixtures
+
+QUERIES, ORACLES = {}, {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(fn):
+        QUERIES[name] = fn
+        if sql:
+            ORACLES[name] = sql
+        return fn
+    return add
+
+
+def built(spark, sf):
+    return tr.build(spark_fixture(spark, sf, "raw_fx"))
+
+
+# The same transcript, described from the event table instead of its JSON.
+INPUT = "CASE WHEN tool = 'Bash' THEN concat('cmd ', CAST(target AS VARCHAR)) WHEN tool = 'Read' AND k % 3 = 0 THEN concat('in ', CAST(target AS VARCHAR)) ELSE concat('src/f', CAST(target AS VARCHAR), '.ts') END"
+BASE = f"""{with_fixtures('trace_fx')},
+cl AS (SELECT session, seq * 4 AS pos, concat('t', CAST(k % 30 AS VARCHAR)) AS id, tool, {INPUT} AS arg, tool <> 'Bash' AND NOT (tool = 'Read' AND k % 3 = 0) AS has_path FROM trace_fx WHERE NOT is_prompt),
+rs AS (SELECT session, seq * 4 + 1 AS pos, concat('t', CAST((k + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END) % 30 AS VARCHAR)) AS id, is_error, concat('out ', CAST(k AS VARCHAR)) AS content FROM trace_fx WHERE NOT is_prompt
+ UNION ALL SELECT session, seq * 4 + 3, 'zz', false, 'lost' FROM trace_fx WHERE k % 23 = 0),
+it AS (SELECT session, id, pos, true AS c FROM cl UNION ALL SELECT session, id, pos, false FROM rs),
+pv AS (SELECT *, lag(c) OVER w AS pc, lag(pos) OVER w AS pp FROM it WINDOW w AS (PARTITION BY session, id ORDER BY pos)),
+bd AS (SELECT session, pos, pp FROM pv WHERE NOT c AND coalesce(pc, false)),
+orp AS (SELECT rs.* FROM rs ANTI JOIN bd USING (session, pos)),
+ev AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY pos) - 1 AS idx FROM (
+  SELECT session, pos, 'assistant' AS type, NULL AS txt FROM cl UNION ALL SELECT session, seq * 4, 'user', concat(CASE WHEN k % 2 = 0 THEN 'please fix ' ELSE 'go on ' END, CAST(k AS VARCHAR)) FROM trace_fx WHERE is_prompt
+  UNION ALL SELECT session, pos, 'tool_use', NULL FROM orp) q),
+ca AS (SELECT cl.session, ev.idx, cl.tool AS name, concat(cl.tool, '|', cl.arg) AS key, cl.arg, cl.has_path, rs.content AS result, rs.is_error FROM cl JOIN ev USING (session, pos)
+  LEFT JOIN bd ON bd.session = cl.session AND bd.pp = cl.pos LEFT JOIN rs ON rs.session = bd.session AND rs.pos = bd.pos
+  UNION ALL SELECT orp.session, ev.idx, '<orphan_tool_result>', 'orphan', '', false, orp.content, orp.is_error FROM orp JOIN ev USING (session, pos))"""
+
+
+@query("trace_events", f"{BASE} SELECT session, idx, type, txt AS text FROM ev")
+def trace_events(spark, sf):
+    return built(spark, sf).events.select("session", "idx", "type", "text")
+
+
+@query("trace_lines", f"""{with_fixtures('raw_fx')} SELECT session, CASE WHEN line = '{{broken' THEN 'bad' WHEN contains(line, '"summary"') THEN 'noise' WHEN contains(line, '"type":"assistant"') THEN 'assistant' ELSE 'user' END AS kind, count(*) AS n FROM raw_fx GROUP BY ALL""")
+def trace_lines(spark, sf):
+    return traces.parse_lines(spark_fixture(spark, sf, "raw_fx")).groupBy("session", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("call_results", f"{BASE} SELECT session, idx, name, result, is_error FROM ca")
+def call_results(spark, sf):
+    return built(spark, sf).calls.select("session", "idx", "name", "result", "is_error")
+
+
+TS = "concat('2024-01-01T00:', lpad(CAST(k % 60 AS VARCHAR), 2, '0'), ':00Z')"
+
+
+@query("session_stats", f"""{BASE}, t AS (SELECT session, count(*) FILTER (NOT is_prompt) AS tool_calls, count(*) FILTER (is_prompt) AS prompts, count(*) FILTER (is_error AND NOT is_prompt) AS errors,
+count(*) FILTER (k % 17 = 0 AND k % 2 = 1) AS warnings, arg_min({TS}, seq) FILTER (is_prompt) AS started_at, arg_max({TS}, seq) FILTER (is_prompt) AS ended_at,
+(arg_max(k % 60, seq) FILTER (is_prompt) - arg_min(k % 60, seq) FILTER (is_prompt)) * 60000 AS duration_ms, max(CASE WHEN is_prompt THEN concat('s', session) END) AS session_id, max(CASE WHEN NOT is_prompt THEN concat('m', session % 3) END) AS model FROM trace_fx GROUP BY session)
+SELECT t.*, (SELECT count(*) FROM ev WHERE ev.session = t.session) AS events FROM t""")
+def session_stats(spark, sf):
+    return tr.session_stats(built(spark, sf)).drop("duration")
+
+
+@query("tool_distribution", f"{BASE} SELECT session, tool, count(*) AS calls FROM cl GROUP BY ALL")
+def tool_distribution(spark, sf):
+    return tr.tool_distribution(built(spark, sf))
+
+
+SIGNAL = "session, signal, severity, description, evidence, CAST(event_index AS BIGINT) AS event_index"
+LOW = f"""lo AS (SELECT e.session, 'low_exploration' AS signal, 'info' AS severity, 'Agent went with first approach without exploring alternatives.' AS description,
+concat('Single prompt, ', CAST(n AS VARCHAR), ' tool calls, no errors — straightforward but potentially shallow.') AS evidence, 0 AS event_index FROM (SELECT session, count(*) FILTER (type = 'user') AS p FROM ev GROUP BY session) e
+JOIN (SELECT session, count(*) AS n, bool_or(coalesce(is_error, false)) AS bad FROM ca GROUP BY session) c USING (session) WHERE p <= 1 AND n > 5 AND NOT bad)"""
+STORM = f"""rn AS (SELECT *, sum(brk) OVER (PARTITION BY session ORDER BY idx) AS run FROM (SELECT *, CASE WHEN key = lag(key) OVER (PARTITION BY session ORDER BY idx) THEN 0 ELSE 1 END AS brk FROM ca) q),
+rt AS (SELECT session, 'retry_storm' AS signal, 'warning' AS severity, concat('Same command retried ', CAST(count(*) AS VARCHAR), ' times — suggests flaky approach.') AS description,
+concat(any_value(name), ': ', CASE WHEN any_value(name) = 'Bash' THEN any_value(arg) ELSE any_value(name) END, ' (repeated ', CAST(count(*) AS VARCHAR), 'x)') AS evidence, min(idx) AS event_index FROM rn GROUP BY session, run HAVING count(*) >= 3)"""
+DEAD = f"""dx AS (SELECT *, lead(key) OVER (PARTITION BY session ORDER BY idx) AS nk FROM ca), db AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY idx) AS r FROM dx WHERE is_error AND nk IS NOT NULL AND nk <> key),
+de AS (SELECT session, 'dead_end' AS signal, 'warning' AS severity, concat('Agent had ', CAST(count(*) AS VARCHAR), ' dead end', CASE WHEN count(*) > 1 THEN 's' ELSE '' END, ' before reaching final solution. High count suggests fragility.') AS description,
+string_agg(concat(name, ': ', left(result, 80)), ' → ' ORDER BY idx) FILTER (r <= 3) AS evidence, 0 AS event_index FROM db GROUP BY session)"""
+UNH = f"""er AS (SELECT * FROM ca WHERE is_error), hd AS (SELECT DISTINCT er.session, er.idx FROM er JOIN ev ON ev.session = er.session AND ev.idx BETWEEN er.idx + 1 AND er.idx + 3 WHERE regexp_matches(ev.txt, '(?i)\\b(fix|error|issue|problem|correct|handle|catch)\\b')
+UNION SELECT er.session, er.idx FROM er JOIN ca b ON b.session = er.session AND b.idx BETWEEN er.idx + 1 AND er.idx + 3 WHERE b.key = er.key OR (b.name IN ('Write', 'Edit') AND er.has_path AND b.arg = er.arg)),
+un AS (SELECT session, 'unhandled_error' AS signal, 'warning' AS severity, 'Agent encountered an error but continued without addressing it.' AS description, concat(name, ': ', left(result, 100)) AS evidence, idx AS event_index FROM er ANTI JOIN hd USING (session, idx))"""
+
+
+def signal(name, fn, cte, table):
+    @query(name, f"{BASE}, {cte} SELECT {SIGNAL} FROM {table}")
+    def go(spark, sf):
+        return fn(built(spark, sf))
+
+
+# Whole sessions of the test data always hold errors; ten events make one here.
+SHORT = BASE.replace("\ncl AS", "\ntf AS (SELECT * REPLACE (session * 1000 + seq // 10 AS session) FROM trace_fx),\ncl AS").replace("trace_fx WHERE", "tf WHERE")
+
+
+@query("low_exploration", f"{SHORT}, {LOW} SELECT {SIGNAL} FROM lo")
+def low_exploration(spark, sf):
+    raw = spark_fixture(spark, sf, "raw_fx").withColumn("session", F.col("session") * 1000 + F.floor(F.col("pos") / 40))
+    return tr.low_exploration(tr.build(raw))
+
+
+signal("retry_storms", tr.retry_storms, STORM, "rt")
+signal("dead_ends", tr.dead_ends, DEAD, "de")
+signal("unhandled_errors", tr.unhandled_errors, UNH, "un")
+
+
+@query("process_findings", f"""{BASE}, {DEAD}, {STORM}, {UNH}, {LOW}, al AS (SELECT *, 0 AS d FROM de UNION ALL SELECT *, 1 FROM rt UNION ALL SELECT *, 2 FROM un UNION ALL SELECT *, 3 FROM lo)
+SELECT session, signal, severity, evidence, row_number() OVER (PARTITION BY session ORDER BY severity <> 'warning', d, event_index) AS pos FROM al""")
+def process_findings(spark, sf):
+    from codewarden.operators.ordered import row_positions
+
+    d = tr.process_findings(built(spark, sf))
+    return row_positions(d, ["session"], [F.col("sort_key")], "pos").select("session", "signal", "severity", "evidence", "pos")
+
+
+SHOWN = """sh AS (SELECT ev.session, ev.idx, CASE WHEN type = 'user' THEN concat('USER: ', txt) WHEN name = 'Bash' THEN concat('Bash: ', arg, CASE WHEN is_error IS NULL THEN '' WHEN is_error THEN ' → ERR' ELSE ' → OK' END)
+WHEN name = 'Read' THEN concat('Read ', CASE WHEN has_path THEN arg ELSE '' END) ELSE concat(name, ' ', arg, ' (0.0KB)') END AS line FROM ev LEFT JOIN ca ON ca.session = ev.session AND ca.idx = ev.idx WHERE type IN ('user', 'assistant')),
+dd AS (SELECT session, idx, line FROM (SELECT *, lag(line) OVER (PARTITION BY session ORDER BY idx) AS p FROM sh) q WHERE line IS DISTINCT FROM p)"""
+
+
+@query("digest_lines", f"{BASE}, {SHOWN} SELECT * FROM dd")
+def digest_lines(spark, sf):
+    return tr.drop_repeats(tr.rendered(built(spark, sf)))
+
+
+RUNS = """big AS (SELECT session FROM dd GROUP BY session HAVING (sum(length(line) + 1) - 1) * 0.4 > 300),
+qt AS (SELECT *, NOT starts_with(line, 'USER:') AND NOT contains(line, '→ ERR') AS q FROM dd SEMI JOIN big USING (session)),
+qr AS (SELECT *, sum(b) OVER (PARTITION BY session ORDER BY idx) AS run FROM (SELECT *, CASE WHEN q AND lag(q) OVER (PARTITION BY session ORDER BY idx) THEN 0 ELSE 1 END AS b FROM qt) z),
+tn AS (SELECT session, run, lower(replace(split_part(line, ' ', 1), ':', '')) AS tool, count(*) AS n, min(idx) AS f FROM qr WHERE q GROUP BY ALL),
+rx AS (SELECT session, run, min(f) AS idx, concat('[exploration: ', string_agg(concat(CAST(n AS VARCHAR), ' ', tool, CASE WHEN n <> 1 THEN 's' ELSE '' END), ', ' ORDER BY n DESC, f), ']') AS line FROM tn GROUP BY session, run HAVING sum(n) >= 3),
+co AS (SELECT session, idx, line FROM dd ANTI JOIN big USING (session) UNION ALL SELECT session, idx, line FROM qr ANTI JOIN rx USING (session, run) UNION ALL SELECT session, idx, line FROM rx)"""
+
+
+def collapsed(spark, sf):
+    from codewarden.session import cut_lineage
+
+    lines = cut_lineage(tr.drop_repeats(cut_lineage(tr.rendered(built(spark, sf)))))
+    return cut_lineage(tr.collapse_runs(lines, over=300, minimum=3))
+
+
+@query("digest_collapsed", f"{BASE}, {SHOWN}, {RUNS} SELECT * FROM co")
+def digest_collapsed(spark, sf):
+    return collapsed(spark, sf)
+
+
+@query("digest_cut", f"""{BASE}, {SHOWN}, {RUNS}, bg AS (SELECT session FROM co GROUP BY session HAVING (sum(length(line) + 1) - 1) * 0.4 > 250),
+cu AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY session ORDER BY idx) AS up, sum(length(line) + 1) OVER (PARTITION BY session ORDER BY idx DESC) AS dn, row_number() OVER (PARTITION BY session ORDER BY idx) AS a,
+ row_number() OVER (PARTITION BY session ORDER BY idx DESC) AS z, first(length(line) + 1) OVER (PARTITION BY session ORDER BY idx) AS la, first(length(line) + 1) OVER (PARTITION BY session ORDER BY idx DESC) AS lz FROM co SEMI JOIN bg USING (session)),
+kp AS (SELECT *, a = 1 OR z = 1 OR (z > 1 AND up <= greatest(250 / 0.4 * 0.5, la)) OR (a > 1 AND dn <= greatest(250 / 0.4 * 0.5, lz)) AS keep FROM cu)
+SELECT session, idx, line FROM co ANTI JOIN bg USING (session) UNION ALL SELECT session, idx, line FROM kp WHERE keep
+UNION ALL SELECT session, min(idx), concat('[… elided ', CAST(count(*) AS VARCHAR), ' events …]') FROM kp WHERE NOT keep GROUP BY session""")
+def digest_cut(spark, sf):
+    return tr.cut_middle_lines(collapsed(spark, sf), cap=250)

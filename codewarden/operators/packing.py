@@ -46,7 +46,7 @@ def pack_chunks(files: DataFrame, budget_tokens: int, order: str = "path") -> Da
         .withColumn("_slice", F.spark_partition_id()))
     keys = ["repo", "domain", "_slice"]
 
-    def summarise(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def summarise(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         t = pdf.sort_values(["priority", "_ord"])["packed_tokens"].to_numpy()
         reach, bins, left = slice_summary(t, limit)
         return pd.DataFrame([(*key, int(t.sum()), reach, bins, left)],
@@ -60,7 +60,7 @@ def pack_chunks(files: DataFrame, budget_tokens: int, order: str = "path") -> Da
     table = (placed.join(several, ["repo", "domain"], "left_semi").groupBy(*keys)
              .applyInPandas(summarise, f"{schema}, total long, reach array<long>, bins array<long>, left array<long>"))
 
-    def chain(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         used, number, out = -1, 0, []
         for row in pdf.sort_values("_slice").itertuples(index=False):
             out.append((*key, row[2], used, number))
@@ -69,7 +69,7 @@ def pack_chunks(files: DataFrame, budget_tokens: int, order: str = "path") -> Da
 
     entries = table.groupBy("repo", "domain").applyInPandas(chain, f"{schema}, entry long, number long")
 
-    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["priority", "_ord"])
         t = pdf["packed_tokens"].to_numpy()
         pdf["chunk_no"] = pack_slice(t, limit, int(pdf["entry"].iloc[0]), int(pdf["number"].iloc[0]))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,17 @@ def local_session(cores: int | str = 8, memory: str = "12g", partitions: int | N
     )
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder for written tables: shared on a cluster, temporary locally."""
+    context = spark.sparkContext
+    shared = context.getConf().get("spark.checkpoint.dir", None)
+    if shared is not None:
+        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+    return tempfile.mkdtemp(prefix=f"codewarden-{name}-")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of any executor.
 
