@@ -135,7 +135,7 @@ def drop_ignored(changed: DataFrame, ignore: list[str]) -> DataFrame:
 
 def diff_sections(diffs: DataFrame, key: str = "run_id") -> DataFrame:
     """(run, section_no, filename, section): preamble has a null filename."""
-    parts = diffs.select(key, F.posexplode(F.split("diff", "(?m)(?=^diff --git )")).alias("section_no", "section"))
+    parts = diffs.select(key, F.posexplode_outer(F.split("diff", "(?m)(?=^diff --git )")).alias("section_no", "section"))
     name = F.nullif(F.regexp_extract("section", r"^diff --git a/[^\n]+ b/([^\n]+)", 1), F.lit(""))
     return parts.filter("section <> ''").withColumn("filename", F.rtrim(name))
 

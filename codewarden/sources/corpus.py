@@ -49,5 +49,5 @@ def limit_content(files: DataFrame) -> DataFrame:
 def lines(files: DataFrame) -> DataFrame:
     """(repo, path, line_no, line), one row per line."""
     return files.filter("content is not null").select(
-        "repo", "path", F.posexplode(F.split("content", "\n")).alias("_n", "line")).select(
+        "repo", "path", F.posexplode_outer(F.split("content", "\n")).alias("_n", "line")).select(
         "repo", "path", (F.col("_n") + 1).alias("line_no"), "line")
