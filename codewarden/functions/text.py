@@ -15,7 +15,8 @@ FILE_CUT_MARKER = "\n\n[... TRUNCATED — middle section omitted for token budge
 
 def units(s: Column) -> Column:
     """Length in UTF-16 code units (an astral character counts twice)."""
-    return F.length(s) + F.length(F.regexp_replace(s, r"[\x{0}-\x{FFFF}]", ""))
+    pair = r"[\x{10000}-\x{10FFFF}]"
+    return F.when(s.rlike(pair), F.length(s) + F.regexp_count(s, F.lit(pair))).otherwise(F.length(s))
 
 
 def tokens(s: Column) -> Column:
@@ -28,13 +29,14 @@ def trace_tokens(chars: Column) -> Column:
     return chars * F.lit(0.4)
 
 
-def cut_middle(content: Column, budget: Column | int) -> Column:
-    """Keep head and tail of a text that is over ``budget`` tokens."""
-    budget = F.lit(budget) if isinstance(budget, int) else budget
+def head_and_tail(content: Column, budget: Column) -> Column:
     half = F.floor(budget / 2 * 4).cast("int")
-    cut = F.concat(F.substr(content, F.lit(1), half), F.lit(FILE_CUT_MARKER),
-                   F.right(content, half))
-    return F.when(tokens(content) <= budget, content).otherwise(cut)
+    return F.concat(F.left(content, half), F.lit(FILE_CUT_MARKER), F.right(content, half))
+
+
+def cut_middle(content: Column, budget: int) -> Column:
+    """Keep head and tail of a text that is over ``budget`` tokens."""
+    return F.when(tokens(content) <= budget, content).otherwise(head_and_tail(content, F.lit(budget)))
 
 
 # -- white space ----------------------------------------------------------------

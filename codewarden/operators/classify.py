@@ -9,7 +9,7 @@ from ..functions.fixed import SINK_PACKAGES, SOURCE_PACKAGES
 from ..functions.jsregex import any_of
 from ..functions.text import trim, units
 from .ordered import first_k
-from .rules import any_literal
+from .rules import mentions
 
 _WORDS = ["auth", "login", "session", r"\bjwt\b", "oauth", "permission", r"\brbac\b", r"\bacl\b"]
 _ENTRY = [r"(?:^|\/)routes\/", r"(?:^|\/)controllers\/", r"(?:^|\/)handlers\/", r"(?:^|\/)api\/",
@@ -77,7 +77,7 @@ def language(path: Column) -> Column:
 
 
 def security_relevant(path: Column) -> Column:
-    return any_literal(F.lower(path), SECURITY_WORDS)
+    return mentions(F.lower(path), SECURITY_WORDS)
 
 
 def discover(files: DataFrame, focus: list[str] | None = None) -> DataFrame:
@@ -98,7 +98,7 @@ def top_files(classified: DataFrame, k: int, order: str = "path") -> DataFrame:
 def profiling_score(path: Column, content: Column) -> Column:
     """Worth of profiling a file: known packages, src folder, size."""
     def has(names):
-        return any_literal(content, names)
+        return mentions(content, names)
 
     return (F.when(has(SOURCE_PACKAGES), 100).otherwise(0) + F.when(has(SINK_PACKAGES), 80).otherwise(0)
             + F.when(path.startswith("src/") | path.contains("/src/"), 10).otherwise(0)

@@ -10,6 +10,7 @@ from ..functions.spans import matches, rewrite
 from ..functions.text import is_relative, normalize_path, trim
 from ..session import cut_lineage
 from .classify import language
+from .rules import mentions
 
 # A quoted string (kept) or a comment (dropped); the first to start wins.
 _STRING_OR_COMMENT = (r'''"[^"\\]*+(?:\\[\s\S]?[^"\\]*+)*+"?|'[^'\\]*+(?:\\[\s\S]?[^'\\]*+)*+'?'''
@@ -103,8 +104,7 @@ def _statements(source: Column, words: list[str], parse) -> Column:
 
 def parse_imports(files: DataFrame) -> DataFrame:
     """One row per import: (repo, path, ord, module, symbols, type_only)."""
-    seen = files.filter(F.col("content").contains("import") | F.col("content").contains("require")
-                        | F.col("content").contains("export"))
+    seen = files.filter(mentions(F.col("content"), ["import", "require", "export"]))
     src = seen.select("repo", "path", F.explode_outer(F.array(strip_comments(F.col("content")))).alias("_s"))
     src = src.select("repo", "path", F.explode_outer(F.array(join_imports(F.col("_s")))).alias("_s"))
     return (src.select("repo", "path", F.posexplode_outer(_statements(

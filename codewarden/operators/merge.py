@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import severity as sev
 from ..functions import text
+from ..session import cut_lineage
 from .findings import merge_exact
 from .ordered import ordered_union
 from .similarity import components, set_key, similar_sets
@@ -41,7 +42,8 @@ def word_islands(findings: DataFrame, keys: list[str], words: Column, threshold:
     d = findings.withColumn("_words", words).withColumn("_set", set_key(F.col("_words")))
     node = F.xxhash64(*keys, *extra, "_set")
     d = d.withColumn("_node", node)
-    nodes = d.groupBy(*keys, *extra, "_node").agg(F.first("_words").alias("words")).withColumnRenamed("_node", "id")
+    # Vertices are read by several joins; they are narrow and free of copies.
+    nodes = cut_lineage(d.groupBy(*keys, *extra, "_node").agg(F.first("_words").alias("words")).withColumnRenamed("_node", "id"))
     pairs = similar_sets(nodes, keys, threshold, strict)
     labels = components(nodes.select("id"), pairs)
     return (d.join(labels.withColumnRenamed("id", "_node"), "_node")
@@ -188,7 +190,7 @@ def _apply(findings: DataFrame, anchors: DataFrame, keys: list[str], scan: bool)
 
 def review_dedup(findings: DataFrame, keys: list[str]) -> DataFrame:
     """Exact copies first, then same file, adjacent severity, similar summary."""
-    exact = merge_exact(findings, keys).drop("copies")
+    exact = cut_lineage(merge_exact(findings, keys).drop("copies"))
     d = exact.withColumns({"file_key": text.file_key(F.col("location")), "rank": sev.rank(F.col("severity")),
                            "words": text.words_key(F.col("summary"))})
     group = [*keys, "file_key"]
@@ -218,7 +220,7 @@ def scan_dedup(findings: DataFrame, keys: list[str]) -> DataFrame:
         return scan_anchors([(o, bool(d), (), ln) for o, d, ln in rows], lines_meet)
 
     first = _apply(findings, _fold_islands(busy, group, ["deterministic", "line_key"], fold_lines), keys, scan=True)
-    first = first.drop("merged_from")
+    first = cut_lineage(first.drop("merged_from"))
     d = first.withColumns({"file_key": text.file_key(F.col("location")), "words": text.words_raw(F.col("summary"))})
     group2 = [*keys, "file_key"]
     isl = word_islands(d, group2, F.col("words"), SCAN_FROM, strict=False)
@@ -234,24 +236,31 @@ def scan_dedup(findings: DataFrame, keys: list[str]) -> DataFrame:
 def vote(findings: DataFrame, keys: list[str], threshold: float = VOTE_OVER) -> DataFrame:
     """Transitive groups of similar findings across models, merged.
 
-    Same file, severities at most one apart, similar summary.  Vertices are the
-    distinct (file, severity, word set); each meets only its own and the next
-    severity, so the join is done per severity band.
+    Same file, severities at most one apart, similar summary.  Summaries are
+    compared once per distinct word set of a file.  A set that occurs at
+    neighbouring severities is one vertex per unbroken *span* of severities,
+    and two similar sets are linked where their spans touch.
     """
     d = findings.withColumns({"file_key": text.file_lower(F.col("location")), "rank": sev.rank(F.col("severity")),
                               "_words": text.words_plain(F.col("summary"))}).withColumn("_set", set_key(F.col("_words")))
     group = [*keys, "file_key"]
-    d = d.withColumn("_node", F.xxhash64(*group, "rank", "_set"))
-    nodes = d.groupBy(*group, "rank", F.col("_node").alias("id")).agg(F.first("_words").alias("words"), F.first("_set").alias("_set"))
-    # Band r holds severities r and r + 1; a pair in one severity meets once.
-    banded = nodes.withColumn("band", F.explode(F.array(F.col("rank") - 1, F.col("rank"))))
-    pairs = similar_sets(banded, [*group, "band"], threshold, strict=True).select("a", "b")
-    # Equal word sets at adjacent severities are similar too.
-    low = nodes.select(*group, "_set", F.col("rank").alias("r1"), F.col("id").alias("a"))
-    high = nodes.select(*group, "_set", (F.col("rank") - 1).alias("r1"), F.col("id").alias("b"))
-    same = low.join(high, [*group, "_set", "r1"]).select("a", "b")
-    labels = components(nodes.select("id"), pairs.unionByName(same))
-    d = d.join(labels.withColumnRenamed("id", "_node"), "_node")
+    d = d.withColumn("_id", F.xxhash64(*group, "_set"))
+    sets = cut_lineage(d.groupBy(*group, F.col("_id").alias("id")).agg(
+        F.first("_words").alias("words"), F.array_sort(F.collect_set("rank")).alias("_ranks"))
+        .withColumn("spans", _spans(F.col("_ranks"))))
+    pairs = similar_sets(sets.select(*group, "id", "words"), group, threshold, strict=True).select("a", "b")
+    ends = sets.select("id", "spans")
+    linked = (pairs.join(ends.withColumnsRenamed({"id": "a", "spans": "_x"}), "a")
+              .join(ends.withColumnsRenamed({"id": "b", "spans": "_y"}), "b")
+              .select("a", "b", F.explode_outer("_x").alias("x"), "_y").select("a", "b", "x", F.explode_outer("_y").alias("y"))
+              .filter("x.lo <= y.hi + 1 and y.lo <= x.hi + 1"))
+    vertex = lambda i, span: F.xxhash64(i, span["lo"])
+    flat = sets.select("id", F.explode_outer("spans").alias("s"))
+    labels = components(flat.select(vertex(F.col("id"), F.col("s")).alias("id")), linked.select(
+        vertex(F.col("a"), F.col("x")).alias("a"), vertex(F.col("b"), F.col("y")).alias("b")).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    spans = flat.select(F.col("id").alias("_id"), "s", vertex(F.col("id"), F.col("s")).alias("id")).join(labels, "id").select("_id", "s", "comp")
+    d = d.join(spans, "_id").filter("rank between s.lo and s.hi")
     cluster = [*keys, "comp"]
     rest = [c for c in findings.columns if c not in (*keys, "severity", "lenses", "model")]
     merged = d.groupBy(*cluster).agg(
@@ -264,6 +273,20 @@ def vote(findings: DataFrame, keys: list[str], threshold: float = VOTE_OVER) ->
                     "merged_from", "first_ord"))
 
 
+def _spans(ranks: Column) -> Column:
+    """Unbroken runs of a sorted rank array: array<struct<lo, hi>>."""
+    empty = F.array().cast("array<struct<lo:int,hi:int>>")
+
+    def add(acc: Column, r: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        grown = F.array_append(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.struct(last["lo"].alias("lo"), r.alias("hi")))
+        fresh = F.array_append(acc, F.struct(r.alias("lo"), r.alias("hi")))
+        return F.when(F.size(acc) == 0, F.array(F.struct(r.alias("lo"), r.alias("hi")))).when(
+            F.try_element_at(acc, F.lit(-1))["hi"] + 1 == r, grown).otherwise(fresh)
+
+    return F.aggregate(ranks, empty, add)
+
+
 def by_strategy(merged: DataFrame, strategy: str, models: int) -> DataFrame:
     """Optional agreement filter: any (default), majority or unanimous."""
     a = F.col("agreement")

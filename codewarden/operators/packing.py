@@ -35,11 +35,11 @@ def pack_chunks(files: DataFrame, budget_tokens: int, order: str = "path") -> Da
     then packed in parallel from its known entry level.  Only sizes travel.
     """
     limit = int(np.floor(budget_tokens * FILL))
-    size = text.tokens(F.col("content"))
-    cut_size = text.tokens(text.cut_middle(F.col("content"), limit))
-    sized = files.filter("content is not null").select(
-        "repo", "domain", "priority", F.col(order).alias("_ord"), "path",
-        F.when(size > limit, cut_size).otherwise(size).cast("long").alias("packed_tokens"))
+    sized = (files.filter("content is not null")
+             .withColumn("_t", text.tokens(F.col("content")))
+             .select("repo", "domain", "priority", F.col(order).alias("_ord"), "path",
+                     F.when(F.col("_t") > limit, text.tokens(text.head_and_tail(F.col("content"), F.lit(limit))))
+                     .otherwise(F.col("_t")).cast("long").alias("packed_tokens")))
     placed = cut_lineage(
         sized.repartitionByRange("repo", "domain", "priority", "_ord")
         .sortWithinPartitions("repo", "domain", "priority", "_ord")

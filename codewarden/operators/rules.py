@@ -107,8 +107,13 @@ def any_literal(text: Column, literals: Iterable[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(x) for x in literals])
 
 
+def mentions(text: Column, literals: Iterable[str]) -> Column:
+    """``any_literal`` that evaluates its text once, also after push-down."""
+    return F.exists(F.array(text), lambda t: any_literal(t, literals))
+
+
 def one_of(text: Column, words: Iterable[str]) -> Column:
-    return any_literal(F.lower(text), words)
+    return mentions(F.lower(text), words)
 
 
 def phi_path(path: Column, opts: RuleOptions) -> Column:

@@ -27,9 +27,9 @@ def similar_sets(nodes: DataFrame, keys: list[str], threshold: float, strict: bo
               .groupBy(*keys, "id").agg(F.first("n").alias("n"),
                                         F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o")))
     keep = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1
-    prefix = (ranked.withColumn("words", F.col("o.w"))
-              .select(*keys, "id", "n", "words",
-                      F.explode(F.slice("words", F.lit(1), keep.cast("int"))).alias("w")))
+    prefix = cut_lineage(ranked.withColumn("words", F.col("o.w"))
+                         .select(*keys, "id", "n", "words",
+                                 F.explode_outer(F.slice("words", F.lit(1), keep.cast("int"))).alias("w")))
     # A word that occurs in one set of the group pairs with nothing.
     shared = prefix.groupBy(*keys, "w").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1")
     prefix = prefix.join(shared.drop("_c"), [*keys, "w"], "left_semi")

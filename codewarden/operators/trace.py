@@ -71,8 +71,9 @@ def match_results(calls: DataFrame, results: DataFrame) -> tuple[DataFrame, Data
     items = calls.select("session", "pos", "call_no", "id", F.lit(True).alias("is_call")).unionByName(
         results.select("session", "pos", "call_no", "id", F.lit(False).alias("is_call"))).filter("id <> ''")
     seen = neighbour(items, ["session", "id"], ["pos", "call_no"], F.struct("is_call", "pos", "call_no"), "prev")
-    bound = seen.filter("not is_call and prev.is_call").select(
-        "session", "pos", "call_no", F.col("prev.pos").alias("call_pos"), F.col("prev.call_no").alias("call_at"))
+    # Five narrow columns, read by both outputs: materialised once.
+    bound = cut_lineage(seen.filter("not is_call and prev.is_call").select(
+        "session", "pos", "call_no", F.col("prev.pos").alias("call_pos"), F.col("prev.call_no").alias("call_at")))
     known = results.join(bound, ["session", "pos", "call_no"], "left")
     orphans = known.filter("call_pos is null").drop("call_pos", "call_at")
     answers = known.filter("call_pos is not null").select(

@@ -33,23 +33,18 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
             .select("session", (F.col("_in") + F.col("_base")).alias("pos"), F.col("value").alias("line")))
 
 
-def _is(v: Column, kind: str) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith(kind), F.lit(False))
-
-
 def _get(v: Column, field: str) -> Column:
     return F.try_variant_get(v, f"$.{field}", "variant")
 
 
 def _text(v: Column, field: str) -> Column:
     """A field only when it is a JSON string."""
-    x = _get(v, field)
-    return F.when(_is(x, "STRING"), F.try_variant_get(v, f"$.{field}", "string"))
+    return F.when(F.schema_of_variant(_get(v, field)) == "STRING", F.try_variant_get(v, f"$.{field}", "string"))
 
 
 def _list(v: Column) -> Column:
-    items = F.when(_is(v, "ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
-    return F.filter(F.coalesce(items, F.array().cast("array<variant>")), lambda x: _is(x, "OBJECT"))
+    """Items of a JSON array; null for anything else."""
+    return F.try_variant_get(v, "$", "array<variant>")
 
 
 def _join(parts: Column) -> Column:
@@ -59,9 +54,11 @@ def _join(parts: Column) -> Column:
 
 
 def _flat(v: Column) -> Column:
-    parts = F.filter(F.transform(_list(v), lambda b: F.coalesce(_text(b, "text"), _text(b, "content"))),
-                     lambda x: x.isNotNull())
-    return F.when(_is(v, "STRING"), F.try_variant_get(v, "$", "string")).otherwise(F.array_join(parts, "\n"))
+    """Result content: a string, or the texts of its blocks."""
+    items = _list(v)
+    parts = F.filter(F.transform(items, lambda b: F.coalesce(_text(b, "text"), _text(b, "content"))), lambda x: x.isNotNull())
+    alone = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    return F.when(items.isNotNull(), F.array_join(parts, "\n")).otherwise(F.coalesce(alone, F.lit("")))
 
 
 def cut(s: Column, n: int) -> Column:
@@ -75,30 +72,35 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     count as warnings.
     """
     d = (lines.withColumn("_t", trim(F.col("line"))).filter("_t <> ''")
-         .withColumn("_v", F.try_parse_json("_t")))
+         .withColumn("_v", F.try_parse_json("_t")).withColumn("_type", _text(F.col("_v"), "type")))
     v = F.col("_v")
-    kind = (F.when(~_is(v, "OBJECT"), "bad").when(_text(v, "type").isin(NOISE), "noise")
-            .when(_text(v, "type").isin("user", "assistant", "system"), _text(v, "type")).otherwise("unknown"))
-    d = d.withColumn("kind", kind).withColumn("_c", F.try_variant_get("_v", "$.message.content", "variant"))
-    d = d.withColumn("_blocks", _list(F.col("_c")))
-    of_type = lambda t: F.filter("_blocks", lambda b: F.coalesce(_text(b, "type") == t, F.lit(False)))
+    kind = (F.when(v.isNull() | ~F.col("_t").startswith("{"), "bad").when(F.col("_type").isin(NOISE), "noise")
+            .when(F.col("_type").isin("user", "assistant", "system"), F.col("_type")).otherwise("unknown"))
+    d = d.withColumn("kind", kind).withColumn(
+        "_c", F.when(F.col("kind").isin("user", "assistant"), F.try_variant_get("_v", "$.message.content", "variant")))
+    # Blocks with their type, read once; only objects have one.
+    d = d.withColumn("_blocks", F.filter(F.transform(_list(F.col("_c")), lambda b: F.struct(
+        _text(b, "type").alias("t"), b.alias("b"))), lambda x: x["t"].isNotNull()))
+    of_type = lambda t: F.transform(F.filter("_blocks", lambda x: x["t"] == t), lambda x: x["b"])
     texts = _join(F.transform(of_type("text"), lambda b: _text(b, "text")))
-    calls = F.transform(
-        F.filter(of_type("tool_use"), lambda b: _text(b, "name").isNotNull()),
-        lambda b: F.struct(_text(b, "id").alias("id"), _text(b, "name").alias("name"),
-                           F.when(_is(_get(b, "input"), "OBJECT"), _get(b, "input")).alias("input")))
-    is_error = lambda b: F.coalesce(_is(_get(b, "is_error"), "BOOLEAN")
-                                    & F.try_variant_get(b, "$.is_error", "boolean"), F.lit(False))
-    results = F.transform(of_type("tool_result"), lambda b: F.struct(
-        _text(b, "tool_use_id").alias("id"), is_error(b).alias("is_error"),
-        F.when(is_error(b), cut(_flat(_get(b, "content")), ERROR_CHARS))
-        .otherwise(cut(_flat(_get(b, "content")), OK_CHARS)).alias("content")))
+    calls = F.filter(F.transform(of_type("tool_use"), lambda b: F.struct(
+        _text(b, "id").alias("id"), _text(b, "name").alias("name"),
+        F.when(F.try_variant_get(b, "$.input", "map<string,variant>").isNotNull(), _get(b, "input")).alias("input"))),
+        lambda c: c["name"].isNotNull())
+    flag = lambda b: F.coalesce((F.schema_of_variant(_get(b, "is_error")) == "BOOLEAN")
+                                & F.try_variant_get(b, "$.is_error", "boolean"), F.lit(False))
+    flat = F.transform(of_type("tool_result"), lambda b: F.struct(
+        _text(b, "tool_use_id").alias("id"), flag(b).alias("is_error"), _flat(_get(b, "content")).alias("content")))
+    results = F.transform(flat, lambda r: F.struct(
+        r["id"].alias("id"), r["is_error"].alias("is_error"),
+        F.when(r["is_error"], cut(r["content"], ERROR_CHARS)).otherwise(cut(r["content"], OK_CHARS)).alias("content")))
     user, assistant = F.col("kind") == "user", F.col("kind") == "assistant"
+    spoken = F.when(F.col("_blocks").isNull() & (F.schema_of_variant("_c") == "STRING"), F.try_variant_get("_c", "$", "string"))
+    none = F.array().cast("array<struct<id:string,is_error:boolean,content:string>>")
     return d.select(
         "session", "pos", "kind", _text(v, "sessionId").alias("session_id"),
         F.coalesce(_text(v, "timestamp"), F.lit("")).alias("ts"), F.coalesce(_text(v, "uuid"), F.lit("")).alias("uuid"),
         F.when(assistant, F.nullif(F.try_variant_get("_v", "$.message.model", "string"), F.lit(""))).alias("model"),
-        F.when(user & _is(F.col("_c"), "STRING"), F.try_variant_get("_c", "$", "string"))
-        .when(user | assistant, texts).alias("text"),
+        F.when(user, F.coalesce(spoken, texts)).when(assistant, texts).alias("text"),
         F.when(assistant, _join(F.transform(of_type("thinking"), lambda b: _text(b, "thinking")))).alias("thinking"),
-        F.when(assistant, calls).alias("calls"), F.when(user, results).alias("results"))
+        F.when(assistant, calls).alias("calls"), F.when(user, F.coalesce(results, none)).alias("results"))
