@@ -181,7 +181,8 @@ def _apply(findings: DataFrame, anchors: DataFrame, keys: list[str], scan: bool)
     lenses = ordered_union(d, group, F.col("lenses"), F.col("seq"), "lenses")
     out = merged.join(lenses, group, "left").withColumn("severity", sev.from_rank(F.col("_rank")))
     if scan:
-        out = out.withColumn("score", F.when(F.col("deterministic"), 100).otherwise(F.col("_score"))).drop("_score")
+        out = out.withColumn("score", F.when(
+            F.col("deterministic") & (F.col("merged_from") > 1), 100).otherwise(F.col("_score"))).drop("_score")
     return out.select(*keys, "severity", "_base.*", "detail", "lenses", "merged_from",
                       *(["suggestion", "deterministic", "score"] if scan else []))
 
