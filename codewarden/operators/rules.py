@@ -137,6 +137,10 @@ def not_test(path: Column, family: str, opts: RuleOptions) -> Column:
     return ~path.rlike(TEST_PATH[family]) if opts.skip_tests else F.lit(True)
 
 
+_TEXT_HIT = ("struct<scanner_id:string,rule_no:int,f:struct<severity:string,category:string,summary:string,"
+             "detail:string,suggestion:string,regulation:string>>")
+
+
 def scan_files(files: DataFrame, scanners: Iterable[Scanner], opts: RuleOptions | None = None) -> DataFrame:
     """Findings of all enabled scanners; keeps every column but ``content``.
 
@@ -145,7 +149,8 @@ def scan_files(files: DataFrame, scanners: Iterable[Scanner], opts: RuleOptions
     opts = opts or RuleOptions()
     chosen = [s for s in scanners if s.id not in opts.disabled]
     keep = [c for c in files.columns if c != "content"]
-    lit_rules = [s for s in chosen if s.literals]
+    line_rules = [s for s in chosen if s.whole is None]
+    text_rules = [s for s in chosen if s.whole is not None]
 
     def gates(low: Column) -> Column:
         return F.struct(*[
@@ -163,52 +168,51 @@ def scan_files(files: DataFrame, scanners: Iterable[Scanner], opts: RuleOptions
     if flags:
         d = d.withColumns(flags)
 
+    no_text = F.lit(None).cast(_TEXT_HIT)
+
     def hit(line: Column, i: Column) -> Column:
         wanted = F.exists(F.array(F.lower(line)), lambda low: reduce(
-            lambda a, b: a | b, [on[s.id] & any_literal(low, s.literals) for s in lit_rules]))
+            lambda a, b: a | b, [on[s.id] & any_literal(low, s.literals) for s in line_rules], F.lit(False)))
         start = F.greatest(i - REACH, F.lit(0))
         return F.when(wanted, F.struct(
             (i + 1).alias("line_no"), line.alias("line"), (i - start).alias("at"),
-            F.slice(F.col("_lines"), start + 1, i - start + 1 + REACH).alias("near")))
-
-    parts = []
-    if lit_rules:
-        flag_cols = ["_g", *flags]
-        # explode_outer, not explode: Spark would otherwise infer a size filter
-        # below the generator and evaluate every array twice.
-        hits = (d.withColumn("_lines", F.split("content", "\n"))
-                .select(*keep, *flag_cols,
-                        F.explode_outer(F.filter(F.transform("_lines", hit), lambda x: x.isNotNull())).alias("h"))
-                .filter(F.col("h").isNotNull())
-                .select(*keep, *flag_cols, "h.*"))
-        views = {s.id: Hit(F.col("path"), F.col("line"), F.col("near"), F.col("at"),
-                           {c[len(f"_{s.id}_"):]: F.col(c) for c in flag_cols if c.startswith(f"_{s.id}_")})
-                 for s in lit_rules}
-        values = {s.id: s.values(views[s.id], opts) for s in lit_rules}
-        derived = {f"_v_{i}_{k}": F.when(on[i], v)
-                   for i, named in values.items() for k, v in named.items()}
-        if derived:
-            hits = hits.withColumns(derived)
-        made = []
-        for n, s in enumerate(lit_rules):
-            named = {k: F.col(f"_v_{s.id}_{k}") for k in values[s.id]}
-            for m, body in enumerate(s.emit(views[s.id], named)):
-                made.append(F.when(on[s.id], _tagged(body, s.id, chosen.index(s) * 100 + m)))
-        parts.append(hits.select(*keep, "line_no", F.explode_outer(F.flatten(F.filter(
-            F.array(*made), lambda x: x.isNotNull()))).alias("r")).filter(F.col("r").isNotNull()))
-    for s in chosen:
-        if s.whole is not None:
-            n = chosen.index(s)
-            parts.append(d.filter(on[s.id]).select(
-                *keep, F.explode_outer(s.whole(F.col("path"), F.col("content"), opts)).alias("w"))
-                .filter(F.col("w").isNotNull())
-                .select(*keep, F.col("w.line_no").alias("line_no"),
-                        F.struct(F.lit(s.id).alias("scanner_id"), (F.lit(n * 100) + F.col("w.rule")).alias("rule_no"),
-                                 F.col("w.f").alias("f")).alias("r")))
-    out = reduce(lambda a, b: a.unionByName(b), parts)
-    location = F.concat_ws(":", "path", F.col("line_no").cast("string"))
+            F.slice(F.col("_lines"), start + 1, i - start + 1 + REACH).alias("near"), no_text.alias("text")))
+
+    def text_hits(s: Scanner) -> Column:
+        """Findings of a whole-text rule travel as hits that no line rule sees."""
+        base = chosen.index(s) * 100
+        return F.when(on[s.id], F.transform(s.whole(F.col("path"), F.col("content"), opts), lambda w: F.struct(
+            w["line_no"].cast("int").alias("line_no"), F.lit("").alias("line"), F.lit(0).alias("at"),
+            F.array().cast("array<string>").alias("near"),
+            F.struct(F.lit(s.id).alias("scanner_id"), (w["rule"] + base).alias("rule_no"), w["f"].alias("f")).cast(_TEXT_HIT).alias("text"))))
+
+    flag_cols = ["_g", *flags]
+    found = [F.filter(F.transform("_lines", hit), lambda x: x.isNotNull())] if line_rules else []
+    found = F.flatten(F.array_compact(F.array(*found, *[text_hits(s) for s in text_rules])))
+    # explode_outer, not explode: Spark would otherwise infer a size filter
+    # below the generator and evaluate every array twice.
+    hits = (d.withColumn("_lines", F.split("content", "\n"))
+            .select(*keep, *flag_cols, F.explode_outer(found).alias("h"))
+            .filter(F.col("h").isNotNull())
+            .select(*keep, *flag_cols, "h.*"))
+    views = {s.id: Hit(F.col("path"), F.col("line"), F.col("near"), F.col("at"),
+                       {c[len(f"_{s.id}_"):]: F.col(c) for c in flag_cols if c.startswith(f"_{s.id}_")})
+             for s in line_rules}
+    values = {s.id: s.values(views[s.id], opts) for s in line_rules}
+    derived = {f"_v_{i}_{k}": F.when(on[i], v) for i, named in values.items() for k, v in named.items()}
+    if derived:
+        hits = hits.withColumns(derived)
+    made = [F.when(F.col("text").isNotNull(), F.array(F.struct(
+        F.col("line_no").alias("line_no"), F.col("text.scanner_id").alias("scanner_id"),
+        F.col("text.rule_no").alias("rule_no"), F.col("text.f").alias("f"))))]
+    for s in line_rules:
+        named = {k: F.col(f"_v_{s.id}_{k}") for k in values[s.id]}
+        for m, body in enumerate(s.emit(views[s.id], named)):
+            made.append(F.when(on[s.id] & F.col("text").isNull(), _tagged(body, s.id, chosen.index(s) * 100 + m)))
+    out = hits.select(*keep, F.explode_outer(F.flatten(F.array_compact(F.array(*made)))).alias("r")).filter(F.col("r").isNotNull())
+    location = F.concat_ws(":", "path", F.col("r.line_no").cast("string"))
     return out.select(
-        *keep, F.col("line_no").cast("int").alias("line_no"),
+        *keep, F.col("r.line_no").cast("int").alias("line_no"),
         deterministic_id(F.col("r.scanner_id"), location).alias("id"),
         F.col("r.f.severity").alias("severity"), F.col("r.f.category").alias("category"),
         location.alias("location"), F.col("r.f.summary").alias("summary"),
@@ -221,7 +225,7 @@ def scan_files(files: DataFrame, scanners: Iterable[Scanner], opts: RuleOptions
 def _tagged(found: Column, scanner_id: str, rule_no: int) -> Column:
     return F.transform(
         F.filter(found, lambda x: x.isNotNull()),
-        lambda x: F.struct(F.lit(scanner_id).alias("scanner_id"), F.lit(rule_no).alias("rule_no"), x.alias("f")))
+        lambda x: F.struct(F.col("line_no").alias("line_no"), F.lit(scanner_id).alias("scanner_id"), F.lit(rule_no).alias("rule_no"), x.alias("f")))
 
 
 def deterministic_id(scanner_id: Column, location: Column) -> Column:

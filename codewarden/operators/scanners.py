@@ -116,7 +116,7 @@ def _broad(path: Column, content: Column, o: RuleOptions) -> Column:
 
 SELECT_ALL = Scanner(
     "select-star", "Broad queries on PHI tables",
-    lambda p, o: p.rlike(js(r"\.[tj]sx?$|\.sql$", "i")), (), lambda h, v: (), whole=_broad)
+    lambda p, o: p.rlike(js(r"\.[tj]sx?$|\.sql$", "i")), ("select", ".find"), lambda h, v: (), whole=_broad)
 
 # --------------------------------------------------------------- http ----
 

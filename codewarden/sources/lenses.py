@@ -13,7 +13,7 @@ MAX_PROMPT = 10 * 1024
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """(source, raw) of every JSON file in a folder."""
-    return spark.read.option("wholetext", "true").option("pathGlobFilter", "*.json").text(folder).select(
+    return spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True).select(
         F.col("_metadata.file_path").alias("source"), F.col("value").alias("raw"))
 
 
