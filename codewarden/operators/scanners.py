@@ -38,7 +38,11 @@ def first_field(line: Column, fields: list[str]) -> Column:
     The fields are one constant array: a plain substring test picks the few
     candidates, and only those are checked with their pattern.
     """
-    table = F.array(*[F.struct(F.lit(f).alias("f"), F.lit(field_pattern(f)).alias("p")) for f in fields])
+    # Two joined literals that the optimizer folds into one constant array.
+    sep = "\u0001"
+    names = F.split(F.lit(sep.join(fields)), sep)
+    patterns = F.split(F.lit(sep.join(field_pattern(f) for f in fields)), sep)
+    table = F.arrays_zip(names.alias("f"), patterns.alias("p"))
     found = F.filter(table, lambda x: line.contains(x["f"]) & F.regexp_like(line, x["p"]))
     return F.get(found, 0)["f"]
 
