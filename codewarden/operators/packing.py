@@ -291,7 +291,7 @@ def chunk_prompts(packed: DataFrame, files: DataFrame, budget_tokens: int, targe
 def lens_prompts(reviews: DataFrame, lenses: DataFrame, key: str = "run_id") -> DataFrame:
     """One row per (review, lens).  The lens catalogue is a handful of rows by
     validation; it is attached as one array value, not by a cross join."""
-    table = lenses.agg(F.collect_list(F.struct("id", "system_prompt")).alias("_l")).first()["_l"]
+    table = lenses.select("id", "system_prompt").limit(1001).collect()
     if len(table) > 1000:
         raise ValueError("a lens catalogue of more than 1000 entries is not supported")
     array = F.array(*[F.struct(F.lit(x["id"]).alias("id"), F.lit(x["system_prompt"]).alias("system_prompt")) for x in table])

@@ -28,7 +28,7 @@ def local_session(cores: int | str = 8, memory: str = "12g", partitions: int | N
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for written tables: shared on a cluster, temporary locally."""
     context = spark.sparkContext
-    shared = context.getConf().get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is not None:
         return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     if not context.master.startswith("local"):
@@ -46,7 +46,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="codewarden-ckpt-"))
