@@ -6,10 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, media, token_counts
+from . import byte_bpe, exact_dedup, media, token_counts
 from .common import table
 
 
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.recipes(table(spark, sf_dir, "documents")).drop("_cw_key")
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
+                  regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
+     r AS (SELECT doc_id, norm, count(*) OVER (PARTITION BY norm) AS group_size,
+                  first_value(doc_id) OVER (PARTITION BY norm ORDER BY length(t) DESC, doc_id) AS keep_id FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM r"""
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.media_column(table(spark, sf_dir, "documents"))
     return (media.media_features(stored)
@@ -26,8 +38,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_exact_dedup": op4_exact_dedup,
     "op5_media_columns": op5_media_columns,
     "op7_token_counts": op7_token_counts,
     "op8_byte_bpe": op8_byte_bpe,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op4_exact_dedup": OP4_SQL,
+}
