@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, media, token_counts
+from . import byte_bpe, exact_dedup, lang_id, media, token_counts
 from .common import table
 
 
@@ -29,6 +29,12 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lower(F.hex("phash")).alias("feature")))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return (lang_id.predict(docs.select("doc_id", "text", lang_id.held_out().alias("held_out")), lang_id.fit(docs))
+            .select("doc_id", "held_out", "lang_pred", "score"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -40,6 +46,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_media_columns": op5_media_columns,
+    "op6_language_id": op6_language_id,
     "op7_token_counts": op7_token_counts,
     "op8_byte_bpe": op8_byte_bpe,
 }
