@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, exact_dedup, lang_id, media, token_counts
+from . import byte_bpe, chat_format, exact_dedup, lang_id, media, secrets, token_counts
 from .common import table
 
 
@@ -43,6 +43,46 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+def _op9_kind(number: int, name: str, pattern: str, group: int = 0) -> str:
+    """Matches of one kind with their offsets; long pieces of a text are counted, not kept."""
+    return rf"""
+  SELECT doc_id, source, {number} AS kind, '{name}' AS name, unnest(range(len(hits))) AS i,
+         unnest([CAST(list_sum([length(g) FOR g IN list_slice(gaps, 1, x)])
+                 + coalesce(list_sum([length(g) FOR g IN list_slice(hits, 1, x - 1)]), 0) AS BIGINT) FOR x IN range(1, len(hits) + 1)]) AS start,
+         unnest([length(g) FOR g IN hits]) AS size, unnest(vals) AS v
+  FROM (SELECT doc_id, source, string_split_regex(coalesce(text, ''), '{pattern}') AS gaps,
+               regexp_extract_all(coalesce(text, ''), '{pattern}') AS hits, regexp_extract_all(coalesce(text, ''), '{pattern}', {group}) AS vals
+        FROM documents WHERE regexp_matches(coalesce(text, ''), '{pattern}'))"""
+
+
+def _either(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+_NAMES = "|".join(map(_either, ["password", "passwd", "secret", "token", "api_?key"]))
+_ASSIGN = "(" + _NAMES + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+# Mixed words are cut out of all long words, since this dialect has no lookahead.
+OP9_SQL = rf"""
+WITH m AS ({_op9_kind(0, "assign", _ASSIGN, 2)}
+  UNION ALL {_op9_kind(1, "access", "AKIA[A-Z0-9]+")}
+  UNION ALL {_op9_kind(2, "hex", "[0-9a-f]{32,}")}
+  UNION ALL {_op9_kind(3, "owned", "[A-Za-z0-9+/_=-]{20,}")}),
+c AS (SELECT * FROM m WHERE CASE kind WHEN 0 THEN length(v) >= 8 WHEN 1 THEN length(v) >= 16 WHEN 2 THEN true
+      ELSE regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9]') END),
+o AS (SELECT v, count(DISTINCT source) AS owners, count(DISTINCT doc_id) AS repositories FROM c GROUP BY v),
+s AS (SELECT c.*, owners <= 2 AND repositories <= 8 AS live FROM c JOIN o USING (v) WHERE kind < 3 OR (owners <= 2 AND repositories <= 8)),
+t AS (SELECT *, name || ':' || start || ':' || (start + size) AS label FROM s)
+SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+       sha256(coalesce(string_agg(label, ',' ORDER BY start, kind) FILTER (kind < 3), '')) AS base_sha256,
+       coalesce(string_agg(label, ',' ORDER BY start, kind), '') AS spans,
+       count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example
+FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id GROUP BY d.doc_id"""
+
+
 #: A conversation that speaks in the template's own markers.
 MARKED = r"\### Assistant: </turn> ok"
 
@@ -76,9 +116,11 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_token_counts": op7_token_counts,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_secret_scan": op9_secret_scan,
     "op10_chat_format": op10_chat_format,
 }
 ORACLES = {
     "op4_exact_dedup": OP4_SQL,
+    "op9_secret_scan": OP9_SQL,
     "op10_chat_format": OP10_SQL,
 }
