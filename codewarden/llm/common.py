@@ -22,6 +22,11 @@ def texts(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("binary"), F.lit(b""))
 
 
+def row_key(id_col: str, text: str) -> Column:
+    """Identity of a row by id and original text."""
+    return F.sha2(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"), F.lit(":").cast("binary"), texts(text)), 256)
+
+
 def steps(batches: Iterable[pa.RecordBatch], step: int = STEP) -> Iterator[list[list]]:
     """Columns of Arrow batches as Python lists, a bounded number of rows at a time."""
     for batch in batches:

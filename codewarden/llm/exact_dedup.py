@@ -23,11 +23,11 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import steps, texts
+from .common import row_key, steps, texts
 
 BLANKS = b" \t\n\x0b\x0c\r"
 #: Bytes of a chunk: at least, at most, and the mask whose zero bits end one (about 2 KiB more).
@@ -127,18 +127,13 @@ def _variants(docs: DataFrame, bits: int) -> DataFrame | None:
             .groupBy("_cw_sha").agg(F.array_sort(F.collect_list(F.struct("_cw_pos", "_cw_variant"))).alias("_cw_fix")))
 
 
-def _row_key(id_col: str, text: str) -> Column:
-    """Identity of a row by id and original text."""
-    return F.sha2(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"), F.lit(":").cast("binary"), texts(text)), 256)
-
-
 def recipes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", digest_bits: int = 64) -> DataFrame:
     """One row per document with its group: who stays, group size, whether this row stays.
 
     ``digest_bits`` shortens the chunk digests; a test uses it to meet collisions.
     """
     d = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(F.length(F.col(text)), F.lit(0)).alias("_cw_cp"),
-                    _row_key(id_col, text).alias("_cw_key"), texts(text).alias("_cw_text"))
+                    row_key(id_col, text).alias("_cw_key"), texts(text).alias("_cw_text"))
     slim = _recipes(d, digest_bits)
     fixes = _variants(d, digest_bits)
     if fixes is None:
@@ -164,5 +159,5 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     stay = recipes(docs, id_col, text).filter("kept").select("_cw_key")
     rest = [c for c in docs.columns if c not in (id_col, text)]
     first = F.row_number().over(Window.partitionBy("_cw_key").orderBy(F.xxhash64(F.lit(0), *rest)))
-    return (docs.withColumn("_cw_key", _row_key(id_col, text)).join(stay, "_cw_key")
+    return (docs.withColumn("_cw_key", row_key(id_col, text)).join(stay, "_cw_key")
             .withColumn("_cw_first", first).filter("_cw_first = 1").select(*docs.columns))

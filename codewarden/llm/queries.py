@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, exact_dedup, lang_id, media, secrets, token_counts
+from . import byte_bpe, chat_format, exact_dedup, lang_id, media, mixing, secrets, token_counts
 from .common import table
 
 
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mixed(docs, ordered=False).select("doc_id", "source", "phase", "slot", "block", "offset")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.recipes(table(spark, sf_dir, "documents")).drop("_cw_key")
 
@@ -111,6 +116,7 @@ FROM e GROUP BY conv_id"""
 
 
 QUERIES = {
+    "op3_source_mix": op3_source_mix,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_media_columns": op5_media_columns,
     "op6_language_id": op6_language_id,
