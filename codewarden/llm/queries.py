@@ -6,10 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, exact_dedup, lang_id, media, mixing, secrets, token_counts
+from . import byte_bpe, chat_format, exact_dedup, lang_id, media, mixing, secrets, substring_dedup, token_counts
 from .common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that lose a repeated passage; all others stay as they are."""
+    cut = substring_dedup.clean(table(spark, sf_dir, "documents").select("doc_id", "text"), changed_only=True)
+    span = lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))
+    size = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return cut.select("doc_id", F.array_join(F.transform("removed", span), ",").alias("removed_spans"), size(F.col("removed")).alias("removed_chars"),
+                      size(F.col("kept")).alias("kept_chars"), "first_ids", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.mixed(docs, ordered=False).select("doc_id", "source", "phase", "slot", "block", "offset")
@@ -116,6 +125,7 @@ FROM e GROUP BY conv_id"""
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_source_mix": op3_source_mix,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_media_columns": op5_media_columns,
