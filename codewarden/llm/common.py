@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         cols = [batch.column(k) for k in keys]
         change = np.zeros(batch.num_rows, bool)
         for c in cols:
-            change[1:] |= pa.compute.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+            change[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
         cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             key = tuple(c[a].as_py() for c in cols)
