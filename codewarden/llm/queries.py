@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, exact_dedup, lang_id, media, mixing, secrets, substring_dedup, token_counts
+from . import byte_bpe, chat_format, exact_dedup, lang_id, media, mixing, ngram_join, secrets, substring_dedup, token_counts
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       size(F.col("kept")).alias("kept_chars"), "first_ids", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "copies")
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.mixed(docs, ordered=False).select("doc_id", "source", "phase", "slot", "block", "offset")
@@ -126,6 +130,7 @@ FROM e GROUP BY conv_id"""
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_ngram_join": op2_ngram_join,
     "op3_source_mix": op3_source_mix,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_media_columns": op5_media_columns,
