@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows turned into Python objects at a time inside an Arrow batch.
@@ -28,6 +28,14 @@ def row_key(id_col: str, text: str) -> Column:
     return F.sha2(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"), F.lit(":").cast("binary"), texts(text)), 256)
 
 
+def keep_rows(docs: DataFrame, keys: DataFrame, id_col: str, text: str) -> DataFrame:
+    """The rows of ``docs`` whose `row_key` is in ``keys`` (column ``_cw_key``, distinct); one of rows equal in id and text."""
+    rest = [c for c in docs.columns if c not in (id_col, text)]
+    first = F.row_number().over(Window.partitionBy("_cw_key").orderBy(F.xxhash64(F.lit(0), *rest)))
+    return (docs.withColumn("_cw_key", row_key(id_col, text)).join(keys, "_cw_key")
+            .withColumn("_cw_first", first).filter("_cw_first = 1").select(*docs.columns))
+
+
 def steps(batches: Iterable[pa.RecordBatch], step: int = STEP) -> Iterator[list[list]]:
     """Columns of Arrow batches as Python lists, a bounded number of rows at a time."""
     for batch in batches:

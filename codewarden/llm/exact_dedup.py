@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import row_key, steps, texts
+from .common import keep_rows, row_key, steps, texts
 
 BLANKS = b" \t\n\x0b\x0c\r"
 #: Bytes of a chunk: at least, at most, and the mask whose zero bits end one (about 2 KiB more).
@@ -157,7 +157,4 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", digest_
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     stay = recipes(docs, id_col, text).filter("kept").select("_cw_key")
-    rest = [c for c in docs.columns if c not in (id_col, text)]
-    first = F.row_number().over(Window.partitionBy("_cw_key").orderBy(F.xxhash64(F.lit(0), *rest)))
-    return (docs.withColumn("_cw_key", row_key(id_col, text)).join(stay, "_cw_key")
-            .withColumn("_cw_first", first).filter("_cw_first = 1").select(*docs.columns))
+    return keep_rows(docs, stay, id_col, text)

@@ -124,11 +124,22 @@ def places(docs: DataFrame, weights: dict[str, float] | None = None, temper: flo
             .select("_cw_key", "_cw_source", "phase", slot.cast("long").alias("slot"), "block", "offset"))
 
 
-def mixed(docs: DataFrame, ordered: bool = True, id_col: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """All rows of ``docs`` with their place (phase, slot, block, offset), sorted by it if ``ordered``."""
-    own = docs.select(*[c for c in docs.columns if c not in ("phase", "slot", "block", "offset")])
+def _placed(docs: DataFrame, id_col: str, text: str, source: str, options: dict) -> DataFrame:
     place = cut_lineage(places(docs, id_col=id_col, text=text, source=source, **options))
-    out = (own.withColumn("_cw_key", row_key(id_col, text)).withColumn("_cw_source", F.coalesce(F.col(source).cast("string"), F.lit("")))
-           .join(place, ["_cw_key", "_cw_source"]))
-    out = out.orderBy("slot", "offset", "_cw_key") if ordered else out
-    return out.drop("_cw_key", "_cw_source")
+    place = place.select("_cw_key", "_cw_source", *[F.col(c).alias(f"_cw_{c}") for c in PLACE])
+    return (docs.withColumn("_cw_key", row_key(id_col, text)).withColumn("_cw_source", F.coalesce(F.col(source).cast("string"), F.lit("")))
+            .join(place, ["_cw_key", "_cw_source"]))
+
+
+PLACE = ("phase", "slot", "block", "offset")
+
+
+def located(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """All rows of ``docs`` with their place; own columns of these names are replaced."""
+    own = [c for c in docs.columns if c not in PLACE]
+    return _placed(docs, id_col, text, source, options).select(*own, *[F.col(f"_cw_{c}").alias(c) for c in PLACE])
+
+
+def interleaved(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """All rows of ``docs`` with their own columns, sorted into the mixed order."""
+    return _placed(docs, id_col, text, source, options).orderBy("_cw_slot", "_cw_offset", "_cw_key").select(*docs.columns)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, scratch_dir
-from .common import decoded, runs, steps, texts
+from .common import decoded, keep_rows, row_key, runs, steps, texts
 from .graph import components
 from .shingles import WORDS, mix, shingles
 
@@ -107,10 +107,10 @@ def _signatures(docs: DataFrame, threshold: float, n_runs: int, depth: int, word
                     sketches.append(sketch(tokens))
                     picks.append([{"run": w // depth, "level": w % depth, "token": t} for w, t in zip(which.tolist(), token.view(np.int64).tolist())])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(node, pa.binary()), pa.array(size, pa.int32()), pa.array(sketches, pa.binary()), pa.array(picks, pa.list_(pick))],
-                ["doc_id", "node", "size", "sketch", "picks"])
+                [batch.column("doc_id"), batch.column("key"), pa.array(node, pa.binary()), pa.array(size, pa.int32()), pa.array(sketches, pa.binary()), pa.array(picks, pa.list_(pick))],
+                ["doc_id", "key", "node", "size", "sketch", "picks"])
 
-    return docs.mapInArrow(run, "doc_id long, node binary, size int, sketch binary, picks array<struct<run: int, level: int, token: long>>")
+    return docs.mapInArrow(run, "doc_id long, key string, node binary, size int, sketch binary, picks array<struct<run: int, level: int, token: long>>")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -259,13 +259,14 @@ def _links(threshold: float):
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS, depth: int = DEPTH, limit: int = LIMIT,
          block: int = BLOCK, margin: float = MARGIN, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: (doc_id, class_id, n_links, copies, node).
+    """One row per document: (doc_id, class_id, n_links, copies, root, key).
 
     ``n_links`` counts the other documents whose shingle sets have at least this
-    Jaccard similarity, ``copies`` the documents with the same set.
+    Jaccard similarity, ``copies`` the documents with the same set.  ``root``
+    names the class also where it has no id, ``key`` the row by id and text.
     """
     spark = docs.sparkSession
-    d = docs.select(docs[id_col].cast("long").alias("doc_id"), texts(text).alias("_cw_text"))
+    d = docs.select(docs[id_col].cast("long").alias("doc_id"), row_key(id_col, text).alias("key"), texts(text).alias("_cw_text"))
     path = scratch_dir(spark, "signatures")
     _signatures(d, threshold, runs_needed(recall, depth), depth, words).write.parquet(path)
     rows = spark.read.parquet(path)
@@ -290,11 +291,22 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     vertex = lambda a, b: F.struct(F.col(a).alias("id"), F.col(b).alias("node"))
     named = components(found.select(vertex("id", "node").alias("a"), vertex("low_id", "low_node").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    classes = (copies.join(links, "node", "left").join(named.select(F.col("v.node").alias("node"), F.col("component.id").alias("low")), "node", "left"))
-    classes = cut_lineage(classes.select("node", "copies", F.nullif(F.coalesce("low", "id"), F.lit(_LAST)).alias("class_id"),
+    low = named.select(F.col("v.node").alias("node"), F.col("component.id").alias("low_id"), F.col("component.node").alias("low_node"))
+    classes = copies.join(links, "node", "left").join(low, "node", "left")
+    classes = cut_lineage(classes.select("node", "copies", F.nullif(F.coalesce("low_id", "id"), F.lit(_LAST)).alias("class_id"),
+                                         F.coalesce("low_node", "node").alias("root"),
                                          F.when(F.col("size") > 0, F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(0).alias("n_links"),
                                          (F.col("size") > 0).alias("has_words")))
     # Texts without words are not alike.
-    return (rows.select("doc_id", "node").join(classes, "node")
-            .select("doc_id", F.when(F.col("has_words"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), "n_links",
-                    F.when(F.col("has_words"), F.col("copies")).otherwise(1).alias("copies"), "node"))
+    with_words = lambda a, b: F.when(F.col("has_words"), a).otherwise(b)
+    return (rows.select("doc_id", "key", "node").join(classes, "node")
+            .select("doc_id", with_words(F.col("class_id"), F.col("doc_id")).alias("class_id"), "n_links", with_words(F.col("copies"), F.lit(1)).alias("copies"),
+                    with_words(F.hex("root"), F.col("key")).alias("root"), "key"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that stay when each class keeps its smallest id (null last), with all columns."""
+    joined = join(docs, id_col=id_col, text=text, **options)
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
+    stay = joined.groupBy("root").agg(best.alias("best")).select(F.col("best.key").alias("_cw_key"))
+    return keep_rows(docs, stay, id_col, text)

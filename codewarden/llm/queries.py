@@ -25,7 +25,7 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return mixing.mixed(docs, ordered=False).select("doc_id", "source", "phase", "slot", "block", "offset")
+    return mixing.located(docs).select("doc_id", "source", "phase", "slot", "block", "offset")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,6 +128,12 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id"""
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_join": op2_ngram_join,
@@ -139,6 +145,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_secret_scan": op9_secret_scan,
     "op10_chat_format": op10_chat_format,
+    "pipeline": pipeline,
 }
 ORACLES = {
     "op4_exact_dedup": OP4_SQL,
