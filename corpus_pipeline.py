@@ -15,7 +15,7 @@ from codewarden.llm.common import table
 from codewarden.session import scratch_dir
 
 #: Documents whose best language has a lower probability are rejected, like those without a letter.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.4
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
