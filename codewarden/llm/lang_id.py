@@ -83,7 +83,9 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def probabilities(net: Network, tables, windows: np.ndarray) -> np.ndarray:
-    return _softmax((features(net, tables, windows) @ net.dense + net.offset).astype(np.float64))
+    # Not by BLAS, whose sums depend on the size of the batch: equal texts get equal scores.
+    z = np.einsum("nf,fl->nl", features(net, tables, windows).astype(np.float64), net.dense.astype(np.float64))
+    return _softmax(z + net.offset)
 
 
 def windows_of(texts_: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
