@@ -212,7 +212,7 @@ SELECT repo, 'info' AS level, concat('Skipped ', CAST(count(*) AS VARCHAR), ' no
 UNION ALL SELECT repo, 'warn', concat('Could not resolve import ''', dst, ''' from ', src) FROM ed WHERE NOT resolved""")
 def diagnostics(spark, sf):
     f = files(spark, sf).select("repo", "path", "content")
-    return flow.diagnostics(f, imports.import_edges(f))
+    return flow.diagnostics(f, imports.import_edges(f)).drop("ord")
 
 
 @query("path_normalise", r"""SELECT page_id, array_to_string(list_transform(list_filter(string_split(regexp_replace(url, '^[a-z]+://', ''), '/'), lambda x: x <> '.'), lambda x: x), '/') AS path,

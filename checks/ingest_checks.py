@@ -96,7 +96,7 @@ def profile_ingest(spark, sf):
     raw = (F.when(s == 0, F.concat(F.lit("I see {this}. "), body("db-query"))).when(s == 1, F.concat(F.lit("```json\n"), body("fhir-read"), F.lit("\n```")))
            .when(s == 2, body("magic")).otherwise(F.lit("no idea")))
     d = responses.ingest_profiles(spark_table(spark, sf, "documents").select("doc_id", raw.alias("raw")), ["doc_id"])
-    return d.select("doc_id", F.col("profile.sources")[0]["line"].alias("line"), "error")
+    return d.select("doc_id", F.col("profile.sources")[0]["line"].cast("int").alias("line"), "error")
 
 
 @query("path_verdicts", """SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN doc_id % 2 = 0 END AS is_leak, CASE WHEN doc_id % 3 = 2 THEN 'Validation errors' END AS error FROM documents""")
@@ -145,12 +145,13 @@ def unknown_lenses(spark, sf):
     return lenses.unknown_ids(d, d.filter("id in ('en', 'fr')"))
 
 
-@query("lens_prompts", f"{FX} SELECT run_id, lens, length(concat('## Changed Files', chr(10), 'n=', n, chr(10), chr(10), '## Diff', chr(10), 'd', run_id)) AS user_len FROM (SELECT run_id, count(*) AS n FROM findings_fx GROUP BY run_id) r CROSS JOIN (SELECT DISTINCT lens FROM findings_fx) l")
+@query("lens_prompts", f"{FX} SELECT run_id, lens, md5(concat('## Changed Files', chr(10), 'n=', n, chr(10), chr(10), '## Diff', chr(10), 'd', run_id)) AS user_md5 FROM (SELECT run_id, count(*) AS n FROM findings_fx GROUP BY run_id) r JOIN (SELECT DISTINCT run_id, lens FROM findings_fx WHERE lens <> 'quality') l USING (run_id)")
 def lens_prompts(spark, sf):
     f = findings(spark, sf)
     reviews = f.groupBy("run_id").agg(F.concat(F.lit("n="), F.count(F.lit(1)).cast("string")).alias("file_list")).withColumn("diff", F.concat(F.lit("d"), F.col("run_id").cast("string")))
     table = f.select(F.explode("lenses").alias("id")).distinct().withColumn("system_prompt", F.lit("p"))
-    return packing.lens_prompts(reviews, table).select("run_id", "lens", F.length("user").alias("user_len"))
+    asked = f.select("run_id", F.explode("lenses").alias("lens")).filter("lens <> 'quality'")
+    return packing.lens_prompts(reviews, table, asked).select("run_id", "lens", F.md5("user").alias("user_md5"))
 
 
 # -- review diffs --------------------------------------------------------------------
@@ -196,13 +197,13 @@ def diff_packing(spark, sf):
     return packing.pack_diff(d, CONTEXT).select("run_id", "filename", "tokens", "fate")
 
 
-NOTES = "nt AS (SELECT repo, 'warn' AS level, concat('note ', CAST(doc_id % 3 AS VARCHAR)) AS message FROM files_fx WHERE doc_id % 11 = 0)"
+NOTES = "nt AS (SELECT repo, doc_id AS ord, 'warn' AS level, concat('note ', CAST(doc_id % 3 AS VARCHAR)) AS message FROM files_fx WHERE doc_id % 11 = 0)"
 CTX = 400
 
 
 @query("repo_context", f"""{with_fixtures('files_fx')}, {NOTES}, im AS (SELECT repo, 1 AS section, row_number() OVER (PARTITION BY repo ORDER BY doc_id) AS no, concat('- ', path, ' → lib', doc_id % 7, ' (external)', ' (symbols: a, b)') AS line FROM files_fx),
 tr AS (SELECT repo, 2 AS section, row_number() OVER (PARTITION BY repo ORDER BY path) AS no, concat('- ', path, ' (', printf('%.1f', size / 1024), 'KB)') AS line FROM files_fx),
-dg AS (SELECT repo, 3 AS section, row_number() OVER (PARTITION BY repo ORDER BY level, message) AS no, concat('- [WARN] ', message) AS line FROM nt),
+dg AS (SELECT repo, 3 AS section, row_number() OVER (PARTITION BY repo ORDER BY ord) AS no, concat('- [WARN] ', message) AS line FROM nt),
 al AS (SELECT * FROM im WHERE no <= 200 UNION ALL SELECT * FROM tr WHERE no <= 100 UNION ALL SELECT * FROM dg),
 cs AS (SELECT *, CASE section WHEN 1 THEN 22 WHEN 2 THEN 23 ELSE 14 END AS hd FROM al),
 rn AS (SELECT *, ceil(hd / 4) + sum(ceil((length(line) + 1) / 4)) OVER w AS run, hd + sum(length(line) + 1) OVER w AS chars, ceil((hd + sum(length(line) + 1) OVER (PARTITION BY repo, section)) / 4) AS full_ FROM cs WINDOW w AS (PARTITION BY repo, section ORDER BY no)),
@@ -214,7 +215,7 @@ def repo_context(spark, sf):
     f = files(spark, sf)
     edges = f.select("repo", F.col("doc_id").alias("ord"), F.col("path").alias("src"), F.concat(F.lit("lib"), (F.col("doc_id") % 7).cast("string")).alias("dst"),
                      F.array(F.lit("a"), F.lit("b")).alias("symbols"), F.lit(True).alias("external"))
-    notes = f.filter("doc_id % 11 = 0").select("repo", F.lit("warn").alias("level"), F.concat(F.lit("note "), (F.col("doc_id") % 3).cast("string")).alias("message"))
+    notes = f.filter("doc_id % 11 = 0").select("repo", F.col("doc_id").alias("ord"), F.lit("warn").alias("level"), F.concat(F.lit("note "), (F.col("doc_id") % 3).cast("string")).alias("message"))
     return packing.fit_context(packing.context_lines(edges, f.select("repo", "path", "size"), notes), CTX)
 
 

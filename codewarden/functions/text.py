@@ -138,7 +138,8 @@ def sarif_file(location: Column) -> Column:
 
 def sarif_line(location: Column) -> Column:
     digits = F.regexp_extract(location, js(r"^(.+?)(?::(\d+))?$"), 2)
-    return F.when(digits == "", F.lit(1)).otherwise(digits.cast("long")).cast("long")
+    # More digits than a long holds: the largest line there is.
+    return F.when(digits == "", F.lit(1).cast("long")).otherwise(F.coalesce(digits.try_cast("long"), F.lit((1 << 63) - 1)))
 
 
 def location_normal(location: Column) -> Column:
@@ -147,14 +148,6 @@ def location_normal(location: Column) -> Column:
     return F.replace(bare, F.lit("\\"), F.lit("/"))
 
 
-def offset_line(content: Column, offset: Column) -> Column:
-    """1-based line of a 0-based character offset."""
-    head = F.substr(content, F.lit(1), offset.cast("int"))
-    return F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1
-
-
-# -- fingerprints, entropy ------------------------------------------------------
-
 def fingerprint(location: Column, category: Column, summary: Column) -> Column:
     """Line-independent identity of a finding."""
     text = F.concat_ws("||", file_of(location), trim(F.lower(category)),

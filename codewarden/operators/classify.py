@@ -11,38 +11,39 @@ from ..functions.text import trim, units
 from .ordered import first_k
 from .rules import mentions
 
-_WORDS = ["auth", "login", "session", r"\bjwt\b", "oauth", "permission", r"\brbac\b", r"\bacl\b"]
-_ENTRY = [r"(?:^|\/)routes\/", r"(?:^|\/)controllers\/", r"(?:^|\/)handlers\/", r"(?:^|\/)api\/",
-          r"(?:^|\/)graphql\/"]
-
-# Priority rules in the order they are tried:
-# (priority, case-insensitive patterns, case-sensitive patterns).
+# Priority rules in the order they are tried; (pattern, flags).
 PRIORITY_RULES = [
-    (4, [], [r"(?:^|\/)test\/", r"(?:^|\/)spec\/", r"(?:^|\/)__tests__\/", r"(?:^|\/)scripts\/",
-             r"(?:^|\/)docs\/", r"(?:^|\/)README", r"(?:^|\/)LICENSE"]),
-    (0, [*_WORDS, r"middleware[./].*auth", r"\bcrypto\b"], []),
-    (1, ["credentials", "secrets"],
-     [r"(?:^|\/)\.env(?:\.|$)", r"(?:^|\/)Dockerfile", r"(?:^|\/)docker-compose",
-      r"(?:^|\/)\.github\/workflows\/", r"(?:^|\/)config\/", r"\.key$", r"\.pem$", r"\.cert$"]),
-    (2, [], [*_ENTRY, r"(?:^|\/)mutations\/", r"(?:^|\/)validators\/", r"(?:^|\/)middleware\/"]),
-    (3, [], [r"(?:^|\/)models\/", r"(?:^|\/)services\/", r"(?:^|\/)repositories\/", r"(?:^|\/)database\/",
-             r"(?:^|\/)migrations\/"]),
+    (4, [(r"(?:^|\/)test\/", ""), (r"(?:^|\/)spec\/", ""), (r"(?:^|\/)__tests__\/", ""), (r"(?:^|\/)scripts\/", ""),
+         (r"(?:^|\/)docs\/", ""), (r"(?:^|\/)README", ""), (r"(?:^|\/)LICENSE", "")]),
+    (0, [("auth", "i"), ("login", "i"), ("session", "i"), (r"\bjwt\b", "i"), ("oauth", "i"), ("permission", "i"),
+         (r"\brbac\b", "i"), (r"\bacl\b", "i"), (r"middleware[./].*auth", "i"), (r"\bcrypto\b", "i")]),
+    (1, [(r"(?:^|\/)\.env(?:\.|$)", ""), (r"(?:^|\/)Dockerfile", ""), (r"(?:^|\/)docker-compose", ""),
+         (r"(?:^|\/)\.github\/workflows\/", ""), (r"(?:^|\/)config\/", ""), (r"\.key$", ""), (r"\.pem$", ""),
+         (r"\.cert$", ""), ("credentials", "i"), ("secrets", "i")]),
+    (2, [(r"(?:^|\/)routes\/", ""), (r"(?:^|\/)controllers\/", ""), (r"(?:^|\/)handlers\/", ""), (r"(?:^|\/)api\/", ""),
+         (r"(?:^|\/)graphql\/", ""), (r"(?:^|\/)mutations\/", ""), (r"(?:^|\/)validators\/", ""), (r"(?:^|\/)middleware\/", "")]),
+    (3, [(r"(?:^|\/)models\/", ""), (r"(?:^|\/)services\/", ""), (r"(?:^|\/)repositories\/", ""), (r"(?:^|\/)database\/", ""),
+         (r"(?:^|\/)migrations\/", "")]),
 ]
 DEFAULT_PRIORITY = 4
 
 # Domain rules in the order they are tried, same layout.
 DOMAIN_RULES = [
-    ("auth", _WORDS, []),
-    ("secrets", ["credentials", "secret"],
-     [r"(?:^|\/)\.env(?:\.|$)", r"\.key$", r"\.pem$", r"(?:^|\/)docker-compose.*\.ya?ml$"]),
-    ("injection", ["query"], [*_ENTRY, r"(?:^|\/)validators\/"]),
-    ("config", [], [r"(?:^|\/)Dockerfile", r"(?:^|\/)docker-compose", r"(?:^|\/)terraform\/.*\.tf$",
-                    r"(?:^|\/)k8s\/", r"\.hcl$", r"nginx\.conf$", r"(?:^|\/)\.github\/workflows\/"]),
-    ("deps", [], [r"(?:^|\/)package\.json$", r"(?:^|\/)requirements\.txt$", r"(?:^|\/)go\.mod$",
-                  r"(?:^|\/)Cargo\.toml$", r"(?:^|\/)Gemfile$", r"(?:^|\/)pom\.xml$",
-                  r"(?:^|\/)build\.gradle$", r"(?:^|\/)pyproject\.toml$"]),
-    ("crypto", ["crypto", "crypt", "cipher", r"\bhash\b", r"\bsign\b", "certificate", r"\btls\b", r"\bssl\b"], []),
-    ("data-flow", ["pipe", "stream", "transform", r"\betl\b", "queue", "worker", "consumer", "producer"], []),
+    ("auth", [("auth", "i"), ("login", "i"), ("session", "i"), (r"\bjwt\b", "i"), ("oauth", "i"), ("permission", "i"),
+              (r"\brbac\b", "i"), (r"\bacl\b", "i")]),
+    ("secrets", [(r"(?:^|\/)\.env(?:\.|$)", ""), ("credentials", "i"), ("secret", "i"), (r"\.key$", ""), (r"\.pem$", ""),
+                 (r"(?:^|\/)docker-compose.*\.ya?ml$", "")]),
+    ("injection", [(r"(?:^|\/)routes\/", ""), (r"(?:^|\/)controllers\/", ""), (r"(?:^|\/)handlers\/", ""), (r"(?:^|\/)api\/", ""),
+                   (r"(?:^|\/)graphql\/", ""), ("query", "i"), (r"(?:^|\/)validators\/", "")]),
+    ("config", [(r"(?:^|\/)Dockerfile", ""), (r"(?:^|\/)docker-compose", ""), (r"(?:^|\/)terraform\/.*\.tf$", ""),
+                (r"(?:^|\/)k8s\/", ""), (r"\.hcl$", ""), (r"nginx\.conf$", ""), (r"(?:^|\/)\.github\/workflows\/", "")]),
+    ("deps", [(r"(?:^|\/)package\.json$", ""), (r"(?:^|\/)requirements\.txt$", ""), (r"(?:^|\/)go\.mod$", ""),
+              (r"(?:^|\/)Cargo\.toml$", ""), (r"(?:^|\/)Gemfile$", ""), (r"(?:^|\/)pom\.xml$", ""),
+              (r"(?:^|\/)build\.gradle$", ""), (r"(?:^|\/)pyproject\.toml$", "")]),
+    ("crypto", [("crypto", "i"), ("crypt", "i"), ("cipher", "i"), (r"\bhash\b", "i"), (r"\bsign\b", "i"), ("certificate", "i"),
+                (r"\btls\b", "i"), (r"\bssl\b", "i")]),
+    ("data-flow", [("pipe", "i"), ("stream", "i"), ("transform", "i"), (r"\betl\b", "i"), ("queue", "i"), ("worker", "i"),
+                   ("consumer", "i"), ("producer", "i")]),
 ]
 DEFAULT_DOMAIN = "general"
 
@@ -53,8 +54,9 @@ SECURITY_WORDS = ["auth", "password", "token", "secret", "key", "crypt", "login"
 
 def _first_rule(path: Column, rules, default) -> Column:
     chain = None
-    for value, loose, strict in rules:
-        tests = [path.rlike(any_of(p, f)) for p, f in ((loose, "i"), (strict, "")) if p]
+    for value, patterns in rules:
+        # Patterns of one flag are tried as one alternation.
+        tests = [path.rlike(any_of([p for p, f in patterns if f == flag], flag)) for flag in ("i", "") if any(f == flag for _, f in patterns)]
         cond = tests[0] if len(tests) == 1 else tests[0] | tests[1]
         chain = F.when(cond, F.lit(value)) if chain is None else chain.when(cond, F.lit(value))
     return chain.otherwise(F.lit(default))
@@ -113,7 +115,3 @@ def profiling_order(files: DataFrame, k: int = 200, order: str = "path") -> Data
               files.filter(trim(F.col("content")) != "")
               .select("repo", "path", profiling_score(F.col("path"), F.col("content")).alias("score")))
     return first_k(scored, ["repo"], [F.desc("score"), F.col(order)], k)
-
-
-def rank_in(keys: list[str], *order: Column):
-    return F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

@@ -42,9 +42,11 @@ def fixable(findings: DataFrame, min_confidence: int | None = None) -> DataFrame
     return d
 
 
-def severity_gate(findings: DataFrame, fail_on: str, key: str = "run_id") -> DataFrame:
+def severity_gate(findings: DataFrame, fail_on: str, key: str = "run_id", runs: DataFrame | None = None) -> DataFrame:
+    """Whether a run fails; one of ``runs`` without findings passes."""
     limit = sev.SEVERITIES.index(fail_on)
-    return findings.groupBy(key).agg(F.bool_or(sev.rank(F.col("severity")) <= limit).alias("failed"))
+    gate = findings.groupBy(key).agg(F.bool_or(sev.rank(F.col("severity")) <= limit).alias("failed"))
+    return gate if runs is None else runs.select(key).distinct().join(gate, key, "left").fillna(False)
 
 
 def attach_scores(findings: DataFrame, scores: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
@@ -126,19 +128,20 @@ def map_inline(findings: DataFrame, changed: DataFrame, key: str = "run_id") ->
 def attach_patch(findings: DataFrame, changed: DataFrame, key: str = "run_id") -> DataFrame:
     """Patch of the first changed file equal to, or ending with, the finding's file.
 
-    "Ends with" becomes an equi-join: every suffix of a changed name that some
-    finding asks for.  Names are bounded in length, files asked for are few, so
-    the suffixes are generated per name and met on (run, suffix).
+    "Ends with" becomes an equi-join: the suffixes of a changed name that have the
+    length of a file some finding of the run asks for.  Names travel alone; the
+    patch is joined once the file is known.
     """
     d = findings.withColumn("_file", text.file_of(F.col("location")))
     asked = d.select(key, "_file").distinct()
-    suffixes = (changed.select(key, "filename", "patch", "file_ord",
-                               F.explode(F.sequence(F.lit(1), F.length("filename") + 1)).alias("_at"))
-                .withColumn("_file", F.expr("substring(filename, _at)")))
-    best = (suffixes.join(asked, [key, "_file"])
-            .groupBy(key, "_file").agg(F.min_by(F.struct(F.coalesce("patch", F.lit("")).alias("p")), "file_ord").alias("_p")))
-    return (d.join(best, [key, "_file"], "left")
-            .withColumn("patch", F.coalesce("_p.p", F.lit(""))).drop("_p", "_file"))
+    sizes = asked.groupBy(key).agg(F.collect_set(F.length("_file")).alias("_sizes"))
+    suffixes = (changed.select(key, "filename", "file_ord").join(sizes, key)
+                .select(key, "file_ord", F.length("filename").alias("_n"), "filename", F.explode("_sizes").alias("_size")).filter("_size <= _n")
+                .select(key, "file_ord", F.expr("substring(filename, _n - _size + 1)").alias("_file")))
+    best = suffixes.join(asked, [key, "_file"]).groupBy(key, "_file").agg(F.min("file_ord").alias("file_ord"))
+    patches = changed.select(key, "file_ord", F.coalesce("patch", F.lit("")).alias("_p"))
+    return (d.join(best.join(patches, [key, "file_ord"]).drop("file_ord"), [key, "_file"], "left")
+            .withColumn("patch", F.coalesce("_p", F.lit(""))).drop("_p", "_file"))
 
 
 def batch_number(df: DataFrame, keys: list[str], order: list[Column], size: int) -> DataFrame:
@@ -159,21 +162,28 @@ def batch_evidence(batched: DataFrame, changed: DataFrame, diffs: DataFrame, key
              .filter("filename <> ''").distinct())
     parts = (files.join(changed.filter("patch <> ''").select(key, "filename", "patch", "file_ord"), [key, "filename"])
              .groupBy(key, "batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
-                 "file_ord", F.concat(F.lit("diff for "), "filename", F.lit("\n"), "patch").alias("t")))),
+                 "file_ord", F.concat(F.lit("diff for "), "filename", F.lit("\n"), F.left("patch", F.lit(EVIDENCE_CHARS + 1))).alias("t")))),
                  lambda x: x["t"]), "\n\n").alias("_parts")))
-    evidence = F.coalesce("_parts", "diff")
-    return (batched.select(key, "batch").distinct().join(parts, [key, "batch"], "left")
-            .join(diffs.select(key, "diff"), key, "left")
-            .select(key, "batch", F.when(F.length(evidence) > EVIDENCE_CHARS, F.concat(
-                F.left(evidence, F.lit(EVIDENCE_CHARS)), F.lit(EVIDENCE_MARKER))).otherwise(evidence).alias("evidence")))
+    # A longer text is cut, so one character more than the limit is all that has to move.
+    cut = lambda c: F.when(F.length(c) > EVIDENCE_CHARS, F.concat(F.left(c, F.lit(EVIDENCE_CHARS)), F.lit(EVIDENCE_MARKER))).otherwise(F.col(c))
+    every = batched.select(key, "batch").distinct()
+    whole = (every.join(parts.select(key, "batch"), [key, "batch"], "left_anti")
+             .join(diffs.select(key, F.left("diff", F.lit(EVIDENCE_CHARS + 1)).alias("diff")), key, "left").select(key, "batch", cut("diff").alias("evidence")))
+    return parts.select(key, "batch", cut("_parts").alias("evidence")).unionByName(whole)
 
 
 # -- counts ------------------------------------------------------------------------
 
-def severity_counts(findings: DataFrame, key: str = "run_id") -> DataFrame:
-    """All five levels, also when a level has no finding."""
-    return findings.groupBy(key).agg(F.count(F.lit(1)).alias("total"), *[
+def severity_counts(findings: DataFrame, key: str = "run_id", runs: DataFrame | None = None) -> DataFrame:
+    """All five levels, also when a level has no finding; ``runs`` adds clean runs."""
+    counts = findings.groupBy(key).agg(F.count(F.lit(1)).alias("total"), *[
         F.count_if(F.col("severity") == s).alias(s) for s in sev.SEVERITIES])
+    return counts if runs is None else every_run(runs, counts, key)
+
+
+def every_run(runs: DataFrame, counts: DataFrame, key: str = "run_id") -> DataFrame:
+    """Counts for all runs; a run without findings has zeros."""
+    return runs.select(key).distinct().join(counts, key, "left").fillna(0)
 
 
 def lens_counts(findings: DataFrame, key: str = "run_id") -> DataFrame:
@@ -233,12 +243,13 @@ def fix_counts(fixes: DataFrame, key: str = "run_id") -> DataFrame:
                                   *[F.count_if(s == x).alias(x) for x in ("verified", "reverted", "failed")])
 
 
-def vote_counts(merged: DataFrame, raw: DataFrame, models: int, key: str = "run_id") -> DataFrame:
+def vote_counts(merged: DataFrame, raw: DataFrame, models: int, key: str = "run_id", runs: DataFrame | None = None) -> DataFrame:
     a = F.col("agreement")
-    return merged.groupBy(key).agg(
+    counts = merged.groupBy(key).agg(
         F.count(F.lit(1)).alias("merged"), F.count_if(a == models).alias("unanimous"),
         F.count_if((a > 1) & (a < models)).alias("majority"), F.count_if(a == 1).alias("single")).join(
         raw.groupBy(key).agg(F.count(F.lit(1)).alias("raw")), key)
+    return counts if runs is None else every_run(runs, counts, key)
 
 
 # -- order -------------------------------------------------------------------------
@@ -264,7 +275,3 @@ def union_tagged(parts: dict[str, DataFrame]) -> DataFrame:
         tagged = df.withColumn("lenses", F.array_union("lenses", F.array(F.lit(origin))))
         out = tagged if out is None else out.unionByName(tagged, allowMissingColumns=True)
     return out
-
-
-def numbered(df: DataFrame, keys: list[str], order: list[Column], out: str = "pos") -> DataFrame:
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

@@ -295,15 +295,17 @@ def graph_stats(files: DataFrame, edges: DataFrame, paths: DataFrame, leaks: Dat
 
 
 def diagnostics(files: DataFrame, edges: DataFrame) -> DataFrame:
-    """(repo, level, message) for files and imports that could not be used."""
+    """(repo, ord, level, message) for files and imports that could not be used:
+    the count of skipped files, then files, then imports, each in path order."""
     from .classify import language
 
     script = language(F.col("path")).isin("ts", "js")
+    at = lambda stage, path, n: F.struct(F.lit(stage).alias("stage"), path.alias("path"), n.cast("long").alias("n")).alias("ord")
     skipped = files.filter(~script).groupBy("repo").agg(F.count(F.lit(1)).alias("n")).select(
-        "repo", F.lit("info").alias("level"), F.concat(F.lit("Skipped "), F.col("n").cast("string"), F.lit(" non-TS/JS files for import graph")).alias("message"))
+        "repo", at(0, F.lit(""), F.lit(0)), F.lit("info").alias("level"), F.concat(F.lit("Skipped "), F.col("n").cast("string"), F.lit(" non-TS/JS files for import graph")).alias("message"))
     missing = files.filter(script & F.col("content").isNull()).select(
-        "repo", F.lit("warn").alias("level"), F.concat("path", F.lit(": File not found or empty")).alias("message"))
-    lost = edges.filter("not resolved").select("repo", F.lit("warn").alias("level"), F.concat(
+        "repo", at(1, F.col("path"), F.lit(0)), F.lit("warn").alias("level"), F.concat("path", F.lit(": File not found or empty")).alias("message"))
+    lost = edges.filter("not resolved").select("repo", at(2, F.col("src"), F.col("ord")), F.lit("warn").alias("level"), F.concat(
         F.lit("Could not resolve import '"), "dst", F.lit("' from "), "src").alias("message"))
     return skipped.unionByName(missing).unionByName(lost)
 

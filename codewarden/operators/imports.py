@@ -136,11 +136,11 @@ def resolve_imports(imports: DataFrame, tree: DataFrame) -> DataFrame:
         F.array(*[F.lit(e) for e in RESOLVE_ENDINGS]), lambda e: F.concat(F.col("_base"), e))).alias("_o", "_path"))
     hits = (tries.join(tree.select("repo", F.col("path").alias("_path")).distinct(), ["repo", "_path"])
             .groupBy("repo", "_base").agg(F.min_by("_path", "_o").alias("_found")))
-    return (d.join(hits, ["repo", "_base"], "left")
-            .withColumn("target", F.when(F.col("external"), F.col("module")).otherwise(
-                F.coalesce("_found", "module")))
-            .withColumn("resolved", F.col("external") | F.col("_found").isNotNull())
-            .drop("_base", "_found"))
+    # Packages need no look-up and would all meet in one join key.
+    inner = (d.filter("not external").join(hits, ["repo", "_base"], "left")
+             .withColumn("target", F.coalesce("_found", "module")).withColumn("resolved", F.col("_found").isNotNull()).drop("_base", "_found"))
+    outer = d.filter("external").withColumn("target", F.col("module")).withColumn("resolved", F.lit(True)).drop("_base")
+    return inner.unionByName(outer)
 
 
 def import_edges(files: DataFrame) -> DataFrame:

@@ -57,19 +57,6 @@ def neighbour(df: DataFrame, keys: list[str], order: list[str], value: Column, o
             .drop("_b", "_v", "_in", "_carry"))
 
 
-def with_halo(df: DataFrame, pos: str, before: int, after: int, size: int = BLOCK) -> DataFrame:
-    """Copy border rows into the neighbouring block for fixed-width frames.
-
-    Adds ``block`` and ``is_own``; a frame of ``before`` / ``after`` dense
-    positions evaluated per (group, block) is then exact for every own row.
-    """
-    p = F.col(pos)
-    blocks = F.array_distinct(F.array(
-        _block(pos, size), F.floor((p - after) / size), F.floor((p + before) / size)))
-    return (df.withColumn("block", F.explode(blocks))
-            .withColumn("is_own", F.col("block") == _block(pos, size)))
-
-
 def row_positions(df: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
     """Dense 1-based position of every row in its group, without a group window.
 

@@ -11,7 +11,7 @@ from ..functions import text
 from ..functions.jsregex import path_glob
 from ..session import cut_lineage
 from .classify import security_relevant
-from .ordered import first_k
+from .ordered import first_k, row_positions
 
 # Share of the budget that is packed, tokens kept for the rest of
 # a review prompt, and display limits of the repository context.
@@ -203,7 +203,10 @@ def pack_diff(files: DataFrame, context_tokens: int, key: str = "run_id", salts:
 # -- repository context -------------------------------------------------------------
 
 def context_lines(edges: DataFrame, tree: DataFrame, notes: DataFrame) -> DataFrame:
-    """(repo, section, no, line): capped import edges, tree and diagnostics."""
+    """(repo, section, no, line): capped import edges, tree and diagnostics.
+
+    ``notes`` has (repo, ord, level, message); ``ord`` is the order of arrival.
+    """
     shown = first_k(edges.select("repo", "ord", "src", "dst", "symbols", "external"), ["repo"], [F.col("ord")], MAX_IMPORTS, "no")
     clean = text.clean_control
     target = F.when(F.col("external"), F.concat(clean(F.col("dst")), F.lit(" (external)"))).otherwise(clean(F.col("dst")))
@@ -219,11 +222,11 @@ def context_lines(edges: DataFrame, tree: DataFrame, notes: DataFrame) -> DataFr
     note = lambda df, cap, words: df.filter(F.col("n") > cap).select("repo", F.lit("warn").alias("level"), words.alias("message"))
     extra = note(n_edges, MAX_IMPORTS, F.concat(F.lit(f"Import edges capped at {MAX_IMPORTS} ("), F.col("n").cast("string"), F.lit(" total); some dependencies not shown."))).unionByName(
         note(n_tree, MAX_TREE, F.concat(F.lit(f"Repository tree capped at {MAX_TREE} entries ("), F.col("n").cast("string"), F.lit(" total); some files not shown."))))
-    said = notes.select("repo", F.lit(0).alias("_o"), "level", "message").unionByName(extra.select("repo", F.lit(1).alias("_o"), "level", "message"))
-    # Diagnostics are cut by the budget anyway; number them per repository.
-    diag = said.select("repo", F.lit(3).alias("section"), F.row_number().over(
-        Window.partitionBy("repo").orderBy("_o", "level", "message")).alias("no"),
-        F.concat(F.lit("- ["), F.upper("level"), F.lit("] "), "message").alias("line"))
+    # In order of arrival, the caps last; numbered by range slices, so a noisy repository is spread out.
+    said = notes.select("repo", F.lit(0).alias("_o"), "ord", "level", "message").unionByName(
+        extra.select("repo", F.lit(1).alias("_o"), F.lit(None).cast(notes.schema["ord"].dataType).alias("ord"), "level", "message"))
+    diag = row_positions(said, ["repo"], [F.col(c) for c in ("_o", "ord", "level", "message")], "no").select(
+        "repo", F.lit(3).alias("section"), F.col("no").cast("int").alias("no"), F.concat(F.lit("- ["), F.upper("level"), F.lit("] "), "message").alias("line"))
     return imports.unionByName(entries).unionByName(more).unionByName(diag)
 
 
@@ -271,13 +274,15 @@ def numbered_file(path: Column, content: Column) -> Column:
     return F.concat(F.lit("── "), path, F.lit(" ──\n"), F.array_join(lines, "\n"))
 
 
-def chunk_prompts(packed: DataFrame, files: DataFrame, budget_tokens: int, target: str, branch: str, hipaa: str = "") -> DataFrame:
-    """One prompt row per chunk; a chunk holds at most its token budget of text."""
+def chunk_prompts(packed: DataFrame, files: DataFrame, budget_tokens: int, target: str, branch: str, hipaa: str = "",
+                  order: str = "path") -> DataFrame:
+    """One prompt row per chunk, files in the order in which `pack_chunks` placed
+    them (same ``order``); a chunk holds at most its token budget of text."""
     limit = int(np.floor(budget_tokens * FILL))
-    d = packed.join(files.select("repo", "path", "content"), ["repo", "path"]).withColumn(
+    d = packed.join(files.select("repo", "path", F.col(order).alias("_ord"), "content"), ["repo", "path"]).withColumn(
         "_block", numbered_file(F.col("path"), text.cut_middle(F.col("content"), limit)))
     per = d.groupBy("repo", "domain", "chunk_id").agg(
-        F.array_sort(F.collect_list(F.struct("priority", "path", "_block"))).alias("_f"), F.sum("packed_tokens").alias("tokens"))
+        F.array_sort(F.collect_list(F.struct("priority", "_ord", "path", "_block"))).alias("_f"), F.sum("packed_tokens").alias("tokens"))
     wants = F.col("domain").isin("auth", "data-flow", "general") & F.lit(bool(hipaa))
     user = F.concat(
         F.lit(f"## Security Scan Context\n\n**Target:** {target}\n**Branch:** {branch}\n**Domain:** "), "domain",
@@ -288,16 +293,15 @@ def chunk_prompts(packed: DataFrame, files: DataFrame, budget_tokens: int, targe
     return per.select("repo", "domain", "chunk_id", "tokens", F.size("_f").alias("n_files"), user.alias("user"))
 
 
-def lens_prompts(reviews: DataFrame, lenses: DataFrame, key: str = "run_id") -> DataFrame:
-    """One row per (review, lens).  The lens catalogue is a handful of rows by
-    validation; it is attached as one array value, not by a cross join."""
-    table = lenses.select("id", "system_prompt").limit(1001).collect()
-    if len(table) > 1000:
-        raise ValueError("a lens catalogue of more than 1000 entries is not supported")
-    array = F.array(*[F.struct(F.lit(x["id"]).alias("id"), F.lit(x["system_prompt"]).alias("system_prompt")) for x in table])
-    return reviews.withColumn("_l", F.explode(array)).select(
-        key, F.col("_l.id").alias("lens"), F.col("_l.system_prompt").alias("system"),
-        F.concat(F.lit("## Changed Files\n"), "file_list", F.lit("\n\n## Diff\n"), "diff").alias("user"))
+def lens_prompts(reviews: DataFrame, lenses: DataFrame, requests: DataFrame, key: str = "run_id") -> DataFrame:
+    """One row per requested (review, lens); ``requests`` has the key and ``lens``.
+
+    A request for a lens that the catalogue lacks gives no prompt; see
+    `lenses.unknown_ids`.
+    """
+    catalogue = lenses.select(F.col("id").alias("lens"), F.col("system_prompt").alias("system"))
+    return (requests.select(key, "lens").distinct().join(catalogue, "lens").join(reviews, key).select(
+        key, "lens", "system", F.concat(F.lit("## Changed Files\n"), "file_list", F.lit("\n\n## Diff\n"), "diff").alias("user")))
 
 
 def snippets(points: DataFrame, files: DataFrame, radius: int = 5) -> DataFrame:

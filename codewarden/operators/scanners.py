@@ -213,7 +213,7 @@ def _hl7(h: Hit, v: dict[str, Column]):
 
 
 HL7_PHI = Scanner("hl7-phi", "HL7 v2 content", lambda p, o: not_test(p, "hl7", o),
-                  ("|", "console.", "logger."), _hl7)
+                  ("pid", "nk1", "in1", "in2", "dg1", "gt1", "console.", "logger."), _hl7)
 
 # --------------------------------------------------------- encryption ----
 

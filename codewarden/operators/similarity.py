@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,25 +48,20 @@ def _prefix(size: str, threshold: float):
     return (F.col(size) - F.ceil(F.col(size) * F.lit(threshold) - 1e-9) + 1).cast("int")
 
 
-def components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Connected components: (``id``, ``comp``), ``comp`` the smallest id reached.
 
-    Alternating large-star / small-star contraction: the number of rounds grows
-    with the logarithm of the component size, not with its diameter, and the
-    edge table shrinks to one edge per vertex.  Every round is checkpointed.
+    Alternating large-star / small-star contraction until nothing changes: the
+    number of rounds grows with the logarithm of the component size, not with its
+    diameter, and the edge table shrinks to one edge per vertex.  Every round is
+    checkpointed.
     """
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v").distinct()
-    current = cut_lineage(both)
-    previous = None
-    for _ in range(max_rounds):
-        large = _star(current, keep_larger=True)
-        current = cut_lineage(_star(large, keep_larger=False))
-        state = current.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state == previous:
-            break
-        previous = state
-    else:
-        raise RuntimeError("component contraction did not settle")
+    current = cut_lineage(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    state, settled = None, False
+    while not settled:
+        current = _star(_star(current, keep_larger=True), keep_larger=False)
+        now = current.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        state, settled = now, now == state
     label = current.select(F.col("u").alias("id"), F.col("v").alias("_m"))
     return (vertices.select("id").join(label, "id", "left")
             .select("id", F.coalesce("_m", "id").alias("comp")))
@@ -77,29 +70,20 @@ def components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 60) -> D
 def _star(edges: DataFrame, keep_larger: bool) -> DataFrame:
     """One contraction step; the result is a set of (larger, smaller) edges.
 
-    The smallest neighbour is found by an aggregate and joined back, so a
-    vertex with a huge neighbourhood is never collected into one row.
+    The smallest neighbour is found by an aggregate, written and joined back:
+    a vertex with a huge neighbourhood is never collected into one row, and
+    Spark can split its edges in the join.
     """
-    if keep_larger:
-        near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+    near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if keep_larger else edges
+    low = cut_lineage(near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     met = near.join(low, "u")
     if keep_larger:
-        out = met.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            low.select("u", F.col("m").alias("v")))
-    return (out.filter("u <> v")
-            .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+    return cut_lineage(out.filter("u <> v").distinct())
 
 
 def set_key(words):
     """Canonical text of a word set, for collapsing copies."""
     return F.array_join(F.array_sort(words), "\u0001")
-
-
-def prefix_length(size: int, threshold: float) -> int:
-    """Number of leading words that must be indexed (for tests)."""
-    return size - math.ceil(size * threshold - 1e-9) + 1

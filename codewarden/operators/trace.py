@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.jsregex import js
 from ..session import cut_lineage
-from ..sources.traces import USER_SUB, cut, parse_lines
+from ..sources.traces import cut, parse_lines
 from .ordered import first_k, neighbour, running_sum
 
 # Digest limits and rendering widths.
@@ -48,14 +48,16 @@ def build(raw: DataFrame) -> Trace:
         "session", "pos", "ts", "uuid", "call_no", "r.*")
     matched, orphans = match_results(calls, results)
     user = lines.filter("kind = 'user' and (text is not null or size(results) = 0)")
+    # A user event follows the orphan results of its line.
+    sub = lambda last, n: F.struct(F.lit(last).alias("last"), n.cast("int").alias("n")).alias("sub")
     main = lines.filter("kind in ('assistant', 'system')").unionByName(user).select(
-        "session", "pos", F.lit(USER_SUB).alias("sub"), F.col("kind").alias("type"), "ts", "uuid", "text", "thinking")
-    lost = orphans.select("session", "pos", F.col("call_no").alias("sub"), F.lit("tool_use").alias("type"), "ts",
+        "session", "pos", sub(True, F.lit(0)), F.col("kind").alias("type"), "ts", "uuid", "text", "thinking")
+    lost = orphans.select("session", "pos", sub(False, F.col("call_no")), F.lit("tool_use").alias("type"), "ts",
                           "uuid", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("thinking"))
     events = running_sum(main.unionByName(lost), ["session"], ["pos", "sub"], F.lit(1), "_n")
     events = cut_lineage(events.withColumn("idx", F.col("_n") - 1).drop("_n"))
-    own = matched.withColumn("sub", F.lit(USER_SUB)).unionByName(orphans.select(
-        "session", "pos", F.col("call_no").alias("sub"), F.lit(0).alias("call_no"), "id", F.lit(ORPHAN).alias("name"),
+    own = matched.withColumn("sub", sub(True, F.lit(0))).unionByName(orphans.select(
+        "session", "pos", sub(False, F.col("call_no")), F.lit(0).alias("call_no"), "id", F.lit(ORPHAN).alias("name"),
         F.lit("{}").alias("input"), F.col("content").alias("result"), "is_error"))
     calls = own.join(events.select("session", "pos", "sub", "idx"), ["session", "pos", "sub"]).drop("sub")
     return Trace(lines, events, cut_lineage(with_keys(calls)))

@@ -18,15 +18,22 @@ def snapshot(findings: DataFrame, at: str | None = None) -> DataFrame:
     return with_fingerprint(findings).withColumn("suppressed_at", when).select(*COLUMNS)
 
 
-def write(rows: DataFrame, path: str) -> None:
-    """Replace the targets present in ``rows``; others stay as they are."""
+def write(rows: DataFrame, path: str, targets: DataFrame | None = None) -> None:
+    """Replace the targets present in ``rows`` or listed in ``targets``; others stay.
+
+    A listed target without rows gets one empty entry, which replaces its old
+    ones; readers leave it out.
+    """
+    if targets is not None:
+        gone = targets.select("target").distinct().join(rows.select("target"), "target", "left_anti")
+        rows = rows.unionByName(gone, allowMissingColumns=True)
     (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("target").parquet(path))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Baseline table; a missing one suppresses nothing."""
     try:
-        return spark.read.schema(SCHEMA).parquet(path)
+        return spark.read.schema(SCHEMA).parquet(path).filter("fingerprint is not null")
     except AnalysisException as err:
         if "PATH_NOT_FOUND" not in str(err):
             raise

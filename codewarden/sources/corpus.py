@@ -17,6 +17,11 @@ def wanted(path: Column) -> Column:
     return ~path.rlike(rf"(?:^|/)(?:{dirs})/") & ~name.isin(SKIP_NAMES) & ~name.rlike(rf"(?:{ends})\z")
 
 
+def decoded(content: Column) -> Column:
+    """Text of a file's bytes; bytes that are not UTF-8 become replacement characters."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def list_files(spark: SparkSession, root: str, repo: str) -> DataFrame:
     """(repo, path, size) without reading any content."""
     base = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -35,7 +40,7 @@ def read_files(spark: SparkSession, root: str, repo: str) -> DataFrame:
     full = F.regexp_replace("path", r"^file:/+", "/")
     rel = F.regexp_replace(full, "^" + quote(root.rstrip("/")) + "/", "")
     small = base.filter(F.col("length") <= MAX_FILE_BYTES).select(
-        F.lit(repo).alias("repo"), rel.alias("path"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("content"))
+        F.lit(repo).alias("repo"), rel.alias("path"), F.col("length").alias("size"), decoded(F.col("content")).alias("content"))
     large = base.filter(F.col("length") > MAX_FILE_BYTES).select(
         F.lit(repo).alias("repo"), rel.alias("path"), F.col("length").alias("size"), F.lit(None).cast("string").alias("content"))
     return small.unionByName(large).filter(wanted(F.col("path")))
@@ -44,10 +49,3 @@ def read_files(spark: SparkSession, root: str, repo: str) -> DataFrame:
 def limit_content(files: DataFrame) -> DataFrame:
     """Apply the size limit to a table that already holds content."""
     return files.withColumn("content", F.when(F.col("size") <= MAX_FILE_BYTES, F.col("content")))
-
-
-def lines(files: DataFrame) -> DataFrame:
-    """(repo, path, line_no, line), one row per line."""
-    return files.filter("content is not null").select(
-        "repo", "path", F.posexplode_outer(F.split("content", "\n")).alias("_n", "line")).select(
-        "repo", "path", (F.col("_n") + 1).alias("line_no"), "line")

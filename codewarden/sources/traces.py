@@ -11,8 +11,6 @@ from ..functions.text import trim
 NOISE = ["permission-mode", "file-history-snapshot", "attachment", "last-prompt", "ai-title", "summary"]
 OK_CHARS = 80
 ERROR_CHARS = 400
-#: A user event follows the orphan results of its line.
-USER_SUB = 1 << 20
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

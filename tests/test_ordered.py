@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from codewarden.operators.ordered import neighbour, ordered_union, row_positions, running_sum, with_halo
+from codewarden.operators.ordered import neighbour, ordered_union, row_positions, running_sum
 
 
 def rows(seed=1, n=300):
@@ -31,14 +31,6 @@ def test_blocks_give_the_same_as_whole_groups(spark):
             nxt = v if v is not None else nxt
 
 
-def test_halo_rows_complete_every_frame(spark):
-    df = spark.range(40).select(F.lit("f").alias("k"), F.col("id").alias("pos"))
-    d = with_halo(df, "pos", 3, 3, size=8)
-    for b, own, seen in d.groupBy("block").agg(F.collect_set(F.when(F.col("is_own"), F.col("pos"))), F.collect_set("pos")).collect():
-        for p in own:
-            assert {q for q in range(p - 3, p + 4) if 0 <= q < 40} <= set(seen)
-
-
 def test_row_positions_are_dense(spark):
     df = spark.createDataFrame(rows(), "k string, pos long, v int")
     got = row_positions(df, ["k"], [F.col("pos")], "n").collect()
