@@ -3,13 +3,15 @@
 A greedy merge is sequential by definition, but findings that can never meet
 do not influence each other.  Each merge is therefore cut into *islands* that
 provably do not interact - by word-set similarity or by line distance - and
-only the order of absorption inside an island is decided by a small fold.  The
-fold sees four narrow columns; the merge of texts and lens lists is an
-aggregate in the JVM.
+only the order of absorption inside an island is decided by a fold that streams.
+The fold sees four narrow columns and remembers groups and distinct rows; the
+merge of texts and lens lists is an aggregate in the JVM.
 """
 
 from __future__ import annotations
 
+import heapq
+from array import array
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,22 +34,24 @@ LINE_REACH = 5
 
 # -- islands -----------------------------------------------------------------------
 
-def word_islands(findings: DataFrame, keys: list[str], words: Column, threshold: float, strict: bool,
-                 extra: list[str] | None = None) -> DataFrame:
+def word_islands(findings: DataFrame, keys: list[str], words: Column, threshold: float, strict: bool) -> DataFrame:
     """Add ``island``: findings of one group linked by similar word sets.
 
     Copies of a word set are one node, so heavy repetition costs one vertex.
     """
-    extra = extra or []
-    d = findings.withColumn("_words", words).withColumn("_set", set_key(F.col("_words")))
-    node = F.xxhash64(*keys, *extra, "_set")
-    d = d.withColumn("_node", node)
+    # A vertex is known by a 256-bit digest of its group and words.
+    d = findings.withColumn("_words", words).withColumn("_node", _vertex(*keys, set_key(F.col("_words"))))
     # Vertices are read by several joins; they are narrow and free of copies.
-    nodes = cut_lineage(d.groupBy(*keys, *extra, "_node").agg(F.first("_words").alias("words")).withColumnRenamed("_node", "id"))
+    nodes = cut_lineage(d.groupBy(*keys, "_node").agg(F.first("_words").alias("words")).withColumnRenamed("_node", "id"))
     pairs = similar_sets(nodes, keys, threshold, strict)
     labels = components(nodes.select("id"), pairs)
     return (d.join(labels.withColumnRenamed("id", "_node"), "_node")
-            .withColumnRenamed("comp", "island").drop("_words", "_set", "_node"))
+            .withColumnRenamed("comp", "island").drop("_words", "_node"))
+
+
+def _vertex(*parts) -> Column:
+    """Digest of named parts; unlike a 64-bit hash it does not collide at any size."""
+    return F.sha2(F.to_json(F.struct(*[(F.col(p) if isinstance(p, str) else p).alias(f"p{i}") for i, p in enumerate(parts)])).cast("binary"), 256)
 
 
 def line_islands(findings: DataFrame, keys: list[str]) -> DataFrame:
@@ -66,22 +70,63 @@ def line_islands(findings: DataFrame, keys: list[str]) -> DataFrame:
 
 # -- the folds ---------------------------------------------------------------------
 
-def review_anchors(rows: list[tuple]) -> dict[int, tuple[int, int]]:
-    """rows: (ord, rank, word set) in order -> ord: (anchor ord, sequence)."""
-    out: dict[int, tuple[int, int]] = {}
-    for i, (o, rank, words) in enumerate(rows):
-        if o in out:
-            continue
-        out[o] = (o, 0)
-        seq = 0
-        for o2, rank2, words2 in rows[i + 1:]:
-            if o2 in out or abs(rank - rank2) > 1:
-                continue
-            if _overlap(words, words2, 1.0) > REVIEW_OVER:
-                seq += 1
-                out[o2] = (o, seq)
-                rank = min(rank, rank2)
-    return out
+class Greedy:
+    """Rows of one island in order; each goes to the first earlier group that accepts it.
+
+    Whether a group accepts a row depends on the group's *state* only, so groups
+    are kept by state: a row asks every distinct state once, remembers the
+    answers, and takes the earliest group of the accepted ones.  A copy of an
+    earlier row costs a few dictionary look-ups, and memory holds the groups and
+    distinct rows, not the findings.
+    """
+
+    def __init__(self, accepts, absorb, near=None):
+        self.accepts, self.absorb, self.near = accepts, absorb, near
+        self.number: dict = {}  # state -> its number
+        self.states: list = []
+        self.members: list[list[int]] = []  # per state: heap of groups that are or were in it
+        self.at = array("q")  # per group: its present state
+        self.first, self.joined, self.led = array("q"), array("q"), array("q")
+        self.answers: dict = {}  # row -> [states asked, states that accept]
+
+    def _enter(self, group: int, state) -> None:
+        i = self.number.setdefault(state, len(self.states))
+        if i == len(self.states):
+            self.states.append(state)
+            self.members.append([])
+        self.at[group] = i
+        heapq.heappush(self.members[i], group)
+
+    def _earliest(self, i: int) -> int | None:
+        heap = self.members[i]
+        while heap and self.at[heap[0]] != i:
+            heapq.heappop(heap)
+        return heap[0] if heap else None
+
+    def _accepting(self, row) -> list[int]:
+        if self.near:
+            return [i for s in self.near(row) if (i := self.number.get(s)) is not None]
+        asked = self.answers.setdefault(row, [0, []])
+        asked[1] += [i for i in range(asked[0], len(self.states)) if self.accepts(self.states[i], row)]
+        asked[0] = len(self.states)
+        return asked[1]
+
+    def add(self, ord_: int, row) -> tuple[int, int]:
+        """(ord of the group's first row, place in the group): the smallest place is the group's base."""
+        groups = [g for i in self._accepting(row) if (g := self._earliest(i)) is not None]
+        if not groups:
+            for column, value in ((self.at, 0), (self.first, ord_), (self.joined, 0), (self.led, 0)):
+                column.append(value)
+            self._enter(len(self.first) - 1, row)
+            return ord_, 0
+        g = min(groups)
+        before = self.states[self.at[g]]
+        state, leads = self.absorb(before, row)
+        if state != before:
+            self._enter(g, state)
+        column = self.led if leads else self.joined
+        column[g] += 1
+        return self.first[g], -column[g] if leads else column[g]
 
 
 def _overlap(a: frozenset, b: frozenset, empty: float) -> float:
@@ -90,73 +135,48 @@ def _overlap(a: frozenset, b: frozenset, empty: float) -> float:
     return both / either if either else empty
 
 
-def scan_anchors(rows: list[tuple], meet) -> dict[int, tuple[int, int]]:
-    """Greedy merge where a deterministic finding takes over as the anchor.
+def review_fold() -> Greedy:
+    """State and row: (rank, words).  A group takes over the more severe rank."""
+    return Greedy(lambda s, r: abs(s[0] - r[0]) <= 1 and _overlap(s[1], r[1], 1.0) > REVIEW_OVER,
+                  lambda s, r: ((min(s[0], r[0]), s[1]), False))
 
-    rows: (ord, deterministic, lens set, data).  ``meet(a, b, lens_a, lens_b)``
-    decides.  When a later deterministic finding absorbs the anchor, the scan
-    goes on with it, so later matches are merged rather than lost.
-    """
-    taken: set[int] = set()
-    out: dict[int, tuple[int, int]] = {}
-    lens = [set(r[2]) for r in rows]
-    for i in range(len(rows)):
-        if i in taken:
-            continue
-        anchor, members = i, [i]
-        for j in range(i + 1, len(rows)):
-            if j in taken or not meet(rows[anchor], rows[j], lens[anchor], lens[j]):
-                continue
-            if rows[j][1] and not rows[anchor][1]:
-                taken.add(anchor)
-                members.insert(0, j)
-                lens[j] |= lens[anchor]
-                anchor = j
-            else:
-                members.append(j)
-                lens[anchor] |= lens[j]
-            taken.add(j)
-        for seq, m in enumerate(members):
-            out[rows[m][0]] = (rows[anchor][0], seq)
-    return out
-
-
-def lines_meet(a, b, lens_a, lens_b) -> bool:
-    return abs(a[3] - b[3]) <= LINE_REACH
-
-
-def domains_meet(a, b, lens_a, lens_b) -> bool:
-    return lens_a != lens_b and _overlap(a[3], b[3], 0.0) >= SCAN_FROM
-
-
-def _fold_islands(rows: DataFrame, keys: list[str], columns: list[str], fold) -> DataFrame:
-    """Run ``fold`` over every island; islands arrive sorted and stream through.
-
-    A partition holds many islands and only one is in memory at a time.
+
+def line_fold() -> Greedy:
+    """State and row: (line, deterministic).  A deterministic finding takes over
+    as the anchor; later matches go to it rather than being lost."""
+    return Greedy(None, lambda s, r: (r, True) if r[1] and not s[1] else (s, False),
+                  near=lambda r: [(line, d) for line in range(r[0] - LINE_REACH, r[0] + LINE_REACH + 1) for d in (False, True)])
+
+
+def domain_fold() -> Greedy:
+    """State and row: (lenses, words, deterministic); the lens sets must differ."""
+    def absorb(s, r):
+        lenses = s[0] | r[0]
+        return ((lenses, r[1], True), True) if r[2] and not s[2] else ((lenses, *s[1:]), False)
+
+    return Greedy(lambda s, r: s[0] != r[0] and _overlap(s[1], r[1], 0.0) >= SCAN_FROM, absorb)
+
+
+def _fold_islands(rows: DataFrame, keys: list[str], columns: list[str], fold, row) -> DataFrame:
+    """Run a fold over every island; islands arrive sorted and stream through.
+
+    ``row`` makes the fold's row from the columns.  A partition holds many
+    islands; only the groups of one are in memory.
     """
     schema = rows.select(*keys, "ord", F.col("ord").alias("anchor"), F.lit(0).alias("seq")).schema
     narrow = rows.select(*keys, "ord", *columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held = None, []
-
-        def flush():
-            found = fold(held)
-            return [(*key, o, a, s) for o, (a, s) in found.items()]
-
+        key, groups = None, None
         for pdf in batches:
             done = []
             for rec in pdf.itertuples(index=False, name=None):
-                k = rec[:len(keys)]
+                k, ord_ = rec[:len(keys)], rec[len(keys)]
                 if k != key:
-                    if held:
-                        done += flush()
-                    key, held = k, []
-                held.append(rec[len(keys):])
+                    key, groups = k, fold()
+                done.append((*k, ord_, *groups.add(ord_, row(*rec[len(keys) + 1:]))))
             if done:
                 yield pd.DataFrame(done, columns=schema.names)
-        if held:
-            yield pd.DataFrame(flush(), columns=schema.names)
 
     return (narrow.repartition(*keys).sortWithinPartitions(*keys, "ord").mapInPandas(run, schema))
 
@@ -197,11 +217,7 @@ def review_dedup(findings: DataFrame, keys: list[str]) -> DataFrame:
     group = [*keys, "file_key"]
     isl = word_islands(d, group, F.col("words"), REVIEW_OVER, strict=True)
     busy = _busy(isl, [*group, "island"])
-
-    def fold(rows):
-        return review_anchors([(o, r, frozenset(w)) for o, r, w in rows])
-
-    anchors = _fold_islands(busy, [*group, "island"], ["rank", "words"], fold)
+    anchors = _fold_islands(busy, [*group, "island"], ["rank", "words"], review_fold, lambda r, w: (r, frozenset(w)))
     return _apply(exact, anchors, keys, scan=False)
 
 
@@ -216,28 +232,23 @@ def scan_dedup(findings: DataFrame, keys: list[str]) -> DataFrame:
     near = line_islands(findings, keys)
     group = [*keys, "file_key", "category", "island"]
     busy = _busy(near, group)
-
-    def fold_lines(rows):
-        return scan_anchors([(o, bool(d), (), ln) for o, d, ln in rows], lines_meet)
-
-    first = _apply(findings, _fold_islands(busy, group, ["deterministic", "line_key"], fold_lines), keys, scan=True)
+    lines = _fold_islands(busy, group, ["line_key", "deterministic"], line_fold, lambda ln, d: (int(ln), d is True or d == 1))
+    first = _apply(findings, lines, keys, scan=True)
     first = cut_lineage(first.drop("merged_from"))
     d = first.withColumns({"file_key": text.file_key(F.col("location")), "words": text.words_raw(F.col("summary"))})
     group2 = [*keys, "file_key"]
     isl = word_islands(d, group2, F.col("words"), SCAN_FROM, strict=False)
     busy2 = _busy(isl, [*group2, "island"])
-
-    def fold_domains(rows):
-        return scan_anchors([(o, bool(d), ls, frozenset(w)) for o, d, ls, w in rows], domains_meet)
-
-    anchors = _fold_islands(busy2, [*group2, "island"], ["deterministic", "lenses", "words"], fold_domains)
+    anchors = _fold_islands(busy2, [*group2, "island"], ["lenses", "words", "deterministic"], domain_fold,
+                            lambda ls, w, d: (frozenset(ls), frozenset(w), d is True or d == 1))
     return _apply(first, anchors, keys, scan=True)
 
 
 def vote(findings: DataFrame, keys: list[str], threshold: float = VOTE_OVER) -> DataFrame:
     """Transitive groups of similar findings across models, merged.
 
-    Same file, severities at most one apart, similar summary.  Summaries are
+    Same file, severities at most one apart, similar summary.  A finding that
+    was merged before brings its own ``models`` along.  Summaries are
     compared once per distinct word set of a file.  A set that occurs at
     neighbouring severities is one vertex per unbroken *span* of severities,
     and two similar sets are linked where their spans touch.
@@ -245,7 +256,8 @@ def vote(findings: DataFrame, keys: list[str], threshold: float = VOTE_OVER) ->
     d = findings.withColumns({"file_key": text.file_lower(F.col("location")), "rank": sev.rank(F.col("severity")),
                               "_words": text.words_plain(F.col("summary"))}).withColumn("_set", set_key(F.col("_words")))
     group = [*keys, "file_key"]
-    d = d.withColumn("_id", F.xxhash64(*group, "_set"))
+    d = d.withColumn("_sources", F.coalesce(F.col("models"), F.array()) if "models" in findings.columns else F.array().cast("array<string>"))
+    d = d.withColumn("_id", _vertex(*group, "_set"))
     sets = cut_lineage(d.groupBy(*group, F.col("_id").alias("id")).agg(
         F.first("_words").alias("words"), F.array_sort(F.collect_set("rank")).alias("_ranks"))
         .withColumn("spans", _spans(F.col("_ranks"))))
@@ -255,7 +267,7 @@ def vote(findings: DataFrame, keys: list[str], threshold: float = VOTE_OVER) ->
               .join(ends.withColumnsRenamed({"id": "b", "spans": "_y"}), "b")
               .select("a", "b", F.explode_outer("_x").alias("x"), "_y").select("a", "b", "x", F.explode_outer("_y").alias("y"))
               .filter("x.lo <= y.hi + 1 and y.lo <= x.hi + 1"))
-    vertex = lambda i, span: F.xxhash64(i, span["lo"])
+    vertex = lambda i, span: F.concat(i, F.lit(":"), span["lo"].cast("string"))
     flat = sets.select("id", F.explode_outer("spans").alias("s"))
     labels = components(flat.select(vertex(F.col("id"), F.col("s")).alias("id")), linked.select(
         vertex(F.col("a"), F.col("x")).alias("a"), vertex(F.col("b"), F.col("y")).alias("b")).select(
@@ -263,11 +275,11 @@ def vote(findings: DataFrame, keys: list[str], threshold: float = VOTE_OVER) ->
     spans = flat.select(F.col("id").alias("_id"), "s", vertex(F.col("id"), F.col("s")).alias("id")).join(labels, "id").select("_id", "s", "comp")
     d = d.join(spans, "_id").filter("rank between s.lo and s.hi")
     cluster = [*keys, "comp"]
-    rest = [c for c in findings.columns if c not in (*keys, "severity", "lenses", "model")]
+    rest = [c for c in findings.columns if c not in (*keys, "severity", "lenses", "model", "models")]
     merged = d.groupBy(*cluster).agg(
         F.max_by(F.struct(*rest), F.struct(F.length("detail"), -F.col("ord"))).alias("_best"),
         F.min("rank").alias("_rank"), F.count(F.lit(1)).alias("merged_from"), F.min("ord").alias("first_ord"),
-        F.array_sort(F.collect_set("model")).alias("models"))
+        F.array_sort(F.array_distinct(F.concat(F.collect_set("model"), F.flatten(F.collect_set("_sources"))))).alias("models"))
     lenses = ordered_union(d, cluster, F.col("lenses"), F.col("ord"), "lenses")
     return (merged.join(lenses, cluster, "left").withColumn("severity", sev.from_rank(F.col("_rank")))
             .select(*keys, "severity", "_best.*", "lenses", "models", F.size("models").alias("agreement"),

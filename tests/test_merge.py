@@ -143,16 +143,65 @@ def test_scan_merge_equals_the_greedy_loop(spark, seed):
     assert sorted(map(more, (r.asDict() for r in got))) == sorted(map(more, brute_scan(as_dicts(rows))))
 
 
+def folded(fold, rows):
+    return [fold.add(i, row) for i, row in enumerate(rows)]
+
+
 def test_deterministic_finding_takes_over_and_later_matches_follow():
-    rows = [(0, False, (), 10), (1, True, (), 12), (2, False, (), 15), (3, False, (), 30)]
-    got = merge.scan_anchors(rows, merge.lines_meet)
-    assert got == {1: (1, 0), 0: (1, 1), 2: (1, 2), 3: (3, 0)}
+    got = folded(merge.line_fold(), [(10, False), (12, True), (15, False), (30, False), (17, True), (9, True)])
+    # The base of the first group is row 1, which has the smallest place.
+    assert got == [(0, 0), (0, -1), (0, 1), (3, 0), (0, 2), (0, 3)]
 
 
 def test_wide_severity_gap_blocks_a_merge():
     words = frozenset({"a", "b"})
-    got = merge.review_anchors([(0, 0, words), (1, 4, words), (2, 1, words)])
-    assert got == {0: (0, 0), 2: (0, 1), 1: (1, 0)}
+    assert folded(merge.review_fold(), [(0, words), (4, words), (1, words), (3, words)]) == [(0, 0), (1, 0), (0, 1), (1, 1)]
+
+
+@pytest.mark.parametrize("fold, row", [(merge.review_fold, (2, frozenset("ab"))), (merge.line_fold, (5, False)),
+                                       (merge.domain_fold, (frozenset({"x"}), frozenset("ab"), False))])
+def test_a_million_copies_stay_small(fold, row):
+    import time
+
+    groups, start = fold(), time.perf_counter()
+    for i in range(1_000_000):
+        groups.add(i, row)
+    assert time.perf_counter() - start < 60 and len(groups.states) == 1 and len(groups.answers) <= 1
+
+
+def greedy(rows, accepts, absorb):
+    """The plain definition: each group in turn walks over all later rows."""
+    gone, out = set(), {}
+    for i in range(len(rows)):
+        if i in gone:
+            continue
+        state, joined, led, out[i] = rows[i], 0, 0, (i, 0)
+        for j in range(i + 1, len(rows)):
+            if j in gone or not accepts(state, rows[j]):
+                continue
+            state, leads = absorb(state, rows[j])
+            led, joined = led + leads, joined + (not leads)
+            out[j] = (i, -led if leads else joined)
+            gone.add(j)
+    return [out[i] for i in range(len(rows))]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_folds_equal_the_definition(seed):
+    r = random.Random(seed)
+    some = lambda n: frozenset(r.sample("abcdef", r.randrange(n)))
+    cases = [(merge.review_fold, [(r.randrange(5), some(4)) for _ in range(60)]), (merge.line_fold, [(r.randrange(60), r.random() < 0.3) for _ in range(60)]),
+             (merge.domain_fold, [(some(3), some(5), r.random() < 0.3) for _ in range(60)])]
+    for fold, rows in cases:
+        accepts = fold().accepts or (lambda s, x: abs(s[0] - x[0]) <= 5)
+        assert folded(fold(), rows) == greedy(rows, accepts, fold().absorb)
+
+
+def test_vote_unites_earlier_sources(spark):
+    rows = make(6, 30, words=3)
+    d = frame(spark, rows).withColumn("models", F.array(F.lit("earlier"), F.col("model")))
+    for r in merge.vote(d, ["run_id"]).collect():
+        assert "earlier" in r.models and r.agreement == len(set(r.models))
 
 
 def test_vote_groups_are_transitive(spark):
