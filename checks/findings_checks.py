@@ -195,13 +195,66 @@ def score_batches(spark, sf):
         "run_id", "batch", F.length(e).alias("evidence_len"), F.left(e, F.lit(60)).alias("head"), F.right(e, F.lit(30)).alias("tail"))
 
 
-@query("review_merge")
+# The merges as recursive queries: the state of a file after n rows is its list of
+# groups; row n + 1 goes to the first group that accepts it, or opens a new one.
+JACCARD = "len(list_intersect(y.w, i.w)) / len(list_distinct(list_concat(y.w, i.w)))"
+RANKED = "CASE rank WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'LOW' ELSE 'INFO' END"
+
+
+@query("review_merge", f"""{FX}, n AS (SELECT *, {SEV} AS rank, {NORM} AS sk FROM findings_fx),
+x AS (SELECT run_id, file, rank, sk, min(ord) AS ord, arg_min(id, ord) AS id, max(length(detail)) AS dl FROM n GROUP BY ALL),
+xl AS (SELECT run_id, file, rank, sk, lens, min(ord) AS lo FROM n GROUP BY ALL),
+it AS (SELECT *, list_distinct(string_split(sk, ' ')) AS w, row_number() OVER (PARTITION BY run_id, file ORDER BY ord) AS n FROM x),
+g(run_id, file, n, ord, anchor, st) AS (
+  SELECT run_id, file, n, ord, ord, [{{'o': ord, 'r': rank, 'w': w}}] FROM it WHERE n = 1
+  UNION ALL
+  SELECT run_id, file, n, ord, CASE WHEN p > 0 THEN st[p].o ELSE ord END,
+         CASE WHEN p > 0 THEN list_transform(st, lambda y, k: CASE WHEN k = p THEN {{'o': y.o, 'r': least(y.r, rank), 'w': y.w}} ELSE y END)
+              ELSE list_append(st, {{'o': ord, 'r': rank, 'w': w}}) END
+  FROM (SELECT i.*, g.st, coalesce(list_position(list_transform(g.st, lambda y: abs(y.r - i.rank) <= 1 AND {JACCARD} > 0.8), true), 0) AS p
+        FROM g JOIN it i ON i.run_id = g.run_id AND i.file = g.file AND i.n = g.n + 1) q),
+l AS (SELECT g.run_id, g.file, g.anchor, xl.lens, min({{'a': g.ord, 'b': lo}}) AS o FROM g JOIN x USING (run_id, file, ord) JOIN xl USING (run_id, file, rank, sk) GROUP BY ALL),
+ll AS (SELECT run_id, file, anchor, string_agg(lens, ',' ORDER BY o) AS lenses FROM l GROUP BY ALL),
+m AS (SELECT g.run_id, g.file, g.anchor, arg_min(x.id, x.ord) AS id, min(x.rank) AS rank, max(x.dl) AS detail_len, count(*) AS merged_from
+      FROM g JOIN x USING (run_id, file, ord) GROUP BY ALL)
+SELECT run_id, id, {RANKED} AS severity, detail_len, lenses, merged_from FROM m JOIN ll USING (run_id, file, anchor)""")
 def review_merge(spark, sf):
     return merge.review_dedup(findings(spark, sf), ["run_id"]).select(
         "run_id", "id", "severity", F.length("detail").alias("detail_len"), F.array_join("lenses", ",").alias("lenses"), "merged_from")
 
 
-@query("scan_merge")
+@query("scan_merge", f"""{FX}, p1 AS (SELECT *, {SEV} AS rank, row_number() OVER (PARTITION BY run_id, file, category ORDER BY ord) AS n FROM findings_fx),
+a1(run_id, file, category, n, ord, anchor, took, st) AS (
+  SELECT run_id, file, category, n, ord, ord, false, [{{'o': ord, 'l': line, 'd': deterministic}}] FROM p1 WHERE n = 1
+  UNION ALL
+  SELECT run_id, file, category, n, ord, CASE WHEN p > 0 THEN st[p].o ELSE ord END, p > 0 AND deterministic AND NOT st[p].d,
+         CASE WHEN p = 0 THEN list_append(st, {{'o': ord, 'l': line, 'd': deterministic}})
+              WHEN deterministic AND NOT st[p].d THEN list_transform(st, lambda y, k: CASE WHEN k = p THEN {{'o': y.o, 'l': line, 'd': true}} ELSE y END) ELSE st END
+  FROM (SELECT i.*, a.st, coalesce(list_position(list_transform(a.st, lambda y: abs(y.l - i.line) <= 5), true), 0) AS p
+        FROM a1 a JOIN p1 i ON i.run_id = a.run_id AND i.file = a.file AND i.category = a.category AND i.n = a.n + 1) q),
+b1 AS (SELECT a.anchor, CASE WHEN a.took THEN -f.ord ELSE f.ord END AS seq, a.took, f.*, {SEV} AS rank FROM a1 a JOIN findings_fx f USING (ord)),
+l1 AS (SELECT run_id, file, category, anchor, lens, min(seq) AS o FROM b1 GROUP BY ALL),
+m1 AS (SELECT run_id, file, category, anchor, arg_min(id, seq) AS id, arg_min(ord, seq) AS ord, arg_min(summary, seq) AS summary, min(rank) AS rank,
+       max(length(detail)) AS dl, arg_max(suggestion, length(suggestion)) AS suggestion, bool_or(deterministic) AS det,
+       CASE WHEN bool_or(deterministic) AND count(*) > 1 THEN 100 ELSE arg_min(score, seq) END AS score FROM b1 GROUP BY ALL),
+p2 AS (SELECT m1.*, ls, list_distinct(string_split(lower(summary), ' ')) AS w, row_number() OVER (PARTITION BY run_id, file ORDER BY ord) AS n
+       FROM m1 JOIN (SELECT run_id, file, category, anchor, list(lens ORDER BY o) AS ls FROM l1 GROUP BY ALL) USING (run_id, file, category, anchor)),
+a2(run_id, file, n, ord, anchor, took, st) AS (
+  SELECT run_id, file, n, ord, ord, false, [{{'o': ord, 's': list_sort(ls), 'w': w, 'd': det}}] FROM p2 WHERE n = 1
+  UNION ALL
+  SELECT run_id, file, n, ord, CASE WHEN p > 0 THEN st[p].o ELSE ord END, p > 0 AND det AND NOT st[p].d,
+         CASE WHEN p = 0 THEN list_append(st, {{'o': ord, 's': list_sort(ls), 'w': w, 'd': det}})
+              ELSE list_transform(st, lambda y, k: CASE WHEN k <> p THEN y ELSE {{'o': y.o, 's': list_sort(list_distinct(list_concat(y.s, ls))),
+                'w': CASE WHEN det AND NOT y.d THEN w ELSE y.w END, 'd': y.d OR det}} END) END
+  FROM (SELECT i.*, a.st, coalesce(list_position(list_transform(a.st, lambda y: y.s <> list_sort(i.ls) AND {JACCARD} >= 0.5), true), 0) AS p
+        FROM a2 a JOIN p2 i ON i.run_id = a.run_id AND i.file = a.file AND i.n = a.n + 1) q),
+b2 AS (SELECT a.anchor AS anchor2, CASE WHEN a.took THEN -p2.ord ELSE p2.ord END AS seq, p2.* FROM a2 a JOIN p2 USING (run_id, file, ord)),
+u2 AS (SELECT run_id, file, anchor2, seq, unnest(ls) AS lens, unnest(range(len(ls))) AS i FROM b2),
+l2 AS (SELECT run_id, file, anchor2, lens, min({{'a': seq, 'b': i}}) AS o FROM u2 GROUP BY ALL),
+ll AS (SELECT run_id, file, anchor2, string_agg(lens, ',' ORDER BY o) AS lenses FROM l2 GROUP BY ALL),
+m2 AS (SELECT run_id, file, anchor2, arg_min(id, seq) AS id, min(rank) AS rank, max(dl) AS detail_len, arg_max(suggestion, length(suggestion)) AS suggestion,
+       CASE WHEN bool_or(det) AND count(*) > 1 THEN 100 ELSE arg_min(score, seq) END AS score, count(*) AS merged_from FROM b2 GROUP BY ALL)
+SELECT run_id, id, {RANKED} AS severity, score, detail_len, suggestion, lenses, merged_from FROM m2 JOIN ll USING (run_id, file, anchor2)""")
 def scan_merge(spark, sf):
     return merge.scan_dedup(findings(spark, sf), ["run_id"]).select(
         "run_id", "id", "severity", "score", F.length("detail").alias("detail_len"), "suggestion", F.array_join("lenses", ",").alias("lenses"), "merged_from")

@@ -178,7 +178,9 @@ def _fold_islands(rows: DataFrame, keys: list[str], columns: list[str], fold, ro
             if done:
                 yield pd.DataFrame(done, columns=schema.names)
 
-    return (narrow.repartition(*keys).sortWithinPartitions(*keys, "ord").mapInPandas(run, schema))
+    # By a hash of the keys: Spark drops a repartition by the keys that a join below has
+    # dealt by already, and may then read that join's shuffle locally, which tears islands apart.
+    return (narrow.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, "ord").mapInPandas(run, schema))
 
 
 def _apply(findings: DataFrame, anchors: DataFrame, keys: list[str], scan: bool) -> DataFrame:
