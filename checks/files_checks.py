@@ -131,7 +131,7 @@ l AS (SELECT *, length(c) + len(string_split(c, chr(10))) * 3 + list_sum(list_tr
 SELECT repo, domain, concat(domain, '-', lpad(CAST(chunk_no AS VARCHAR), 3, '0')) AS chunk_id, CAST(sum(t) AS BIGINT) AS tokens, count(*) AS n_files,
 CAST(sum(block_len) + 2 * (count(*) - 1) AS BIGINT) AS blocks_len FROM l GROUP BY repo, domain, chunk_no""")
 def chunk_prompts(spark, sf):
-    d = packing.chunk_prompts(packed(spark, sf), files(spark, sf), BUDGET, "t", "main")
+    d = packing.chunk_prompts(packed(spark, sf), files(spark, sf), BUDGET, "t", "main", order="doc_id")
     body = F.regexp_extract("user", r"(?s)## File Contents\n\n(.*)\z", 1)
     return d.select("repo", "domain", "chunk_id", "tokens", "n_files", F.length(body).cast("long").alias("blocks_len"))
 
@@ -440,3 +440,30 @@ SELECT repo, path, kind, channel, line, CASE WHEN regexp_matches(b, '{NAMED}') T
 WHEN regexp_extract(b, '{METHOD}', 1) NOT IN ('', 'if', 'for', 'while') THEN regexp_extract(b, '{METHOD}', 1) ELSE '<anonymous>' END AS function_name FROM f WHERE rn = 1""")
 def runtime_flows(spark, sf):
     return runtime.runtime_flows(files(spark, sf).select("repo", "path", "content"))
+
+
+# -- jobs ----------------------------------------------------------------------------
+# A chunk that starts with an even letter of its domain is answered by one finding
+# on a line that no rule reports; merges are told apart from plain counts elsewhere.
+
+def answer(system: str, user: str) -> str:
+    import json
+    import re
+
+    name = re.search(r"\*\*Chunk:\*\* (\S+)", user).group(1)
+    if len(name) % 2:
+        return "[]"
+    return "Here it is: " + json.dumps([{"id": name, "severity": "LOW", "category": name, "location": "src/" + name, "summary": "only " + name,
+                                         "detail": "d", "suggestion": "s"}])
+
+
+@query("scan_job", f"""{PACKED}, ch AS (SELECT DISTINCT repo, domain, concat(domain, '-', lpad(CAST(chunk_no AS VARCHAR), 3, '0')) AS id FROM pk),
+n AS (SELECT repo, count(*) AS chunks, count(*) FILTER (length(id) % 2 = 0) AS told FROM ch GROUP BY repo),
+f AS (SELECT repo, count(*) AS discovered, count(*) FILTER (size <= 102400) AS scanned FROM files_fx GROUP BY repo)
+SELECT f.*, discovered - scanned AS skipped, chunks, told FROM f JOIN n USING (repo)""")
+def scan_job(spark, sf):
+    from codewarden.plans import scan
+
+    done = scan.scan(files(spark, sf), answer, scan.ScanOptions(budget_tokens=BUDGET, order="doc_id"))
+    told = done.merged.filter("summary like 'only %'").groupBy("repo").agg(F.count(F.lit(1)).alias("told"))
+    return done.totals.join(told, "repo", "left").select("repo", "discovered", "scanned", "skipped", "chunks", F.coalesce("told", F.lit(0)).alias("told"))
