@@ -85,7 +85,7 @@ rk AS (SELECT *, row_number() OVER (ORDER BY CASE kk WHEN 'external-api' THEN 13
 fp AS (SELECT *, CASE WHEN conf = 'low' AND node % 3 = 2 THEN 'INFO' WHEN conf = 'high' AND kk = 'external-api' THEN 'CRITICAL' WHEN conf = 'high' THEN 'HIGH'
  WHEN conf = 'medium' AND sk IN ('fhir-bulk', 'hl7-v2') THEN 'HIGH' WHEN conf = 'medium' THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM rk)"""
 SAFE = [("log2", "expected-sink"), ("S4*", "sanitizer"), ("s5", "projection")]
-ALL = 1 << 30
+ALL = None
 
 
 @query("flow_paths", f"{RANKED} SELECT rank, concat('f', origin) AS source, sk AS source_kind, concat('f', node) AS sink, kk AS sink_kind, n_hops, conf AS confidence, severity FROM fp WHERE rank <= 20")

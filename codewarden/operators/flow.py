@@ -12,7 +12,7 @@ from ..functions import text
 from ..functions.fixed import (BAA_COVERED, BAA_NONE, BUILTIN_SAFE, EXTERNAL_SINKS, SINK_ORDER, SOURCE_ORDER)
 from ..functions.jsregex import glob
 from ..session import cut_lineage
-from .ordered import first_k
+from .ordered import first_k, row_positions
 from .runtime import DYNAMIC
 
 # Default depth of a path and paths kept per repository.
@@ -82,8 +82,8 @@ def _channel_sides(g: FlowGraph) -> tuple[DataFrame, DataFrame]:
 
 def _distance_to_sink(moves: DataFrame, send: DataFrame, hear: DataFrame, sinks: DataFrame, depth: int) -> DataFrame:
     """(repo, node, dist): steps to the nearest sink, up to ``depth``."""
-    found = cut_lineage(sinks.select("repo", F.col("file").alias("node")).distinct().withColumn("dist", F.lit(0)))
-    frontier = found
+    frontier = cut_lineage(sinks.select("repo", F.col("file").alias("node")).distinct().withColumn("dist", F.lit(0)))
+    found = frontier  # the union of one written table per step
     for step in range(1, depth + 1):
         here = frontier.select("repo", F.col("node").alias("next"))
         by_import = moves.select("repo", "node", "next").join(here, ["repo", "next"], "left_semi").select("repo", "node")
@@ -91,7 +91,7 @@ def _distance_to_sink(moves: DataFrame, send: DataFrame, hear: DataFrame, sinks:
         by_channel = send.join(open_channels, ["repo", "medium", "channel"], "left_semi").select("repo", "node")
         frontier = cut_lineage(by_import.unionByName(by_channel).distinct()
                                .join(found, ["repo", "node"], "left_anti").withColumn("dist", F.lit(step)))
-        found = cut_lineage(found.unionByName(frontier))
+        found = found.unionByName(frontier)
     return found
 
 
@@ -138,7 +138,7 @@ def reach(g: FlowGraph, depth: int = MAX_DEPTH) -> DataFrame:
         frontier = cut_lineage(
             step_all.join(found.select("repo", "origin", "node"), ["repo", "origin", "node"], "left_anti")
             .groupBy("repo", "origin", "node").agg(F.min_by(state, "picks").alias("s")).select("repo", "origin", "node", "s.*"))
-        found = cut_lineage(found.unionByName(frontier))
+        found = found.unionByName(frontier)
     return found
 
 
@@ -165,19 +165,27 @@ def _position(col: Column, order: list[str]) -> Column:
     return sev.lookup(col, {k: i for i, k in enumerate(order)}, -1)
 
 
-def flow_paths(g: FlowGraph, depth: int = MAX_DEPTH, k: int = MAX_PATHS, safe: list[tuple[str, str]] | None = None) -> DataFrame:
-    """Shortest path per (source, sink), ranked, the first ``k`` per repository."""
+def flow_paths(g: FlowGraph, depth: int = MAX_DEPTH, k: int | None = MAX_PATHS, safe: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Shortest path per (source, sink), ranked, the first ``k`` per repository or all.
+
+    Every state (source file, sink file) has a best pair of a source and a sink.
+    A pair among the first ``k`` belongs to a state that is among the first ``k``
+    by best pairs, so states are cut before their sources and sinks are paired.
+    """
     safe = safe or []
     once = lambda df: df.groupBy("repo", "file", "name").agg(F.min_by(F.struct("line", "kind", "ord"), "ord").alias("x"))
     src = once(g.sources).select("repo", F.col("file").alias("origin"), F.struct("file", "name", "x.line", "x.kind", "x.ord").alias("source"))
     snk = once(g.sinks).select("repo", F.col("file").alias("node"), F.struct("file", "name", "x.line", "x.kind", "x.ord").alias("sink"))
-    # Rank states by the best sink and source of their files before pairing, so
-    # only pairs are built, never all paths; then keep the first k per repository.
-    d = reach(g, depth).join(src, ["repo", "origin"]).join(snk, ["repo", "node"])
-    d = d.withColumn("n_hops", F.size("hops"))
-    order = [F.desc(_position(F.col("sink.kind"), SINK_ORDER)), F.col("n_hops"), F.desc(_position(F.col("source.kind"), SOURCE_ORDER)),
-             F.col("source.ord"), F.col("picks"), F.col("sink.ord")]
-    top = first_k(d, ["repo"], order, k, "rank")
+    sink_at, source_at = _position(F.col("sink.kind"), SINK_ORDER), _position(F.col("source.kind"), SOURCE_ORDER)
+    best_sink = snk.groupBy("repo", "node").agg(F.min(F.struct((-sink_at).alias("at"), F.col("sink.ord").alias("ord"))).alias("_k"))
+    best_source = src.groupBy("repo", "origin").agg(F.min(F.struct((-source_at).alias("at"), F.col("source.ord").alias("ord"))).alias("_c"))
+    states = reach(g, depth).withColumn("n_hops", F.size("hops")).join(best_source, ["repo", "origin"]).join(best_sink, ["repo", "node"])
+    if k is not None:
+        best = [F.col("_k.at"), F.col("n_hops"), F.col("_c.at"), F.col("_c.ord"), F.col("picks"), F.col("_k.ord")]
+        states = first_k(states, ["repo"], best, k, "_r").drop("_r")
+    d = states.drop("_k", "_c").join(src, ["repo", "origin"]).join(snk, ["repo", "node"])
+    order = [F.desc(sink_at), F.col("n_hops"), F.desc(source_at), F.col("source.ord"), F.col("picks"), F.col("sink.ord")]
+    top = row_positions(d, ["repo"], order, "rank") if k is None else first_k(d, ["repo"], order, k, "rank")
     conf = confidence(F.col("n_hops"), F.col("transforms"), F.col("dynamic"))
     return top.withColumn("confidence", conf).withColumn("severity", base_severity(
         F.col("confidence"), F.col("sink.kind"), F.col("source.kind"), F.col("sink.name"), safe)).select(
@@ -264,9 +272,8 @@ def path_findings(paths: DataFrame) -> DataFrame:
               .when(kind == "analytics", F.concat(F.lit("Send only anonymous data to analytics at "), sink))
               .when(kind.isin("cache", "search-index"), F.concat(F.lit("Check access control and encryption of the "), kind, F.lit(" at "), sink))
               .otherwise(F.concat(F.lit("Review PHI handling at "), sink)))
-    n = F.row_number().over(_by_rank())
-    return paths.select(
-        "repo", F.concat(F.lit("phi-flow-"), n.cast("string")).alias("id"), "severity", F.lit("HIPAA / PHI Data Flow").alias("category"),
+    return row_positions(paths, ["repo"], [F.col("rank")], "_n").select(
+        "repo", F.concat(F.lit("phi-flow-"), F.col("_n").cast("string")).alias("id"), "severity", F.lit("HIPAA / PHI Data Flow").alias("category"),
         F.concat(at("source"), F.lit(" → "), sink).alias("location"),
         F.concat(F.lit("PHI from "), what("source"), F.lit(" flows to "), what("sink")).alias("summary"),
         F.concat(F.lit("Flow chain: "), chain, F.lit("\nConfidence: "), "confidence", F.lit("\n"), F.coalesce("explanation", F.lit("")), note).alias("detail"),
@@ -275,12 +282,6 @@ def path_findings(paths: DataFrame) -> DataFrame:
         F.lit("phi-flow-analysis").alias("scanner_id"), F.lit("HIPAA §164.502(a)").alias("regulation"))
 
 
-def _by_rank():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("repo").orderBy("rank")
-
-
 def graph_stats(files: DataFrame, edges: DataFrame, paths: DataFrame, leaks: DataFrame) -> DataFrame:
     """Counts per repository; ``files`` has (repo, path, content)."""
     from .classify import language
