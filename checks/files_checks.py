@@ -353,11 +353,11 @@ def secret_redaction(spark, sf):
     return d.select("doc_id", F.col("redactions").cast("long").alias("redactions"), F.md5("redacted").alias("redacted"))
 
 
-@query("word_entropy", f"""{FX}, w AS (SELECT DISTINCT regexp_extract(content, '^[^ ]+') AS x FROM files_fx), ch AS (SELECT x, unnest(string_split(x, '')) AS ch FROM w), k AS (SELECT x, ch, count(*) / any_value(length(x)) AS p FROM ch GROUP BY x, ch)
+@query("word_entropy", f"""{FX}, w AS (SELECT DISTINCT x FROM (SELECT unnest(string_split_regex(content, '[ \n]+')) AS x FROM files_fx) q WHERE x <> ''), ch AS (SELECT x, unnest(string_split(x, '')) AS ch FROM w), k AS (SELECT x, ch, count(*) / any_value(length(x)) AS p FROM ch GROUP BY x, ch)
 SELECT x AS word, round(coalesce(sum(-p * log2(p)), 0), 6) AS entropy FROM w LEFT JOIN k USING (x) GROUP BY x""")
 def word_entropy(spark, sf):
-    word = F.regexp_extract("content", "^[^ ]+", 0)
-    return files(spark, sf).select(word.alias("word")).distinct().select("word", F.round(text.entropy(F.col("word")), 6).alias("entropy"))
+    word = F.explode(F.split("content", r"[ \n]+"))
+    return files(spark, sf).select(word.alias("word")).filter("word <> ''").distinct().select("word", F.round(text.entropy(F.col("word")), 6).alias("entropy"))
 
 
 # -- imports ---------------------------------------------------------------------------
