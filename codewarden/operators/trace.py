@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,44 +23,61 @@ ORPHAN = "<orphan_tool_result>"
 ADDRESSED = js(r"\b(fix|error|issue|problem|correct|handle|catch)\b", "i")
 
 
-@dataclass
 class Trace:
-    """``events`` (session, idx, ...), ``calls`` (session, idx, call_no, ...)."""
+    """A transcript as tables: ``lines``, ``events`` (session, idx, ...) and
+    ``calls`` (session, idx, call_no, ...).
 
-    lines: DataFrame
-    events: DataFrame
-    calls: DataFrame
+    Each is written once, when it is first asked for, and every later reader
+    shares it: statistics of lines never bind results, and those of events
+    never compute what makes calls similar.
+    """
 
+    def __init__(self, raw: DataFrame):
+        self.lines = cut_lineage(parse_lines(raw))
+
+    @cached_property
+    def plain_calls(self) -> DataFrame:
+        """(session, pos, call_no, id, name, input) as the lines have them."""
+        return self.lines.filter("kind = 'assistant'").select(
+            "session", "pos", F.posexplode("calls").alias("call_no", "c")).select(
+            "session", "pos", "call_no", "c.id", "c.name", F.to_json("c.input").alias("input"))
+
+    @cached_property
+    def _bound(self) -> tuple[DataFrame, DataFrame]:
+        results = self.lines.filter("kind = 'user'").select(
+            "session", "pos", "ts", "uuid", F.posexplode("results").alias("call_no", "r")).select(
+            "session", "pos", "ts", "uuid", "call_no", "r.*")
+        return match_results(self.plain_calls, results)
+
+    @staticmethod
+    def _sub(last: bool, n: Column) -> Column:
+        """Order within a line: a user event follows the orphan results."""
+        return F.struct(F.lit(last).alias("last"), n.cast("int").alias("n")).alias("sub")
+
+    @cached_property
+    def events(self) -> DataFrame:
+        user = self.lines.filter("kind = 'user' and (text is not null or size(results) = 0)")
+        main = self.lines.filter("kind in ('assistant', 'system')").unionByName(user).select(
+            "session", "pos", self._sub(True, F.lit(0)), F.col("kind").alias("type"), "ts", "uuid", "text", "thinking")
+        lost = self._bound[1].select(
+            "session", "pos", self._sub(False, F.col("call_no")), F.lit("tool_use").alias("type"), "ts",
+            "uuid", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("thinking"))
+        numbered = running_sum(main.unionByName(lost), ["session"], ["pos", "sub"], F.lit(1), "_n")
+        return cut_lineage(numbered.withColumn("idx", F.col("_n") - 1).drop("_n"))
+
+    @cached_property
+    def calls(self) -> DataFrame:
+        matched, orphans = self._bound
+        own = matched.withColumn("sub", self._sub(True, F.lit(0))).unionByName(orphans.select(
+            "session", "pos", self._sub(False, F.col("call_no")), F.lit(0).alias("call_no"), "id", F.lit(ORPHAN).alias("name"),
+            F.lit("{}").alias("input"), F.col("content").alias("result"), "is_error"))
+        placed = own.join(self.events.select("session", "pos", "sub", "idx"), ["session", "pos", "sub"]).drop("sub")
+        return cut_lineage(with_keys(placed))
 
-def build(raw: DataFrame) -> Trace:
-    """Raw (session, pos, line) rows to events and calls with their results.
 
-    Three tables are materialised, each narrower than the one before: parsed
-    lines (results are already cut to 80 or 400 characters), events and calls.
-    Every statistic and detector reads these instead of parsing JSON again.
-    """
-    lines = cut_lineage(parse_lines(raw))
-    calls = lines.filter("kind = 'assistant'").select(
-        "session", "pos", F.posexplode("calls").alias("call_no", "c")).select(
-        "session", "pos", "call_no", "c.id", "c.name", F.to_json("c.input").alias("input"))
-    results = lines.filter("kind = 'user'").select(
-        "session", "pos", "ts", "uuid", F.posexplode("results").alias("call_no", "r")).select(
-        "session", "pos", "ts", "uuid", "call_no", "r.*")
-    matched, orphans = match_results(calls, results)
-    user = lines.filter("kind = 'user' and (text is not null or size(results) = 0)")
-    # A user event follows the orphan results of its line.
-    sub = lambda last, n: F.struct(F.lit(last).alias("last"), n.cast("int").alias("n")).alias("sub")
-    main = lines.filter("kind in ('assistant', 'system')").unionByName(user).select(
-        "session", "pos", sub(True, F.lit(0)), F.col("kind").alias("type"), "ts", "uuid", "text", "thinking")
-    lost = orphans.select("session", "pos", sub(False, F.col("call_no")), F.lit("tool_use").alias("type"), "ts",
-                          "uuid", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("thinking"))
-    events = running_sum(main.unionByName(lost), ["session"], ["pos", "sub"], F.lit(1), "_n")
-    events = cut_lineage(events.withColumn("idx", F.col("_n") - 1).drop("_n"))
-    own = matched.withColumn("sub", sub(True, F.lit(0))).unionByName(orphans.select(
-        "session", "pos", sub(False, F.col("call_no")), F.lit(0).alias("call_no"), "id", F.lit(ORPHAN).alias("name"),
-        F.lit("{}").alias("input"), F.col("content").alias("result"), "is_error"))
-    calls = own.join(events.select("session", "pos", "sub", "idx"), ["session", "pos", "sub"]).drop("sub")
-    return Trace(lines, events, cut_lineage(with_keys(calls)))
+def build(raw: DataFrame) -> Trace:
+    """Raw (session, pos, line) rows to events and calls with their results."""
+    return Trace(raw)
 
 
 def match_results(calls: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -127,7 +144,7 @@ def session_stats(trace: Trace) -> DataFrame:
 
 
 def tool_distribution(trace: Trace) -> DataFrame:
-    return (trace.calls.filter(F.col("name") != ORPHAN).groupBy("session", F.col("name").alias("tool"))
+    return (trace.plain_calls.groupBy("session", F.col("name").alias("tool"))
             .agg(F.count(F.lit(1)).alias("calls")))
 
 
