@@ -23,7 +23,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from .common import decoded, steps, texts
+from .common import decoded, slices, steps, texts
 
 #: Characters from which a text is cut before it is encoded.
 LONG = 1 << 16
@@ -87,7 +87,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
 
     def run(batches):
         c = codec(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             ids = (c.encode(decoded(t)) for cols in steps([batch.select(["_cw_text"])]) for t in cols[0])
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in kept] + [pa.array(ids, pa.list_(pa.int32()))], [*kept, out])
 
@@ -101,7 +101,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", out: st
 
     def run(batches):
         c = codec(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             raw = (c.decode(x or []) for cols in steps([batch.select([ids])]) for x in cols[0])
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in kept] + [pa.array(raw, pa.binary())], [*kept, out])
 

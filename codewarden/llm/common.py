@@ -36,6 +36,13 @@ def keep_rows(docs: DataFrame, keys: DataFrame, id_col: str, text: str) -> DataF
             .withColumn("_cw_first", first).filter("_cw_first = 1").select(*docs.columns))
 
 
+def slices(batches: Iterable[pa.RecordBatch], step: int = STEP) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut into pieces of a bounded number of rows, for results of about the input's size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def steps(batches: Iterable[pa.RecordBatch], step: int = STEP) -> Iterator[list[list]]:
     """Columns of Arrow batches as Python lists, a bounded number of rows at a time."""
     for batch in batches:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps, texts
+from .common import slices, steps, texts
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -167,7 +167,7 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ki
     """(doc_id, n_bytes, media binary): every text stored as a PNG."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             media = (write_png(padded(raw), kind, level) for (column,) in steps([batch.select(["_cw_text"])]) for raw in column)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
@@ -183,7 +183,7 @@ def media_features(stored: DataFrame) -> DataFrame:
     kept = [c for c in stored.columns if c != "media"]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = []
             for (column,) in steps([batch.select(["media"])], 16):
                 for media in column:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, scratch_dir
-from .common import decoded, keep_rows, row_key, runs, steps, texts
+from .common import decoded, keep_rows, row_key, runs, slices, steps, texts
 from .graph import components
 from .shingles import WORDS, mix, shingles
 
@@ -96,7 +96,7 @@ def _signatures(docs: DataFrame, threshold: float, n_runs: int, depth: int, word
 
     def run(batches):
         pick = pa.struct([("run", pa.int32()), ("level", pa.int32()), ("token", pa.int64())])
-        for batch in batches:
+        for batch in slices(batches):
             node, size, sketches, picks = [], [], [], []
             for (column,) in steps([batch.select(["_cw_text"])], 64):
                 for raw in column:

@@ -12,10 +12,10 @@ _WORD = re.compile(r"\w+")
 
 
 class _Hashes(dict):
-    """Word to 64-bit hash; emptied when it holds a million words."""
+    """Word to 64-bit hash; emptied when it holds 2^18 words."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 1 << 20:
+        if len(self) >= 1 << 18:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h

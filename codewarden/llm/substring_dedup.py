@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import decoded, row_key, runs, steps, texts
+from .common import decoded, row_key, runs, slices, steps, texts
 
 #: Words of a unit at least.
 LEAST = 20
@@ -114,7 +114,7 @@ def _cut(rows: DataFrame, text: str) -> DataFrame:
     fields = rows.schema.fields
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out, spans = [], []
             for raw, gone in zip(batch.column(text).cast(pa.binary()).to_pylist(), batch.column("removed").to_pylist()):
                 if not gone:
