@@ -48,18 +48,19 @@ CELLS = 1 << 21
 SKETCH, MARGIN = 48, 0.25
 
 _LAST = (1 << 63) - 1
+#: Low bits of a pick name its chooser (run x depth + level), the others are those of the token.
+_CHOOSER = (1 << 16) - 1
 VERTEX = "struct<id: long, node: binary>"
 
 
 def runs_needed(recall: float = RECALL, depth: int = DEPTH) -> int:
     """Runs until a pair at the threshold is found with this probability.
 
-    Such a pair shares a Poisson number of sampled tokens with mean 1 at each
-    level; ``p`` is its chance to share a bucket at the last level of one run.
+    All paths of a run sample the same tokens at a level, and such a pair shares
+    a Poisson number of them with mean 1 or more.  It meets in the deepest bucket
+    if it shares one at every level; ``p`` is the chance of that in one run.
     """
-    p = 1.0
-    for _ in range(depth):
-        p = 1 - math.exp(-p)
+    p = (1 - math.exp(-1)) ** depth
     return math.ceil(math.log(1 - recall) / math.log(1 - p))
 
 
@@ -95,7 +96,6 @@ def _signatures(docs: DataFrame, threshold: float, n_runs: int, depth: int, word
     choosers = _odd(n_runs * depth, 2)
 
     def run(batches):
-        pick = pa.struct([("run", pa.int32()), ("level", pa.int32()), ("token", pa.int64())])
         for batch in slices(batches):
             node, size, sketches, picks = [], [], [], []
             for (column,) in steps([batch.select(["_cw_text"])], 64):
@@ -105,12 +105,12 @@ def _signatures(docs: DataFrame, threshold: float, n_runs: int, depth: int, word
                     node.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
                     size.append(len(tokens))
                     sketches.append(sketch(tokens))
-                    picks.append([{"run": w // depth, "level": w % depth, "token": t} for w, t in zip(which.tolist(), token.view(np.int64).tolist())])
+                    picks.append((token & ~np.uint64(_CHOOSER) | which.astype(np.uint64)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("key"), pa.array(node, pa.binary()), pa.array(size, pa.int32()), pa.array(sketches, pa.binary()), pa.array(picks, pa.list_(pick))],
+                [batch.column("doc_id"), batch.column("key"), pa.array(node, pa.binary()), pa.array(size, pa.int32()), pa.array(sketches, pa.binary()), pa.array(picks, pa.list_(pa.int64()))],
                 ["doc_id", "key", "node", "size", "sketch", "picks"])
 
-    return docs.mapInArrow(run, "doc_id long, key string, node binary, size int, sketch binary, picks array<struct<run: int, level: int, token: long>>")
+    return docs.mapInArrow(run, "doc_id long, key string, node binary, size int, sketch binary, picks array<long>")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -126,9 +126,9 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
 def leaves(nodes: DataFrame, depth: int = DEPTH, limit: int = LIMIT) -> DataFrame:
     """(leaf, members, node): the buckets whose members are compared, from ``picks`` of every node."""
-    at = lambda level: F.filter("picks", lambda p: p["level"] == level)
-    rows = (nodes.select("node", F.explode(at(0)).alias("p"))
-            .select("node", F.xxhash64("p.run", "p.token").alias("leaf"), F.col("p.run").alias("run")))
+    chooser = lambda p: p.bitwiseAND(F.lit(_CHOOSER)).cast("int")
+    rows = (nodes.select("node", F.explode(F.filter("picks", lambda p: chooser(p) % depth == 0)).alias("p"))
+            .select("node", F.xxhash64("p").alias("leaf"), F.floor(chooser(F.col("p")) / depth).cast("int").alias("run")))
     out = None
     for level in range(depth):
         # Buckets of one have nothing to compare; a written table of the others splits hot buckets in the join.
@@ -139,9 +139,9 @@ def leaves(nodes: DataFrame, depth: int = DEPTH, limit: int = LIMIT) -> DataFram
         out = done if out is None else out.unionByName(done)
         if last or (large := rows.filter(F.col("members") > limit)).isEmpty():
             return out
-        token = F.explode(F.filter("picks", lambda p: (p["level"] == level + 1) & (p["run"] == F.col("run"))))
+        token = F.explode(F.filter("picks", lambda p: chooser(p) == F.col("run") * depth + level + 1))
         rows = (large.join(nodes.select("node", "picks"), "node").select("node", "leaf", "run", token.alias("p"))
-                .select("node", F.xxhash64("leaf", F.lit(level + 1), "p.token").alias("leaf"), "run"))
+                .select("node", F.xxhash64("leaf", "p").alias("leaf"), "run"))
 
 
 BUCKET = ["leaf", "low", "high"]

@@ -107,3 +107,17 @@ def test_representatives(spark):
 
 def test_runs_follow_the_target():
     assert ngram_join.runs_needed(0.9, 1) < ngram_join.runs_needed(0.99, 1) < ngram_join.runs_needed(0.99, 3)
+
+
+def test_recall_in_the_deepest_buckets(spark):
+    """Pairs at the threshold that meet at the last level only, with the runs of the default recall."""
+    n = 1500
+    rows = []
+    for i in range(n):
+        words = [f"p{i}x{k}" for k in range(204)]
+        # 200 shingles, and 160 of them: a similarity of 0.8.
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:164]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = ngram_join.join(docs, limit=1).filter("n_links = 1").count() / 2
+    # Two deviations of the count below the recall.
+    assert found >= n * ngram_join.RECALL - 2 * (n * ngram_join.RECALL * (1 - ngram_join.RECALL)) ** 0.5
