@@ -7,12 +7,12 @@ slot the released block with the earliest deadline goes next.  With weights that
 add up to one this meets all deadlines, so after any number of slots a source is
 less than one block away from its share.
 
-Weights are rounded to multiples of 1 / ``resolution``, which makes the schedule
-repeat after that many slots: the driver works out one period from the table of
-sources (one row each), and the slot of every block follows by arithmetic on the
-executors.  When a source runs out, a new phase begins with the weights of the
-others; ``phase`` 0 is the part that has the target mix, later phases hold what
-is left, so that no row is lost.
+Windows follow the exact weights: a float is a whole number of some power of
+two, so all of them become integers and nothing is rounded.  The driver works
+out the slot of every block from the table of sources (one row each) and sends
+it out in pieces of bounded length.  When a source runs out, a new phase begins
+with the weights of the others; ``phase`` 0 is the part that has the target mix,
+later phases hold what is left, so that no row is lost.
 
 * null source: a source of its own; it is named "" like an empty one.
 * null text counts as one character, like an empty one.
@@ -23,6 +23,7 @@ is left, so that no row is lost.
 from __future__ import annotations
 
 import heapq
+import math
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
@@ -32,11 +33,12 @@ from ..session import cut_lineage
 from .common import row_key
 
 BLOCK = 1 << 16
-RESOLUTION = 1000
+#: Slots in a row of the plan at most.
+PIECE = 1 << 12
 
 
 def quotas(weights: dict[str, float], resolution: int) -> dict[str, int]:
-    """Blocks per period for each source, at least one, by largest remainders; their sum is the period."""
+    """Weights rounded to multiples of 1 / ``resolution``, at least one each, by largest remainders."""
     total = sum(weights.values())
     exact = {s: w / total * resolution for s, w in weights.items()}
     out = {s: max(1, int(x)) for s, x in exact.items()}
@@ -46,55 +48,69 @@ def quotas(weights: dict[str, float], resolution: int) -> dict[str, int]:
     return out
 
 
-def one_period(quota: dict[str, int]) -> dict[str, list[int]]:
-    """Slots of the blocks of each source in a period, earliest deadline first."""
-    period = sum(quota.values())
-    slots: dict[str, list[int]] = {s: [] for s in quota}
-    share = {s: Fraction(n, period) for s, n in quota.items()}
-    release = lambda s, i: (i - 1) * share[s].denominator // share[s].numerator
-    deadline = lambda s, i: -(-i * share[s].denominator // share[s].numerator)
-    waiting = [(0, s, 1) for s in sorted(quota)]
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []
-    for t in range(period):
+def whole(weights: dict[str, float]) -> dict[str, int]:
+    """Integers in exactly the same proportion."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    return {s: int(x * scale) for s, x in exact.items()}
+
+
+def schedule(weights: dict[str, int], left: dict[str, int]) -> dict[str, list[int]]:
+    """Slots of the blocks of each source until the first one has no blocks left, earliest deadline first."""
+    total = sum(weights.values())
+    slots: dict[str, list[int]] = {s: [] for s in weights}
+    waiting = [(0, s) for s in sorted(weights)]
+    ready: list[tuple[int, str]] = []
+    t = 0
+    while True:
         while waiting and waiting[0][0] <= t:
-            _, s, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (deadline(s, i), s, i))
-        _, s, i = heapq.heappop(ready)
+            _, s = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(len(slots[s]) + 1) * total // weights[s]), s))
+        _, s = heapq.heappop(ready)
         slots[s].append(t)
-        if i < quota[s]:
-            heapq.heappush(waiting, (release(s, i + 1), s, i + 1))
-    return slots
+        t += 1
+        if len(slots[s]) == left[s]:
+            return slots
+        heapq.heappush(waiting, (len(slots[s]) * total // weights[s], s))
 
 
-def phases(blocks: dict[str, int], weights: dict[str, float], resolution: int = RESOLUTION) -> list[tuple]:
-    """Rows (source, phase, first block, end block, first slot, period, slots) of the whole schedule."""
+def one_period(quota: dict[str, int]) -> dict[str, list[int]]:
+    """Slots of the blocks of each source until integer weights have all been served once."""
+    period = sum(quota.values())
+    slots = schedule(quota, {s: n + 1 for s, n in quota.items()})
+    return {s: [t for t in v if t < period] for s, v in slots.items()}
+
+
+def phases(blocks: dict[str, int], weights: dict[str, float], resolution: int | None = None) -> list[tuple]:
+    """Rows (source, phase, first block, end block, first slot, length, slots) of the whole schedule.
+
+    A row holds up to ``PIECE`` blocks; ``slots`` count from the first slot of
+    the phase, ``length`` is that of the phase.  With a ``resolution`` the
+    weights are rounded first.
+    """
     left, done, at, rows, phase = dict(blocks), dict.fromkeys(blocks, 0), 0, [], 0
     left = {s: n for s, n in left.items() if n}
     while left:
         wanted = {s: weights[s] for s in left if weights.get(s, 0) > 0}
-        now = wanted or {s: float(blocks[s]) for s in left}
-        quota = quotas(now, max(resolution, 2 * len(now)))
-        period, slots = sum(quota.values()), one_period(quota)
-        last = {s: (left[s] - 1) // quota[s] * period + slots[s][(left[s] - 1) % quota[s]] for s in now}
-        span = min(last.values()) + 1
+        now = wanted or {s: blocks[s] for s in left}
+        slots = schedule(quotas(now, max(resolution, 2 * len(now))) if resolution else whole(now), left)
+        span = sum(map(len, slots.values()))
         for s in sorted(now):
-            whole, rest = divmod(span, period)
-            n = whole * quota[s] + sum(x < rest for x in slots[s])
-            if n:
-                rows.append((s, phase, done[s], done[s] + n, at, period, slots[s]))
-                done[s] += n
-                left[s] -= n
+            for k in range(0, len(slots[s]), PIECE):
+                piece = slots[s][k : k + PIECE]
+                rows.append((s, phase, done[s] + k, done[s] + k + len(piece), at, span, piece))
+            done[s] += len(slots[s])
+            left[s] -= len(slots[s])
         left = {s: n for s, n in left.items() if n}
         at, phase = at + span, phase + 1
     return rows
 
 
-PLAN = "_cw_source string, phase int, _cw_from long, _cw_to long, _cw_at long, _cw_period long, _cw_slots array<int>"
+PLAN = "_cw_source string, phase int, _cw_from long, _cw_to long, _cw_at long, _cw_span long, _cw_slots array<long>"
 
 
 def places(docs: DataFrame, weights: dict[str, float] | None = None, temper: float = 0.5, block: int = BLOCK,
-           resolution: int = RESOLUTION, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+           resolution: int | None = None, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(_cw_key, phase, slot, block, offset) for every distinct row; ``offset`` is its start in its source.
 
     Without ``weights`` a source weighs its number of characters to the power ``temper``.
@@ -112,16 +128,15 @@ def places(docs: DataFrame, weights: dict[str, float] | None = None, temper: flo
     totals = {r["_cw_source"]: r["n"] for r in sums.groupBy("_cw_source").agg(F.sum("_cw_sum").alias("n")).collect()}
     blocks = {s: (n - 1) // block + 1 for s, n in totals.items()}
     rows = phases(blocks, weights if weights is not None else {s: n**temper for s, n in totals.items()}, resolution)
-    plan = docs.sparkSession.createDataFrame(rows, PLAN)
-    j = F.col("block") - F.col("_cw_from")
-    n = F.size("_cw_slots")
-    slot = F.col("_cw_at") + F.floor(j / n) * F.col("_cw_period") + F.get("_cw_slots", F.pmod(j, n.cast("long")).cast("int"))
+    # One row per block; the join is by source and block, so that no source is a hot key.
+    plan = (docs.sparkSession.createDataFrame(rows, PLAN)
+            .select("_cw_source", "phase", "_cw_from", "_cw_at", F.posexplode("_cw_slots").alias("_cw_i", "_cw_slot"))
+            .select("_cw_source", "phase", (F.col("_cw_from") + F.col("_cw_i")).alias("block"), (F.col("_cw_at") + F.col("_cw_slot")).alias("slot")))
     offset = F.coalesce(F.sum("n").over(inside), F.lit(0)) + F.col("_cw_base")
-    # The plan has one row per source and phase with at most a period of slots in all.
     return (placed.join(base, ["_cw_source", "_cw_slice"]).withColumn("offset", offset)
             .withColumn("block", F.floor(F.col("offset") / block))
-            .join(F.broadcast(plan), "_cw_source").filter((F.col("block") >= F.col("_cw_from")) & (F.col("block") < F.col("_cw_to")))
-            .select("_cw_key", "_cw_source", "phase", slot.cast("long").alias("slot"), "block", "offset"))
+            .join(plan, ["_cw_source", "block"])
+            .select("_cw_key", "_cw_source", "phase", "slot", "block", "offset"))
 
 
 def _placed(docs: DataFrame, id_col: str, text: str, source: str, options: dict) -> DataFrame:

@@ -1,4 +1,5 @@
 import collections
+from fractions import Fraction
 
 import pytest
 
@@ -63,3 +64,18 @@ def test_interleaved_keeps_rows_and_columns(docs):
     place = {r.doc_id: (r.slot, r.offset) for r in mixing.located(docs, block=100).collect()}
     assert [place[i] for i, _ in order] == sorted(place[i] for i, _ in order)
     assert mixing.interleaved(docs.limit(0)).count() == 0 and mixing.located(docs.limit(0)).count() == 0
+
+
+def test_exact_weights_are_followed():
+    """Less than a block away from the given weights themselves, however many slots there are."""
+    weights = {"a": 2**0.5, "b": 3**0.5, "c": 0.3, "tiny": 0.0001, **{f"s{i}": (i + 1) ** 0.5 / 50 for i in range(20)}}
+    total = sum(map(Fraction, weights.values()))
+    rows = mixing.phases(dict.fromkeys(weights, 20_000), weights)
+    assert max(len(r[-1]) for r in rows) <= mixing.PIECE
+    owner = {at + slots[i - a]: s for s, phase, a, b, at, _, slots in rows for i in range(a, b) if phase == 0}
+    assert sorted(owner) == list(range(len(owner))) and len(owner) > 20_000
+    count = collections.Counter()
+    for t in range(len(owner)):
+        count[owner[t]] += 1
+        if t % 97 == 0 or t == len(owner) - 1:
+            assert all(abs(count[s] - w * (t + 1) / total) < 1 for s, w in zip(weights, map(Fraction, weights.values())))
