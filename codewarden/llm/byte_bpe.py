@@ -108,8 +108,8 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", out: st
     return tokens.select(*kept).mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.select(*kept).schema), f"`{out}` binary"]))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: number of tokens, digest of the ids, digest of the decoded bytes.
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text: str = "text", kept: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: number of tokens, digest of the ids, digest of the decoded bytes, and the columns ``kept``.
 
     Ids and bytes of a text are consumed piece by piece and never leave the task.
     """
@@ -130,8 +130,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                     ids_hex.append(a.hexdigest())
                     raw_hex.append(b.hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(raw_hex, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                [batch.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(raw_hex, pa.string()),
+                 *(batch.column(k) for k in kept)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *kept])
 
-    d = docs.select(docs[id_col].cast("long").alias("doc_id"), texts(text).alias("_cw_text"))
-    return d.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    d = docs.select(docs[id_col].cast("long").alias("doc_id"), texts(text).alias("_cw_text"), *kept)
+    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
+    return d.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + more)

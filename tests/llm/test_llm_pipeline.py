@@ -48,3 +48,17 @@ def test_stages_on_odd_rows(spark):
             out = stage(spark, docs, SMALL)
             assert out.columns == docs.columns and out.count() <= docs.count()
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() == docs.count()
+
+
+def test_mixed_order_survives_rereading(spark, tmp_path):
+    """Part files of unequal size, which a reader deals out by size."""
+    rows = [(i, "word " * (i * 37 % 91 + 1) + str(i * i), "en", "abc"[i % 3]) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    mixed = corpus_pipeline.in_mixed_order(spark, docs, SMALL).collect()
+    parts = spark.createDataFrame(spark.sparkContext.parallelize(mixed, 12), docs.schema)
+    parts.write.option("maxRecordsPerFile", 9).parquet(str(tmp_path / "mixed"))
+    again = spark.read.parquet(str(tmp_path / "mixed"))
+    order = [r.doc_id for r in mixed]
+    assert [r.doc_id for r in again.collect()] != order
+    got = sorted(corpus_pipeline.token_digests(spark, again, SMALL).collect(), key=lambda r: r.position)
+    assert [r.doc_id for r in got] == order and [r.position for r in got] == list(range(200))
