@@ -1,13 +1,15 @@
-"""Substring deduplication by hashing normalised lines.
-
-A unit begins at every line that has words and takes as many whole lines as it
-needs to reach ``least`` words, so a long line or paragraph is a unit of its own
-and runs of short lines are compared together; short lines alone - headings,
-list items, signatures - are left as they are.  Units are normalised
+"""Substring deduplication by hashing normalised lines and sentences.
+
+Texts are cut at line breaks and after [.!?] before a blank.  A unit begins at
+every piece that has words and takes as many whole pieces as it needs to reach
+``least`` words; another ends at every piece and reaches back as far as needed.
+So whatever whole pieces two places have in common is found to both ends if it
+has ``least`` words; short pieces alone - headings, list items, signatures - are
+left as they are.  Units are normalised
 (compatibility forms, case, white space) and grouped by digest over the whole
 corpus.  The occurrence with the earliest rank - smallest id (null last), then
 row digest, then position - stays; the others are removed.  Spans are code
-points of the original text, end exclusive, and cover whole lines.
+points of the original text, end exclusive, and cover whole pieces with the blanks after them.
 
 * null text: empty, no units.
 * rows equal in id and text count as one document: they are treated alike.
@@ -18,6 +20,7 @@ points of the original text, end exclusive, and cover whole lines.
 from __future__ import annotations
 
 import hashlib
+import re
 import unicodedata
 
 import pyarrow as pa
@@ -29,30 +32,37 @@ from .common import decoded, row_key, runs, slices, steps, texts
 
 #: Words of a unit at least.
 LEAST = 20
+#: Pieces end with a line break, or with the blanks after the end of a sentence.
+_END = re.compile(r"\n|(?<=[.!?])[^\S\n]+\n?")
 SPANS = "array<struct<start: int, end: int>>"
 
 
 def units(text: str, least: int = LEAST) -> list[tuple[bytes, int, int]]:
-    """(digest, start, end) of the units of a text; the end takes in the line break."""
-    lines, at = [], 0
-    for line in text.split("\n"):
-        end = min(at + len(line) + 1, len(text))
-        words = unicodedata.normalize("NFKC", line).casefold().split()
-        lines.append((at, end, words))
-        at = end
-    out = []
-    for i, (start, end, words) in enumerate(lines):
-        if not words:
-            continue
-        j, n, parts = i, len(words), [words]
-        while n < least and j + 1 < len(lines):
+    """(digest, start, end) of the units of a text, by start; the end takes in the break."""
+    cuts = [m.end() for m in _END.finditer(text)]
+    pieces = [(a, b, unicodedata.normalize("NFKC", text[a:b]).casefold().split()) for a, b in zip([0, *cuts], [*cuts, len(text)])]
+    pieces = [p for p in pieces if p[2]]
+    # Pieces i to j: the shortest runs of enough words that begin at i, and those that end at j.
+    found, total = set(), [0]
+    for _, _, words in pieces:
+        total.append(total[-1] + len(words))
+    i = j = 0
+    for i in range(len(pieces)):
+        while j < len(pieces) and total[j] - total[i] < least:
             j += 1
-            n += len(lines[j][2])
-            parts.append(lines[j][2])
-        if n < least:
+        if total[j] - total[i] < least:
             break
-        joined = "\n".join(" ".join(p) for p in parts if p)
-        out.append((hashlib.blake2b(joined.encode("utf-8", "replace"), digest_size=16).digest(), start, lines[j][1]))
+        found.add((i, j))
+    i = 0
+    for j in range(1, len(pieces) + 1):
+        while total[j] - total[i + 1] >= least:
+            i += 1
+        if total[j] - total[i] >= least:
+            found.add((i, j))
+    out = []
+    for i, j in sorted(found):
+        joined = "\n".join(" ".join(p[2]) for p in pieces[i:j])
+        out.append((hashlib.blake2b(joined.encode("utf-8", "replace"), digest_size=16).digest(), pieces[i][0], pieces[j - 1][1]))
     return out
 
 

@@ -121,3 +121,11 @@ def test_recall_in_the_deepest_buckets(spark):
     found = ngram_join.join(docs, limit=1).filter("n_links = 1").count() / 2
     # Two deviations of the count below the recall.
     assert found >= n * ngram_join.RECALL - 2 * (n * ngram_join.RECALL * (1 - ngram_join.RECALL)) ** 0.5
+
+
+def test_passages_inside_a_line(spark):
+    """A repeat that begins and ends inside a paragraph goes to both ends; the sentences around it stay."""
+    part = " ".join(f"w{i}" for i in range(25)) + ". Short tail! "
+    docs = spark.createDataFrame([(1, "One start. " + part + "One end."), (2, "Other start? " + part + "Other end.")], "doc_id long, text string")
+    got = {r.doc_id: r for r in substring_dedup.clean(docs).collect()}
+    assert got[1].removed is None and got[2].text == "Other start? Other end." and got[2].first_ids == [1]
