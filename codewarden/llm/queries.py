@@ -7,16 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, chat_format, exact_dedup, lang_id, media, mixing, ngram_join, secrets, substring_dedup, token_counts
-from .common import table
+from .common import table, texts
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that lose a repeated passage; all others stay as they are."""
-    cut = substring_dedup.clean(table(spark, sf_dir, "documents").select("doc_id", "text"), changed_only=True)
+    """All documents without their repeated passages; one that loses none has no removed spans."""
+    cut = substring_dedup.clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    some = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    removed = some(F.col("removed"), substring_dedup.SPANS)
     span = lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))
     size = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return cut.select("doc_id", F.array_join(F.transform("removed", span), ",").alias("removed_spans"), size(F.col("removed")).alias("removed_chars"),
-                      size(F.col("kept")).alias("kept_chars"), "first_ids", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    return cut.select("doc_id", F.array_join(F.transform(removed, span), ",").alias("removed_spans"), size(removed).alias("removed_chars"),
+                      size(F.col("kept")).alias("kept_chars"), some(F.col("first_ids"), "array<long>").alias("first_ids"),
+                      F.sha2(texts(), 256).alias("kept_sha256"))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

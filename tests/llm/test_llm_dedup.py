@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from codewarden.llm import exact_dedup, ngram_join, substring_dedup
+from codewarden.llm import exact_dedup, ngram_join, queries, substring_dedup
 from codewarden.llm.shingles import shingles
 
 LONG = " ".join(f"w{i}" for i in range(30))
@@ -129,3 +129,12 @@ def test_passages_inside_a_line(spark):
     docs = spark.createDataFrame([(1, "One start. " + part + "One end."), (2, "Other start? " + part + "Other end.")], "doc_id long, text string")
     got = {r.doc_id: r for r in substring_dedup.clean(docs).collect()}
     assert got[1].removed is None and got[2].text == "Other start? Other end." and got[2].first_ids == [1]
+
+
+def test_query_returns_untouched_documents(spark, tmp_path):
+    rows = [(1, LONG), (2, LONG + "\nx"), (3, "short"), (4, None), (5, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op1_substring_dedup(spark, str(tmp_path)).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5] and got[2].removed_chars == len(LONG) + 1 and got[2].first_ids == [1]
+    for i, t in rows[:1] + rows[2:]:
+        assert tuple(got[i]) == (i, "", 0, len(t or ""), [], hashlib.sha256((t or "").encode()).hexdigest())
