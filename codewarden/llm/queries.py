@@ -44,7 +44,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = media.media_column(table(spark, sf_dir, "documents"))
+    stored = media.media_column(table(spark, sf_dir, "documents"), kind=media.UP)
     return (media.media_features(stored)
             .select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256",
                     F.lower(F.hex("phash")).alias("feature")))

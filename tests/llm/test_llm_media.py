@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from codewarden.llm import media
+from codewarden.llm import media, queries
 
 
 @pytest.mark.parametrize("kind", range(5))
@@ -52,3 +52,12 @@ def test_columns(spark):
             len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
     assert len({(r.media_sha256, bytes(r.phash)) for r in rows if r.doc_id == 1}) == 1
     assert media.media_features(media.media_column(docs.limit(0))).count() == 0
+
+
+def test_query_unfilters(spark, tmp_path):
+    raw = ("some text of several rows " * 20).encode()
+    spark.createDataFrame([(1, raw.decode())], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    row = queries.op5_media_columns(spark, str(tmp_path)).first()
+    padded = media.padded(raw)
+    assert row.payload_sha256 == hashlib.sha256(padded).hexdigest()
+    assert row.media_sha256 == hashlib.sha256(media.write_png(padded, media.UP)).hexdigest()
