@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, exact_dedup, hard_negatives, lang_id, media, mixing, ngram_join, secrets, substring_dedup, token_counts
+from . import byte_bpe, chat_format, collocations, exact_dedup, hard_negatives, lang_id, media, mixing, neighbours, ngram_join, secrets, substring_dedup, token_counts
 from .common import table, texts
 
 
@@ -152,6 +152,36 @@ WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id
 QUALIFY row_number() OVER w <= 10"""
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+OP12_SQL = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, size, unnest(list_transform(range(1, len(ws) - size + 2), lambda i: array_to_string(ws[i : i + size - 1], ' '))) AS phrase
+      FROM w, (VALUES (1), (2), (3)) AS sizes(size) WHERE len(ws) >= size),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE size > 1 AND f >= 10),
+k AS (SELECT c.*, k, array_to_string(ws[1 : k], ' ') AS head, array_to_string(ws[k + 1 :], ' ') AS rest FROM c, (VALUES (1), (2)) AS cuts(k) WHERE k < size),
+s AS (SELECT k.lang, k.phrase, k.size, k.a, k.k, x.f AS l, y.f AS r, (1000000 * k.a::HUGEINT * k.a) // (x.f::HUGEINT * y.f) AS score
+      FROM k JOIN f x ON x.lang = k.lang AND x.phrase = k.head JOIN f y ON y.lang = k.lang AND y.phrase = k.rest),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+m AS (SELECT lang, phrase, max(a) AS longer FROM (
+        SELECT lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase FROM c WHERE size = 3) GROUP BY ALL)
+SELECT b.lang, row_number() OVER t AS rank, b.phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM b JOIN n USING (lang) LEFT JOIN m ON m.lang = b.lang AND m.phrase = b.phrase AND b.size = 2
+WHERE longer IS NULL OR 100 * longer < 50 * a
+WINDOW t AS (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase)
+QUALIFY row_number() OVER t <= 2000"""
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -170,6 +200,8 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_chat_format": op10_chat_format,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_collocations": op12_collocations,
+    "op13_neighbours": op13_neighbours,
     "pipeline": pipeline,
 }
 ORACLES = {
@@ -177,4 +209,5 @@ ORACLES = {
     "op9_secret_scan": OP9_SQL,
     "op10_chat_format": OP10_SQL,
     "op11_hard_negatives": OP11_SQL,
+    "op12_collocations": OP12_SQL,
 }
