@@ -15,8 +15,10 @@ well and falls below the threshold in the end: the filters save work and decide
 nothing.
 
 Texts are lower-cased (A-Z only), cut into pieces at ``[.,;:!?\\x0A-\\x0D]`` and
-those into words at blanks and tabs.  Everything is per language.  Tasks add up
-their own counts before anything moves, so a frequent phrase is a row per task.
+those into words at blanks and tabs.  Everything is per language.  Words are
+counted as they are written, longer phrases as rows of 64-bit word numbers, which
+are digests of language and word; two frequent words with one number end the job.
+Tasks add up their own counts before anything moves, so a frequent phrase is a row per task.
 
 * null text: empty; null language: ``und``; bytes that are no UTF-8 count as U+FFFD.
 * ``lang`` is the only column used beside the text and the id; rows that repeat count again.
@@ -30,20 +32,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import scratch_dir
+from ..session import cut_lineage, scratch_dir
 from .common import slices, steps
 from .shingles import mix
 
-#: Words and distinct words of a language that a task holds before it passes their counts on.
-TOKENS, NAMES = 1 << 20, 1 << 19
-_BREAK = b"."
+#: Bytes of text that are cut into words at once, and words that a task holds before it passes their counts on.
+PIECE, TOKENS = 1 << 20, 1 << 21
+#: Places looked up in a filter at once.
+_STEP = 1 << 18
+_BREAK, _BLANK = ord("."), ord(" ")
 _TABLE = bytes.maketrans(b",;:!?\n\x0b\x0c\r\t", b"......... ")
 _ODD = (np.arange(1, 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+#: Bytes as random numbers, and the factor from one byte of a word to the next.
+_BYTES, _FACTOR = mix(np.arange(1, 257, dtype=np.uint64)), 0xC2B2AE3D27D4EB4F
+_INVERSE = pow(_FACTOR, -1, 1 << 64)
 
 
 @dataclass(frozen=True)
@@ -52,17 +58,32 @@ class Counting:
 
     words: int = 3
     least: int = 10
-    shards: int = 4
+    shards: int = 2
     bits: int = 1 << 26
 
 
-def tokens(raw: bytes) -> list[bytes]:
-    """Words of a text in order, with a point between pieces."""
-    return raw.lower().translate(_TABLE).replace(_BREAK, b" . ").split(b" ")
+def _powers(factor: int, n: int) -> np.ndarray:
+    x = np.full(n, factor, np.uint64)
+    x[:1] = 1
+    return np.cumprod(x, dtype=np.uint64)
 
 
-def _name(lang: bytes, word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word, seed=xxhash.xxh32_intdigest(lang))
+def words_of(data: bytes, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of all words of a text, where they begin and end, and whether the next word is in the same piece.
+
+    ``data`` is lower-cased and translated; a word's number is a polynomial in
+    its bytes, taken from running sums over the text.
+    """
+    cells = np.frombuffer(data, np.uint8)
+    ends = cells == _BREAK
+    gap = np.concatenate([[True], ends | (cells == _BLANK), [True]])
+    start, stop = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+    if not len(start):
+        return np.empty(0, np.uint64), start, stop, np.empty(0, bool)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[cells] * _powers(_FACTOR, len(cells)))])
+    numbers = mix((sums[stop] - sums[start]) * _powers(_INVERSE, len(cells))[start] + (stop - start).astype(np.uint64) + np.uint64(seed))
+    piece = np.cumsum(ends, dtype=np.int32)[start]
+    return np.maximum(numbers, 1), start, stop, np.append(piece[1:] == piece[:-1], False)
 
 
 def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,71 +98,99 @@ def passes(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bit(one) & bit(two)).astype(bool)
 
 
-def phrase_hashes(names: np.ndarray, words: int) -> np.ndarray:
-    """Hash of the phrase of ``words`` words that starts at each place of a row of word hashes."""
-    n = max(len(names) - words + 1, 0)
-    total = np.zeros(n, np.uint64)
-    for k in range(words):
-        total += names[k : k + n] * _ODD[k]
-    return mix(total + np.uint64(words))
+def phrase_hashes(columns: list[np.ndarray]) -> np.ndarray:
+    """Hashes of phrases given by their words' numbers, one column for each word."""
+    total = np.full(len(columns[0]), len(columns), np.uint64)
+    for k, c in enumerate(columns):
+        total += c * _ODD[k]
+    return mix(total)
 
 
 class Accumulator:
-    """Counts of one language in one task; the words of a phrase are codes of a dictionary until it is passed on."""
+    """Words of one language in one task, until their counts are passed on."""
 
-    def __init__(self, lang: bytes, words: int, count_words: bool, now: np.ndarray, before: np.ndarray | None):
+    def __init__(self, lang: bytes, words: int, count_words: bool, now: np.ndarray | None, before: np.ndarray | None):
         self.lang, self.words, self.count_words, self.now, self.before = lang, words, count_words, now, before
+        self.seed = xxhash.xxh64_intdigest(lang)
         self.reset()
 
     def reset(self) -> None:
-        self.codes: dict[bytes, int] = {_BREAK: 0}
-        self.parts: list[np.ndarray] = []
-        self.held = 0
-
-    def full(self) -> bool:
-        return self.held >= TOKENS or len(self.codes) >= NAMES
-
-    def add(self, words: list[bytes]) -> None:
-        """Words of a text, or of a part of it."""
-        codes = self.codes
-        own = np.fromiter((codes.setdefault(w, len(codes)) for w in words if w), np.int64)
-        self.parts += [own, np.zeros(1, np.int64)]
-        self.held += len(own)
+        self.waiting: list[bytes] = []
+        self.parts: list[tuple] = []
+        self.size = self.held = 0
+
+    def add(self, raw: bytes) -> None:
+        """A whole text; short ones are cut into words together."""
+        self.waiting.append(raw.lower().translate(_TABLE))
+        self.size += len(raw) + 1
+        if self.size >= PIECE:
+            self._cut()
+
+    def _cut(self) -> None:
+        data = b".".join(self.waiting)
+        numbers, start, stop, joined = words_of(data, self.seed)
+        # The words as they are written are needed only while words are counted.
+        self.parts.append((numbers, joined, *((data, start, stop) if self.count_words else ())))
+        self.waiting, self.size = [], 0
+        self.held += len(numbers)
 
     def counts(self):
-        """(phrases as columns of words, counts) for every length, and start anew."""
-        if not self.parts:
-            return
-        row = np.concatenate(self.parts)
-        vocabulary = pa.array(list(self.codes), pa.binary())
-        if self.count_words:
-            n = np.bincount(row, minlength=len(self.codes))
-            n[0] = 0
-            use = np.flatnonzero(n)
-            yield [vocabulary.take(pa.array(use))], n[use]
+        """(words as written or None, columns of their numbers, counts) for every length; then start anew."""
+        self._cut()
+        numbers = np.concatenate([p[0] for p in self.parts])
+        joined = np.concatenate([p[1] for p in self.parts])[:-1]
+        coded = None
+        if self.count_words and len(numbers):
+            distinct, first, codes = np.unique(numbers, return_index=True, return_inverse=True)
+            coded = (distinct, codes)
+            yield pa.array(self._written(first), pa.binary()), [distinct], np.bincount(codes)
+        self.parts = []
         if self.words > 1 and self.now is not None:
-            names = np.fromiter((_name(self.lang, w) for w in self.codes), np.uint64, len(self.codes))[row]
-            word = row > 0
             # Whether the phrase of the length before has reached the threshold, now and a cycle ago.
-            reached = word & passes(self.now, phrase_hashes(names, 1))
-            old = reached & passes(self.before, phrase_hashes(names, 1)) if self.before is not None else np.zeros_like(reached)
+            reached, old = self._passed([numbers], np.ones(len(numbers), bool), np.ones(len(numbers), bool))
             for length in range(2, self.words + 1):
                 active, done = reached[:-1] & reached[1:], old[:-1] & old[1:]
+                if length == 2:
+                    active, done = active & joined, done & joined
                 at = np.flatnonzero(active & ~done)
                 if len(at):
-                    columns, n = _tally([row[at + k] for k in range(length)], len(self.codes).bit_length())
-                    yield [vocabulary.take(pa.array(c)) for c in columns], n
+                    # Few phrases have codes of their own, many share those of all words.
+                    if coded is None and 2 * length * len(at) > len(numbers):
+                        coded = np.unique(numbers, return_inverse=True)
+                    few = 2 * length * len(at) <= len(numbers)
+                    names, codes = np.unique(np.stack([numbers[at + k] for k in range(length)]), return_inverse=True) if few else coded
+                    columns, n = _tally([codes[k] if few else codes[at + k] for k in range(length)], len(names).bit_length())
+                    yield None, [names[c] for c in columns], n
                 if length < self.words:
-                    hashes = phrase_hashes(names, length)
-                    reached = active & passes(self.now, hashes)
-                    old = done & passes(self.before, hashes) if self.before is not None else np.zeros_like(reached)
+                    reached, old = self._passed([numbers[k : len(active) + k] for k in range(length)], active, done)
         self.reset()
 
-
-def _tally(columns: list[np.ndarray], bits: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows of codes of so many bits and how often each occurs; codes are packed without loss."""
-    key, spent, maps = columns[0], bits, []
-    for c in columns[1:]:
+    def _written(self, places: np.ndarray) -> list[bytes]:
+        begin = np.cumsum([0, *(len(p[0]) for p in self.parts)])
+        own = np.searchsorted(begin, places, side="right") - 1
+        out = []
+        for part, at in zip(own.tolist(), (places - begin[own]).tolist()):
+            _, _, data, start, stop = self.parts[part]
+            out.append(data[start[at] : stop[at]])
+        return out
+
+    def _passed(self, columns: list[np.ndarray], active: np.ndarray, done: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the active phrases those that have reached the threshold, now and a cycle ago."""
+        reached, old = np.zeros_like(active), np.zeros_like(active)
+        places = np.flatnonzero(active)
+        for start in range(0, len(places), _STEP):
+            at = places[start : start + _STEP]
+            hashes = phrase_hashes([c[at] for c in columns])
+            reached[at] = passes(self.now, hashes)
+            if self.before is not None:
+                old[at] = done[at] & reached[at] & passes(self.before, hashes)
+        return reached, old
+
+
+def _tally(codes: list[np.ndarray], bits: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of codes of so many bits and how often each occurs; rows are packed without loss."""
+    key, spent, maps = codes[0], bits, []
+    for c in codes[1:]:
         if spent + bits > 63:
             values, key = np.unique(key, return_inverse=True)
             maps.append(values)
@@ -160,23 +209,29 @@ def _tally(columns: list[np.ndarray], bits: int) -> tuple[list[np.ndarray], np.n
     return [values, *reversed(out)], n
 
 
-_FOUND = "lang binary, phrase binary, words int, n long"
+def _columns(words: int) -> list[str]:
+    return [f"w{k}" for k in range(1, words + 1)]
 
 
 def _scan(docs: DataFrame, counting: Counting, count_words: bool, now, before) -> DataFrame:
-    """(lang, phrase, words, n) added up within tasks; the filters are broadcast variables of a fixed size, or None."""
+    """(lang, word, w1, w2, ..., n) added up within tasks; the filters are broadcast variables of a fixed size, or None."""
+    names = _columns(counting.words)
 
     def run(batches):
         of: dict[bytes, Accumulator] = {}
 
-        def flushed(a: Accumulator):
-            for columns, n in a.counts():
-                phrase = columns[0] if len(columns) == 1 else pc.binary_join_element_wise(*columns, b" ")
-                for at in range(0, len(n), 1 << 16):
-                    own = n[at : at + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([a.lang] * len(own), pa.binary()), phrase.slice(at, len(own)), pa.array(np.full(len(own), len(columns), np.int32)), pa.array(own.astype(np.int64))],
-                        ["lang", "phrase", "words", "n"])
+        def flushed():
+            for a in of.values():
+                for word, columns, n in a.counts():
+                    for at in range(0, len(n), 1 << 16):
+                        m = len(n[at : at + (1 << 16)])
+                        nothing = pa.nulls(m, pa.binary())
+                        ids = [pa.array(c[at : at + m].view(np.int64)) for c in columns]
+                        ids += [pa.array(np.zeros(m, np.int64))] * (counting.words - len(ids))
+                        yield pa.RecordBatch.from_arrays(
+                            [nothing if word is None else pa.array([a.lang] * m, pa.binary()), nothing if word is None else word.slice(at, m), *ids,
+                             pa.array(n[at : at + m].astype(np.int64))], ["lang", "word", *names, "n"])
+            of.clear()
 
         for batch in slices(batches):
             for langs, raws in steps([batch.select(["lang", "_cw_text"])], 16):
@@ -184,74 +239,68 @@ def _scan(docs: DataFrame, counting: Counting, count_words: bool, now, before) -
                     a = of.get(lang)
                     if a is None:
                         a = of[lang] = Accumulator(lang, counting.words, count_words, now and now.value, before and before.value)
-                    a.add(tokens(raw))
-                    if a.full():
-                        yield from flushed(a)
-                # Many languages share the bound.
-                if sum(x.held for x in of.values()) >= TOKENS:
-                    for x in of.values():
-                        yield from flushed(x)
-                    of.clear()
-        for a in of.values():
-            yield from flushed(a)
+                    a.add(raw)
+                if sum(x.held + x.size // 8 for x in of.values()) >= TOKENS:
+                    yield from flushed()
+        yield from flushed()
 
-    return docs.mapInArrow(run, _FOUND)
+    return docs.mapInArrow(run, f"lang binary, word binary, {', '.join(f'{c} long' for c in names)}, n long")
 
 
-def _bits(reached: DataFrame, bits: int) -> np.ndarray:
+def _bits(reached: DataFrame, names: list[str], bits: int) -> np.ndarray:
     """Filter of the phrases; at most one row per 64 bits reaches the driver, whatever their number."""
 
     def run(batches):
         for batch in batches:
-            lang, phrase = batch.column("lang").to_pylist(), batch.column("phrase").to_pylist()
-            h = [phrase_hashes(np.array([_name(g, w) for w in p.split(b" ")], np.uint64), p.count(b" ") + 1)[0] for g, p in zip(lang, phrase)]
-            at = np.concatenate(_places(np.array(h, np.uint64), bits))
+            columns = [batch.column(c).to_numpy().view(np.uint64) for c in names]
+            size = sum((c != 0).astype(int) for c in columns)
+            at = np.concatenate([np.concatenate(_places(phrase_hashes([c[size == n] for c in columns[:n]]), bits)) for n in range(1, len(names) + 1)])
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["at", "bit"])
 
     out = np.zeros(bits // 64, np.uint64)
-    found = reached.select("lang", "phrase").mapInArrow(run, "at long, bit long").groupBy("at").agg(F.expr("bit_or(bit)").alias("bit")).toArrow()
+    found = reached.select(*names).mapInArrow(run, "at long, bit long").groupBy("at").agg(F.expr("bit_or(bit)").alias("bit")).toArrow()
     out[found["at"].to_numpy()] = found["bit"].to_numpy().view(np.uint64)
     return out
 
 
-def frequent(docs: DataFrame, counting: Counting = Counting(), id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
-    """Frequent phrases (lang, phrase, words, f) of all lengths, and the number of words (lang, n)."""
+def frequent(docs: DataFrame, counting: Counting = Counting(), id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Frequent phrases (w1, w2, ..., f) of all lengths, frequent words (lang, word, w1), and the number of words (lang, n)."""
     spark = docs.sparkSession
+    names, shards = _columns(counting.words), counting.shards
     raw = F.make_valid_utf8(F.coalesce(F.col(text), F.lit(""))).cast("binary")
     own = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).cast("binary").alias("lang"),
-                      F.pmod(F.xxhash64(F.col(id_col), raw), F.lit(counting.shards)).alias("_cw_shard"), raw.alias("_cw_text"))
-    shards = counting.shards
+                      F.pmod(F.xxhash64(F.col(id_col), raw), F.lit(shards)).alias("_cw_shard"), raw.alias("_cw_text"))
     filters: list = []
     bitmap = np.zeros(counting.bits // 64, np.uint64)
-    totals = sizes = None
+    totals = words = sizes = None
     done: list[DataFrame] = []
     step = 0
     while True:
         now = filters[-1] if filters else None
         before = filters[step - shards - 1] if step > shards else None
-        if step >= shards and (now is None or np.array_equal(now.value, before.value if before else np.zeros_like(bitmap))):
+        if step >= shards and np.array_equal(now.value, before.value if before else np.zeros_like(bitmap)):
             break
-        found = _scan(own.filter(F.col("_cw_shard") == step % shards).drop("_cw_shard"), counting, step < shards, now, before)
-        found = found.withColumn("since", F.lit(step))
+        found = _scan(own.filter(F.col("_cw_shard") == step % shards).drop("_cw_shard"), counting, step < shards, now, before).withColumn("since", F.lit(step))
         if totals is not None:
             found = found.unionByName(totals)
         path = scratch_dir(spark, f"phrases{step}")
-        found.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"), F.min("since").alias("since")).write.parquet(path)
+        found.groupBy("lang", "word", *names).agg(F.sum("n").alias("n"), F.min("since").alias("since")).write.parquet(path)
         totals = spark.read.parquet(path)
-        reached = totals.filter((F.col("n") >= counting.least) & (F.col("words") < counting.words))
-        bitmap = bitmap | _bits(reached, counting.bits)
+        bitmap = bitmap | _bits(totals.filter((F.col("n") >= counting.least) & (F.col(names[-1]) == 0)), names, counting.bits)
         filters.append(spark.sparkContext.broadcast(bitmap))
-        # Words are complete after one cycle; another phrase at the latest one cycle after it was first met.
+        is_word = F.col("word").isNotNull()
         if step == shards - 1:
-            sizes = totals.filter("words = 1").groupBy("lang").agg(F.sum("n").alias("n"))
-        over = F.when(F.col("words") == 1, F.lit(step >= shards - 1)).otherwise(F.col("since") <= step - shards + 1)
+            sizes = totals.filter(is_word).groupBy("lang").agg(F.sum("n").alias("n"))
+            words = totals.filter(is_word & (F.col("n") >= counting.least)).select("lang", "word", "w1")
+        # Words are complete after one cycle; another phrase at the latest one cycle after it was first met.
+        over = F.when(is_word, F.lit(step >= shards - 1)).otherwise(F.col("since") <= step - shards + 1)
         done.append(totals.filter(over & (F.col("n") >= counting.least)))
         totals = totals.filter(~over)
         step += 1
     every = totals.filter(F.col("n") >= counting.least)
     for d in done:
         every = every.unionByName(d)
-    return every.select("lang", "phrase", "words", F.col("n").alias("f")), sizes
+    return every.select(*names, F.col("n").alias("f")), words, sizes
 
 
 def _floor_ratio(a: Column, below: Column, above: Column) -> Column:
@@ -268,23 +317,36 @@ def collocations(docs: DataFrame, counting: Counting = Counting(), covered: int
     A phrase inside a longer one that has at least ``covered`` hundredths of its
     occurrences is dropped.
     """
-    found, sizes = frequent(docs, counting, id_col, text, lang)
-    words = F.split(F.col("phrase").cast("string"), " ", -1)
-    joined = lambda w, start, n: F.array_join(F.slice(w, start, n), " ").cast("binary")
-    candidates = found.filter("words > 1").select("lang", "phrase", "words", F.col("f").alias("a"))
-    cuts = candidates.select("*", words.alias("w"), F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
-    cuts = cuts.select("lang", "phrase", "words", "a", "k", joined("w", F.lit(1), F.col("k")).alias("first"),
-                       joined("w", F.col("k") + 1, F.col("words") - F.col("k")).alias("rest"))
-    part = lambda name, size: found.select("lang", F.col("phrase").alias(name), F.col("f").alias(size))
-    scored = cuts.join(part("first", "l"), ["lang", "first"]).join(part("rest", "r"), ["lang", "rest"])
-    best = scored.groupBy("lang", "phrase", "words", "a").agg(F.min(F.struct(_floor_ratio(F.col("a"), F.col("l"), F.col("r")).alias("score"), "k", "l", "r")).alias("best"))
-    inner = candidates.filter("words > 2").select("lang", "a", "words", words.alias("w"))
-    inner = inner.select("lang", "a", "words", "w", F.explode(F.sequence(F.lit(2), F.col("words") - 1)).alias("k"))
-    inner = inner.select("lang", "a", "k", "w", F.explode(F.sequence(F.lit(1), F.col("words") - F.col("k") + 1)).alias("at"))
-    longest = inner.groupBy("lang", joined("w", F.col("at"), F.col("k")).alias("phrase")).agg(F.max("a").alias("_cw_longer"))
-    kept = best.join(longest, ["lang", "phrase"], "left").filter(F.col("_cw_longer").isNull() | (100 * F.col("_cw_longer") < covered * F.col("a")))
-    order = Window.partitionBy("lang").orderBy(F.desc("best.score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    return (ranked.join(sizes, "lang")
-            .select(F.col("lang").cast("string").alias("lang"), F.col("rank").cast("long").alias("rank"), F.col("phrase").cast("string").alias("phrase"),
-                    "a", "best.l", "best.r", "n", "best.score"))
+    found, words, sizes = frequent(docs, counting, id_col, text, lang)
+    names = _columns(counting.words)
+    found, words = cut_lineage(found), cut_lineage(words)
+    twice = words.groupBy("w1").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").limit(1).collect()
+    if twice:
+        raise ArithmeticError("two frequent words have the same number")
+    size = sum((F.col(w) != 0).cast("int") for w in names)
+    ids = F.slice(F.array(*names), F.lit(1), F.col("size"))
+
+    def spread(of: Column) -> list[Column]:
+        """The numbers of a phrase as columns, zeros behind them."""
+        return [F.coalesce(F.get(of, F.lit(k)), F.lit(0).cast("long")).alias(w) for k, w in enumerate(names)]
+
+    candidates = found.filter("w2 <> 0").withColumn("size", size).select(*names, "size", F.col("f").alias("a"))
+    cut = candidates.select(*[F.col(w).alias(f"p{w}") for w in names], "size", "a", ids.alias("ids"), F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
+    kept = [f"p{w}" for w in names] + ["size", "a", "k"]
+    heads = cut.select(*kept, "ids", *spread(F.slice("ids", F.lit(1), F.col("k")))).join(found.withColumnRenamed("f", "l"), names).drop(*names)
+    both = heads.select(*kept, "l", *spread(F.slice("ids", F.col("k") + 1, F.col("size") - F.col("k")))).join(found.withColumnRenamed("f", "r"), names).drop(*names)
+    best = both.groupBy(*[F.col(f"p{w}").alias(w) for w in names], "a").agg(
+        F.min(F.struct(_floor_ratio(F.col("a"), F.col("l"), F.col("r")).alias("score"), "k", "l", "r")).alias("best"))
+    inner = candidates.filter("size > 2").select("a", "size", ids.alias("ids"), F.explode(F.sequence(F.lit(2), F.col("size") - 1)).alias("k"))
+    inner = inner.select("a", "ids", "k", F.explode(F.sequence(F.lit(1), F.col("size") - F.col("k") + 1)).alias("at"))
+    longest = inner.select("a", *spread(F.slice("ids", F.col("at"), F.col("k")))).groupBy(*names).agg(F.max("a").alias("_cw_longer"))
+    left = best.join(longest, names, "left").filter(F.col("_cw_longer").isNull() | (100 * F.col("_cw_longer") < covered * F.col("a")))
+    # Words as they are written; the first one tells the language.
+    named = left.join(words.withColumnRenamed("word", "_cw_1"), "w1")
+    for k, w in enumerate(names[1:], 2):
+        named = named.join(words.select(F.col("w1").alias(w), F.col("word").alias(f"_cw_{k}")), w, "left")
+    phrase = F.concat_ws(" ", *[F.col(f"_cw_{k}").cast("string") for k in range(1, len(names) + 1)])
+    named = named.select("lang", phrase.alias("phrase"), "a", "best.l", "best.r", "best.score")
+    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    ranked = named.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    return ranked.join(sizes, "lang").select(F.col("lang").cast("string").alias("lang"), F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -55,33 +55,44 @@ def test_by_brute_force(spark, words, shards, bits):
     assert sorted(map(tuple, got.collect())) == brute(rows, words, 5, 40, 30)
 
 
-def test_small_accumulators(spark, monkeypatch):
+def test_small_accumulators():
     """Counts do not depend on how often a task passes them on."""
     now = np.full(1, np.uint64(2**64 - 1))
-    whole, parts = collections.Counter(), collections.Counter()
-    for into, least in ((whole, 10**9), (parts, 50)):
-        monkeypatch.setattr(collocations, "TOKENS", least)
+    found = []
+    for least in (10**9, 50):
+        into = collections.Counter()
         a = collocations.Accumulator(b"en", 4, True, now, None)
-        for _, text, *_ in texts()[:40]:
-            a.add(collocations.tokens(text.encode()))
-            if a.full():
-                for columns, n in a.counts():
-                    for p, k in zip(zip(*(c.to_pylist() for c in columns)), n):
-                        into[p] += int(k)
-        for columns, n in a.counts():
-            for p, k in zip(zip(*(c.to_pylist() for c in columns)), n):
-                into[p] += int(k)
-    assert whole == parts and max(map(len, whole)) == 4
-
-
-def test_long_codes():
+        for _, text, *_ in [*texts()[:40], (0, None)]:
+            if text is None or a.held >= least:
+                for _, columns, n in a.counts():
+                    for p, k in zip(zip(*(c.tolist() for c in columns)), n.tolist()):
+                        into[p] += k
+            a.add((text or "").encode())
+        found.append(into)
+    assert found[0] == found[1] and max(map(len, found[0])) == 4
+
+
+@pytest.mark.parametrize("bits", [2, 30])
+def test_tally(bits):
     """Codes too wide to be packed together are renumbered on the way."""
     rng = np.random.default_rng(1)
-    columns = [rng.integers(0, 1 << 29, 50)[rng.integers(0, 50, 500)] for _ in range(4)]
-    found, n = collocations._tally(columns, 30)
+    columns = [rng.integers(0, 1 << bits, 50)[rng.integers(0, 50, 500)] for _ in range(4)]
+    columns = [np.concatenate([c, c[:50]]) for c in columns]
+    found, n = collocations._tally(columns, bits)
     want = collections.Counter(zip(*(c.tolist() for c in columns)))
     assert {p: int(k) for p, k in zip(zip(*(c.tolist() for c in found)), n)} == want
 
 
+def test_numbers_do_not_depend_on_the_place():
+    data = b"the cat.sat on  the mat. the cat sat"
+    numbers, start, stop, joined = collocations.words_of(data, 5)
+    words = [data[a:b] for a, b in zip(start, stop)]
+    assert words == [b"the", b"cat", b"sat", b"on", b"the", b"mat", b"the", b"cat", b"sat"]
+    assert joined.tolist() == [True, False, True, True, True, False, True, True, False]
+    known = dict(zip(words, numbers.tolist()))
+    assert len(set(known.values())) == 5 and [known[w] for w in words] == numbers.tolist()
+    assert all(len(x) == 0 for x in collocations.words_of(b" . ", 5))
+
+
 def test_of_nothing(spark):
     assert collocations.collocations(spark.createDataFrame([], SCHEMA)).collect() == []
