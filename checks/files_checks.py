@@ -127,13 +127,17 @@ NUMBERED = """array_to_string(list_transform(range(1, len(string_split(c, chr(10
 
 @query("chunk_prompts", f"""{PACKED}, b AS (SELECT pk.*, CASE WHEN ceil(length(content) / 4) > {LIMIT} THEN concat(left(content, {LIMIT * 2}), chr(10), chr(10), '{CUT}', chr(10), chr(10), right(content, {LIMIT * 2}))
   ELSE content END AS c FROM pk JOIN files_fx USING (repo, path)),
-l AS (SELECT *, length(c) + len(string_split(c, chr(10))) * 3 + list_sum(list_transform(range(1, len(string_split(c, chr(10))) + 1), lambda i: length(CAST(i AS VARCHAR)))) + length(path) + 7 AS block_len FROM b)
-SELECT repo, domain, concat(domain, '-', lpad(CAST(chunk_no AS VARCHAR), 3, '0')) AS chunk_id, CAST(sum(t) AS BIGINT) AS tokens, count(*) AS n_files,
-CAST(sum(block_len) + 2 * (count(*) - 1) AS BIGINT) AS blocks_len FROM l GROUP BY repo, domain, chunk_no""")
+l AS (SELECT *, concat('── ', path, ' ──', chr(10), array_to_string(list_transform(string_split(c, chr(10)), lambda x, i: concat(i, ' | ', x)), chr(10))) AS block,
+  concat(domain, '-', lpad(CAST(chunk_no AS VARCHAR), 3, '0')) AS chunk_id FROM b)
+SELECT repo, domain, chunk_id, CAST(sum(t) AS BIGINT) AS tokens, count(*) AS n_files,
+md5(concat('## Security Scan Context', chr(10), chr(10), '**Target:** t', chr(10), '**Branch:** main', chr(10), '**Domain:** ', domain, chr(10), '**Chunk:** ', chunk_id, chr(10), '**Focus:** ',
+  CASE domain WHEN 'auth' THEN 'sessions' ELSE '' END, chr(10), chr(10), '## Files to Analyze (', count(*), ')', chr(10), chr(10), string_agg(concat('  - ', path), chr(10) ORDER BY rn), chr(10), chr(10),
+  '## File Contents', chr(10), chr(10), string_agg(block, concat(chr(10), chr(10)) ORDER BY rn), chr(10), chr(10), '---', chr(10), chr(10), 'Analyze these files for ', domain,
+  ' security issues. Return your findings as a JSON array.', CASE WHEN domain IN ('auth', 'data-flow', 'general') THEN concat(chr(10), chr(10), '## HIPAA Configuration Context', chr(10), 'ctx') ELSE '' END)) AS user_md5
+FROM l GROUP BY repo, domain, chunk_id""")
 def chunk_prompts(spark, sf):
-    d = packing.chunk_prompts(packed(spark, sf), files(spark, sf), BUDGET, "t", "main", order="doc_id")
-    body = F.regexp_extract("user", r"(?s)## File Contents\n\n(.*)\z", 1)
-    return d.select("repo", "domain", "chunk_id", "tokens", "n_files", F.length(body).cast("long").alias("blocks_len"))
+    d = packing.chunk_prompts(packed(spark, sf), files(spark, sf), BUDGET, "t", "main", "ctx", order="doc_id", focus={"auth": "sessions"})
+    return d.select("repo", "domain", "chunk_id", "tokens", "n_files", F.md5("user").alias("user_md5"))
 
 
 @query("snippets", f"""{FX}, p AS (SELECT repo, path, content, CAST(1 + doc_id % 7 AS INT) AS line FROM files_fx), l AS (SELECT repo, path, line, string_split(content, chr(10)) AS x FROM p),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["findings_checks", "files_checks", "graph_checks", "trace_checks", "ingest_checks"]
+MODULES = ["findings_checks", "files_checks", "graph_checks", "trace_checks", "ingest_checks", "job_checks"]
 
 
 def _modules():

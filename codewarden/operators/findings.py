@@ -252,6 +252,20 @@ def vote_counts(merged: DataFrame, raw: DataFrame, models: int, key: str = "run_
     return counts if runs is None else every_run(runs, counts, key)
 
 
+def ensemble_stats(results: DataFrame, merged: DataFrame, raw: DataFrame, key: str = "run_id") -> DataFrame:
+    """Models that ran and succeeded, raw and merged findings, and how many models agreed.
+
+    ``results`` has one row per run and model with its ``error``; the number of
+    models of a run is that of its rows, also where none of them found anything.
+    """
+    models = results.groupBy(key).agg(F.count(F.lit(1)).alias("models_run"), F.count_if(F.coalesce("error", F.lit("")) == "").alias("models_succeeded"))
+    a, n = F.col("agreement"), F.col("models_run")
+    agreed = merged.join(models.select(key, "models_run"), key).groupBy(key).agg(
+        F.count(F.lit(1)).alias("merged"), F.count_if(a == n).alias("unanimous"), F.count_if((a > 1) & (a < n)).alias("majority"), F.count_if(a == 1).alias("single"))
+    found = raw.groupBy(key).agg(F.count(F.lit(1)).alias("raw"))
+    return models.join(found, key, "left").join(agreed, key, "left").fillna(0)
+
+
 # -- order -------------------------------------------------------------------------
 
 def report_order(lens_col: str = "lenses") -> list[Column]:

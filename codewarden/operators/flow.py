@@ -317,6 +317,20 @@ def merge_runtime(profiles: DataFrame, flows: DataFrame) -> DataFrame:
     return profiles.join(n, ["repo", "path"], "full").fillna(0)
 
 
+def merge_calls(profiles: DataFrame, flows: DataFrame) -> DataFrame:
+    """(repo, path, profile): runtime calls are appended to their file's profile;
+    a file that has calls only gets a profile that is empty otherwise."""
+    call = F.struct(F.col("kind").alias("type"), "channel", F.col("function_name").alias("functionName"), F.col("line").cast("double").alias("line"),
+                    F.lit(None).cast("string").alias("dataParam"))
+    order = F.struct("kind", "line", "channel", "function_name")
+    calls = flows.groupBy("repo", "path").agg(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), call.alias("c")))), lambda x: x["c"]).alias("_calls"))
+    kinds = {f.name: f.dataType.simpleString() for f in profiles.schema["profile"].dataType}
+    every = lambda name: F.coalesce(F.col(f"profile.{name}"), F.array().cast(kinds[name])).alias(name)
+    joined = F.concat(F.coalesce("profile.runtimeFlows", F.array().cast(kinds["runtimeFlows"])), F.coalesce("_calls", F.array().cast(kinds["runtimeFlows"])))
+    whole = F.struct(*[every(name) for name in kinds if name != "runtimeFlows"], joined.alias("runtimeFlows"))
+    return profiles.join(calls, ["repo", "path"], "full").select("repo", "path", whole.alias("profile"))
+
+
 def field_table(spark, extra: DataFrame | None, defaults: list[str]) -> DataFrame:
     """(field, ord): defaults first, then configured ones, each once."""
     base = spark.createDataFrame([(f, i) for i, f in enumerate(defaults)], "field string, ord long")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.jsregex import path_glob
+from ..functions.severity import lookup as sev_lookup
 from ..session import cut_lineage
 from .classify import security_relevant
 from .ordered import first_k, row_positions
@@ -157,9 +158,17 @@ def file_line() -> Column:
     return F.format_string("- %s (%s, +%d/-%d)", "filename", "status", "additions", "deletions")
 
 
-def pack_diff(files: DataFrame, context_tokens: int, key: str = "run_id", salts: int = 32) -> DataFrame:
+def diff_size(sections: DataFrame, key: str = "run_id") -> DataFrame:
+    """(key, diff_chars) of a diff from its sections, with its preamble and the files that nobody lists."""
+    return sections.groupBy(key).agg(F.sum(F.length("section")).alias("diff_chars"))
+
+
+def pack_diff(files: DataFrame, context_tokens: int, key: str = "run_id", salts: int = 32, size: DataFrame | None = None) -> DataFrame:
     """Skip-fit of diff sections; adds ``fate``: whole, packed, summary or skipped.
 
+    ``size`` is `diff_size` of the whole remaining diff; without it the listed
+    sections are measured.
+
     Security-relevant files first, then few changes first; a section that does
     not fit is summarised and later ones may still fit.  Room only shrinks, so
     once a section of some size is refused all later ones of that size are too:
@@ -172,6 +181,8 @@ def pack_diff(files: DataFrame, context_tokens: int, key: str = "run_id", salts:
     room = d.groupBy(key).agg(
         (F.lit(context_tokens - RESERVED_TOKENS) - F.ceil((F.sum("_chars") - 1) / 4)).alias("room"),
         F.ceil(F.coalesce(F.sum(F.length("section") + 1) - 1, F.lit(0)) / 4).alias("diff_tokens"))
+    if size is not None:
+        room = room.drop("diff_tokens").join(size, key, "left").withColumn("diff_tokens", F.ceil(F.coalesce("diff_chars", F.lit(0)) / 4)).drop("diff_chars")
     d = d.join(room, key).withColumn("_whole", F.col("diff_tokens") <= F.col("room"))
     order = [F.col("_late"), F.col("changes"), F.col("file_ord")]
     can = d.filter("not _whole and section is not null and tokens > 0 and tokens <= room").select(
@@ -200,6 +211,40 @@ def pack_diff(files: DataFrame, context_tokens: int, key: str = "run_id", salts:
     return d.join(taken, [key, "filename"], "left").withColumn("fate", fate).drop("_in", "_whole", "_late", "_chars")
 
 
+# What stands for omitted files, and names shown in the note.
+OMITTED = "\n\n--- Omitted files (summary only) ---\n"
+NOTED = 5
+
+
+def packed_review(packed: DataFrame, sections: DataFrame, key: str = "run_id", noted: int = NOTED) -> DataFrame:
+    """(key, diff, truncated, note, skipped, tokens) of reviews from `pack_diff`.
+
+    ``diff`` is the whole remaining diff where it fits, else the packed sections,
+    security-relevant and small ones first, and a line for each omitted file.
+    What is put together is within the token budget, but for the omitted lines.
+    """
+    whole = (sections.join(packed.filter("fate = 'whole'").select(key).distinct(), key, "left_semi").groupBy(key).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_no", "section"))), lambda x: x["section"]), "").alias("_whole")))
+    omitted = F.concat(F.lit("[diff omitted — too large] "), "filename", F.format_string(" (%s, +%d/-%d lines)", "status", "additions", "deletions"))
+    place = F.struct(F.when(security_relevant(F.col("filename")), 0).otherwise(1).alias("late"), F.col("changes").alias("changes"), F.col("file_ord").alias("file_ord"))
+    texts = lambda fate, value: F.transform(F.array_sort(F.collect_list(F.when(F.col("fate") == fate, F.struct(place.alias("o"), value.alias("t"))))), lambda x: x["t"])
+    # A file without a section has a line among the omitted ones, but is not counted as dropped.
+    dropped = F.array_sort(F.collect_list(F.when((F.col("fate") == "summary") & F.col("section").isNotNull(), F.struct(place.alias("o"), F.col("filename").alias("t")))))
+    per = packed.groupBy(key).agg(
+        texts("packed", F.col("section")).alias("_packed"), texts("summary", omitted).alias("_omitted"), F.transform(dropped, lambda x: x["t"]).alias("_dropped"),
+        F.array_sort(F.collect_list(F.when(F.col("section").isNull() & (F.coalesce("patch", F.lit("")) == ""), F.col("filename")))).alias("skipped"),
+        F.max("diff_tokens").alias("_all"), F.sum(F.when(F.col("fate") == "packed", F.col("tokens")).otherwise(0)).alias("_used"),
+        F.ceil((F.sum(F.length(file_line()) + 1) - 1) / 4).alias("_list"))
+    d = per.join(whole, key, "left")
+    cut = F.concat(F.array_join("_packed", "\n"), F.when(F.size("_omitted") > 0, F.concat(F.lit(OMITTED), F.array_join("_omitted", "\n"))).otherwise(""))
+    n = F.size("_dropped")
+    names = F.concat(F.array_join(F.slice("_dropped", 1, noted), ", "), F.when(n > noted, F.concat(F.lit(" and "), (n - noted).cast("string"), F.lit(" more"))).otherwise(""))
+    fits = F.col("_whole").isNotNull()
+    return d.select(key, F.coalesce("_whole", cut).alias("diff"), (~fits & (n > 0)).alias("truncated"),
+                    F.when(~fits & (n > 0), F.concat(F.lit("[TRUNCATED] "), n.cast("string"), F.lit(" file(s) omitted due to context limits: "), names)).alias("note"),
+                    "skipped", (F.col("_list") + F.when(fits, F.col("_all")).otherwise(F.col("_used"))).cast("long").alias("tokens"))
+
+
 # -- repository context -------------------------------------------------------------
 
 def context_lines(edges: DataFrame, tree: DataFrame, notes: DataFrame) -> DataFrame:
@@ -262,9 +307,7 @@ def fit_context(lines: DataFrame, budget: int) -> DataFrame:
 
 
 def sev_title(section: Column) -> Column:
-    from ..functions.severity import lookup
-
-    return lookup(section, TITLES)
+    return sev_lookup(section, TITLES)
 
 
 # -- prompts and snippets -------------------------------------------------------------
@@ -275,9 +318,10 @@ def numbered_file(path: Column, content: Column) -> Column:
 
 
 def chunk_prompts(packed: DataFrame, files: DataFrame, budget_tokens: int, target: str, branch: str, hipaa: str = "",
-                  order: str = "path") -> DataFrame:
+                  order: str = "path", focus: dict[str, str] | None = None) -> DataFrame:
     """One prompt row per chunk, files in the order in which `pack_chunks` placed
-    them (same ``order``); a chunk holds at most its token budget of text."""
+    them (same ``order``); a chunk holds at most its token budget of text.
+    ``focus`` says what to look for in a domain."""
     limit = int(np.floor(budget_tokens * FILL))
     d = packed.join(files.select("repo", "path", F.col(order).alias("_ord"), "content"), ["repo", "path"]).withColumn(
         "_block", numbered_file(F.col("path"), text.cut_middle(F.col("content"), limit)))
@@ -286,9 +330,11 @@ def chunk_prompts(packed: DataFrame, files: DataFrame, budget_tokens: int, targe
     wants = F.col("domain").isin("auth", "data-flow", "general") & F.lit(bool(hipaa))
     user = F.concat(
         F.lit(f"## Security Scan Context\n\n**Target:** {target}\n**Branch:** {branch}\n**Domain:** "), "domain",
-        F.lit("\n**Chunk:** "), "chunk_id", F.lit("\n\n## Files to Analyze ("), F.size("_f").cast("string"), F.lit(")\n\n"),
+        F.lit("\n**Chunk:** "), "chunk_id", F.lit("\n**Focus:** "), sev_lookup(F.col("domain"), focus or {"": ""}, ""), F.lit("\n\n## Files to Analyze ("), F.size("_f").cast("string"), F.lit(")\n\n"),
         F.array_join(F.transform("_f", lambda x: F.concat(F.lit("  - "), x["path"])), "\n"),
         F.lit("\n\n## File Contents\n\n"), F.array_join(F.col("_f._block"), "\n\n"),
+        # Fixed value: the closing line.
+        F.lit("\n\n---\n\nAnalyze these files for "), "domain", F.lit(" security issues. Return your findings as a JSON array."),
         F.when(wants, F.lit(f"\n\n## HIPAA Configuration Context\n{hipaa}")).otherwise(""))
     return per.select("repo", "domain", "chunk_id", "tokens", F.size("_f").alias("n_files"), user.alias("user"))
 

@@ -251,9 +251,9 @@ def digest(trace: Trace) -> DataFrame:
 
 # -- process findings ----------------------------------------------------------------
 
-def _finding(signal: str, level: str, description: Column, evidence: Column, index: Column) -> list[Column]:
+def _finding(signal: str, level: str, description: Column, evidence: Column, index: Column, call: Column = F.lit(0)) -> list[Column]:
     return [F.col("session"), F.lit(signal).alias("signal"), F.lit(level).alias("severity"),
-            description.alias("description"), evidence.alias("evidence"), index.cast("long").alias("event_index")]
+            description.alias("description"), evidence.alias("evidence"), index.cast("long").alias("event_index"), call.cast("long").alias("call_no")]
 
 
 def dead_ends(trace: Trace) -> DataFrame:
@@ -274,13 +274,13 @@ def retry_storms(trace: Trace, minimum: int = 3) -> DataFrame:
     d = neighbour(trace.calls, ["session"], ["idx", "call_no"], F.col("key"), "_prev")
     d = running_sum(d, ["session"], ["idx", "call_no"], F.when(F.col("key") == F.col("_prev"), 0).otherwise(1), "_run")
     runs = d.groupBy("session", "_run").agg(
-        F.count(F.lit(1)).alias("n"), F.min_by(F.struct("idx", "name", "command"), F.struct("idx", "call_no")).alias("c"))
+        F.count(F.lit(1)).alias("n"), F.min_by(F.struct("idx", "call_no", "name", "command"), F.struct("idx", "call_no")).alias("c"))
     runs = runs.filter(F.col("n") >= minimum)
     what = F.when((F.col("c.name") == "Bash") & F.col("c.command").isNotNull(), F.left("c.command", F.lit(60))).otherwise(F.col("c.name"))
     count = F.col("n").cast("string")
     return runs.select(*_finding(
         "retry_storm", "warning", F.concat(F.lit("Same command retried "), count, F.lit(" times — suggests flaky approach.")),
-        F.concat("c.name", F.lit(": "), what, F.lit(" (repeated "), count, F.lit("x)")), F.col("c.idx")))
+        F.concat("c.name", F.lit(": "), what, F.lit(" (repeated "), count, F.lit("x)")), F.col("c.idx"), F.col("c.call_no")))
 
 
 def unhandled_errors(trace: Trace) -> DataFrame:
@@ -299,7 +299,7 @@ def unhandled_errors(trace: Trace) -> DataFrame:
     left = bad.join(handled.withColumnsRenamed({"_i": "idx", "_c": "call_no"}), ["session", "idx", "call_no"], "left_anti")
     return left.select(*_finding(
         "unhandled_error", "warning", F.lit("Agent encountered an error but continued without addressing it."),
-        F.concat("name", F.lit(": "), F.left("result", F.lit(100))), F.col("idx")))
+        F.concat("name", F.lit(": "), F.left("result", F.lit(100))), F.col("idx"), F.col("call_no")))
 
 
 def low_exploration(trace: Trace) -> DataFrame:
@@ -317,10 +317,10 @@ DETECTORS = [dead_ends, retry_storms, unhandled_errors, low_exploration]
 
 
 def process_findings(trace: Trace) -> DataFrame:
-    """All signals; ``pos`` puts warnings before information, stable."""
+    """All signals; ``sort_key`` puts warnings before information, then goes by detector, event and call."""
     out = None
     for n, detect in enumerate(DETECTORS):
         d = detect(trace).withColumn("_d", F.lit(n))
         out = d if out is None else out.unionByName(d)
     return out.withColumn("sort_key", F.struct(
-        (F.col("severity") != "warning").alias("late"), F.col("_d").alias("detector"), "event_index")).drop("_d")
+        (F.col("severity") != "warning").alias("late"), F.col("_d").alias("detector"), "event_index", "call_no")).drop("_d")
