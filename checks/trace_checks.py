@@ -92,7 +92,7 @@ un AS (SELECT session, 'unhandled_error' AS signal, 'warning' AS severity, 'Agen
 def signal(name, fn, cte, table):
     @query(name, f"{BASE}, {cte} SELECT {SIGNAL} FROM {table}")
     def go(spark, sf):
-        return fn(built(spark, sf))
+        return fn(built(spark, sf)).drop("call_no")
 
 
 # Whole sessions of the test data always hold errors; ten events make one here.
@@ -102,7 +102,7 @@ SHORT = BASE.replace("\ncl AS", "\ntf AS (SELECT * REPLACE (session * 1000 + seq
 @query("low_exploration", f"{SHORT}, {LOW} SELECT {SIGNAL} FROM lo")
 def low_exploration(spark, sf):
     raw = spark_fixture(spark, sf, "raw_fx").withColumn("session", F.col("session") * 1000 + F.floor(F.col("pos") / 40))
-    return tr.low_exploration(tr.build(raw))
+    return tr.low_exploration(tr.build(raw)).drop("call_no")
 
 
 signal("retry_storms", tr.retry_storms, STORM, "rt")

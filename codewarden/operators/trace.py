@@ -251,9 +251,9 @@ def digest(trace: Trace) -> DataFrame:
 
 # -- process findings ----------------------------------------------------------------
 
-def _finding(signal: str, level: str, description: Column, evidence: Column, index: Column, call: Column = F.lit(0)) -> list[Column]:
+def _finding(signal: str, level: str, description: Column, evidence: Column, index: Column, call: Column | None = None) -> list[Column]:
     return [F.col("session"), F.lit(signal).alias("signal"), F.lit(level).alias("severity"),
-            description.alias("description"), evidence.alias("evidence"), index.cast("long").alias("event_index"), call.cast("long").alias("call_no")]
+            description.alias("description"), evidence.alias("evidence"), index.cast("long").alias("event_index"), (F.lit(0) if call is None else call).cast("long").alias("call_no")]
 
 
 def dead_ends(trace: Trace) -> DataFrame:

@@ -46,3 +46,24 @@ def test_digest_and_collapse(spark):
     long = spark.createDataFrame([("s", i, "x" * 9) for i in range(50)], "session string, idx int, line string")
     cut = [r.line for r in tr.cut_middle_lines(long, cap=40).orderBy("idx").collect()]
     assert cut == ["x" * 9] * 5 + ["[… elided 40 events …]"] + ["x" * 9] * 5
+
+
+def test_calls_of_one_event_keep_their_order(spark, tmp_path):
+    """Two errors of one event, the later one first by name, are reported in the order of the calls."""
+    both = {"type": "assistant", "message": {"model": "m", "content": [
+        {"type": "tool_use", "id": i, "name": n, "input": {"command": n}} for i, n in (("1", "Zeta"), ("2", "Alpha"))]}}
+    lines = [both, result("1", "bad z", True), result("2", "bad a", True), *[{"type": "user", "message": {"content": f"go on {i}"}} for i in range(4)]]
+    p = tmp_path / "two.jsonl"
+    p.write_text("\n".join(map(json.dumps, lines)))
+    found = tr.process_findings(tr.build(read_lines(spark, str(p)))).filter("signal = 'unhandled_error'").orderBy("sort_key").collect()
+    assert [(r.evidence, r.event_index, r.call_no) for r in found] == [("Zeta: bad z", 0, 0), ("Alpha: bad a", 0, 1)]
+
+
+def test_every_tool_in_a_digest(spark, tmp_path):
+    """Search, subagent and scratch calls are written as they are, the last ones not at all."""
+    calls = [("Grep", {"pattern": "p", "path": "src"}), ("Glob", {"query": "*.ts"}), ("Grep", {}), ("Task", {"description": "d" * 120}), ("TodoWrite", {"todos": []}),
+             ("Other", {"file_path": "x"}), ("Other", {}), ("Read", {"file_path": "f"}), ("Write", {"file_path": "w", "content": "y" * 2048}), ("replace", {"file_path": "r"})]
+    p = tmp_path / "tools.jsonl"
+    p.write_text("\n".join(json.dumps(call(str(i), n, **a)) for i, (n, a) in enumerate(calls)))
+    got = [r.line for r in tr.rendered(tr.build(read_lines(spark, str(p)))).orderBy("idx").collect()]
+    assert got == ['Grep "p" in src', 'Glob "*.ts"', 'Grep ""', "Subagent: " + "d" * 100, "Other x", "Other", "Read f", "Write w (2.0KB)", "replace r (0.0KB)"]
