@@ -9,43 +9,73 @@ from ..functions.text import jaccard
 from ..session import cut_lineage
 
 
-def similar_sets(nodes: DataFrame, keys: list[str], threshold: float, strict: bool) -> DataFrame:
+#: A word of more sets than this in a group is met together with a second one.
+HOT = 64
+
+
+def similar_sets(nodes: DataFrame, keys: list[str], threshold: float, strict: bool, hot: int = HOT) -> DataFrame:
     """Pairs (``a`` < ``b``) of different word sets of one group above a threshold.
 
     ``nodes`` has the group keys, ``id`` and ``words`` (distinct words), one row
     per *distinct* set - copies are collapsed by the caller, so a group of
-    copies contributes one node.  Prefix filtering: with words ordered rarest
-    first in the group, two sets above the threshold share a word among their
-    first ``|s| - ceil(t|s|) + 1``.  Candidates therefore come from an equi-join
-    on (group, word) that AQE can split, never from all pairs of a group.
+    copies contributes one node.
     """
-    flat = nodes.select(*keys, "id", F.size("words").alias("n"), F.explode("words").alias("w"))
-    freq = flat.groupBy(*keys, "w").agg(F.count(F.lit(1)).alias("df"))
-    ranked = (flat.join(freq, [*keys, "w"])
-              .groupBy(*keys, "id").agg(F.first("n").alias("n"),
-                                        F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o")))
-    keep = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1
-    prefix = cut_lineage(ranked.withColumn("words", F.col("o.w"))
-                         .select(*keys, "id", "n", "words",
-                                 F.explode_outer(F.slice("words", F.lit(1), keep.cast("int"))).alias("w")))
-    # A word that occurs in one set of the group pairs with nothing.
-    shared = prefix.groupBy(*keys, "w").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1")
-    prefix = prefix.join(shared.drop("_c"), [*keys, "w"], "left_semi")
-    a = prefix.select(*keys, "w", F.col("id").alias("a"), F.col("n").alias("na"), F.col("words").alias("wa"))
-    b = prefix.select(*keys, "w", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("words").alias("wb"))
-    close = (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold) - 1e-9)
     score = jaccard(F.col("wa"), F.col("wb"))
-    good = score > threshold if strict else score >= threshold
-    # The same pair meets once per shared prefix word; keep the first only.
-    first_shared = F.array_min(F.array_intersect(
-        F.slice("wa", F.lit(1), _prefix("na", threshold)), F.slice("wb", F.lit(1), _prefix("nb", threshold))))
-    return (a.join(b, [*keys, "w"]).filter((F.col("a") < F.col("b")) & close)
-            .filter(F.col("w") == first_shared).filter(good)
-            .select(*keys, "a", "b"))
+    return candidates(nodes, keys, threshold, hot).filter(score > threshold if strict else score >= threshold).select(*keys, "a", "b")
 
 
-def _prefix(size: str, threshold: float):
-    return (F.col(size) - F.ceil(F.col(size) * F.lit(threshold) - 1e-9) + 1).cast("int")
+def candidates(nodes: DataFrame, keys: list[str], threshold: float, hot: int = HOT) -> DataFrame:
+    """(keys, a, b, wa, wb): pairs that may be above the threshold, each once.
+
+    With words ordered rarest first in the group, two sets above the threshold
+    share a word among their first ``|s| - ceil(t|s|) + 1``, and two words among
+    one more than that unless one of the sets is a single word.  So pairs meet in
+    equi-joins that Spark can split, never as all pairs of a group: on a word
+    that few sets have, and on two words where the rarest one they share is in
+    more than ``hot`` sets - then all that they share are.  A single hot word
+    meets the sets that are small enough for it; there is one such set.  A pair
+    whose sizes or positions leave too little to share is dropped unscored.
+    """
+    flat = nodes.select(*keys, "id", F.size("words").alias("n"), F.explode("words").alias("w"))
+    freq = flat.groupBy(*keys, "w").agg(F.count(F.lit(1)).alias("df"))
+    ranked = (flat.join(freq, [*keys, "w"]).groupBy(*keys, "id").agg(
+        F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o")))
+    least = F.ceil(F.col("n") * F.lit(threshold) - 1e-9)
+    first = lambda more: F.slice("o", F.lit(1), F.least(F.col("n") - least + more, F.col("n")).cast("int"))
+    words = lambda rows: F.transform(rows, lambda x: x["w"])
+    sets = cut_lineage(ranked.select(
+        *keys, "id", "n", words(F.col("o")).alias("words"), words(F.filter(first(1), lambda x: x["df"] <= hot)).alias("cold"),
+        words(F.filter(first(2), lambda x: x["df"] > hot)).alias("warm")))
+
+    def sides(rows: DataFrame, on: list[str], more: list[str]) -> tuple[DataFrame, DataFrame]:
+        return tuple(rows.select(*keys, *on, F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("words").alias(f"w{x}"), *[F.col(c).alias(f"{c}_{x}") for c in more]) for x in "ab")
+
+    sizes = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold) - 1e-9
+    # A word that occurs in one set of the group pairs with nothing.
+    rare = sets.select("*", F.explode("cold").alias("w"))
+    several = rare.groupBy(*keys, "w").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").drop("_c")
+    a, b = sides(rare.join(several, [*keys, "w"], "left_semi"), ["w"], ["cold"])
+    rest = lambda x: F.col(f"n{x}") - F.array_position(f"w{x}", F.col("w")) + 1
+    enough = F.ceil((F.col("na") + F.col("nb")) * F.lit(threshold / (1 + threshold)) - 1e-9)
+    # The pair meets at each rare word that both have; the first one by name counts.  Where it stands bounds what follows.
+    one = F.array_min(F.array_intersect("cold_a", "cold_b")) == F.col("w")
+    earlier = F.size(F.array_intersect(F.slice("wa", F.lit(1), (F.col("na") - rest("a")).cast("int")), F.slice("wb", F.lit(1), (F.col("nb") - rest("b")).cast("int"))))
+    by_word = a.join(b, [*keys, "w"]).filter((F.col("a") < F.col("b")) & sizes & one & (earlier + F.least(rest("a"), rest("b")) >= enough))
+
+    pairs = F.flatten(F.transform("warm", lambda x, i: F.transform(F.slice("warm", i + 2, F.size("warm")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    a, b = sides(sets.filter(F.size("warm") > 1).select("*", F.explode(pairs).alias("w")), ["w"], ["cold", "warm"])
+    both = F.array_intersect("warm_a", "warm_b")
+    two = (F.size(F.array_intersect("cold_a", "cold_b")) == 0) & (F.get(both, F.lit(0)) == F.col("w.x")) & (F.get(both, F.lit(1)) == F.col("w.y"))
+    by_two = a.join(b, [*keys, "w"]).filter((F.col("a") < F.col("b")) & sizes & two)
+
+    small = sets.filter((F.size("warm") > 0) & (F.col("n") <= F.lit(1 / threshold + 1e-9))).select("*", F.explode("warm").alias("w"))
+    a, b = sides(small, ["w"], [])
+    single = a.filter("na = 1").join(b.filter("nb > 1"), [*keys, "w"]).filter(sizes)
+    swap = F.col("a") > F.col("b")
+    by_single = single.select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("wb")).otherwise(F.col("wa")).alias("wa"),
+                              F.when(swap, F.col("wa")).otherwise(F.col("wb")).alias("wb"))
+    out = [*keys, "a", "b", "wa", "wb"]
+    return by_word.select(*out).unionByName(by_two.select(*out)).unionByName(by_single)
 
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
