@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import severity as sev
@@ -80,35 +80,61 @@ def _channel_sides(g: FlowGraph) -> tuple[DataFrame, DataFrame]:
     return send, hear
 
 
-def _distance_to_sink(moves: DataFrame, send: DataFrame, hear: DataFrame, sinks: DataFrame, depth: int) -> DataFrame:
-    """(repo, node, dist): steps to the nearest sink, up to ``depth``."""
-    frontier = cut_lineage(sinks.select("repo", F.col("file").alias("node")).distinct().withColumn("dist", F.lit(0)))
+def _distance_to(goals: DataFrame, moves: DataFrame, send: DataFrame, hear: DataFrame, depth: int) -> DataFrame:
+    """(repo, at, node, dist): steps to the nearest goal of each class ``at``, up to ``depth``; goals are (repo, at, node)."""
+    frontier = cut_lineage(goals.select("repo", "at", "node").distinct().withColumn("dist", F.lit(0)))
     found = frontier  # the union of one written table per step
     for step in range(1, depth + 1):
-        here = frontier.select("repo", F.col("node").alias("next"))
-        by_import = moves.select("repo", "node", "next").join(here, ["repo", "next"], "left_semi").select("repo", "node")
-        open_channels = hear.join(here, ["repo", "next"], "left_semi").select("repo", "medium", "channel").distinct()
-        by_channel = send.join(open_channels, ["repo", "medium", "channel"], "left_semi").select("repo", "node")
+        here = frontier.select("repo", "at", F.col("node").alias("next"))
+        by_import = moves.select("repo", "node", "next").join(here, ["repo", "next"]).select("repo", "at", "node")
+        open_channels = hear.join(here, ["repo", "next"]).select("repo", "at", "medium", "channel").distinct()
+        by_channel = send.select("repo", "node", "medium", "channel").join(open_channels, ["repo", "medium", "channel"]).select("repo", "at", "node")
         frontier = cut_lineage(by_import.unionByName(by_channel).distinct()
-                               .join(found, ["repo", "node"], "left_anti").withColumn("dist", F.lit(step)))
+                               .join(found, ["repo", "at", "node"], "left_anti").withColumn("dist", F.lit(step)))
         found = found.unionByName(frontier)
     return found
 
 
-def reach(g: FlowGraph, depth: int = MAX_DEPTH) -> DataFrame:
+def _worthy(g: FlowGraph, dist: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Source files that can be among the first ``k`` paths (repo, origin), and the classes of sinks that can (repo, at).
+
+    Paths rank by the class of their sink, then by length, then by source.  The
+    best path of a source file to a class is as long as its distance.  So a file
+    that is not among the first ``k`` for a class has ``k`` better paths to it, and
+    a class is closed once better ones have ``k`` source files.  At most ``2k``
+    files per repository are left, however many sources it has.
+    """
+    source_at = _position(F.col("kind"), SOURCE_ORDER)
+    best = g.sources.groupBy("repo", F.col("file").alias("node")).agg(F.min(F.struct((-source_at).alias("at"), "ord")).alias("_c"))
+    ways = best.join(dist, ["repo", "node"])
+    better = Window.partitionBy("repo").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
+    per = ways.groupBy("repo", "at").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("_n"))
+    open_ = cut_lineage(per.withColumn("_before", F.coalesce(F.sum("_n").over(better), F.lit(0))).filter(F.col("_before") < k).select("repo", "at"))
+    first = first_k(ways.join(open_, ["repo", "at"]), ["repo", "at"], [F.col("dist"), F.col("_c")], k)
+    return first.select("repo", F.col("node").alias("origin")).distinct(), open_
+
+
+def reach(g: FlowGraph, depth: int = MAX_DEPTH, k: int | None = None) -> DataFrame:
     """Best path from every source file to every file it reaches in ``depth`` hops.
 
     Only the shortest path to a sink is ever kept, and among equals the first
     one a depth-first walk would find.  A prefix of such a path is itself the
     best path to its end, so a breadth-first search that keeps one state per
     (source file, file) finds the same paths without listing all simple paths.
-    States that cannot reach a sink in the hops that are left are dropped.
+    States that cannot reach a sink in the hops that are left are dropped.  With
+    ``k``, so are source files and sinks that the first ``k`` paths of a
+    repository cannot have, see `_worthy`.
     """
     moves = cut_lineage(_import_moves(g))
     send, hear = (cut_lineage(x) for x in _channel_sides(g))
-    dist = _distance_to_sink(moves, send, hear, g.sinks, depth)
-    near = lambda df, left: df.join(dist.filter(F.col("dist") <= left).select("repo", "node"), ["repo", "node"], "left_semi")
+    goals = g.sinks.select("repo", (_position(F.col("kind"), SINK_ORDER) if k is not None else F.lit(0)).alias("at"), F.col("file").alias("node"))
+    dist = _distance_to(goals, moves, send, hear, depth)
     start = g.sources.select("repo", F.col("file").alias("origin"), F.col("file").alias("node")).distinct()
+    if k is not None:
+        origins, open_ = _worthy(g, dist, k)
+        start = start.join(origins, ["repo", "origin"], "left_semi")
+        dist = cut_lineage(dist.join(open_, ["repo", "at"]).groupBy("repo", "node").agg(F.min("dist").alias("dist")))
+    near = lambda df, left: df.join(dist.filter(F.col("dist") <= left).select("repo", "node"), ["repo", "node"], "left_semi")
     frontier = cut_lineage(near(start, depth).select(
         "repo", "origin", "node", F.array().cast(_HOP).alias("hops"),
         F.array().cast("array<struct<k:int,a:bigint,b:bigint>>").alias("picks"),
@@ -179,7 +205,7 @@ def flow_paths(g: FlowGraph, depth: int = MAX_DEPTH, k: int | None = MAX_PATHS,
     sink_at, source_at = _position(F.col("sink.kind"), SINK_ORDER), _position(F.col("source.kind"), SOURCE_ORDER)
     best_sink = snk.groupBy("repo", "node").agg(F.min(F.struct((-sink_at).alias("at"), F.col("sink.ord").alias("ord"))).alias("_k"))
     best_source = src.groupBy("repo", "origin").agg(F.min(F.struct((-source_at).alias("at"), F.col("source.ord").alias("ord"))).alias("_c"))
-    states = reach(g, depth).withColumn("n_hops", F.size("hops")).join(best_source, ["repo", "origin"]).join(best_sink, ["repo", "node"])
+    states = reach(g, depth, k).withColumn("n_hops", F.size("hops")).join(best_source, ["repo", "origin"]).join(best_sink, ["repo", "node"])
     if k is not None:
         best = [F.col("_k.at"), F.col("n_hops"), F.col("_c.at"), F.col("_c.ord"), F.col("picks"), F.col("_k.ord")]
         states = first_k(states, ["repo"], best, k, "_r").drop("_r")

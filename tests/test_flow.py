@@ -36,3 +36,27 @@ def test_depth_bound_and_path_limit(spark):
     assert max(r[2] for r in rows(flow.flow_paths(g))) == 5
     star = build(spark, [(f"s{i}", "a", "s") for i in range(30)], [("a", "db-query")], [(f"s{i}", "log", "log") for i in range(30)])
     assert flow.flow_paths(star).count() == 20 and flow.flow_paths(star, k=100).count() == 30
+
+
+def hub(spark, sources, sinks):
+    """Every source and every sink imports one file; sinks are of three classes, some sources reach a sink directly."""
+    n = lambda kind, i: f"{kind}{i:03}.ts"
+    src = [("r", n("a", i), f"s{i}", 1, ["file-read", "db-query", "hl7-v2"][i % 3], i) for i in range(sources)]
+    snk = [("r", n("z", i), f"k{i}", 2, ["log", "cache", "external-api"][i % 3] if i % 7 else "log", i) for i in range(sinks)]
+    pairs = [(n("a", i), "hub.ts") for i in range(sources)] + [("hub.ts", n("z", i)) for i in range(sinks)] + [(n("a", i), n("z", i)) for i in range(0, min(sources, sinks), 5)]
+    edges = [("r", a, b, ["x"], False, i) for i, (a, b) in enumerate(pairs)]
+    end = "repo string, file string, name string, line int, kind string, ord long"
+    return flow.FlowGraph(spark.createDataFrame(src, end), spark.createDataFrame(snk, end),
+                          spark.createDataFrame(edges, "repo string, src string, dst string, symbols array<string>, external boolean, ord long"),
+                          spark.createDataFrame([], "repo string, file string, name string, input string"),
+                          spark.createDataFrame([], "repo string, path string, kind string, channel string, function_name string, line int, ord long"))
+
+
+def test_a_hub_costs_what_is_reported(spark):
+    g, k = hub(spark, 60, 40), 4
+    every = [tuple(r) for r in flow.flow_paths(g, k=None).orderBy("rank").collect()]
+    assert len(every) == 60 * 40
+    assert [tuple(r) for r in flow.flow_paths(g, k=k).orderBy("rank").collect()] == every[:k]
+    states = flow.reach(g, k=k)
+    assert states.select("origin").distinct().count() <= 2 * k
+    assert states.count() < flow.reach(g).count() / 5
