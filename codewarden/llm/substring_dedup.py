@@ -11,112 +11,181 @@ corpus.  The occurrence with the earliest rank - smallest id (null last), then
 row digest, then position - stays; the others are removed.  Spans are code
 points of the original text, end exclusive, and cover whole pieces with the blanks after them.
 
+The texts are read twice.  The first pass counts digests and takes the smallest
+id of each; only digests met twice are written.  The second pass makes the units
+anew and keeps those in that table, so a unit that nobody shares is never written.
+
 * null text: empty, no units.
 * rows equal in id and text count as one document: they are treated alike.
 * a repeat inside one document is removed like one across documents.
+* ids are whole numbers; others count as null.
 * other columns are kept by `clean`.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import decoded, row_key, runs, slices, steps, texts
+from .common import decoded, runs, slices, steps, texts
+from .shingles import mix
 
 #: Words of a unit at least.
 LEAST = 20
 #: Pieces end with a line break, or with the blanks after the end of a sentence.
 _END = re.compile(r"\n|(?<=[.!?])[^\S\n]+\n?")
 SPANS = "array<struct<start: int, end: int>>"
+_NO_ID = (1 << 63) - 1
+#: Odd factors by which the digests of a unit's pieces are weighted, one for each lane, and their inverses.
+_FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_INVERSES = tuple(pow(f, -1, 1 << 64) for f in _FACTORS)
+
+
+def _powers(factor: int, n: int) -> np.ndarray:
+    x = np.full(n, factor, np.uint64)
+    x[:1] = 1
+    return np.cumprod(x, dtype=np.uint64)
+
 
+def units(text: str, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Digests (64 and 32 bits), starts and ends of the units of a text, by start; the end takes in the break.
 
-def units(text: str, least: int = LEAST) -> list[tuple[bytes, int, int]]:
-    """(digest, start, end) of the units of a text, by start; the end takes in the break."""
+    A unit's digest is a polynomial in the digests of its pieces, so that every
+    piece is hashed once however many units it is part of.
+    """
     cuts = [m.end() for m in _END.finditer(text)]
-    pieces = [(a, b, unicodedata.normalize("NFKC", text[a:b]).casefold().split()) for a, b in zip([0, *cuts], [*cuts, len(text)])]
-    pieces = [p for p in pieces if p[2]]
+    plain = unicodedata.is_normalized("NFKC", text)
+    starts, ends, count, digests = [], [], [0], []
+    at = 0
+    for end in [*cuts, len(text)]:
+        piece = text[at:end]
+        words = (piece if plain else unicodedata.normalize("NFKC", piece)).casefold().split()
+        if words:
+            starts.append(at)
+            ends.append(end)
+            count.append(len(words))
+            digests.append(xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "replace")))
+        at = end
+    n, total = len(starts), np.cumsum(np.array(count, np.int64))
     # Pieces i to j: the shortest runs of enough words that begin at i, and those that end at j.
-    found, total = set(), [0]
-    for _, _, words in pieces:
-        total.append(total[-1] + len(words))
-    i = j = 0
-    for i in range(len(pieces)):
-        while j < len(pieces) and total[j] - total[i] < least:
-            j += 1
-        if total[j] - total[i] < least:
-            break
-        found.add((i, j))
-    i = 0
-    for j in range(1, len(pieces) + 1):
-        while total[j] - total[i + 1] >= least:
-            i += 1
-        if total[j] - total[i] >= least:
-            found.add((i, j))
-    out = []
-    for i, j in sorted(found):
-        joined = "\n".join(" ".join(p[2]) for p in pieces[i:j])
-        out.append((hashlib.blake2b(joined.encode("utf-8", "replace"), digest_size=16).digest(), pieces[i][0], pieces[j - 1][1]))
-    return out
+    i = np.arange(n)
+    j = np.searchsorted(total, total[:-1] + least)
+    ahead = np.stack([i, j], axis=1)[j <= n]
+    j = np.arange(1, n + 1)
+    i = np.searchsorted(total, total[1:] - least, side="right") - 1
+    back = np.stack([i, j], axis=1)[i >= 0]
+    found = np.unique(np.concatenate([ahead, back]), axis=0).astype(np.int64)
+    if not len(found):
+        return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+    i, j = found.T
+    cells = np.frombuffer(b"".join(digests), np.uint64).reshape(n, 2)
+    lanes = []
+    for lane in range(2):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(cells[:, lane] * _powers(_FACTORS[lane], n))])
+        lanes.append(mix((sums[j] - sums[i]) * _powers(_INVERSES[lane], n)[i] + (j - i).astype(np.uint64)))
+    return lanes[0].view(np.int64), (lanes[1] >> np.uint64(32)).astype(np.uint32).view(np.int32), np.array(starts)[i], np.array(ends)[j - 1]
 
 
 def _key(id_col: str, text: str) -> Column:
-    """128 bits of the row's identity."""
-    return F.substring(F.unhex(row_key(id_col, text)), 1, 16)
+    """Tells rows of one id apart."""
+    return F.xxhash64(F.col(id_col).cast("string"), texts(text))
+
+
+def _doc(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).try_cast("long"), F.lit(_NO_ID))
+
+
+def _first_here(lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first occurrence of each digest in a text, and how many there are."""
+    _, first, n = np.unique(lo, return_index=True, return_counts=True)
+    return first, n
+
+
+def _digests(docs: DataFrame, least: int) -> DataFrame:
+    """(lo, hi, doc, n): each digest of each document once."""
+
+    def run(batches):
+        for batch in slices(batches):
+            docs_, los, his, ns = [], [], [], []
+            for doc, raws in steps([batch.select(["doc", "_cw_text"])], 64):
+                for d, raw in zip(doc, raws):
+                    lo, hi, _, _ = units(decoded(raw), least)
+                    if len(lo):
+                        first, n = _first_here(lo)
+                        docs_.append(np.full(len(first), d))
+                        los.append(lo[first])
+                        his.append(hi[first])
+                        ns.append(n)
+            if docs_:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (los, his, docs_, ns)], ["lo", "hi", "doc", "n"])
+
+    return docs.select("doc", "_cw_text").mapInArrow(run, "lo long, hi int, doc long, n long")
 
 
 def _units(docs: DataFrame, least: int) -> DataFrame:
+    """(lo, hi, doc, key, span, again): all units, and whether the digest stands in the same text before."""
+
     def run(batches):
-        for batch in batches:
-            at = 0
-            for (column,) in steps([batch.select(["_cw_text"])], 64):
-                rows = [(i, *u) for i, raw in enumerate(column) for u in units(decoded(raw), least)]
-                own = pa.array([at + r[0] for r in rows], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(own), batch.column("key").take(own), pa.array([r[1] for r in rows], pa.binary()),
-                     pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int32())],
-                    ["doc_id", "key", "digest", "start", "end"])
-                at += len(column)
+        for batch in slices(batches):
+            columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            for doc, key, raws in steps([batch.select(["doc", "key", "_cw_text"])], 64):
+                for d, k, raw in zip(doc, key, raws):
+                    lo, hi, start, end = units(decoded(raw), least)
+                    if len(lo):
+                        again = np.ones(len(lo), bool)
+                        again[_first_here(lo)[0]] = False
+                        for c, x in zip(columns, (lo, hi, np.full(len(lo), d), np.full(len(lo), k), start << 32 | end, again)):
+                            c.append(x)
+            if columns[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["lo", "hi", "doc", "key", "span", "again"])
 
-    return docs.mapInArrow(run, "doc_id long, key binary, digest binary, start int, end int")
+    return docs.mapInArrow(run, "lo long, hi int, doc long, key long, span long, again boolean")
 
 
 def _merge(rows: DataFrame) -> DataFrame:
-    """Spans of a document without overlaps, from rows sorted by (key, start)."""
+    """Spans of a document without overlaps, from rows sorted by (doc, key, span)."""
 
     def run(batches):
-        for group in runs(batches, ["key"]):
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        for group in runs(batches, ["doc", "key"]):
             spans: list[list[int]] = []
-            for a, b in zip(group["start"].to_pylist(), group["end"].to_pylist()):
+            for span in group["span"].to_pylist():
+                a, b = span >> 32, span & 0xFFFFFFFF
                 if spans and a <= spans[-1][1]:
                     spans[-1][1] = max(spans[-1][1], b)
                 else:
                     spans.append([a, b])
-            first = sorted({x for x in group["first_id"].to_pylist() if x is not None})
+            first = sorted(set(group["first"].to_pylist()) - {_NO_ID})
             yield pa.RecordBatch.from_arrays(
-                [group["key"].chunk(0).slice(0, 1), pa.array([[{"start": a, "end": b} for a, b in spans]], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                 pa.array([first], pa.list_(pa.int64()))], ["key", "removed", "first_ids"])
+                [*(group[k].chunk(0).slice(0, 1) for k in ("doc", "key")), pa.array([[{"start": a, "end": b} for a, b in spans]], kind),
+                 pa.array([first], pa.list_(pa.int64()))], ["doc", "key", "removed", "first_ids"])
 
-    return (rows.repartition("key").sortWithinPartitions("key", "start")
-            .mapInArrow(run, f"key binary, removed {SPANS}, first_ids array<long>"))
+    return (rows.repartition("doc", "key").sortWithinPartitions("doc", "key", "span")
+            .mapInArrow(run, f"doc long, key long, removed {SPANS}, first_ids array<long>"))
 
 
 def repeats(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, removed spans, ids of the documents that keep the passages) per document that loses something."""
-    d = docs.select(docs[id_col].cast("long").alias("doc_id"), _key(id_col, text).alias("key"), texts(text).alias("_cw_text"))
-    found = cut_lineage(_units(d, least))
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "start")
+    """(doc, key, removed spans, ids of the documents that keep the passages) per document that loses something."""
+    d = docs.select(_doc(id_col).alias("doc"), _key(id_col, text).alias("key"), texts(text).alias("_cw_text"))
     # Copies meet in the map tasks first; the written table lets Spark split a hot digest in the join.
-    first = cut_lineage(found.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
-    later = (found.join(first, "digest").filter((F.col("key") != F.col("first.key")) | (F.col("start") != F.col("first.start")))
-             .select("key", "start", "end", F.col("first.doc_id").alias("first_id")))
-    return _merge(later)
+    first = _digests(d, least).groupBy("lo", "hi").agg(F.min("doc").alias("first"), F.sum("n").alias("n")).filter("n > 1").drop("n")
+    found = _units(d, least)
+    # Rows of one id with different texts are ranked by their digests.
+    several = cut_lineage(d.groupBy("doc").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").select("doc"))
+    if several.isEmpty():
+        first = first.withColumn("first_key", F.lit(None).cast("long"))
+    else:
+        low = found.join(several, "doc", "left_semi").groupBy("lo", "hi", F.col("doc").alias("first")).agg(F.min("key").alias("first_key"))
+        first = cut_lineage(first).join(low, ["lo", "hi", "first"], "left")
+    later = (F.col("doc") != F.col("first")) | F.col("again") | F.coalesce(F.col("key") != F.col("first_key"), F.lit(False))
+    return _merge(found.join(cut_lineage(first), ["lo", "hi"]).filter(later).select("doc", "key", "span", "first"))
 
 
 def _cut(rows: DataFrame, text: str) -> DataFrame:
@@ -149,6 +218,6 @@ def clean(docs: DataFrame, least: int = LEAST, changed_only: bool = False, id_co
     """``docs`` with shortened texts, and per row: removed and kept spans of the
     original text and the ids that keep its removed passages."""
     own = docs.select(*[c for c in docs.columns if c not in ("removed", "kept", "first_ids")])
-    gone = cut_lineage(repeats(docs, least, id_col, text)).withColumnRenamed("key", "_cw_key")
-    joined = own.withColumn("_cw_key", _key(id_col, text)).join(gone, "_cw_key", "inner" if changed_only else "left")
-    return _cut(joined.drop("_cw_key"), text)
+    gone = cut_lineage(repeats(docs, least, id_col, text)).withColumnsRenamed({"doc": "_cw_doc", "key": "_cw_key"})
+    own = own.withColumn("_cw_doc", _doc(id_col)).withColumn("_cw_key", _key(id_col, text))
+    return _cut(own.join(gone, ["_cw_doc", "_cw_key"], "inner" if changed_only else "left").drop("_cw_doc", "_cw_key"), text)

@@ -3,8 +3,10 @@
 import collections
 import hashlib
 import re
+import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
 from codewarden.llm import exact_dedup, ngram_join, queries, substring_dedup
 from codewarden.llm.shingles import shingles
@@ -46,17 +48,54 @@ def test_deduplicate_keeps_columns(spark):
     assert exact_dedup.deduplicate(docs.limit(0)).count() == 0
 
 
+def plain_units(text, least=20):
+    """Word tuples and spans of all units, found by trying every run of pieces."""
+    pieces, at = [], 0
+    for m in [*re.finditer(r"\n|(?<=[.!?])[^\S\n]+\n?", text), None]:
+        end = m.end() if m else len(text)
+        if words := unicodedata.normalize("NFKC", text[at:end]).casefold().split():
+            pieces.append((tuple(words), at, end))
+        at = end
+    enough = lambda i, j: sum(len(p[0]) for p in pieces[i:j]) >= least
+    runs = set()
+    for i in range(len(pieces)):
+        for j in range(i + 1, len(pieces) + 1):
+            if enough(i, j) and (not enough(i, j - 1) or not enough(i + 1, j)):
+                runs.add((i, j))
+    return [(tuple(p[0] for p in pieces[i:j]), pieces[i][1], pieces[j - 1][2]) for i, j in sorted(runs)]
+
+
+def test_units_by_trying_all_runs():
+    texts = ["", "a", LONG, SHORT, "x. y? z! " * 9, "one two. " * 30, "\n\n".join(["a b c d e f g h i j k. l m"] * 7), "ﬁ ＡＢＣ é. " * 12, "w " * 50 + ". v"]
+    for text in texts:
+        lo, hi, start, end = substring_dedup.units(text)
+        want = plain_units(text)
+        assert list(zip(start.tolist(), end.tolist())) == [(a, b) for _, a, b in want]
+        assert len(set(zip(lo.tolist(), hi.tolist()))) == len({w for w, *_ in want})
+        named = {}
+        assert all(named.setdefault(d, w) == w for d, (w, *_) in zip(zip(lo.tolist(), hi.tolist()), want))
+
+
+def test_rows_of_one_id(spark):
+    """Rows without an id, or with the same one, lose what another of them keeps."""
+    docs = spark.createDataFrame([(None, LONG + "\nx"), (None, LONG + "\ny"), (7, "a\n" + LONG[1:]), (7, LONG[1:] + "\nb")], "doc_id long, text string")
+    left = sorted(r.text for r in substring_dedup.clean(docs).collect())
+    assert len(left) == 4 and sum(LONG in t for t in left) == 1 and sum(LONG[1:] in t for t in left) == 2
+    texts = docs.select(docs.doc_id.cast("string").alias("doc_id"), "text").unionByName(spark.createDataFrame([("x", LONG)], "doc_id string, text string"))
+    assert len(substring_dedup.clean(texts).collect()) == 5
+
+
 def test_substrings(spark):
     rows = [(1, LONG + "\nx", "p"), (1, LONG + "\nx", "p"), (2, "y\n" + LONG.upper() + "\n" + LONG, "q"), (None, LONG, "r"), (3, None, "s"), (4, "", "t"),
             (5, SHORT, "u"), (6, "zz\n" + SHORT + "\nend", "v"), (7, "\n" * 3000, "w"), (8, "short\nshort", "z"), (9, (LONG + "\n") * 200, "many")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
     first = {}
     for i, t, _ in sorted(rows, key=lambda r: (r[0] is None, r[0])):
-        for digest, a, _b in substring_dedup.units(t or ""):
-            first.setdefault(digest, (i, a))
+        for words, a, _b in plain_units(t or ""):
+            first.setdefault(words, (i, a))
     want = collections.Counter()
     for i, t, _ in rows:
-        gone = {c for digest, a, b in substring_dedup.units(t or "") if first[digest] != (i, a) for c in range(a, b)}
+        gone = {c for words, a, b in plain_units(t or "") if first[words] != (i, a) for c in range(a, b)}
         want[i, None if t is None else "".join(c for k, c in enumerate(t) if k not in gone)] += 1
     got = substring_dedup.clean(docs).collect()
     assert collections.Counter((r.doc_id, r.text) for r in got) == want
@@ -95,6 +134,27 @@ def test_ngram_join(spark, options):
     assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=str) == sorted(((rows[i][0], low[i], links[i]) for i in range(len(rows))), key=str)
 
 
+@pytest.mark.parametrize("options", [{}, {"block": 7}, {"block": 4, "limit": 3, "depth": 1, "recall": 0.9999}])
+def test_classes_without_counts(spark, options):
+    """Blocks of a few members and chains of neighbours give the classes of the full join."""
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(near_copies())], "doc_id long, text string")
+    grouped = lambda df: sorted(map(tuple, df.groupBy("root").agg(F.array_sort(F.collect_list("doc_id")).alias("ids")).select("ids").collect()), key=str)
+    assert grouped(ngram_join.classes(docs, **options)) == grouped(ngram_join.join(docs, **options))
+
+
+def test_join_query(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    sets = {r.doc_id: frozenset(shingles(r.text or "").tolist()) for r in rows}
+    alike = lambda a, b: bool(a and b) and len(a & b) >= 0.8 * len(a | b) - 1e-9
+    near = {i: [j for j, t in sets.items() if j != i and alike(s, t)] for i, s in sets.items()}
+    low = {i: i for i in sets}
+    for _ in sets:
+        low = {i: min([low[i], *(low[j] for j in near[i])]) for i in sets}
+    got = queries.op2_ngram_join(spark, "/root/testdata/sf0.001").collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == sorted((i, low[i], len(near[i])) for i in sets)
+    assert any(near.values())
+
+
 def test_representatives(spark):
     docs = spark.createDataFrame([(*r, "c") for r in near_copies()], "doc_id long, text string, class_id string")
     kept = ngram_join.representatives(docs)
