@@ -16,6 +16,13 @@ smallest member it is connected to - never pairs - so a group of thousands of
 near copies gives thousands of rows.  Counting all links of g different near
 copies needs g * g / 2 comparisons, dealt out in blocks.
 
+Classes alone (`classes`) need no counts: a comparison is skipped when both sets
+are in one class by then.  A bucket's members are compared within their blocks
+and with one member that is copied to all blocks; what is left are pairs of
+members of a large bucket that are still in different classes, and one of the
+two is outside the bucket's largest class.  A group of g near copies costs about
+g comparisons.
+
 * null text: empty; a text without words has no links and is its own class.
 * texts of fewer than five words are one shingle of their words.
 * ``class_id`` is the smallest id of the class, null if none of its rows has one.
@@ -29,7 +36,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, scratch_dir
@@ -44,6 +51,8 @@ DEPTH = 3
 LIMIT, BLOCK = 4096, 512
 #: Shingles of all members of a block at most about this many; larger ones are cut further.
 CELLS = 1 << 21
+#: Members of a block where only classes are asked for: most pairs are settled by sizes, sketches and classes.
+WIDE = 2048
 #: Min-hash values of a sketch, and how far an estimate may fall below the threshold (over four deviations).
 SKETCH, MARGIN = 48, 0.25
 
@@ -147,19 +156,34 @@ def leaves(nodes: DataFrame, depth: int = DEPTH, limit: int = LIMIT) -> DataFram
 BUCKET = ["leaf", "low", "high"]
 
 
-def _blocks(members: DataFrame, block: int, cells: int) -> DataFrame:
+def _parts(members: DataFrame, block: int, cells: int) -> DataFrame:
+    """Buckets of several blocks: their number, and the bucket's first member."""
+    load = members.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"), F.min("node").alias("pivot"))
+    return cut_lineage(load.select("leaf", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("s") / cells)).cast("int").alias("parts"), "pivot").filter("parts > 1"))
+
+
+def _part(of: str, seed: str) -> Column:
+    return F.pmod(F.xxhash64("node", seed), F.col(of).cast("long")).cast("int")
+
+
+def _blocks(members: DataFrame, parts: DataFrame) -> DataFrame:
     """Copy each member to every pair of blocks that its own block is part of.
 
     ``part`` is its own block; a bucket within one block is a single group.
     """
-    load = members.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
-    parts = cut_lineage(load.select("leaf", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("s") / cells)).cast("int").alias("parts")).filter("parts > 1"))
-    own = F.pmod(F.xxhash64("node", "leaf"), F.col("parts").cast("long")).cast("int")
-    return (members.join(parts, "leaf", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", own)
+    return (members.join(parts.drop("pivot"), "leaf", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", _part("parts", "leaf"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
             .withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).drop("parts", "other"))
 
 
+def _diagonal(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """Each member in its own block, and the bucket's first member in all of its blocks."""
+    own = F.array(_part("parts", "leaf"))
+    at = F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)
+    return (members.join(parts, "leaf", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.explode(at))
+            .withColumn("low", F.col("part")).withColumn("high", F.col("part")).drop("parts", "pivot"))
+
+
 def _grouped(rows: DataFrame, function, schema: str) -> DataFrame:
     def run(batches):
         for group in runs(batches, BUCKET):
@@ -175,7 +199,11 @@ def _owned(group: pa.Table) -> np.ndarray:
     m = group.num_rows
     part = group["part"].to_numpy()
     pairs = np.triu(np.ones((m, m), bool), 1)
-    if low != high:
+    if "comp" in group.column_names:
+        # Sides of a comparison between classes.
+        comp = np.unique(group["comp"].to_numpy(), return_inverse=True)[1]
+        pairs &= (part[:, None] != part[None, :]) & (comp[:, None] != comp[None, :])
+    elif low != high:
         pairs &= part[:, None] != part[None, :]
     lists = group["leaves"].combine_chunks()
     flat = lists.flatten().to_numpy()
@@ -192,17 +220,26 @@ def _owned(group: pa.Table) -> np.ndarray:
     return pairs
 
 
-def _candidates(threshold: float, margin: float):
-    schema = "leaf long, low int, high int, part int, node binary"
+def _similar(size: np.ndarray, sketches: np.ndarray, threshold: float, margin: float) -> np.ndarray:
+    """Pairs that size and sketch do not rule out."""
+    good = np.empty((len(size), len(size)), bool)
+    for at in range(0, len(size), 256):
+        own = size[at : at + 256, None]
+        part = np.minimum(own, size) >= threshold * np.maximum(own, size) - 1e-9
+        same = np.zeros(part.shape, np.uint16)
+        for k in range(sketches.shape[1]):
+            same += sketches[at : at + 256, k, None] == sketches[None, :, k]
+        good[at : at + 256] = part & (same >= (threshold - margin) * sketches.shape[1])
+    return good
+
+
+def _candidates(threshold: float, margin: float, across: bool = False):
+    names = ["leaf", "low", "high", "part", "node", *(["comp"] if across else [])]
+    schema = "leaf long, low int, high int, part int, node binary" + (", comp binary" if across else "")
 
     def function(group: pa.Table):
         size = group["size"].to_numpy().astype(np.float64)
-        good = np.minimum(size[:, None], size) >= threshold * np.maximum(size[:, None], size) - 1e-9
-        s = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint16).reshape(len(size), -1)
-        same = np.zeros(good.shape, np.uint16)
-        for k in range(s.shape[1]):
-            same += s[:, k, None] == s[None, :, k]
-        good &= same >= (threshold - margin) * s.shape[1]
+        good = _similar(size, np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint16).reshape(len(size), -1), threshold, margin)
         np.fill_diagonal(good, False)
         if not good.any():
             return None
@@ -210,7 +247,44 @@ def _candidates(threshold: float, margin: float):
         use = np.flatnonzero(good.any(axis=0) | good.any(axis=1))
         if not len(use):
             return None
-        return group.select(["leaf", "low", "high", "part", "node"]).take(pa.array(use)).combine_chunks().to_batches()[0]
+        return group.select(names).take(pa.array(use)).combine_chunks().to_batches()[0]
+
+    return function, schema
+
+
+def _forest(threshold: float, margin: float):
+    """Links that join classes: a pair is compared only while both sets are in different ones."""
+    schema = "id long, node binary, low_id long, low_node binary"
+
+    def function(group: pa.Table):
+        m = group.num_rows
+        sets = [np.frombuffer(t, np.uint64) for t in group["tokens"].to_pylist()]
+        size = np.array([len(s) for s in sets], np.int64)
+        pairs = _owned(group)
+        pairs |= pairs.T
+        pairs &= _similar(size, np.stack([np.frombuffer(sketch(s), np.uint16) for s in sets]), threshold, margin)
+        own = group["comp"].to_numpy() if "comp" in group.column_names else np.array(group["node"].to_pylist(), object)
+        comp = np.unique(own, return_inverse=True)[1]
+        found: list[tuple[int, int]] = []
+        for i in range(m):
+            others = np.flatnonzero(pairs[i] & (comp != comp[i]))
+            for at in range(0, len(others), 64):
+                todo = others[at : at + 64]
+                todo = todo[comp[todo] != comp[i]]
+                if not len(todo):
+                    continue
+                cells = np.concatenate([sets[j] for j in todo])
+                hit = sets[i][np.minimum(np.searchsorted(sets[i], cells), size[i] - 1)] == cells
+                both = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(size[todo])[:-1]]), dtype=np.int64)
+                for j in todo[both >= threshold * (size[i] + size[todo] - both) - 1e-9].tolist():
+                    if comp[j] != comp[i]:
+                        found.append((i, j))
+                        comp[comp == comp[j]] = comp[i]
+        if not found:
+            return None
+        a, b = (pa.array([f[k] for f in found]) for k in (0, 1))
+        t = group.select(["id", "node"])
+        return pa.RecordBatch.from_arrays([x.combine_chunks() for side in (a, b) for x in t.take(side).columns], ["id", "node", "low_id", "low_node"])
 
     return function, schema
 
@@ -257,19 +331,12 @@ def _links(threshold: float):
     return function, schema
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS, depth: int = DEPTH, limit: int = LIMIT,
-         block: int = BLOCK, margin: float = MARGIN, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: (doc_id, class_id, n_links, copies, root, key).
-
-    ``n_links`` counts the other documents whose shingle sets have at least this
-    Jaccard similarity, ``copies`` the documents with the same set.  ``root``
-    names the class also where it has no id, ``key`` the row by id and text.
-    """
-    spark = docs.sparkSession
-    d = docs.select(docs[id_col].cast("long").alias("doc_id"), row_key(id_col, text).alias("key"), texts(text).alias("_cw_text"))
-    path = scratch_dir(spark, "signatures")
+def _bucketed(docs: DataFrame, threshold: float, recall: float, words: int, depth: int, limit: int, id_col: str, text: str):
+    """Texts; rows with their signatures; distinct sets; those in shared buckets; and the buckets' members."""
+    d = docs.select(docs[id_col].try_cast("long").alias("doc_id"), row_key(id_col, text).alias("key"), texts(text).alias("_cw_text"))
+    path = scratch_dir(docs.sparkSession, "signatures")
     _signatures(d, threshold, runs_needed(recall, depth), depth, words).write.parquet(path)
-    rows = spark.read.parquet(path)
+    rows = docs.sparkSession.read.parquet(path)
     copies = rows.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min(F.coalesce("doc_id", F.lit(_LAST))).alias("id"), F.max("size").alias("size"))
     copies = cut_lineage(copies)
     nodes = rows.filter("size > 0").select("node", "sketch", "picks").dropDuplicates(["node"])
@@ -278,21 +345,40 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     lists = buckets.groupBy("node").agg(F.collect_list("leaf").alias("leaves"))
     known = cut_lineage(copies.join(lists, "node"))
     sketches = rows.select("node", "sketch").join(known.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    members = buckets.join(known.select("node", "size", "leaves"), "node").join(sketches, "node")
-    chosen = cut_lineage(_grouped(_blocks(members, block, CELLS), *_candidates(threshold, margin)))
+    return d, rows, copies, known, buckets.join(known.select("node", "size", "leaves"), "node").join(sketches, "node")
 
-    # Sets of documents with candidates only, found by one id of each.
+
+def _full(d: DataFrame, known: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
+    """Sets of documents with candidates only, found by one id of each."""
     wanted = cut_lineage(known.join(chosen.select("node").distinct(), "node", "left_semi"))
     ids = wanted.select(F.col("id").alias("_cw_id")).distinct()
     sets = _sets(d.withColumn("_cw_id", F.coalesce("doc_id", F.lit(_LAST))).join(ids, "_cw_id", "left_semi"), words).dropDuplicates(["node"])
-    full = wanted.join(sets, "node")
-    found = cut_lineage(_grouped(chosen.join(full, "node"), *_links(threshold)))
+    return wanted.join(sets, "node")
+
+
+def _vertex(node_id: str, node: str) -> Column:
+    return F.struct(F.col(node_id).alias("id"), F.col(node).alias("node"))
+
+
+def _names(edges: DataFrame) -> DataFrame:
+    """(node, low_id, low_node): the class of every set that has links."""
+    named = components(edges.select(_vertex("id", "node").alias("a"), _vertex("low_id", "low_node").alias("b")))
+    return named.select(F.col("v.node").alias("node"), F.col("component.id").alias("low_id"), F.col("component.node").alias("low_node"))
 
-    vertex = lambda a, b: F.struct(F.col(a).alias("id"), F.col(b).alias("node"))
-    named = components(found.select(vertex("id", "node").alias("a"), vertex("low_id", "low_node").alias("b")))
+
+def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS, depth: int = DEPTH, limit: int = LIMIT,
+         block: int = BLOCK, margin: float = MARGIN, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: (doc_id, class_id, n_links, copies, root, key).
+
+    ``n_links`` counts the other documents whose shingle sets have at least this
+    Jaccard similarity, ``copies`` the documents with the same set.  ``root``
+    names the class also where it has no id, ``key`` the row by id and text.
+    """
+    d, rows, copies, known, members = _bucketed(docs, threshold, recall, words, depth, limit, id_col, text)
+    chosen = cut_lineage(_grouped(_blocks(members, _parts(members, block, CELLS)), *_candidates(threshold, margin)))
+    found = cut_lineage(_grouped(chosen.join(_full(d, known, chosen, words), "node"), *_links(threshold)))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    low = named.select(F.col("v.node").alias("node"), F.col("component.id").alias("low_id"), F.col("component.node").alias("low_node"))
-    classes = copies.join(links, "node", "left").join(low, "node", "left")
+    classes = copies.join(links, "node", "left").join(_names(found), "node", "left")
     classes = cut_lineage(classes.select("node", "copies", F.nullif(F.coalesce("low_id", "id"), F.lit(_LAST)).alias("class_id"),
                                          F.coalesce("low_node", "node").alias("root"),
                                          F.when(F.col("size") > 0, F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(0).alias("n_links"),
@@ -304,9 +390,43 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
                     with_words(F.hex("root"), F.col("key")).alias("root"), "key"))
 
 
+def _between(members: DataFrame, parts: DataFrame, classes: DataFrame, block: int, cells: int) -> DataFrame | None:
+    """Members of large buckets in pairs of blocks: those outside the bucket's largest class with all; None if there are none."""
+    light = members.select("leaf", "node", "size").join(parts.drop("pivot"), "leaf").join(classes, "node", "left")
+    light = cut_lineage(light.select("leaf", "node", "size", "parts", F.coalesce("low_node", "node").alias("comp")))
+    lead = light.groupBy("leaf", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("leaf").agg(F.max(F.struct("n", "comp"))["comp"].alias("lead"))
+    others = cut_lineage(light.join(lead, "leaf").filter("comp <> lead").drop("lead"))
+    if others.isEmpty():
+        return None
+    load = others.groupBy("leaf").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / cells)).cast("int").alias("rest"))
+    load = cut_lineage(load)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = others.join(load, "leaf").withColumn("part", F.lit(0)).withColumn("low", _part("rest", "leaf")).withColumn("high", every("parts"))
+    two = light.join(load, "leaf").withColumn("part", F.lit(1)).withColumn("high", _part("parts", "leaf")).withColumn("low", every("rest"))
+    return one.unionByName(two).drop("parts", "rest", "size")
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS, depth: int = DEPTH, limit: int = LIMIT,
+            block: int = WIDE, margin: float = MARGIN, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, root, key) per document: the classes of `join`, without counting links."""
+    d, rows, copies, known, members = _bucketed(docs, threshold, recall, words, depth, limit, id_col, text)
+    parts = _parts(members, block, CELLS)
+    chosen = cut_lineage(_grouped(_diagonal(members, parts), *_candidates(threshold, margin)))
+    edges = cut_lineage(_grouped(chosen.join(_full(d, known, chosen, words), "node"), *_forest(threshold, margin)))
+    named = _names(edges)
+    if not parts.isEmpty() and (rest := _between(members, parts, named, block, CELLS)) is not None:
+        whole = rest.join(members.select("node", "size", "leaves", "sketch").dropDuplicates(["node"]), "node")
+        chosen = cut_lineage(_grouped(whole, *_candidates(threshold, margin, True)))
+        more = _grouped(chosen.join(_full(d, known, chosen, words), "node"), *_forest(threshold, margin))
+        named = _names(edges.unionByName(cut_lineage(more)))
+    roots = cut_lineage(copies.join(named, "node", "left").select("node", F.coalesce("low_node", "node").alias("root"), (F.col("size") > 0).alias("has_words")))
+    return (rows.select("doc_id", "key", "node").join(roots, "node")
+            .select("doc_id", F.when(F.col("has_words"), F.hex("root")).otherwise(F.col("key")).alias("root"), "key"))
+
+
 def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay when each class keeps its smallest id (null last), with all columns."""
-    joined = join(docs, id_col=id_col, text=text, **options)
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
-    stay = joined.groupBy("root").agg(best.alias("best")).select(F.col("best.key").alias("_cw_key"))
+    found = classes(docs, id_col=id_col, text=text, **options)
+    stay = found.groupBy("root").agg(best.alias("best")).select(F.col("best.key").alias("_cw_key"))
     return keep_rows(docs, stay, id_col, text)
