@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import decoded, runs, slices, steps, texts
+from .common import decoded, runs, slices, texts
 from .shingles import mix
 
 #: Words of a unit at least.
@@ -54,43 +54,45 @@ def _powers(factor: int, n: int) -> np.ndarray:
     return np.cumprod(x, dtype=np.uint64)
 
 
-def units(text: str, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Digests (64 and 32 bits), starts and ends of the units of a text, by start; the end takes in the break.
+def units(texts_: list[str], least: int = LEAST) -> tuple[np.ndarray, ...]:
+    """Units of several texts: number of the text, digest (64 and 32 bits), start and end, by text and start; the end takes in the break.
 
     A unit's digest is a polynomial in the digests of its pieces, so that every
     piece is hashed once however many units it is part of.
     """
-    cuts = [m.end() for m in _END.finditer(text)]
-    plain = unicodedata.is_normalized("NFKC", text)
-    starts, ends, count, digests = [], [], [0], []
-    at = 0
-    for end in [*cuts, len(text)]:
-        piece = text[at:end]
-        words = (piece if plain else unicodedata.normalize("NFKC", piece)).casefold().split()
-        if words:
-            starts.append(at)
-            ends.append(end)
-            count.append(len(words))
-            digests.append(xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "replace")))
-        at = end
-    n, total = len(starts), np.cumsum(np.array(count, np.int64))
-    # Pieces i to j: the shortest runs of enough words that begin at i, and those that end at j.
+    starts, ends, count, digests, border = [], [], [0], [], [0]
+    for text in texts_:
+        cuts = [m.end() for m in _END.finditer(text)]
+        plain = unicodedata.is_normalized("NFKC", text)
+        at = 0
+        for end in [*cuts, len(text)]:
+            piece = text[at:end]
+            words = (piece if plain else unicodedata.normalize("NFKC", piece)).casefold().split()
+            if words:
+                starts.append(at)
+                ends.append(end)
+                count.append(len(words))
+                digests.append(xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "replace")))
+            at = end
+        border.append(len(starts))
+    n, total, border = len(starts), np.cumsum(np.array(count, np.int64)), np.array(border, np.int64)
+    text_of = np.repeat(np.arange(len(texts_)), np.diff(border))
+    # Pieces i to j of one text: the shortest runs of enough words that begin at i, and those that end at j.
     i = np.arange(n)
     j = np.searchsorted(total, total[:-1] + least)
-    ahead = np.stack([i, j], axis=1)[j <= n]
+    ahead = (i * (n + 1) + j)[j <= border[1:][text_of]]
     j = np.arange(1, n + 1)
     i = np.searchsorted(total, total[1:] - least, side="right") - 1
-    back = np.stack([i, j], axis=1)[i >= 0]
-    found = np.unique(np.concatenate([ahead, back]), axis=0).astype(np.int64)
-    if not len(found):
-        return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
-    i, j = found.T
+    back = (i * (n + 1) + j)[i >= border[:-1][text_of]]
+    found = np.unique(np.concatenate([ahead, back])).astype(np.int64)
+    i, j = found // (n + 1), found % (n + 1)
     cells = np.frombuffer(b"".join(digests), np.uint64).reshape(n, 2)
     lanes = []
     for lane in range(2):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(cells[:, lane] * _powers(_FACTORS[lane], n))])
         lanes.append(mix((sums[j] - sums[i]) * _powers(_INVERSES[lane], n)[i] + (j - i).astype(np.uint64)))
-    return lanes[0].view(np.int64), (lanes[1] >> np.uint64(32)).astype(np.uint32).view(np.int32), np.array(starts)[i], np.array(ends)[j - 1]
+    return (text_of[i], lanes[0].view(np.int64), (lanes[1] >> np.uint64(32)).astype(np.uint32).view(np.int32),
+            np.array(starts, np.int64)[i], np.array(ends, np.int64)[j - 1])
 
 
 def _key(id_col: str, text: str) -> Column:
@@ -102,29 +104,22 @@ def _doc(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).try_cast("long"), F.lit(_NO_ID))
 
 
-def _first_here(lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the first occurrence of each digest in a text, and how many there are."""
-    _, first, n = np.unique(lo, return_index=True, return_counts=True)
-    return first, n
+def _first_here(own: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first occurrence of each digest in each text, and how many there are."""
+    order = np.lexsort((lo, own))
+    new = np.ones(len(order), bool)
+    new[1:] = (own[order][1:] != own[order][:-1]) | (lo[order][1:] != lo[order][:-1])
+    return order[new], np.diff(np.append(np.flatnonzero(new), len(order)))
 
 
 def _digests(docs: DataFrame, least: int) -> DataFrame:
     """(lo, hi, doc, n): each digest of each document once."""
 
     def run(batches):
-        for batch in slices(batches):
-            docs_, los, his, ns = [], [], [], []
-            for doc, raws in steps([batch.select(["doc", "_cw_text"])], 64):
-                for d, raw in zip(doc, raws):
-                    lo, hi, _, _ = units(decoded(raw), least)
-                    if len(lo):
-                        first, n = _first_here(lo)
-                        docs_.append(np.full(len(first), d))
-                        los.append(lo[first])
-                        his.append(hi[first])
-                        ns.append(n)
-            if docs_:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (los, his, docs_, ns)], ["lo", "hi", "doc", "n"])
+        for batch in slices(batches, 64):
+            own, lo, hi, _, _ = units([decoded(raw) for raw in batch.column("_cw_text").to_pylist()], least)
+            first, n = _first_here(own, lo)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (lo[first], hi[first], batch.column("doc").to_numpy()[own[first]], n)], ["lo", "hi", "doc", "n"])
 
     return docs.select("doc", "_cw_text").mapInArrow(run, "lo long, hi int, doc long, n long")
 
@@ -133,18 +128,12 @@ def _units(docs: DataFrame, least: int) -> DataFrame:
     """(lo, hi, doc, key, span, again): all units, and whether the digest stands in the same text before."""
 
     def run(batches):
-        for batch in slices(batches):
-            columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
-            for doc, key, raws in steps([batch.select(["doc", "key", "_cw_text"])], 64):
-                for d, k, raw in zip(doc, key, raws):
-                    lo, hi, start, end = units(decoded(raw), least)
-                    if len(lo):
-                        again = np.ones(len(lo), bool)
-                        again[_first_here(lo)[0]] = False
-                        for c, x in zip(columns, (lo, hi, np.full(len(lo), d), np.full(len(lo), k), start << 32 | end, again)):
-                            c.append(x)
-            if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["lo", "hi", "doc", "key", "span", "again"])
+        for batch in slices(batches, 64):
+            own, lo, hi, start, end = units([decoded(raw) for raw in batch.column("_cw_text").to_pylist()], least)
+            again = np.ones(len(lo), bool)
+            again[_first_here(own, lo)[0]] = False
+            named = [batch.column(c).to_numpy()[own] for c in ("doc", "key")]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (lo, hi, *named, start << 32 | end, again)], ["lo", "hi", "doc", "key", "span", "again"])
 
     return docs.mapInArrow(run, "lo long, hi int, doc long, key long, span long, again boolean")
 
