@@ -152,7 +152,7 @@ def batch_number(df: DataFrame, keys: list[str], order: list[Column], size: int)
         "batch", F.floor((F.col("_n") - 1) / size).cast("long")).drop("_n")
 
 
-def batch_evidence(batched: DataFrame, changed: DataFrame, diffs: DataFrame, key: str = "run_id") -> DataFrame:
+def batch_evidence(batched: DataFrame, changed: DataFrame, diffs: DataFrame, key: str = "run_id", chars: int = EVIDENCE_CHARS) -> DataFrame:
     """Evidence text per batch: patches of its files, else the whole diff.
 
     A batch holds at most a handful of files, so the ordered list is bounded;
@@ -162,13 +162,13 @@ def batch_evidence(batched: DataFrame, changed: DataFrame, diffs: DataFrame, key
              .filter("filename <> ''").distinct())
     parts = (files.join(changed.filter("patch <> ''").select(key, "filename", "patch", "file_ord"), [key, "filename"])
              .groupBy(key, "batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
-                 "file_ord", F.concat(F.lit("diff for "), "filename", F.lit("\n"), F.left("patch", F.lit(EVIDENCE_CHARS + 1))).alias("t")))),
+                 "file_ord", F.concat(F.lit("diff for "), "filename", F.lit("\n"), F.left("patch", F.lit(chars + 1))).alias("t")))),
                  lambda x: x["t"]), "\n\n").alias("_parts")))
     # A longer text is cut, so one character more than the limit is all that has to move.
-    cut = lambda c: F.when(F.length(c) > EVIDENCE_CHARS, F.concat(F.left(c, F.lit(EVIDENCE_CHARS)), F.lit(EVIDENCE_MARKER))).otherwise(F.col(c))
+    cut = lambda c: F.when(F.length(c) > chars, F.concat(F.left(c, F.lit(chars)), F.lit(EVIDENCE_MARKER))).otherwise(F.col(c))
     every = batched.select(key, "batch").distinct()
     whole = (every.join(parts.select(key, "batch"), [key, "batch"], "left_anti")
-             .join(diffs.select(key, F.left("diff", F.lit(EVIDENCE_CHARS + 1)).alias("diff")), key, "left").select(key, "batch", cut("diff").alias("evidence")))
+             .join(diffs.select(key, F.left("diff", F.lit(chars + 1)).alias("diff")), key, "left").select(key, "batch", cut("diff").alias("evidence")))
     return parts.select(key, "batch", cut("_parts").alias("evidence")).unionByName(whole)
 
 

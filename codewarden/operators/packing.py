@@ -91,18 +91,21 @@ def _next_bins(t: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
 
 def slice_summary(t: np.ndarray, limit: int) -> tuple[list[int], list[int], list[int]]:
     """(reach, bins, left) by first break position k: an entry level u breaks at
-    the first k with u + reach[k] > limit, opens bins[k] bins, ends at left[k]."""
+    the first k with u + reach[k] > limit, opens bins[k] bins, ends at left[k].
+
+    Files without tokens reach no further than the one before them, so a run of
+    them has no entry of its own.  Bins are followed by jumps of doubling length.
+    """
     total, nxt = _next_bins(t, limit)
     n = len(t)
-    bins = np.ones(n, dtype=np.int64)
-    last = np.arange(n)
-    for i in range(n - 1, -1, -1):
-        if nxt[i] < n:
-            bins[i] += bins[nxt[i]]
-            last[i] = last[nxt[i]]
+    jump, bins, last = np.append(nxt, n), np.append(np.ones(n, np.int64), 0), np.arange(n + 1)
+    while (jump < n).any():
+        last = np.where(jump < n, last[jump], last)
+        bins = bins + bins[jump]
+        jump = jump[jump]
     stop = min(int(np.searchsorted(total[1:], limit, side="right")) + 1, n)
-    ks = np.arange(stop)
-    return total[1:][ks].tolist(), bins[ks].tolist(), (total[n] - total[last[ks]]).tolist()
+    reach, ks = np.unique(total[1 : stop + 1], return_index=True)
+    return reach.tolist(), bins[ks].tolist(), (total[n] - total[last[ks]]).tolist()
 
 
 def slice_step(used: int, number: int, total: int, reach, bins, left, limit: int) -> tuple[int, int]:
@@ -116,12 +119,15 @@ def slice_step(used: int, number: int, total: int, reach, bins, left, limit: int
 
 
 def pack_slice(t: np.ndarray, limit: int, used: int, number: int) -> np.ndarray:
+    """Bin of every file of a slice that is entered with ``used`` tokens in bin ``number``; one step per bin."""
+    total, nxt = _next_bins(t, limit)
     out = np.empty(len(t), dtype=np.int64)
-    for i, x in enumerate(t):
-        if used < 0 or used + x > limit:
-            used, number = 0, number + 1
-        used += x
-        out[i] = number
+    at = 0 if used < 0 else int(np.searchsorted(total[1:], limit - used, side="right"))
+    out[:at] = number
+    while at < len(t):
+        number += 1
+        out[at : nxt[at]] = number
+        at = int(nxt[at])
     return out
 
 
@@ -247,26 +253,26 @@ def packed_review(packed: DataFrame, sections: DataFrame, key: str = "run_id", n
 
 # -- repository context -------------------------------------------------------------
 
-def context_lines(edges: DataFrame, tree: DataFrame, notes: DataFrame) -> DataFrame:
+def context_lines(edges: DataFrame, tree: DataFrame, notes: DataFrame, max_imports: int = MAX_IMPORTS, max_tree: int = MAX_TREE, shown_tree: int = SHOWN_TREE) -> DataFrame:
     """(repo, section, no, line): capped import edges, tree and diagnostics.
 
     ``notes`` has (repo, ord, level, message); ``ord`` is the order of arrival.
     """
-    shown = first_k(edges.select("repo", "ord", "src", "dst", "symbols", "external"), ["repo"], [F.col("ord")], MAX_IMPORTS, "no")
+    shown = first_k(edges.select("repo", "ord", "src", "dst", "symbols", "external"), ["repo"], [F.col("ord")], max_imports, "no")
     clean = text.clean_control
     target = F.when(F.col("external"), F.concat(clean(F.col("dst")), F.lit(" (external)"))).otherwise(clean(F.col("dst")))
     names = F.when(F.size("symbols") > 0, F.concat(F.lit(" (symbols: "), F.array_join(F.transform("symbols", clean), ", "), F.lit(")"))).otherwise("")
     imports = shown.select("repo", F.lit(1).alias("section"), "no", F.concat(F.lit("- "), clean(F.col("src")), F.lit(" → "), target, names).alias("line"))
     size = F.when(F.col("size").isNotNull(), F.concat(F.lit(" ("), F.call_function("format_number", F.col("size") / 1024, F.lit("0.0")), F.lit("KB)"))).otherwise("")
-    top = first_k(tree.select("repo", "path", "size"), ["repo"], [F.col("path")], SHOWN_TREE, "no")
+    top = first_k(tree.select("repo", "path", "size"), ["repo"], [F.col("path")], shown_tree, "no")
     entries = top.select("repo", F.lit(2).alias("section"), "no", F.concat(F.lit("- "), clean(F.col("path")), size).alias("line"))
     n_tree = tree.groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
-    more = n_tree.filter(F.col("n") > SHOWN_TREE).select("repo", F.lit(2).alias("section"), F.lit(SHOWN_TREE + 1).alias("no"), F.concat(
-        F.lit("- ... ("), (F.least("n", F.lit(MAX_TREE)) - SHOWN_TREE).cast("string"), F.lit(" more files)")).alias("line"))
+    more = n_tree.filter(F.col("n") > shown_tree).select("repo", F.lit(2).alias("section"), F.lit(shown_tree + 1).alias("no"), F.concat(
+        F.lit("- ... ("), (F.least("n", F.lit(max_tree)) - shown_tree).cast("string"), F.lit(" more files)")).alias("line"))
     n_edges = edges.groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
     note = lambda df, cap, words: df.filter(F.col("n") > cap).select("repo", F.lit("warn").alias("level"), words.alias("message"))
-    extra = note(n_edges, MAX_IMPORTS, F.concat(F.lit(f"Import edges capped at {MAX_IMPORTS} ("), F.col("n").cast("string"), F.lit(" total); some dependencies not shown."))).unionByName(
-        note(n_tree, MAX_TREE, F.concat(F.lit(f"Repository tree capped at {MAX_TREE} entries ("), F.col("n").cast("string"), F.lit(" total); some files not shown."))))
+    extra = note(n_edges, max_imports, F.concat(F.lit(f"Import edges capped at {max_imports} ("), F.col("n").cast("string"), F.lit(" total); some dependencies not shown."))).unionByName(
+        note(n_tree, max_tree, F.concat(F.lit(f"Repository tree capped at {max_tree} entries ("), F.col("n").cast("string"), F.lit(" total); some files not shown."))))
     # In order of arrival, the caps last; numbered by range slices, so a noisy repository is spread out.
     said = notes.select("repo", F.lit(0).alias("_o"), "ord", "level", "message").unionByName(
         extra.select("repo", F.lit(1).alias("_o"), F.lit(None).cast(notes.schema["ord"].dataType).alias("ord"), "level", "message"))

@@ -256,12 +256,12 @@ def _finding(signal: str, level: str, description: Column, evidence: Column, ind
             description.alias("description"), evidence.alias("evidence"), index.cast("long").alias("event_index"), (F.lit(0) if call is None else call).cast("long").alias("call_no")]
 
 
-def dead_ends(trace: Trace) -> DataFrame:
+def dead_ends(trace: Trace, chars: int = 80, shown_errors: int = 3) -> DataFrame:
     """Errors followed by a different attempt; one finding per session."""
     d = neighbour(trace.calls, ["session"], ["idx", "call_no"], F.when(F.col("call_no") == 0, F.struct("idx", "key")), "next", forward=True)
     bad = d.filter(F.col("is_error") & F.col("next").isNotNull() & (F.col("next.key") != F.col("key")))
-    shown = F.concat("name", F.lit(": "), F.left("result", F.lit(80)))
-    top = first_k(bad.select("session", "idx", "call_no", shown.alias("e")), ["session"], [F.col("idx"), F.col("call_no")], 3)
+    shown = F.concat("name", F.lit(": "), F.left("result", F.lit(chars)))
+    top = first_k(bad.select("session", "idx", "call_no", shown.alias("e")), ["session"], [F.col("idx"), F.col("call_no")], shown_errors)
     evidence = top.groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "e"))), lambda x: x["e"]), " → ").alias("evidence"))
     n = bad.groupBy("session").agg(F.count(F.lit(1)).alias("n"))
     words = F.concat(F.lit("Agent had "), F.col("n").cast("string"), F.lit(" dead end"), F.when(F.col("n") > 1, "s").otherwise(""),
@@ -269,29 +269,29 @@ def dead_ends(trace: Trace) -> DataFrame:
     return n.join(evidence, "session").select(*_finding("dead_end", "warning", words, F.col("evidence"), F.lit(0)))
 
 
-def retry_storms(trace: Trace, minimum: int = 3) -> DataFrame:
+def retry_storms(trace: Trace, minimum: int = 3, chars: int = 60) -> DataFrame:
     """Runs of similar calls; the run is an aggregate, not a list."""
     d = neighbour(trace.calls, ["session"], ["idx", "call_no"], F.col("key"), "_prev")
     d = running_sum(d, ["session"], ["idx", "call_no"], F.when(F.col("key") == F.col("_prev"), 0).otherwise(1), "_run")
     runs = d.groupBy("session", "_run").agg(
         F.count(F.lit(1)).alias("n"), F.min_by(F.struct("idx", "call_no", "name", "command"), F.struct("idx", "call_no")).alias("c"))
     runs = runs.filter(F.col("n") >= minimum)
-    what = F.when((F.col("c.name") == "Bash") & F.col("c.command").isNotNull(), F.left("c.command", F.lit(60))).otherwise(F.col("c.name"))
+    what = F.when((F.col("c.name") == "Bash") & F.col("c.command").isNotNull(), F.left("c.command", F.lit(chars))).otherwise(F.col("c.name"))
     count = F.col("n").cast("string")
     return runs.select(*_finding(
         "retry_storm", "warning", F.concat(F.lit("Same command retried "), count, F.lit(" times — suggests flaky approach.")),
         F.concat("c.name", F.lit(": "), what, F.lit(" (repeated "), count, F.lit("x)")), F.col("c.idx"), F.col("c.call_no")))
 
 
-def unhandled_errors(trace: Trace) -> DataFrame:
-    """Errors that none of the next three events picks up.
+def unhandled_errors(trace: Trace, chars: int = 100, within: int = 3) -> DataFrame:
+    """Errors that none of the next events picks up, three by default.
 
     Each error asks for three event numbers; answers come by equi-joins on
     (session, event), so a long session is spread over its events.
     """
     bad = trace.calls.filter("is_error").select("session", "idx", "call_no", "name", "key", "file_path", "result")
     asks = bad.select("session", F.col("idx").alias("_i"), F.col("call_no").alias("_c"), F.col("key").alias("_key"), F.col("file_path").alias("_path"),
-                      F.explode(F.sequence(F.col("idx") + 1, F.col("idx") + 3)).alias("idx"))
+                      F.explode(F.sequence(F.col("idx") + 1, F.col("idx") + within)).alias("idx"))
     said = asks.join(trace.events.filter(F.col("text").rlike(ADDRESSED)).select("session", "idx"), ["session", "idx"], "left_semi")
     again = asks.join(trace.calls.select("session", "idx", "key", "name", "file_path"), ["session", "idx"]).filter(
         (F.col("key") == F.col("_key")) | (F.col("name").isin("Write", "Edit") & (F.col("file_path") == F.col("_path"))))
@@ -299,7 +299,7 @@ def unhandled_errors(trace: Trace) -> DataFrame:
     left = bad.join(handled.withColumnsRenamed({"_i": "idx", "_c": "call_no"}), ["session", "idx", "call_no"], "left_anti")
     return left.select(*_finding(
         "unhandled_error", "warning", F.lit("Agent encountered an error but continued without addressing it."),
-        F.concat("name", F.lit(": "), F.left("result", F.lit(100))), F.col("idx"), F.col("call_no")))
+        F.concat("name", F.lit(": "), F.left("result", F.lit(chars))), F.col("idx"), F.col("call_no")))
 
 
 def low_exploration(trace: Trace) -> DataFrame:

@@ -59,3 +59,21 @@ def test_diff_skip_fit_equals_the_loop(spark):
             fits = t is not None and used + t <= room
             used += t if fits else 0
             assert got[x[1]] == ("packed" if fits else "summary")
+
+
+def test_empty_files_need_no_summary():
+    """A million files without tokens give one entry; a slice is packed as by a plain loop."""
+    assert [len(x) for x in packing.slice_summary(np.zeros(1_000_000, np.int64), 100)] == [1, 1, 1]
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        t = rng.choice([0, 0, 0, 1, 7, 30, 99, 100, 101], int(rng.integers(1, 40)))
+        whole = packing.slice_summary(t, 100)
+        for used in [-1, *range(0, 101, 7), 100]:
+            level, number, bins = used, 3, []
+            for x in t:
+                if level < 0 or level + x > 100:
+                    level, number = 0, number + 1
+                level += x
+                bins.append(number)
+            assert packing.pack_slice(t, 100, used, 3).tolist() == bins
+            assert packing.slice_step(used, 3, int(t.sum()), *whole, 100) == (level, number)
