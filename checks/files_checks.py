@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codewarden.functions import text
-from codewarden.functions.fixed import (BROAD_FIELDS, FHIR_RESOURCES, PHI_FIELDS, PHI_MODELS, PHI_TABLES)
 from codewarden.operators import classify, findings, imports, packing, redact, runtime, rules, scanners
 from codewarden.sources import corpus
 
 from .fixtures import spark_fixture, with_fixtures
+from .values import BROAD_FIELDS, FHIR_RESOURCES, PHI_FIELDS, PHI_MODELS, PHI_TABLES
 
 QUERIES, ORACLES = {}, {}
 BUDGET = 6000  # tokens per chunk; a small one so that the test data needs many chunks

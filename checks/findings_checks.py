@@ -8,6 +8,7 @@ from codewarden.functions import severity as sev
 from codewarden.functions import text
 from codewarden.operators import findings as fi
 from codewarden.operators import merge
+from codewarden.session import cut_lineage
 from codewarden.sources import baseline as bl
 from codewarden.sources import exports
 
@@ -297,6 +298,14 @@ def vote_counts(spark, sf):
     return fi.vote_counts(voted(spark, sf), findings(spark, sf), 3)
 
 
+@query("vote_strategies", f"""{VOTE}, t AS (SELECT * FROM v) SELECT 'majority' AS strategy, run_id, id, agreement FROM t WHERE agreement * 2 > 3 UNION ALL SELECT 'unanimous', run_id, id, agreement FROM t WHERE agreement = 3
+UNION ALL SELECT 'any', run_id, id, agreement FROM t""")
+def vote_strategies(spark, sf):
+    v = cut_lineage(voted(spark, sf).select("run_id", "id", "agreement"))
+    parts = [merge.by_strategy(v, s, 3).select(F.lit(s).alias("strategy"), "run_id", "id", "agreement") for s in ("majority", "unanimous", "any")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("hotspots", f"""{FX}, h AS (SELECT run_id, location, sum(CASE severity WHEN 'CRITICAL' THEN 5 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END) AS score,
 count(*) AS total, min(ord) AS o, {', '.join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in sev.SEVERITIES)} FROM findings_fx GROUP BY run_id, location),
 r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, total DESC, o) AS rn FROM h) SELECT * EXCLUDE (o) FROM r WHERE rn <= 10""")

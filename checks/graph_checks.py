@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codewarden.functions import text
-from codewarden.functions.fixed import BAA_COVERED, BAA_NONE, PHI_FIELDS
+from codewarden.functions import fixed, text
 from codewarden.operators import flow, imports, runtime
 
 from .files_checks import FX as FILES
 from .files_checks import IMPORT_SQL, LANG, files
 from .files_checks import ORACLES as FILE_SQL
 from .fixtures import spark_fixture, spark_table, with_fixtures
+from .values import BAA_COVERED, BAA_NONE, PHI_FIELDS
 
 QUERIES, ORACLES = {}, {}
 
@@ -182,8 +182,8 @@ def registry_hosts(spark, sf):
 SELECT field, CAST(min(o) AS BIGINT) AS ord FROM (SELECT * FROM d UNION ALL SELECT field, o + {len(PHI_FIELDS)} FROM e) u GROUP BY field""")
 def phi_fields(spark, sf):
     extra = spark_table(spark, sf, "documents").groupBy(F.col("lang").alias("field")).agg(F.min("doc_id").alias("ord"))
-    extra = extra.unionByName(extra.limit(1).select(F.lit("ssn").alias("field"), F.lit(9999).cast("long").alias("ord")))
-    return flow.field_table(spark, extra, PHI_FIELDS)
+    extra = extra.unionByName(spark.createDataFrame([("ssn", 9999)], "field string, ord long"))
+    return flow.field_table(spark, extra, fixed.PHI_FIELDS)
 
 
 @query("merged_profiles", f"""WITH rt AS ({FILE_SQL['runtime_flows']}), n AS (SELECT repo, path, count(*) AS runtime_flows FROM rt GROUP BY ALL),

@@ -4,7 +4,8 @@ import __spark_entry__ as entry
 from checks.compare import check
 
 SMALL = "/root/testdata/sf0.001"
-SAMPLE = ["path_classes", "exact_merge", "rules_encryption", "import_edges", "flow_paths", "unhandled_errors", "chunk_packing", "response_findings", "model_vote"]
+SAMPLE = ["path_classes", "exact_merge", "rules_encryption", "import_edges", "flow_paths", "unhandled_errors", "chunk_packing", "response_findings", "model_vote",
+          "scan_findings", "flow_job", "sarif_files", "review_prompts", "packed_reviews", "custom_scanners", "corpus_folder", "scan_documents"]
 
 
 def test_every_oracle_has_a_query():
