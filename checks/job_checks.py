@@ -12,6 +12,7 @@ from codewarden.operators import flow, packing, prompts, runtime, table_function
 from codewarden.operators.findings import ensemble_stats as ensemble
 from codewarden.operators.findings import lens_counts
 from codewarden.plans import flow as flow_plan
+from codewarden.plans import review as review_plan
 from codewarden.plans import scan
 from codewarden.session import scratch_dir
 from codewarden.sources import documents, folder, lenses, responses
@@ -345,3 +346,36 @@ def runtime_profiles(spark, sf):
     call = lambda c: F.concat_ws(":", c["type"], c["channel"], c["functionName"], c["line"].cast("int").cast("string"))
     return d.select("repo", "path", F.array_join(F.transform("profile.sources", lambda s: s["name"]), ",").alias("sources"),
                     F.array_join(F.transform("profile.runtimeFlows", call), ",").alias("calls"))
+
+
+def reviewer(system: str, user: str) -> str:
+    """Each lens tells one thing that all of them see and one of its own; odd ids are doubted, and one lens fails."""
+    if system == review_plan.SCORE_SYSTEM:
+        ids = re.findall(r'"id":"([^"]+)"', user.split("## Evidence")[0])
+        return json.dumps({"scores": [{"id": i, "confidenceScore": 90 if len(i) % 2 == 0 else 10} for i in ids]})
+    if system.startswith("find waits"):
+        raise ValueError("too slow")
+    if system.startswith("find leaks"):
+        return "nothing to say"
+    own = system.split()[1][:5]
+    row = lambda i, severity, summary: {"id": i, "severity": severity, "category": "c", "location": "src/a.ts:1", "summary": summary, "detail": f"by {own}", "suggestion": "s"}
+    return json.dumps([row("common", "MEDIUM", "seen by all"), row(f"own-{own}", "HIGH", f"only {own} {own}{own} says this")])
+
+
+@query("review_job", f"""{ASKED}, ok AS (SELECT run_id, lens, substr(split_part(system_prompt, ' ', 2), 1, 5) AS own, row_number() OVER (PARTITION BY run_id ORDER BY at_, lens) AS o FROM rs),
+fn AS (SELECT run_id, 'common' AS id, string_agg(lens, ',' ORDER BY o) AS lenses, 'MEDIUM' AS severity FROM ok WHERE lens IN ('security', 'architecture', 'quality') GROUP BY run_id
+  UNION ALL SELECT run_id, concat('own-', own), lens, 'HIGH' FROM ok WHERE lens IN ('security', 'architecture', 'quality'))
+SELECT run_id, 'finding' AS part, id AS name, concat_ws('|', severity, lenses, CASE WHEN length(id) % 2 = 0 THEN 'confirmed' ELSE 'disproven' END) AS body FROM fn
+UNION ALL SELECT run_id, 'failed', lens, CASE WHEN lens = 'perf' THEN 'too slow' ELSE '[PARSE ERROR] hipaa lens returned garbled response — results may be incomplete' END FROM ok WHERE lens IN ('perf', 'hipaa')
+UNION ALL SELECT run_id, 'gate', '', CASE WHEN bool_or(severity = 'HIGH' AND length(id) % 2 = 0) THEN 'true' ELSE 'false' END FROM fn GROUP BY run_id""")
+def review_job(spark, sf):
+    c, diffs = review(spark, sf)
+    r = F.col("run_id")
+    meta = c.select("run_id").distinct().withColumns({
+        "number": r, "title": F.lit("t"), "repository": F.lit("o/r"), "author": F.lit("a"), "base": F.lit("main"), "head": F.lit("f"), "labels": F.array(F.lit("l")), "additions": F.lit(1),
+        "deletions": F.lit(1), "draft": F.lit(False), "state": F.lit("open"), "body": F.lit("b")})
+    done = review_plan.review(meta, c, diffs, asked(spark, sf), reviewer, review_plan.ReviewOptions(context_tokens=4600, batch=3), blocks(spark, sf))
+    row = lambda df, part, name, body: df.select("run_id", F.lit(part).alias("part"), name.alias("name"), body.alias("body"))
+    return (row(done.merged, "finding", F.col("id"), F.concat_ws("|", "severity", F.array_join("lenses", ","), "disposition"))
+            .unionByName(row(done.failed, "failed", F.col("lens"), F.col("message")))
+            .unionByName(row(done.gate, "gate", F.lit(""), F.col("failed").cast("string"))))
