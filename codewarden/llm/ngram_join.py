@@ -366,6 +366,18 @@ def _names(edges: DataFrame) -> DataFrame:
     return named.select(F.col("v.node").alias("node"), F.col("component.id").alias("low_id"), F.col("component.node").alias("low_node"))
 
 
+def _united(named: DataFrame, more: DataFrame) -> DataFrame:
+    """Classes (node, low_id, low_node) after links between them; only the classes that are linked move."""
+    of = lambda side: named.select(F.col("node").alias(side), F.col("low_id").alias(f"{side}_id"), F.col("low_node").alias(f"{side}_low"))
+    both = more.join(of("_a"), F.col("node") == F.col("_a"), "left").join(of("_b"), F.col("low_node") == F.col("_b"), "left")
+    top = _names(both.select(F.coalesce("_a_id", "id").alias("id"), F.coalesce("_a_low", "node").alias("node"),
+                             F.coalesce("_b_id", "low_id").alias("low_id"), F.coalesce("_b_low", "low_node").alias("low_node")))
+    top = cut_lineage(top.select(F.col("node").alias("_top"), F.col("low_id").alias("_id"), F.col("low_node").alias("_low")))
+    moved = named.join(top, F.col("low_node") == F.col("_top"), "left").select("node", F.coalesce("_id", "low_id").alias("low_id"), F.coalesce("_low", "low_node").alias("low_node"))
+    alone = top.join(named, F.col("_top") == F.col("node"), "left_anti")
+    return moved.unionByName(alone.select(F.col("_top").alias("node"), F.col("_id").alias("low_id"), F.col("_low").alias("low_node")))
+
+
 def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS, depth: int = DEPTH, limit: int = LIMIT,
          block: int = BLOCK, margin: float = MARGIN, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: (doc_id, class_id, n_links, copies, root, key).
@@ -417,8 +429,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     if not parts.isEmpty() and (rest := _between(members, parts, named, block, CELLS)) is not None:
         whole = rest.join(members.select("node", "size", "leaves", "sketch").dropDuplicates(["node"]), "node")
         chosen = cut_lineage(_grouped(whole, *_candidates(threshold, margin, True)))
-        more = _grouped(chosen.join(_full(d, known, chosen, words), "node"), *_forest(threshold, margin))
-        named = _names(edges.unionByName(cut_lineage(more)))
+        more = cut_lineage(_grouped(chosen.join(_full(d, known, chosen, words), "node"), *_forest(threshold, margin)))
+        if not more.isEmpty():
+            named = _united(cut_lineage(named), more)
     roots = cut_lineage(copies.join(named, "node", "left").select("node", F.coalesce("low_node", "node").alias("root"), (F.col("size") > 0).alias("has_words")))
     return (rows.select("doc_id", "key", "node").join(roots, "node")
             .select("doc_id", F.when(F.col("has_words"), F.hex("root")).otherwise(F.col("key")).alias("root"), "key"))
