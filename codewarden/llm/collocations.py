@@ -41,7 +41,7 @@ from .common import slices, steps
 from .shingles import mix
 
 #: Bytes of text that are cut into words at once, and words that a task holds before it passes their counts on.
-PIECE, TOKENS = 1 << 20, 1 << 21
+PIECE, TOKENS = 1 << 20, 3 << 19
 #: Places looked up in a filter at once.
 _STEP = 1 << 18
 _BREAK, _BLANK = ord("."), ord(" ")
@@ -130,7 +130,8 @@ class Accumulator:
         data = b".".join(self.waiting)
         numbers, start, stop, joined = words_of(data, self.seed)
         # The words as they are written are needed only while words are counted.
-        self.parts.append((numbers, joined, *((data, start, stop) if self.count_words else ())))
+        kind = np.int32 if len(data) < 1 << 31 else np.int64
+        self.parts.append((numbers, joined, *((data, start.astype(kind), stop.astype(kind)) if self.count_words else ())))
         self.waiting, self.size = [], 0
         self.held += len(numbers)
 
@@ -284,7 +285,9 @@ def frequent(docs: DataFrame, counting: Counting = Counting(), id_col: str = "do
         if totals is not None:
             found = found.unionByName(totals)
         path = scratch_dir(spark, f"phrases{step}")
-        found.groupBy("lang", "word", *names).agg(F.sum("n").alias("n"), F.min("since").alias("since")).write.parquet(path)
+        keys = ["lang", "word", *names]
+        # Tasks have added up their own counts; what is left rarely repeats within a task.
+        found.repartition(*keys).groupBy(*keys).agg(F.sum("n").alias("n"), F.min("since").alias("since")).write.option("parquet.enable.dictionary", "false").parquet(path)
         totals = spark.read.parquet(path)
         bitmap = bitmap | _bits(totals.filter((F.col("n") >= counting.least) & (F.col(names[-1]) == 0)), names, counting.bits)
         filters.append(spark.sparkContext.broadcast(bitmap))
