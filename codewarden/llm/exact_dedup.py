@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import keep_rows, row_key, steps, texts
+from .common import keep_rows, row_key, slices, steps, texts
 
 BLANKS = b" \t\n\x0b\x0c\r"
 #: Bytes of a chunk: at least, at most, and the mask whose zero bits end one (about 2 KiB more).
@@ -75,7 +75,7 @@ def _recipes(docs: DataFrame, bits: int) -> DataFrame:
     kept = [f for f in docs.schema if f.name != "_cw_text"]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             recipe, sha = [], []
             for (column,) in steps([batch.select(["_cw_text"])]):
                 for raw in column:
@@ -94,7 +94,7 @@ def _contents(docs: DataFrame, bits: int) -> DataFrame:
     """(sha, pos, digest, content) for every chunk of every ``_cw_text``."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             for (column,) in steps([batch.select(["_cw_text"])], 64):
                 sha, pos, digest, content = [], [], [], []
                 for raw in column:

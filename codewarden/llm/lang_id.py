@@ -21,10 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import decoded, steps, texts
+from .common import decoded, slices, steps, texts
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -37,11 +37,15 @@ _BATCH = 48
 
 @dataclass(frozen=True)
 class SampleBounds:
-    """Bounds of the training sample: languages (the most frequent), rows in all, windows per row."""
+    """Bounds of the training sample: rows in all, windows per row.
+
+    Every label is learned, each from about the same number of rows; where that
+    would be fewer than ``least``, the sample holds ``least`` rows of each.
+    """
 
-    languages: int = 64
     rows: int = 4000
     windows: int = 4
+    least: int = 16
 
 
 @dataclass(frozen=True)
@@ -154,28 +158,30 @@ def held_out(id_col: str = "doc_id") -> Column:
 def sample(docs: DataFrame, bounds: SampleBounds, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Training windows, their labels and the languages; what reaches the driver is bounded.
 
-    A weighted sample without replacement, languages about equally often: the
-    rows with the smallest exponential keys, found by a top-k.
+    A weighted sample without replacement, languages equally often where they
+    have enough rows: the rows with the smallest exponential keys of each.
     """
     known = docs.filter(~held_out(id_col) & F.col(lang).isNotNull() & (F.octet_length(texts(text)) > 0))
-    counts = known.groupBy(F.col(lang).alias("l")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(bounds.languages).collect()
-    languages = sorted(r["l"] for r in counts)
+    counts = {r["l"]: r["n"] for r in known.groupBy(F.col(lang).alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    languages = sorted(counts)
     if not languages:
         return np.empty((0, WINDOW), np.uint8), np.empty(0, np.int64), []
-    size = F.create_map(*[F.lit(v) for r in counts for v in (r["l"], float(r["n"]))])
+    each = max(bounds.least, bounds.rows // len(languages))
     raw = texts(text)
     at = lambda i: F.substr(raw, F.pmod(F.xxhash64(id_col, F.lit(i)), F.greatest(F.octet_length(raw) - WINDOW + 1, F.lit(1))).cast("int") + 1, F.lit(WINDOW))
-    key = -F.log((F.pmod(F.xxhash64(id_col, F.lit("key")), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)) * size[F.col(lang)]
+    key = -F.log((F.pmod(F.xxhash64(id_col, F.lit("key")), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)) * F.create_map(*[F.lit(v) for x in languages for v in (x, float(counts[x]))])[F.col(lang)]
     # About twice the bound passes this test, whatever the size of the table, so that tasks send few rows.
-    near = 2.0 * bounds.rows / len(languages)
-    picked = (known.select(F.col(lang).alias("l"), key.alias("k"), F.col(id_col).cast("string").alias("i"), F.array(*[at(i) for i in range(bounds.windows)]).alias("w"))
-              .filter(F.col("k") <= near).orderBy("k", "i", "w").limit(bounds.rows).collect())
+    near = known.select(F.col(lang).alias("l"), key.alias("k"), F.col(id_col).cast("string").alias("i"),
+                        F.array(*[at(i) for i in range(bounds.windows)]).alias("w")).filter(F.col("k") <= 2.0 * each)
+    best = Window.partitionBy("l").orderBy("k", "i", "w")
+    picked = sorted(near.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= each).collect(), key=lambda r: (r["k"], r["l"], r["r"]))
     rows = [(bytes(w), r["l"]) for r in picked for w in dict.fromkeys(map(bytes, r["w"]))]
+    number = {x: i for i, x in enumerate(languages)}
     rng = np.random.default_rng(11)
     # A quarter of the windows is cut short, so that short texts are known, too.
     cut = [w if rng.random() < 0.75 else w[: int(rng.integers(16, WINDOW))] for w, _ in rows]
     cells = np.frombuffer(b"".join(w + bytes(WINDOW - len(w)) for w in cut), np.uint8).reshape(-1, WINDOW)
-    return cells, np.array([languages.index(x) for _, x in rows], np.int64), languages
+    return cells, np.array([number[x] for _, x in rows], np.int64), languages
 
 
 def fit(docs: DataFrame, bounds: SampleBounds = SampleBounds(), id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> Network | None:
@@ -207,7 +213,7 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text", lang_out:
 
     def run(batches):
         tables = net.tables()
-        for batch in batches:
+        for batch in slices(batches):
             found = [r for (column,) in steps([batch.select(["_cw_text"])], 64) for r in predict_texts(net, tables, column)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(f.name) for f in kept] + [pa.array([r[0] for r in found], pa.string()), pa.array([r[1] for r in found], pa.float64())],

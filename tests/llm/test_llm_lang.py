@@ -1,7 +1,9 @@
+import zlib
+
 import numpy as np
 import pytest
 
-from codewarden.llm import lang_id
+from codewarden.llm import lang_id, queries
 from codewarden.llm.common import table
 
 SMALL = "/root/testdata/sf0.01"
@@ -37,9 +39,34 @@ def test_no_labels(spark):
 
 
 def test_sample_is_bounded(spark):
-    bounds = lang_id.SampleBounds(languages=2, rows=50, windows=3)
-    windows, labels, languages = lang_id.sample(table(spark, SMALL, "documents"), bounds)
-    assert len(windows) <= 150 and len(languages) == 2 and set(labels.tolist()) == {0, 1}
+    docs = table(spark, SMALL, "documents")
+    windows, labels, languages = lang_id.sample(docs, lang_id.SampleBounds(rows=48, windows=3, least=2))
+    n = docs.filter("lang is not null").select("lang").distinct().count()
+    assert len(windows) <= 144 and len(languages) == n and set(labels.tolist()) == set(range(n))
+
+
+def test_every_label_is_learned(spark):
+    """Also more labels than the bound of rows has room for."""
+    rows = [(i, f"label{i % 90:02} " * 8, f"l{i % 90:02}") for i in range(9000)] + [(9001, "rare word here", "rare")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    windows, labels, languages = lang_id.sample(docs, lang_id.SampleBounds(rows=100, windows=2, least=8))
+    count = np.bincount(labels, minlength=91)
+    assert len(languages) == 91 and (count[:90] >= 8).all() and (count <= 16).all() and count[90] >= 1
+
+
+def test_predict_keeps_columns(spark, model):
+    docs = spark.createDataFrame([(1, "the and of was", "x", 2)], "doc_id long, text string, lang_pred string, scores int")
+    assert lang_id.predict(docs, model).columns == ["doc_id", "text", "scores", "lang_pred", "score"]
+
+
+def test_language_query(spark):
+    rows = {r.doc_id: r for r in queries.op6_language_id(spark, SMALL).collect()}
+    want = {r.doc_id: (r.lang, r.text) for r in table(spark, SMALL, "documents").collect()}
+    assert rows.keys() == want.keys()
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in rows.items())
+    assert all((r.lang_pred == "und") == (not any(c.isalpha() for c in want[i][1] or "")) for i, r in rows.items())
+    right = [r.lang_pred == want[i][0] for i, r in rows.items() if r.held_out and want[i][0]]
+    assert np.mean(right) >= 0.97
 
 
 def test_tables_equal_direct_sums(model):
