@@ -11,7 +11,7 @@ be read back exactly.  Only DataFrame functions are used.
 * null text or role: empty; a null record: null turns.
 * turns of a conversation are ordered by (turn, position in the record, role,
   text); repeated turns stay repeated.
-* a conversation is one rendered row, so it has to fit in one.
+* a conversation is one rendered row, so it has to fit in one; rows that share a conversation's id are one conversation.
 """
 
 from __future__ import annotations
@@ -166,11 +166,36 @@ def loss_text(formatted: Column, spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), s["size"]))), "")
 
 
-def turn_rows(rows: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """Canonical turns of a table with one turn per row (conv_id, turn, role, text)."""
-    record = F.to_variant_object(F.struct(F.col("role"), F.col("text")))
-    known = canonical(rows.select("conv_id", "turn", record.alias("record")), "record", layouts)
-    return exploded(known, ["conv_id", "turn"])
+def in_layouts(rows: DataFrame, conv: str = "conv_id") -> DataFrame:
+    """(conv, turn, record): turns written in different layouts, dealt out by conversation.
+
+    Some conversations are single turns, some lists of messages under either
+    naming; in others a user's turn and the assistant's right after it form a
+    prompt with its completion, or an instruction with its output.
+    """
+    order = Window.partitionBy(conv).orderBy("turn", "role", "text")
+    side = lambda shift, role: F.coalesce(F.lag("role", shift).over(order) == role, F.lit(False))
+    kind = F.pmod(F.xxhash64(conv), F.lit(5))
+    paired = kind >= 3
+    is_user, is_assistant = F.coalesce(F.col("role") == "user", F.lit(False)), F.coalesce(F.col("role") == "assistant", F.lit(False))
+    own = rows.withColumns({"_cw_leads": paired & is_user & side(-1, "assistant"), "_cw_follows": paired & is_assistant & side(1, "user"),
+                            "_cw_next": F.lead("text").over(order)}).filter(~F.col("_cw_follows"))
+    variant = lambda **parts: F.to_variant_object(F.struct(*[x.alias(name) for name, x in parts.items()]))
+    role, text = F.col("role"), F.col("text")
+    named = F.when(role == "user", "human").when(role == "assistant", "gpt").otherwise(role)
+    # A role that another layout would rename stays in a layout without renaming.
+    free = F.coalesce(~role.isin("human", "gpt"), F.lit(True))
+    record = (F.when(F.col("_cw_leads") & (kind == 3), variant(prompt=text, completion=F.col("_cw_next")))
+              .when(F.col("_cw_leads"), variant(instruction=text, output=F.col("_cw_next")))
+              .when(kind == 1, variant(messages=F.array(F.struct(role.alias("role"), text.alias("content")))))
+              .when((kind == 2) & free, variant(conversations=F.array(F.struct(named.alias("from"), text.alias("value")))))
+              .otherwise(variant(role=role, text=text)))
+    return own.select(conv, "turn", record.alias("record"))
+
+
+def turn_rows(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """Canonical turns of a table of records (conv_id, turn, record), each in a layout of its own."""
+    return exploded(canonical(records, "record", layouts), ["conv_id", "turn"])
 
 
 def exploded(known: DataFrame, keys: list[str]) -> DataFrame:

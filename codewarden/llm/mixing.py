@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Pfair block scheduling.
 
 Every source is put into a fixed pseudo-random order and cut into blocks of
-``block`` characters.  With target weight w, block i (from 1) of a source may
+``block`` characters, longer ones where the corpus would have more than ``MOST``.  With target weight w, block i (from 1) of a source may
 start at slot floor((i - 1) / w) and has to be done by slot ceil(i / w); in each
 slot the released block with the earliest deadline goes next.  With weights that
 add up to one this meets all deadlines, so after any number of slots a source is
@@ -35,17 +35,8 @@ from .common import row_key
 BLOCK = 1 << 16
 #: Slots in a row of the plan at most.
 PIECE = 1 << 12
-
-
-def quotas(weights: dict[str, float], resolution: int) -> dict[str, int]:
-    """Weights rounded to multiples of 1 / ``resolution``, at least one each, by largest remainders."""
-    total = sum(weights.values())
-    exact = {s: w / total * resolution for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    short = resolution - sum(out.values())
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: max(0, short)]:
-        out[s] += 1
-    return out
+#: Blocks of the whole corpus, about: the driver holds a few numbers for each.
+MOST = 1 << 20
 
 
 def whole(weights: dict[str, float]) -> dict[str, int]:
@@ -74,26 +65,18 @@ def schedule(weights: dict[str, int], left: dict[str, int]) -> dict[str, list[in
         heapq.heappush(waiting, (len(slots[s]) * total // weights[s], s))
 
 
-def one_period(quota: dict[str, int]) -> dict[str, list[int]]:
-    """Slots of the blocks of each source until integer weights have all been served once."""
-    period = sum(quota.values())
-    slots = schedule(quota, {s: n + 1 for s, n in quota.items()})
-    return {s: [t for t in v if t < period] for s, v in slots.items()}
-
-
-def phases(blocks: dict[str, int], weights: dict[str, float], resolution: int | None = None) -> list[tuple]:
+def phases(blocks: dict[str, int], weights: dict[str, float]) -> list[tuple]:
     """Rows (source, phase, first block, end block, first slot, length, slots) of the whole schedule.
 
     A row holds up to ``PIECE`` blocks; ``slots`` count from the first slot of
-    the phase, ``length`` is that of the phase.  With a ``resolution`` the
-    weights are rounded first.
+    the phase, ``length`` is that of the phase.
     """
     left, done, at, rows, phase = dict(blocks), dict.fromkeys(blocks, 0), 0, [], 0
     left = {s: n for s, n in left.items() if n}
     while left:
         wanted = {s: weights[s] for s in left if weights.get(s, 0) > 0}
         now = wanted or {s: blocks[s] for s in left}
-        slots = schedule(quotas(now, max(resolution, 2 * len(now))) if resolution else whole(now), left)
+        slots = schedule(whole(now), left)
         span = sum(map(len, slots.values()))
         for s in sorted(now):
             for k in range(0, len(slots[s]), PIECE):
@@ -110,10 +93,11 @@ PLAN = "_cw_source string, phase int, _cw_from long, _cw_to long, _cw_at long, _
 
 
 def places(docs: DataFrame, weights: dict[str, float] | None = None, temper: float = 0.5, block: int = BLOCK,
-           resolution: int | None = None, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+           most: int = MOST, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(_cw_key, phase, slot, block, offset) for every distinct row; ``offset`` is its start in its source.
 
     Without ``weights`` a source weighs its number of characters to the power ``temper``.
+    Blocks have ``block`` characters, or one ``most``-th of the corpus where that is more.
     """
     size = F.greatest(F.coalesce(F.length(F.col(text)), F.lit(1)), F.lit(1)).cast("long")
     slim = (docs.select(row_key(id_col, text).alias("_cw_key"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_cw_source"), size.alias("n"))
@@ -126,8 +110,9 @@ def places(docs: DataFrame, weights: dict[str, float] | None = None, temper: flo
     sums = placed.groupBy("_cw_source", "_cw_slice").agg(F.sum("n").alias("_cw_sum"))
     base = sums.withColumn("_cw_base", F.coalesce(F.sum("_cw_sum").over(across), F.lit(0))).drop("_cw_sum")
     totals = {r["_cw_source"]: r["n"] for r in sums.groupBy("_cw_source").agg(F.sum("_cw_sum").alias("n")).collect()}
+    block = max(block, -(-sum(totals.values()) // most))
     blocks = {s: (n - 1) // block + 1 for s, n in totals.items()}
-    rows = phases(blocks, weights if weights is not None else {s: n**temper for s, n in totals.items()}, resolution)
+    rows = phases(blocks, weights if weights is not None else {s: n**temper for s, n in totals.items()})
     # One row per block; the join is by source and block, so that no source is a hot key.
     plan = (docs.sparkSession.createDataFrame(rows, PLAN)
             .select("_cw_source", "phase", "_cw_from", "_cw_at", F.posexplode("_cw_slots").alias("_cw_i", "_cw_slot"))

@@ -109,10 +109,11 @@ MARKED = r"\### Assistant: </turn> ok"
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, written in several layouts first, so that fingerprints select; rows of an existing conversation -7 join the added one."""
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     marked = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
                                    F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(MARKED).alias("text"))
-    return chat_format.digests(chat_format.render(chat_format.turn_rows(rows.unionByName(marked))))
+    return chat_format.digests(chat_format.render(chat_format.turn_rows(chat_format.in_layouts(rows.unionByName(marked)))))
 
 
 OP10_SQL = r"""

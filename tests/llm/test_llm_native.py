@@ -83,9 +83,24 @@ def test_rendering_is_reversible(spark):
     rows = [(1, i, ["user", "assistant", "a:\nb\\", None][i % 4], t, "f") for i, t in enumerate(texts)]
     rows += [(2, 0, "user", "same", "f"), (2, 0, "user", "same", "f"), (None, None, "assistant", "x", "f"), (3, 5, "system", "no answer", "f")]
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
-    out = chat_format.render(chat_format.turn_rows(d))
+    out = chat_format.render(chat_format.turn_rows(chat_format.in_layouts(d)))
     got = {r.conv_id: r for r in out.withColumn("back", chat_format.read_back(F.col("formatted"))).withColumn("loss", chat_format.loss_text(F.col("formatted"), F.col("loss_spans"))).collect()}
     assert [tuple(t) for t in got[1].back] == [(r or "", t or "") for _, _, r, t, _ in rows[: len(texts)]]
     assert got[1].loss == "".join(t or "" for _, _, r, t, _ in rows[: len(texts)] if r == "assistant")
     assert len(got[2].back) == 2 and got[None].loss == "x" and got[3].loss == "" and got[3].loss_spans == []
-    assert chat_format.digests(chat_format.render(chat_format.turn_rows(d.limit(0)))).count() == 0
+    assert chat_format.digests(chat_format.render(chat_format.turn_rows(chat_format.in_layouts(d.limit(0))))).count() == 0
+
+
+def test_conversations_in_all_layouts(spark):
+    """Dealt out over the layouts and read by their fingerprints, the turns stay what they were."""
+    turns = [("user", "q"), ("assistant", "a"), ("assistant", None), ("human", "h"), ("user", ""), ("assistant", "b"), (None, "n"), ("gpt", "g"), ("system", "s"), ("user", "last")]
+    rows = [(c, t, r, x) for c in [*range(40), None] for t, (r, x) in enumerate(turns)]
+    records = chat_format.in_layouts(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4))
+    known = chat_format.canonical(records, "record")
+    names = {layout.fingerprint: layout.shape for layout in chat_format.LAYOUTS}
+    shapes = {names[r.fingerprint] for r in known.select("fingerprint").distinct().collect()}
+    assert len(shapes) == 5
+    got = {}
+    for r in sorted(chat_format.turn_rows(records).collect(), key=lambda r: (r.turn, r.pos)):
+        got.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert got == {c: [(r or "", x or "") for r, x in turns] for c in [*range(40), None]}

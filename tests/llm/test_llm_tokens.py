@@ -9,7 +9,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from codewarden.llm import byte_bpe, token_counts
+from codewarden.llm import byte_bpe, queries, token_counts
 
 WORDS = P.path("word_bpe_49k.json")
 RANKS = P.path("byte_bpe_50k.tiktoken")
@@ -83,3 +83,18 @@ def test_encode_then_decode(docs):
 def test_empty_table(docs):
     assert byte_bpe.round_trip(docs.limit(0), RANKS, P.PATTERN).count() == 0
     assert token_counts.count_tokens(docs.limit(0), WORDS).count() == 0
+
+
+def test_token_queries(spark):
+    """Both queries over a whole table against the libraries."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    library, codec = Tokenizer.from_file(WORDS), byte_bpe.Codec(RANKS, P.PATTERN).encoding
+    for r in queries.op7_token_counts(spark, "/root/testdata/sf0.001").collect():
+        n = len(library.encode(texts[r.doc_id], add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 2048)
+    rows = queries.op8_byte_bpe(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        ids = codec.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
