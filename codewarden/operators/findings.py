@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import severity as sev
 from ..functions import text
+from ..session import cut_lineage
 from .ordered import first_k, ordered_union
 
 # Score limits of the validation gate, fixable severities.
@@ -155,21 +156,37 @@ def batch_number(df: DataFrame, keys: list[str], order: list[Column], size: int)
 def batch_evidence(batched: DataFrame, changed: DataFrame, diffs: DataFrame, key: str = "run_id", chars: int = EVIDENCE_CHARS) -> DataFrame:
     """Evidence text per batch: patches of its files, else the whole diff.
 
-    A batch holds at most a handful of files, so the ordered list is bounded;
-    files that repeat in the batch are met once.
+    Files that repeat in the batch are met once.  Which files a batch shows and
+    where its text ends follow from names and lengths, so no patch moves before
+    that is known; batches that show the same files share one text.
     """
     files = (batched.select(key, "batch", text.file_of(F.col("location")).alias("filename"))
              .filter("filename <> ''").distinct())
-    parts = (files.join(changed.filter("patch <> ''").select(key, "filename", "patch", "file_ord"), [key, "filename"])
-             .groupBy(key, "batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
-                 "file_ord", F.concat(F.lit("diff for "), "filename", F.lit("\n"), F.left("patch", F.lit(chars + 1))).alias("t")))),
-                 lambda x: x["t"]), "\n\n").alias("_parts")))
     # A longer text is cut, so one character more than the limit is all that has to move.
+    shown = F.concat(F.lit("diff for "), "filename", F.lit("\n"), F.left("patch", F.lit(chars + 1)))
+    place = F.struct("file_ord", F.row_number().over(Window.partitionBy(key, "file_ord").orderBy("t")).alias("n"))
+    texts = cut_lineage(changed.filter("patch <> ''").select(key, "filename", "file_ord", shown.alias("t")).filter("t is not null")
+                        .withColumn("_at", place))
+    parts = (files.join(texts.select(key, "filename", "_at", F.length("t").alias("_n")), [key, "filename"])
+             .groupBy(key, "batch").agg(F.array_sort(F.collect_list(F.struct("_at", "_n"))).alias("_l"))
+             .select(key, "batch", _within("_l", chars).alias("_shown")))
+    parts = cut_lineage(parts)
     cut = lambda c: F.when(F.length(c) > chars, F.concat(F.left(c, F.lit(chars)), F.lit(EVIDENCE_MARKER))).otherwise(F.col(c))
+    joined = (parts.select(key, "_shown").distinct().select(key, "_shown", F.posexplode("_shown").alias("_i", "_at"))
+              .join(texts.select(key, "_at", "t"), [key, "_at"]).groupBy(key, "_shown")
+              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "t"))), lambda x: x["t"]), "\n\n").alias("_parts"))
+              .select(key, "_shown", cut("_parts").alias("evidence")))
     every = batched.select(key, "batch").distinct()
     whole = (every.join(parts.select(key, "batch"), [key, "batch"], "left_anti")
              .join(diffs.select(key, F.left("diff", F.lit(chars + 1)).alias("diff")), key, "left").select(key, "batch", cut("diff").alias("evidence")))
-    return parts.select(key, "batch", cut("_parts").alias("evidence")).unionByName(whole)
+    return parts.join(joined, [key, "_shown"]).select(key, "batch", "evidence").unionByName(whole)
+
+
+def _within(parts: str, chars: int) -> Column:
+    """Places of the parts that a text of ``chars`` characters and one more can show: those before which it is not over."""
+    begun = F.aggregate(parts, F.struct(F.lit(-2).cast("long").alias("end"), F.lit(0).alias("n")), lambda a, x: F.struct(
+        (a["end"] + 2 + x["_n"]).alias("end"), (a["n"] + (a["end"] <= chars).cast("int")).alias("n")))
+    return F.transform(F.slice(parts, F.lit(1), begun["n"]), lambda x: x["_at"])
 
 
 # -- counts ------------------------------------------------------------------------
