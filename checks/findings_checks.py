@@ -178,7 +178,7 @@ b AS (SELECT a.run_id, a.tail, arg_min(coalesce(patch, ''), file_ord) AS patch F
 SELECT f.run_id, f.id, length(coalesce(b.patch, '')) AS patch_len FROM findings_fx f LEFT JOIN b ON f.run_id = b.run_id AND substr(f.file, 5) = b.tail""")
 def finding_patches(spark, sf):
     f = findings(spark, sf).withColumn("location", F.substring("location", 5, 1000))
-    return fi.attach_patch(f, changed(spark, sf)).select("run_id", "id", F.length("patch").alias("patch_len"))
+    return fi.attach_patch(f, changed(spark, sf), take={"patch_len": F.length}).select("run_id", "id", "patch_len")
 
 
 @query("score_batches", f"""{FX}, {CHANGED_FX}, b AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY run_id ORDER BY ord) - 1) / 10) AS BIGINT) AS batch FROM findings_fx),
