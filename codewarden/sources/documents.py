@@ -4,7 +4,8 @@ A document is a sorted stream of lines.  Each line carries its place - section,
 item, sub-item - so a document of any size is never put together in one row:
 the opening of an item, its children and its closing are lines of their own.
 The sink streams the lines of a document into one file, in one task, and makes
-all files visible together when every task has succeeded.
+all files visible together when every task has succeeded.  They stay lines in
+the file, so a reader can split a document, too: `read_flat`.
 """
 
 from __future__ import annotations
@@ -15,12 +16,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from .exports import SCHEMA as SARIF_SCHEMA
 from .exports import VERSION, results, rules
+from .traces import read_lines
 
 PLACE = ["section", "item", "sub"]
 _LAST = (1 << 62)
@@ -167,6 +169,7 @@ class DocumentWriter(DataSourceArrowWriter):
                     out = open(staged, "w", encoding="utf-8")
                     done.append((key, staged))
                 out.write(text)
+                out.write("\n")
         if out:
             out.close()
         return Written(done)
@@ -208,3 +211,31 @@ def write(document: DataFrame, path: str, key: str = "run_id", ending: str = ".j
     rows = document.withColumn("name", F.col(key).cast("string"))
     (rows.repartition("name").sortWithinPartitions("name", *PLACE).select("name", "text")
      .write.format(DocumentSink.name()).mode("overwrite" if overwrite else "append").option("ending", ending).save(path))
+
+
+# -- reading back --------------------------------------------------------------------
+
+def read_flat(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Documents without nested items, as `write` leaves them: items (name, section, n, body) and frames (name, frame).
+
+    A frame holds the lines that are no items, in order: what comes before the
+    first section, between two of them, and after the last one.  Items follow
+    frame line ``section`` (from 1) and are numbered from 1.  Files are read in
+    splits, and only frames are gathered.  A document whose items are not parted
+    by commas is no JSON: it has no items, and its frame is null.
+    """
+    name = F.regexp_extract("session", r"([^/]*)\.[a-z]+$", 1)
+    lines_ = read_lines(spark, path).select(name.alias("name"), "pos", "line")
+    led = F.col("line").startswith("{") & (F.col("pos") > 1)
+    item = led | F.col("line").startswith(",{")
+    edge = F.when(~item, F.struct("pos", "line"))
+    edges = lines_.filter(led | ~item).groupBy("name").agg(
+        F.array_sort(F.collect_list(edge)).alias("_edges"), F.collect_list(F.when(led, F.col("pos"))).alias("_led"))
+    at = F.transform("_edges", lambda e: e["pos"])
+    sound = F.forall("_led", lambda p: F.array_contains(at, p - 1))
+    edges = edges.select("name", F.when(sound, F.col("_edges")).alias("_edges"), F.when(sound, at).alias("_at"))
+    before = F.filter("_at", lambda p: p < F.col("pos"))
+    items = (lines_.filter(item).join(edges.filter("_at is not null").select("name", "_at"), "name").withColumn("_before", before)
+             .select("name", F.size("_before").alias("section"), (F.col("pos") - F.array_max("_before")).alias("n"),
+                     F.when(F.col("line").startswith(","), F.expr("substring(line, 2)")).otherwise(F.col("line")).alias("body")))
+    return items, edges.select("name", F.transform("_edges", lambda e: e["line"]).alias("frame"))

@@ -87,3 +87,30 @@ def test_a_failed_job_changes_nothing(spark, tmp_path):
     assert parsed(path) == before
     documents.write(documents.sarif_document(runs.limit(0), finding(spark, [])), str(path))
     assert parsed(path) == {}
+
+
+def test_documents_are_read_in_splits(spark, tmp_path):
+    """Items come back with their section and number, also where a file is cut; no row holds a whole document."""
+    runs = spark.createDataFrame([(1, "main"), (2, "none")], "run_id int, branch string")
+    path = str(tmp_path / "logs")
+    documents.write(documents.sarif_document(runs, finding(spark, [1])), path, ending=".sarif")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+    try:
+        assert spark.read.text(path).select(F.max(F.length("value"))).first()[0] < 1000
+        items, frames = documents.read_flat(spark, path)
+        got = sorted((r.name, r.section, r.n, json.loads(r.body)) for r in items.collect())
+        log = json.loads((tmp_path / "logs/1.sarif").read_text())["runs"][0]
+        assert got == [("1", 1, i, x) for i, x in enumerate(log["tool"]["driver"]["rules"], 1)] + [("1", 2, i, x) for i, x in enumerate(log["results"], 1)]
+        assert {r.name: len(r.frame) for r in frames.collect()} == {"1": 3, "2": 3}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_items_without_commas_are_no_document(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d/a.json").write_text('{"t":1,"rows":[\n{"i":0}\n{"i":1}\n]\n}\n')
+    (tmp_path / "d/b.json").write_text('{"t":1,"rows":[\n{"i":0}\n,{"i":1}\n]\n}\n')
+    items, frames = documents.read_flat(spark, str(tmp_path / "d"))
+    assert sorted((r.name, r.section, r.n, r.body) for r in items.collect()) == [("b", 1, 1, '{"i":0}'), ("b", 1, 2, '{"i":1}')]
+    assert {r.name: r.frame for r in frames.collect()} == {"a": None, "b": ['{"t":1,"rows":[', "]", "}"]}
