@@ -42,8 +42,12 @@ def cut_middle(content: Column, budget: int) -> Column:
 # -- white space ----------------------------------------------------------------
 
 def trim(s: Column) -> Column:
-    """Trim every kind of white space, newlines included."""
-    return F.regexp_replace(s, rf"^{SPACE}+|{SPACE}+\z", "")
+    """Trim every kind of white space, newlines included.
+
+    Few texts begin or end with any, and the pattern is tried at every character: it runs on those only.
+    """
+    edges = F.concat(F.left(s, F.lit(1)), F.right(s, F.lit(1)))
+    return F.when(edges.rlike(SPACE), F.regexp_replace(s, rf"^{SPACE}+|{SPACE}+\z", "")).otherwise(s)
 
 
 def squeeze(s: Column) -> Column:

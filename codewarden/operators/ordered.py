@@ -46,11 +46,10 @@ def neighbour(df: DataFrame, keys: list[str], order: list[str], value: Column, o
     span = (1, Window.unboundedFollowing) if forward else (Window.unboundedPreceding, -1)
     inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(*span)
     across = Window.partitionBy(*keys).orderBy("_b").rowsBetween(*span)
-    edge = (F.min_by if forward else F.max_by)("_v", F.struct(*order))
-    carry = (d.groupBy(*keys, "_b").agg(F.count("_v").alias("_c"))
-             .join(d.filter(F.col("_v").isNotNull()).groupBy(*keys, "_b").agg(edge.alias("_edge")),
-                   [*keys, "_b"], "left")
-             .withColumn("_carry", nearest("_edge", ignorenulls=True).over(across)).drop("_edge", "_c"))
+    # Rows without a value have no place in the order: one pass, and a block of such rows stays.
+    edge = (F.min_by if forward else F.max_by)("_v", F.when(F.col("_v").isNotNull(), F.struct(*order)))
+    carry = (d.groupBy(*keys, "_b").agg(edge.alias("_edge"))
+             .withColumn("_carry", nearest("_edge", ignorenulls=True).over(across)).drop("_edge"))
     return (d.withColumn("_in", nearest("_v", ignorenulls=True).over(inside))
             .join(carry, [*keys, "_b"])
             .withColumn(out, F.coalesce("_in", "_carry"))

@@ -43,3 +43,18 @@ def test_union_keeps_first_appearance(spark):
     df = spark.createDataFrame([(1, 2, ["b", "c"]), (1, 1, ["c", "a"]), (2, 1, ["z"])], "k int, o int, x array<string>")
     got = {r.k: r.u for r in ordered_union(df, ["k"], F.col("x"), F.col("o"), "u").collect()}
     assert got == {1: ["c", "a", "b"], 2: ["z"]}
+
+
+def test_neighbour_crosses_blocks_without_a_value(spark):
+    """Blocks of rows that have no value keep their rows and hand on what is before or after them."""
+    values = {0: "a", 9: "b", 10: None, 19: None, 25: None, 31: "c", 40: None}
+    d = spark.createDataFrame([("s", p, v) for p, v in values.items()], "session string, pos long, v string")
+    got = {f: {r.pos: r.x for r in neighbour(d, ["session"], ["pos"], F.col("v"), "x", forward=f, size=10).collect()} for f in (False, True)}
+    assert got[False] == {0: None, 9: "a", 10: "b", 19: "b", 25: "b", 31: "b", 40: "c"}
+    assert got[True] == {0: "b", 9: "c", 10: "c", 19: "c", 25: "c", 31: None, 40: None}
+
+
+def test_neighbour_passes_the_table_once_for_its_edges(spark):
+    d = spark.createDataFrame([("s", 1, "a")], "session string, pos long, v string")
+    plan = neighbour(d, ["session"], ["pos"], F.col("v"), "x")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and plan.count("LogicalRDD") + plan.count("LocalRelation") == 2

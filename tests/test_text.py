@@ -56,3 +56,9 @@ def test_entropy_paths_hosts_scores(spark):
     assert value(spark, text.hostname(F.col("s")), s="http://[bad host/") is None
     for raw, want in ((59.5, 60), (-3.0, 0), (250.0, 100)):
         assert value(spark, text.clamp_score(F.col("x")), x=raw) == want
+
+
+def test_trim_takes_every_kind_of_blank_at_the_edges_only(spark):
+    texts = [None, "", " ", "\n ", "a", " a", "a　", "﻿a b\t\n", "a \n b", "😀 ", " 😀"]
+    got = [r.t for r in spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").orderBy("i").select(text.trim(F.col("x")).alias("t")).collect()]
+    assert got == [None, "", "", "", "a", "a", "a", "a b", "a \n b", "😀", "😀"]
