@@ -60,3 +60,18 @@ def test_a_hub_costs_what_is_reported(spark):
     states = flow.reach(g, k=k)
     assert states.select("origin").distinct().count() <= 2 * k
     assert states.count() < flow.reach(g).count() / 5
+
+
+def test_sources_and_listeners_meet_where_a_sink_is(spark):
+    """Every source publishes, every listener hears it and is called by one of two files with a sink; a second channel leads on."""
+    srcs, ears = [f"a{i}" for i in range(12)], [f"l{i:02}" for i in range(30)]
+    g = build(spark, [("z0", e, "s") if i % 2 else ("z1", e, "s4") for i, e in enumerate(ears)], [(s, "db-query") for s in srcs],
+              [("z0", "log", "log"), ("z1", "log", "log"), ("far", "log", "log")],
+              [(s, "event-emit", "c1") for s in srcs] + [(e, "event-listen", "c1") for e in ears]
+              + [("z1", "queue-publish", "<dynamic>"), ("far", "queue-subscribe", "<dynamic>")])
+    states = {(r.origin, r.node): ([(h.file, h.mechanism) for h in r.hops], r.dynamic) for r in flow.reach(g).collect()}
+    assert states.keys() == {(s, z) for s in srcs for z in ("z0", "z1", "far")}
+    for s in srcs:
+        assert states[s, "z0"] == ([(s, "event-emit"), ("l01", "import")], False)
+        assert states[s, "z1"] == ([(s, "event-emit"), ("l00", "import")], False)
+        assert states[s, "far"] == ([(s, "event-emit"), ("l00", "import"), ("z1", "queue-publish")], True)
