@@ -28,6 +28,8 @@ from ..functions.fixed import MAX_FILE_BYTES, SKIP_DIRS, SKIP_ENDINGS, SKIP_NAME
 SCHEMA = "repo string, path string, size long, content string"
 #: Bytes that a task reads, about; a file costs at least ``OPEN`` of them.
 TASK_BYTES, OPEN = 64 << 20, 64 << 10
+#: A tree of more tasks than this gets longer ones: starting a task costs more than opening its few files.
+MAX_TASKS = 1024
 #: Content handed on at once.
 BATCH_BYTES = 8 << 20
 
@@ -55,11 +57,14 @@ def listing(root: str) -> Iterator[tuple[str, int]]:
         waiting += reversed(below)
 
 
-def dealt(files: list[tuple[str, int]], limit: int, task_bytes: int) -> list[list[tuple[str, int]]]:
-    """Files in order, cut into runs of about ``task_bytes`` to read; those without content cost their opening only."""
+def dealt(files: list[tuple[str, int]], limit: int, task_bytes: int, most: int = MAX_TASKS) -> list[list[tuple[str, int]]]:
+    """Files in order, cut into runs of about ``task_bytes`` to read, or more where that gives over about ``most`` of them;
+    those without content cost their opening only."""
+    price = lambda size: max(size if size <= limit else 0, OPEN)
+    task_bytes = max(task_bytes, -(-sum(price(size) for _, size in files) // most))
     out, used = [], task_bytes
     for path, size in files:
-        cost = max(size if size <= limit else 0, OPEN)
+        cost = price(size)
         if used + cost > task_bytes:
             out.append([])
             used = 0

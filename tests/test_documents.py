@@ -114,3 +114,10 @@ def test_items_without_commas_are_no_document(spark, tmp_path):
     items, frames = documents.read_flat(spark, str(tmp_path / "d"))
     assert sorted((r.name, r.section, r.n, r.body) for r in items.collect()) == [("b", 1, 1, '{"i":0}'), ("b", 1, 2, '{"i":1}')]
     assert {r.name: r.frame for r in frames.collect()} == {"a": None, "b": ['{"t":1,"rows":[', "]", "}"]}
+
+
+def test_many_small_files_do_not_make_as_many_tasks():
+    files = [(f"f{i:06}", 100) for i in range(100_000)]
+    parts = folder.dealt(files, limit=1 << 30, task_bytes=1 << 20)
+    assert [f for p in parts for f in p] == files and len(parts) <= 1100
+    assert len(folder.dealt(files[:1000], limit=1 << 30, task_bytes=1 << 20)) == 63
