@@ -138,10 +138,10 @@ co AS (SELECT session, idx, line FROM dd ANTI JOIN big USING (session) UNION ALL
 
 
 def collapsed(spark, sf):
-    from codewarden.session import cut_lineage
+    from codewarden.session import written
 
-    lines = cut_lineage(tr.drop_repeats(cut_lineage(tr.rendered(built(spark, sf)))))
-    return cut_lineage(tr.collapse_runs(lines, over=300, minimum=3))
+    lines = written(tr.drop_repeats(written(tr.rendered(built(spark, sf)), "rendered")), "digest")
+    return written(tr.collapse_runs(lines, over=300, minimum=3), "collapsed")
 
 
 @query("digest_collapsed", f"{BASE}, {SHOWN}, {RUNS} SELECT * FROM co")

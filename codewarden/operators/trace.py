@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.jsregex import js
-from ..session import cut_lineage
-from ..sources.traces import cut, parse_lines
+from ..session import written
+from ..sources.traces import cut, only_string, parse_lines
 from .ordered import first_k, neighbour, running_sum
 
 # Digest limits and rendering widths.
@@ -33,14 +33,14 @@ class Trace:
     """
 
     def __init__(self, raw: DataFrame):
-        self.lines = cut_lineage(parse_lines(raw))
+        self.lines = written(parse_lines(raw), "lines")
 
     @cached_property
     def plain_calls(self) -> DataFrame:
         """(session, pos, call_no, id, name, input) as the lines have them."""
         return self.lines.filter("kind = 'assistant'").select(
             "session", "pos", F.posexplode("calls").alias("call_no", "c")).select(
-            "session", "pos", "call_no", "c.id", "c.name", F.to_json("c.input").alias("input"))
+            "session", "pos", "call_no", "c.id", "c.name", "c.input")
 
     @cached_property
     def _bound(self) -> tuple[DataFrame, DataFrame]:
@@ -63,7 +63,7 @@ class Trace:
             "session", "pos", self._sub(False, F.col("call_no")), F.lit("tool_use").alias("type"), "ts",
             "uuid", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("thinking"))
         numbered = running_sum(main.unionByName(lost), ["session"], ["pos", "sub"], F.lit(1), "_n")
-        return cut_lineage(numbered.withColumn("idx", F.col("_n") - 1).drop("_n"))
+        return written(numbered.withColumn("idx", F.col("_n") - 1).drop("_n"), "events")
 
     @cached_property
     def calls(self) -> DataFrame:
@@ -72,7 +72,7 @@ class Trace:
             "session", "pos", self._sub(False, F.col("call_no")), F.lit(0).alias("call_no"), "id", F.lit(ORPHAN).alias("name"),
             F.lit("{}").alias("input"), F.col("content").alias("result"), "is_error"))
         placed = own.join(self.events.select("session", "pos", "sub", "idx"), ["session", "pos", "sub"]).drop("sub")
-        return cut_lineage(with_keys(placed))
+        return written(with_keys(placed), "calls")
 
 
 def build(raw: DataFrame) -> Trace:
@@ -87,13 +87,15 @@ def match_results(calls: DataFrame, results: DataFrame) -> tuple[DataFrame, Data
     that is a call: a re-used id is open for its latest call only, and a call
     is closed by its first result.
     """
-    items = calls.select("session", "pos", "call_no", "id", F.lit(True).alias("is_call")).unionByName(
-        results.select("session", "pos", "call_no", "id", F.lit(False).alias("is_call"))).filter("id <> ''")
-    seen = neighbour(items, ["session", "id"], ["pos", "call_no"], F.struct("is_call", "pos", "call_no"), "prev")
-    # Five narrow columns, read by both outputs: materialised once.
-    bound = cut_lineage(seen.filter("not is_call and prev.is_call").select(
-        "session", "pos", "call_no", F.col("prev.pos").alias("call_pos"), F.col("prev.call_no").alias("call_at")))
-    known = results.join(bound, ["session", "pos", "call_no"], "left")
+    payload = [c for c in results.columns if c not in ("session", "pos", "call_no", "id")]
+    given = results.select("session", "pos", "call_no", "id", F.struct(*payload).alias("_r"), F.lit(False).alias("is_call"))
+    items = calls.select("session", "pos", "call_no", "id", F.lit(None).cast(given.schema["_r"].dataType).alias("_r"), F.lit(True).alias("is_call")).unionByName(given)
+    seen = neighbour(items.filter("id <> ''"), ["session", "id"], ["pos", "call_no"], F.struct("is_call", "pos", "call_no"), "prev").filter("not is_call")
+    open_call = F.when(F.col("prev.is_call"), F.col("prev"))
+    bound = seen.withColumns({"call_pos": open_call["pos"], "call_at": open_call["call_no"]}).drop("prev")
+    alone = given.filter("coalesce(id, '') = ''").withColumns({"call_pos": F.lit(None).cast("long"), "call_at": F.lit(None).cast("int")})
+    # Results travel with their place and are read by both outputs: written once.
+    known = written(bound.unionByName(alone).select("session", "pos", "call_no", "id", "_r.*", "call_pos", "call_at"), "results")
     orphans = known.filter("call_pos is null").drop("call_pos", "call_at")
     answers = known.filter("call_pos is not null").select(
         "session", F.col("call_pos").alias("pos"), F.col("call_at").alias("call_no"),
@@ -113,13 +115,18 @@ def with_keys(calls: DataFrame) -> DataFrame:
     path = F.coalesce(_string("file_path"), F.lit(""))
     body = F.when(F.col("name") == "Bash", F.concat(F.lit("c:"), command)).when(
         path != "", F.concat(F.lit("p:"), path)).otherwise(F.concat(F.lit("i:"), F.coalesce("input", F.lit("{}"))))
-    return calls.withColumns({"file_path": _string("file_path"), "command": _string("command"),
-                              "key": F.concat_ws("\u0001", "name", body)})
+    return _with_fields(calls, ["file_path", "command"]).withColumns({
+        "file_path": _string("file_path"), "command": _string("command"), "key": F.concat_ws("\u0001", "name", body)}).drop("_fields")
+
+
+def _with_fields(calls: DataFrame, fields: list[str]) -> DataFrame:
+    """Add ``_fields``, these fields of the input as text; the input is read once for all of them."""
+    return calls.withColumn("_fields", F.from_json("input", ", ".join(f"`{f}` string" for f in fields)))
 
 
 def _string(field: str) -> Column:
-    v = F.try_variant_get(F.try_parse_json("input"), f"$.{field}", "variant")
-    return F.when(F.schema_of_variant(v) == "STRING", F.get_json_object("input", f"$.{field}"))
+    """A field of the input only when it is a JSON string."""
+    return only_string(F.col(f"_fields.{field}"), F.try_parse_json("input"), field)
 
 
 # -- statistics --------------------------------------------------------------------
@@ -175,7 +182,7 @@ def rendered(trace: Trace) -> DataFrame:
 
     Calls are gathered per event, that is per transcript line.
     """
-    fields = trace.calls.filter(F.col("name") != ORPHAN).withColumns(
+    fields = _with_fields(trace.calls.filter(F.col("name") != ORPHAN), _FIELDS).withColumns(
         {**{f: _string(f) for f in _FIELDS}, "_command": text.trim(F.coalesce("command", F.lit("")))})
     calls = (fields.withColumn("_r", _render())
              .groupBy("session", "idx").agg(F.array_sort(F.collect_list(F.struct("call_no", "_r"))).alias("_calls")))
@@ -208,7 +215,7 @@ def collapse_runs(lines: DataFrame, over: int = COLLAPSE_OVER_TOKENS, minimum: i
     d = neighbour(d, ["session"], ["idx"], F.col("_quiet"), "_before")
     d = running_sum(d, ["session"], ["idx"],
                     F.when(F.col("_quiet") & F.coalesce("_before", F.lit(False)), 0).otherwise(1), "_run")
-    d = cut_lineage(d)
+    d = written(d, "runs")
     tool = F.regexp_replace(F.split_part("line", F.lit(" "), F.lit(1)), "^([^:]*):", "$1")
     # Counts per (run, tool) first: a run of any length is a few rows after it.
     per_tool = (d.filter("_quiet").groupBy("session", "_run", tool.alias("_tool"))
@@ -245,8 +252,8 @@ def cut_middle_lines(lines: DataFrame, cap: int = CAP_TOKENS) -> DataFrame:
 
 def digest(trace: Trace) -> DataFrame:
     # Each step reads its input several times; materialise between the steps.
-    lines = cut_lineage(drop_repeats(cut_lineage(rendered(trace))))
-    return cut_middle_lines(cut_lineage(collapse_runs(lines)))
+    lines = written(drop_repeats(written(rendered(trace), "rendered")), "digest")
+    return cut_middle_lines(written(collapse_runs(lines), "collapsed"))
 
 
 # -- process findings ----------------------------------------------------------------

@@ -58,3 +58,15 @@ def test_neighbour_passes_the_table_once_for_its_edges(spark):
     d = spark.createDataFrame([("s", 1, "a")], "session string, pos long, v string")
     plan = neighbour(d, ["session"], ["pos"], F.col("v"), "x")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [") == 1 and plan.count("LogicalRDD") + plan.count("LocalRelation") == 2
+
+
+def test_small_groups_bring_nothing_to_the_join(spark):
+    """Sums and neighbours cross borders of blocks only; rows without a group or a position have no place."""
+    rows = [("a", 1, 5), ("a", 2, 6), ("b", 1, 7), ("b", 9, 8), (None, 1, 9), ("a", None, 3)]
+    d = spark.createDataFrame(rows, "g string, pos int, v int")
+    total = running_sum(d, ["g"], ["pos"], F.col("v"), "t", size=4)
+    assert sorted((r.g, r.pos, r.t) for r in total.collect()) == [("a", 1, 5), ("a", 2, 11), ("b", 1, 7), ("b", 9, 15)]
+    before = neighbour(d, ["g"], ["pos"], F.col("v"), "p", size=4)
+    assert sorted((r.g, r.pos, r.p) for r in before.collect()) == [("a", 1, None), ("a", 2, 5), ("b", 1, None), ("b", 9, 7)]
+    joins = [x for f in (total, before) for x in f._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]
+    assert joins and all("LeftOuter" in x for x in joins)

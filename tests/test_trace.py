@@ -1,7 +1,9 @@
+import contextlib
+import io
 import json
 
 from codewarden.operators import trace as tr
-from codewarden.sources.traces import read_lines
+from codewarden.sources.traces import parse_lines, read_lines
 
 
 def call(i, name, **args):
@@ -67,3 +69,51 @@ def test_every_tool_in_a_digest(spark, tmp_path):
     p.write_text("\n".join(json.dumps(call(str(i), n, **a)) for i, (n, a) in enumerate(calls)))
     got = [r.line for r in tr.rendered(tr.build(read_lines(spark, str(p)))).orderBy("idx").collect()]
     assert got == ['Grep "p" in src', 'Glob "*.ts"', 'Grep ""', "Subagent: " + "d" * 100, "Other x", "Other", "Read f", "Write w (2.0KB)", "replace r (0.0KB)"]
+
+
+def plan(df):
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        df.explain("extended")
+    return out.getvalue()
+
+
+def test_only_strings_are_taken_for_strings(spark):
+    """Numbers, booleans and objects are no texts, strings that look like them are."""
+    values = ['"5"', "5", "-1.5e3", '"true"', "true", '"{x"', '{"x": 1}', '"[1]"', "[1]", '""', "null", '"a\\n"']
+    strings = {i: json.loads(x) for i, x in enumerate(values) if x[0] == '"'}
+    say = lambda kind, block, x: f'{{"type":"{kind}","sessionId":{x},"message":{{"content":[{block}]}}}}'
+    lines = [(kind, n, say(kind, block.replace("?", x), x)) for kind, block in (
+        ("assistant", '{"type":"tool_use","id":?,"name":"Read","input":?},{"type":"tool_use","id":"i","name":?},{"type":"text","text":?}'),
+        ("user", '7,{"type":"tool_result","tool_use_id":?,"is_error":?,"content":?}')) for n, x in enumerate(values)]
+    d = parse_lines(spark.createDataFrame(lines, "session string, pos long, line string")).collect()
+    made, given = ({r.pos: r for r in d if r.kind == k} for k in ("assistant", "user"))
+    for n, x in enumerate(values):
+        s = strings.get(n)
+        assert made[n].session_id == s and made[n].text == s and made[n].calls[0].id == s
+        assert made[n].calls[0].input == ('{"x":1}' if x[0] == "{" else None) and [c.name for c in made[n].calls[1:]] == [s] * (s is not None)
+        r = given[n].results[0]
+        assert (r.id, r.is_error, r.content) == (s, x == "true", s or "")
+
+
+def test_a_line_is_read_in_few_casts(spark):
+    """Each field was fetched on its own, twice; and a filter that can be pushed trimmed the line again."""
+    raw = spark.createDataFrame([("s", 1, "{}")], "session string, pos long, line string")
+    usual = parse_lines(raw).select("session_id", "ts", "uuid", "model")
+    heads = plan(usual).split("== Physical Plan ==")[1]
+    assert heads.count("$.sessionId") <= 1 and "$.message.model" not in heads
+    assert "Condition" not in heads and "regexp_replace" not in [x for x in heads.split("\n") if "Filter" in x][0]
+
+
+def test_readers_take_only_their_columns(spark, tmp_path):
+    t = build(spark, tmp_path)
+    for d, not_asked in ((t.lines.select("session", "kind"), "results"), (t.events.select("session", "idx"), "thinking"), (t.calls.select("session", "key"), "input")):
+        schema = [x for x in plan(d).split("\n") if "ReadSchema" in x]
+        assert schema and not any(f"{not_asked}:" in x for x in schema)
+
+
+def test_results_without_an_id_are_orphans(spark):
+    """They have no call to go to, neither by an empty nor by a missing id, and stay in their place."""
+    found = [call("", "Bash", command="x"), result("", "a"), {"type": "user", "message": {"content": [{"type": "tool_result", "content": "b"}]}}, result("1", "c")]
+    raw = spark.createDataFrame([("s", n, json.dumps(x)) for n, x in enumerate(found)], "session string, pos long, line string")
+    got = [(r.idx, r.name, r.result) for r in tr.build(raw).calls.orderBy("idx").collect()]
+    assert got == [(0, "Bash", None), (1, tr.ORPHAN, "a"), (2, tr.ORPHAN, "b"), (3, tr.ORPHAN, "c")]
