@@ -191,9 +191,8 @@ def score_batches(spark, sf):
     f = findings(spark, sf)
     batched = fi.batch_number(f.select("run_id", "ord", "location"), ["run_id"], [F.col("ord")], fi.SCORE_BATCH)
     diffs = f.select("run_id", F.concat(F.lit("whole diff of run "), F.col("run_id").cast("string")).alias("diff")).distinct()
-    e = F.col("evidence")
-    return fi.batch_evidence(batched, changed(spark, sf), diffs).select(
-        "run_id", "batch", F.length(e).alias("evidence_len"), F.left(e, F.lit(60)).alias("head"), F.right(e, F.lit(30)).alias("tail"))
+    return fi.batch_evidence(batched, changed(spark, sf), diffs, take={
+        "evidence_len": F.length, "head": lambda e: F.left(e, F.lit(60)), "tail": lambda e: F.right(e, F.lit(30))})
 
 
 # The merges as recursive queries: the state of a file after n rows is its list of

@@ -161,13 +161,20 @@ def batch_number(df: DataFrame, keys: list[str], order: list[Column], size: int)
         "batch", F.floor((F.col("_n") - 1) / size).cast("long")).drop("_n")
 
 
-def batch_evidence(batched: DataFrame, changed: DataFrame, diffs: DataFrame, key: str = "run_id", chars: int = EVIDENCE_CHARS) -> DataFrame:
+def batch_evidence(batched: DataFrame, changed: DataFrame, diffs: DataFrame, key: str = "run_id", chars: int = EVIDENCE_CHARS,
+                   take: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """Evidence text per batch: patches of its files, else the whole diff.
 
     Files that repeat in the batch are met once.  Which files a batch shows and
     where its text ends follow from names and lengths, so no patch moves before
     that is known; batches that show the same files share one text.
+
+    ``take`` names what a batch gets of its ``evidence``, the text itself by
+    default; it is worked out once per set of files (or whole diff), so no batch
+    carries more than it asks for.
     """
+    take = take or {"evidence": lambda e: e}
+    of = lambda e: F.struct(*[value(e).alias(name) for name, value in take.items()])
     files = (batched.select(key, "batch", text.file_of(F.col("location")).alias("filename"))
              .filter("filename <> ''").distinct())
     # A longer text is cut, so one character more than the limit is all that has to move.
@@ -183,11 +190,12 @@ def batch_evidence(batched: DataFrame, changed: DataFrame, diffs: DataFrame, key
     joined = (parts.select(key, "_shown").distinct().select(key, "_shown", F.posexplode("_shown").alias("_i", "_at"))
               .join(texts.select(key, "_at", "t"), [key, "_at"]).groupBy(key, "_shown")
               .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "t"))), lambda x: x["t"]), "\n\n").alias("_parts"))
-              .select(key, "_shown", cut("_parts").alias("evidence")))
+              .select(key, "_shown", cut("_parts").alias("_e")).select(key, "_shown", of(F.col("_e")).alias("_e")))
     every = batched.select(key, "batch").distinct()
     whole = (every.join(parts.select(key, "batch"), [key, "batch"], "left_anti")
-             .join(diffs.select(key, F.left("diff", F.lit(chars + 1)).alias("diff")), key, "left").select(key, "batch", cut("diff").alias("evidence")))
-    return parts.join(joined, [key, "_shown"]).select(key, "batch", "evidence").unionByName(whole)
+             .join(diffs.select(key, F.left("diff", F.lit(chars + 1)).alias("diff")).select(key, cut("diff").alias("_e")).select(key, of(F.col("_e")).alias("_e")), key, "left")
+             .select(key, "batch", F.coalesce("_e", of(F.lit(None).cast("string"))).alias("_e")))
+    return parts.join(joined, [key, "_shown"]).select(key, "batch", "_e").unionByName(whole).select(key, "batch", *[F.col(f"_e.{name}") for name in take])
 
 
 def _within(parts: str, chars: int) -> Column:
