@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.jsregex import js
-from ..session import written
+from ..session import shuffled, written
 from ..sources.traces import cut, only_string, parse_lines
 from .ordered import first_k, neighbour, running_sum
 
@@ -71,7 +71,7 @@ class Trace:
         own = matched.withColumn("sub", self._sub(True, F.lit(0))).unionByName(orphans.select(
             "session", "pos", self._sub(False, F.col("call_no")), F.lit(0).alias("call_no"), "id", F.lit(ORPHAN).alias("name"),
             F.lit("{}").alias("input"), F.col("content").alias("result"), "is_error"))
-        placed = own.join(self.events.select("session", "pos", "sub", "idx"), ["session", "pos", "sub"]).drop("sub")
+        placed = own.join(shuffled(self.events.select("session", "pos", "sub", "idx")), ["session", "pos", "sub"]).drop("sub")
         return written(with_keys(placed), "calls")
 
 
@@ -100,7 +100,7 @@ def match_results(calls: DataFrame, results: DataFrame) -> tuple[DataFrame, Data
     answers = known.filter("call_pos is not null").select(
         "session", F.col("call_pos").alias("pos"), F.col("call_at").alias("call_no"),
         F.col("content").alias("result"), "is_error")
-    return calls.join(answers, ["session", "pos", "call_no"], "left"), orphans
+    return calls.join(shuffled(answers), ["session", "pos", "call_no"], "left"), orphans
 
 
 def with_keys(calls: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ def session_stats(trace: Trace) -> DataFrame:
     per_event = trace.events.groupBy("session").agg(
         F.count(F.lit(1)).alias("events"), F.count_if(F.col("type") == "user").alias("prompts"))
     ms = lambda c: F.unix_millis(F.try_to_timestamp(c))
-    return (per_line.join(per_event, "session", "left").fillna(0, ["events", "prompts"])
+    return (per_line.join(shuffled(per_event), "session", "left").fillna(0, ["events", "prompts"])
             .withColumn("duration_ms", ms(F.col("ended_at")) - ms(F.col("started_at")))
             .withColumn("duration", text.duration(F.col("duration_ms"))))
 
@@ -190,7 +190,7 @@ def rendered(trace: Trace) -> DataFrame:
     did = F.coalesce(F.col("_calls._r"), F.array().cast("array<string>"))
     line = (F.when((F.col("type") == "user") & (F.coalesce("text", F.lit("")) != ""), F.concat(F.lit("USER: "), "text"))
             .when(F.col("type") == "assistant", F.nullif(F.concat_ws(" | ", said, did), F.lit(""))))
-    return (trace.events.filter("type in ('user', 'assistant')").join(calls, ["session", "idx"], "left")
+    return (trace.events.filter("type in ('user', 'assistant')").join(shuffled(calls), ["session", "idx"], "left")
             .select("session", "idx", line.alias("line")).filter("line is not null"))
 
 
@@ -226,7 +226,7 @@ def collapse_runs(lines: DataFrame, over: int = COLLAPSE_OVER_TOKENS, minimum: i
         F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("o"), F.col("_first").alias("f"), F.col("_n").alias("n"), F.col("_tool").alias("t")))).alias("_l"))
         .filter(F.col("_total") >= minimum)
         .select("session", "_run", "idx", F.concat(F.lit("[exploration: "), F.array_join(F.transform("_l", label), ", "), F.lit("]")).alias("line")))
-    kept = d.join(runs.select("session", "_run"), ["session", "_run"], "left_anti").select("session", "idx", "line")
+    kept = d.join(shuffled(runs.select("session", "_run")), ["session", "_run"], "left_anti").select("session", "idx", "line")
     return rest.select("session", "idx", "line").unionByName(kept).unionByName(runs.select("session", "idx", "line"))
 
 
@@ -240,7 +240,7 @@ def cut_middle_lines(lines: DataFrame, cap: int = CAP_TOKENS) -> DataFrame:
         F.min("idx").alias("_a"), F.max("idx").alias("_z"), F.count(F.lit(1)).alias("_rows"), F.sum("_len").alias("_sum"),
         F.min_by("_len", "idx").alias("_la"), F.max_by("_len", "idx").alias("_lz"))
     half = F.lit(cap / TOKENS_PER_CHAR * 0.5)
-    d = d.join(ends, "session")
+    d = d.join(shuffled(ends), "session")
     head = (F.col("idx") == F.col("_a")) | ((F.col("idx") < F.col("_z")) & (F.col("_cum") <= F.greatest(half, F.col("_la"))))
     tail_cum = F.col("_sum") - F.col("_cum") + F.col("_len")
     tail = (F.col("idx") == F.col("_z")) | ((F.col("idx") > F.col("_a")) & (tail_cum <= F.greatest(half, F.col("_lz"))))
@@ -273,7 +273,7 @@ def dead_ends(trace: Trace, chars: int = 80, shown_errors: int = 3) -> DataFrame
     n = bad.groupBy("session").agg(F.count(F.lit(1)).alias("n"))
     words = F.concat(F.lit("Agent had "), F.col("n").cast("string"), F.lit(" dead end"), F.when(F.col("n") > 1, "s").otherwise(""),
                      F.lit(" before reaching final solution. High count suggests fragility."))
-    return n.join(evidence, "session").select(*_finding("dead_end", "warning", words, F.col("evidence"), F.lit(0)))
+    return n.join(shuffled(evidence), "session").select(*_finding("dead_end", "warning", words, F.col("evidence"), F.lit(0)))
 
 
 def retry_storms(trace: Trace, minimum: int = 3, chars: int = 60) -> DataFrame:
@@ -299,11 +299,11 @@ def unhandled_errors(trace: Trace, chars: int = 100, within: int = 3) -> DataFra
     bad = trace.calls.filter("is_error").select("session", "idx", "call_no", "name", "key", "file_path", "result")
     asks = bad.select("session", F.col("idx").alias("_i"), F.col("call_no").alias("_c"), F.col("key").alias("_key"), F.col("file_path").alias("_path"),
                       F.explode(F.sequence(F.col("idx") + 1, F.col("idx") + within)).alias("idx"))
-    said = asks.join(trace.events.filter(F.col("text").rlike(ADDRESSED)).select("session", "idx"), ["session", "idx"], "left_semi")
-    again = asks.join(trace.calls.select("session", "idx", "key", "name", "file_path"), ["session", "idx"]).filter(
+    said = asks.join(shuffled(trace.events.filter(F.col("text").rlike(ADDRESSED)).select("session", "idx")), ["session", "idx"], "left_semi")
+    again = asks.join(shuffled(trace.calls.select("session", "idx", "key", "name", "file_path")), ["session", "idx"]).filter(
         (F.col("key") == F.col("_key")) | (F.col("name").isin("Write", "Edit") & (F.col("file_path") == F.col("_path"))))
     handled = said.select("session", "_i", "_c").unionByName(again.select("session", "_i", "_c")).distinct()
-    left = bad.join(handled.withColumnsRenamed({"_i": "idx", "_c": "call_no"}), ["session", "idx", "call_no"], "left_anti")
+    left = bad.join(shuffled(handled.withColumnsRenamed({"_i": "idx", "_c": "call_no"})), ["session", "idx", "call_no"], "left_anti")
     return left.select(*_finding(
         "unhandled_error", "warning", F.lit("Agent encountered an error but continued without addressing it."),
         F.concat("name", F.lit(": "), F.left("result", F.lit(chars))), F.col("idx"), F.col("call_no")))
@@ -312,7 +312,7 @@ def unhandled_errors(trace: Trace, chars: int = 100, within: int = 3) -> DataFra
 def low_exploration(trace: Trace) -> DataFrame:
     prompts = trace.events.groupBy("session").agg(F.count_if(F.col("type") == "user").alias("prompts"))
     calls = trace.calls.groupBy("session").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.coalesce("is_error", F.lit(False))).alias("bad"))
-    d = prompts.join(calls, "session").filter("prompts <= 1 and n > 5 and not bad")
+    d = prompts.join(shuffled(calls), "session").filter("prompts <= 1 and n > 5 and not bad")
     return d.select(*_finding(
         "low_exploration", "info", F.lit("Agent went with first approach without exploring alternatives."),
         F.concat(F.lit("Single prompt, "), F.col("n").cast("string"), F.lit(" tool calls, no errors — straightforward but potentially shallow.")),

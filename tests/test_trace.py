@@ -1,6 +1,7 @@
 import contextlib
 import io
 import json
+import re
 
 from codewarden.operators import trace as tr
 from codewarden.sources.traces import parse_lines, read_lines
@@ -117,3 +118,20 @@ def test_results_without_an_id_are_orphans(spark):
     raw = spark.createDataFrame([("s", n, json.dumps(x)) for n, x in enumerate(found)], "session string, pos long, line string")
     got = [(r.idx, r.name, r.result) for r in tr.build(raw).calls.orderBy("idx").collect()]
     assert got == [(0, "Bash", None), (1, tr.ORPHAN, "a"), (2, tr.ORPHAN, "b"), (3, tr.ORPHAN, "c")]
+
+
+def test_rows_of_calls_and_events_are_never_broadcast(spark, monkeypatch):
+    """A small file may hold many rows: sides with a row per call went whole through the driver because their file was small."""
+    plans, write = [], tr.written
+
+    def kept(df, name):
+        plans.append(plan(df))
+        return write(df, name)
+
+    monkeypatch.setattr(tr, "written", kept)
+    t = tr.build(spark.createDataFrame([("s", n, json.dumps(x)) for n, x in enumerate(LINES)], "session string, pos long, line string"))
+    plans += [plan(x) for x in (t.calls, tr.process_findings(t), tr.session_stats(t), tr.digest(t))]
+    small = [re.findall(r"(\w+)#", x) for p in plans for x in re.findall(r"BroadcastHashJoin \[([^]]*)\]", p.split("== Physical Plan ==")[1])]
+    # One row per border of a block, or the number of a session with a long digest.
+    assert [x for x in small if "_b" not in x and x != ["session"]] == []
+    assert sum("SortMergeJoin" in p for p in plans) >= 5
