@@ -1,3 +1,4 @@
+from codewarden import session
 from codewarden.operators import flow
 
 
@@ -75,3 +76,13 @@ def test_sources_and_listeners_meet_where_a_sink_is(spark):
         assert states[s, "z0"] == ([(s, "event-emit"), ("l01", "import")], False)
         assert states[s, "z1"] == ([(s, "event-emit"), ("l00", "import")], False)
         assert states[s, "far"] == ([(s, "event-emit"), ("l00", "import"), ("z1", "queue-publish")], True)
+
+
+def test_ranked_paths_are_written_without_what_only_orders_them(spark, monkeypatch):
+    """Every pair was written with its picks and with the places that its ends have, too."""
+    seen, cut = [], session.cut_lineage
+    monkeypatch.setattr(session, "cut_lineage", lambda d: (seen.append(d.columns), cut(d))[1])
+    paths = flow.flow_paths(hub(spark, 6, 4), k=None)
+    assert [r.rank for r in paths.orderBy("rank").collect()] == list(range(1, 25))
+    pairs = [x for x in seen if "sink" in x]
+    assert pairs and not any({"picks", "origin", "node"} & set(x) for x in pairs)

@@ -1,7 +1,10 @@
+import contextlib
+import io
 import random
 
 from pyspark.sql import functions as F
 
+from codewarden.operators import ordered
 from codewarden.operators.ordered import neighbour, ordered_union, row_positions, running_sum
 
 
@@ -70,3 +73,16 @@ def test_small_groups_bring_nothing_to_the_join(spark):
     assert sorted((r.g, r.pos, r.p) for r in before.collect()) == [("a", 1, None), ("a", 2, 5), ("b", 1, None), ("b", 9, 7)]
     joins = [x for f in (total, before) for x in f._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]
     assert joins and all("LeftOuter" in x for x in joins)
+
+
+def test_positions_move_rows_once(spark, monkeypatch):
+    """Rows went to their group's part of a slice a second time, to be numbered there, with all that only their order needed."""
+    df = spark.createDataFrame([(k, i * 7919 % 500, f"x{i}") for k in ("a", "b", None) for i in range(500)], "k string, pos long, x string")
+    want = {(k, i, i + 1) for k in ("a", "b") for i in range(500)}
+    for few in (1 << 14, 0):  # the offsets are sent to the rows, or the rows to them
+        monkeypatch.setattr(ordered, "FEW", few)
+        d = row_positions(df.repartition(7), ["k"], [F.col("pos")], "n", without=["x"])
+        with contextlib.redirect_stdout(io.StringIO()) as out:
+            d.explain()
+        assert ("hashpartitioning" in out.getvalue()) == (few == 0)
+        assert d.columns == ["k", "pos", "n"] and {tuple(r) for r in d.collect()} == want
